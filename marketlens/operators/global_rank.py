@@ -77,19 +77,20 @@ def with_count(df: DataFrame, out: str = "_n") -> DataFrame:
 
 def add_rank(df: DataFrame, rn: str, values: Sequence[str], out: str = "_rank") -> DataFrame:
     """RANK() = smallest row number among rows with equal ordering values."""
-    firsts = df.groupBy(*values).agg(F.min(rn).alias(out))
-    cond = [df[v].eqNullSafe(firsts[v]) for v in values]
-    joined = df.join(firsts, cond, "inner")
-    return joined.select(*[df[c] for c in df.columns], firsts[out])
+    renamed = {v: f"_k{i}" for i, v in enumerate(values)}
+    firsts = df.groupBy(*[F.col(v).alias(renamed[v]) for v in values]).agg(F.min(rn).alias(out))
+    cond = [F.col(v).eqNullSafe(F.col(renamed[v])) for v in values]
+    return df.join(firsts, cond, "inner").drop(*renamed.values())
 
 
 def add_dense_rank(df: DataFrame, order: OrderSpec, out: str = "_dense_rank") -> DataFrame:
     """DENSE_RANK() = row number over the distinct ordering values."""
     values = [c for c, _ in order]
-    distinct = df.select(*values).distinct()
-    numbered = global_row_number(distinct, order, out=out)
-    cond = [df[v].eqNullSafe(numbered[v]) for v in values]
-    return df.join(numbered, cond, "inner").select(*[df[c] for c in df.columns], numbered[out])
+    renamed = {v: f"_k{i}" for i, v in enumerate(values)}
+    distinct = df.select(*[F.col(v).alias(renamed[v]) for v in values]).distinct()
+    numbered = global_row_number(distinct, [(renamed[c], asc) for c, asc in order], out=out)
+    cond = [F.col(v).eqNullSafe(F.col(renamed[v])) for v in values]
+    return df.join(numbered, cond, "inner").drop(*renamed.values())
 
 
 def ntile(rn: Column, n: Column, buckets: int) -> Column:
