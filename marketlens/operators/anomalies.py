@@ -1 +1,398 @@
-"""(filled in below)"""
+"""Anomaly detection: IQR fences (p13, p16), Isolation Forest (p14), their
+union (p15) and the anomaly reports (s10, e06, e07).
+
+IQR fences use exact distributed quantiles (``exact_quantiles``) on integer
+features (cents, counts, tenths of a day), so fences and flags are exact.
+
+Isolation Forest (Liu, Ting & Zhou, 2008) is not in MLlib:
+
+* sampling — each (row, tree) pair is kept when a hash of (order_id, tree) is
+  below ~4·256/N; the 256 smallest hashes per tree form its sample.  Only the
+  sampled pairs are ever materialised (the filter runs inside the row's
+  projection), and the per-tree window holds about a thousand rows;
+* growing — ``applyInPandas`` grows one tree per ``tree_id`` from its 256
+  rows with a RNG seeded by the tree id (deterministic reruns);
+* scoring — the forest (≤ 100 × 511 nodes, bounded by construction) is shipped
+  to the tasks and ``mapInPandas`` scores every row in Arrow batches.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.exact import money
+from ..oracle.adapter_sql import with_star
+from ..operators.global_rank import exact_quantiles
+from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
+from ..plans.registry import report
+from ..sources.adapter import Star
+
+IQR_K = 1.5
+N_TREES = 100
+SAMPLE = 256
+CONTAMINATION = 0.02
+FEATURES = ["total_payment_cents", "item_count", "delivery_tenths"]
+
+
+def delivered_features(st: Star) -> DataFrame:
+    ot = order_totals(st).filter(F.col("order_status") == "delivered")
+    return ot.select(
+        "order_id",
+        "total_payment",
+        "total_payment_cents",
+        "item_count",
+        "delivery_duration_days",
+        (F.col("delivery_duration_days") * 10).cast("bigint").alias("delivery_tenths"),
+    )
+
+
+def iqr_fences(df: DataFrame, features: list[str]) -> DataFrame:
+    """One row: <f>_lo / <f>_hi for every feature (exact quartiles)."""
+    row = None
+    for f in features:
+        q = exact_quantiles(df, f, {"_q1": 0.25, "_q3": 0.75}).select(
+            (F.col("_q1") - IQR_K * (F.col("_q3") - F.col("_q1"))).alias(f"{f}_lo"),
+            (F.col("_q3") + IQR_K * (F.col("_q3") - F.col("_q1"))).alias(f"{f}_hi"),
+        )
+        row = q if row is None else row.crossJoin(q)
+    return row
+
+
+def iqr_flags(df: DataFrame, features: list[str], names: list[str]) -> DataFrame:
+    fences = iqr_fences(df, features)
+    j = df.crossJoin(F.broadcast(fences))
+    for f, name in zip(features, names):
+        v = F.col(f).cast("double")
+        j = j.withColumn(name, F.coalesce((v < F.col(f"{f}_lo")) | (v > F.col(f"{f}_hi")), F.lit(False)))
+    j = j.drop(*[c for f in features for c in (f"{f}_lo", f"{f}_hi")])
+    any_flag = F.lit(False)
+    for name in names:
+        any_flag = any_flag | F.col(name)
+    return j.withColumn("iqr_flag", any_flag)
+
+
+IQR_NAMES = ["iqr_payment", "iqr_items", "iqr_delivery"]
+
+
+def _sql_fences(src: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"(SELECT quantile_cont({c}, 0.25) - {IQR_K} * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM {src}) AS {c}_lo, "
+            f"(SELECT quantile_cont({c}, 0.75) + {IQR_K} * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM {src}) AS {c}_hi"
+        )
+    return "SELECT " + ", ".join(parts)
+
+
+ORDER_FEATURES_SQL = (
+    ORDER_TOTALS_SQL
+    + f""",
+feats AS (
+    SELECT order_id, total_payment, total_payment_cents, item_count, delivery_duration_days,
+        CAST(delivery_duration_days * 10 AS BIGINT) AS delivery_tenths
+    FROM order_totals WHERE order_status = 'delivered'
+),
+fences AS ({_sql_fences('feats', FEATURES)}),
+iqr AS (
+    SELECT f.*,
+        coalesce(total_payment_cents < total_payment_cents_lo OR total_payment_cents > total_payment_cents_hi, false) AS iqr_payment,
+        coalesce(item_count < item_count_lo OR item_count > item_count_hi, false) AS iqr_items,
+        coalesce(delivery_tenths < delivery_tenths_lo OR delivery_tenths > delivery_tenths_hi, false) AS iqr_delivery
+    FROM feats f CROSS JOIN fences
+)"""
+)
+
+
+def order_iqr(st: Star) -> DataFrame:
+    return iqr_flags(delivered_features(st), FEATURES, IQR_NAMES)
+
+
+@report(
+    "p13_anomaly_iqr",
+    with_star(
+        """SELECT order_id, total_payment, item_count, delivery_duration_days, iqr_payment, iqr_items, iqr_delivery
+        FROM iqr WHERE iqr_payment OR iqr_items OR iqr_delivery ORDER BY order_id""",
+        ORDER_FEATURES_SQL,
+    ),
+    note="fences q1 - 1.5 IQR / q3 + 1.5 IQR per feature over delivered orders",
+)
+def p13(st: Star) -> DataFrame:
+    f = order_iqr(st).filter(F.col("iqr_flag"))
+    return f.select(
+        "order_id", "total_payment", "item_count", "delivery_duration_days", *IQR_NAMES
+    ).orderBy("order_id")
+
+
+# ---------------------------------------------------------------- monthly IQR (p16)
+
+
+def monthly_iqr(st: Star) -> DataFrame:
+    m = monthly_sales(st).withColumn("revenue_cents", F.round(F.col("revenue") * 100, 0).cast("bigint"))
+    return iqr_flags(m, ["revenue_cents", "order_count"], ["iqr_revenue", "iqr_orders"])
+
+
+@report(
+    "p16_anomaly_months",
+    with_star(
+        """SELECT m.year_month, m.order_count, m.revenue,
+            coalesce(revenue_cents < revenue_cents_lo OR revenue_cents > revenue_cents_hi, false) AS iqr_revenue,
+            coalesce(order_count < order_count_lo OR order_count > order_count_hi, false) AS iqr_orders,
+            'monthly' AS level
+        FROM mrev m CROSS JOIN mfences
+        WHERE revenue_cents < revenue_cents_lo OR revenue_cents > revenue_cents_hi
+           OR order_count < order_count_lo OR order_count > order_count_hi
+        ORDER BY m.year_month""",
+        MONTHLY_SALES_SQL
+        + f""",
+mrev AS (SELECT *, CAST(round(revenue * 100) AS BIGINT) AS revenue_cents FROM monthly_sales),
+mfences AS ({_sql_fences('mrev', ['revenue_cents', 'order_count'])})""",
+    ),
+)
+def p16(st: Star) -> DataFrame:
+    m = monthly_iqr(st).filter(F.col("iqr_flag"))
+    return m.select(
+        "year_month", "order_count", "revenue", "iqr_revenue", "iqr_orders", F.lit("monthly").alias("level")
+    ).orderBy("year_month")
+
+
+# ---------------------------------------------------------------- Isolation Forest
+
+
+def _c(n: float) -> float:
+    """Average path length of an unsuccessful BST search over n points."""
+    if n <= 1:
+        return 0.0
+    if n == 2:
+        return 1.0
+    return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+
+def _grow_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    tree = int(pdf["tree"].iloc[0])
+    x = pdf[["f0", "f1", "f2"]].to_numpy(dtype="float64")
+    rng = np.random.default_rng(1000003 * (tree + 1))
+    limit = int(math.ceil(math.log2(max(len(x), 2))))
+    rows = []
+
+    def build(idx: np.ndarray, depth: int) -> int:
+        node = len(rows)
+        rows.append(None)
+        sub = x[idx]
+        spans = sub.max(axis=0) - sub.min(axis=0) if len(idx) else np.zeros(3)
+        splittable = np.flatnonzero(spans > 0)
+        if depth >= limit or len(idx) <= 1 or len(splittable) == 0:
+            rows[node] = (tree, node, -1, 0.0, -1, -1, len(idx))
+            return node
+        feat = int(rng.choice(splittable))
+        lo, hi = sub[:, feat].min(), sub[:, feat].max()
+        thr = float(rng.uniform(lo, hi))
+        go_left = sub[:, feat] < thr
+        left = build(idx[go_left], depth + 1)
+        right = build(idx[~go_left], depth + 1)
+        rows[node] = (tree, node, feat, thr, left, right, len(idx))
+        return node
+
+    build(np.arange(len(x)), 0)
+    return pd.DataFrame(rows, columns=["tree", "node", "feat", "thr", "left", "right", "size"])
+
+
+NODE_SCHEMA = "tree int, node int, feat int, thr double, left int, right int, size long"
+
+
+def _feature_matrix(df: DataFrame) -> DataFrame:
+    # Complete cases only: orders with a payment total and a delivery time.
+    return df.filter(F.col("total_payment_cents").isNotNull() & F.col("delivery_tenths").isNotNull()).select(
+        "order_id",
+        F.col("total_payment_cents").cast("double").alias("f0"),
+        F.col("item_count").cast("double").alias("f1"),
+        F.col("delivery_tenths").cast("double").alias("f2"),
+    )
+
+
+def grow_forest(x: DataFrame) -> DataFrame:
+    n = x.agg(F.count(F.lit(1)).alias("_n"))
+    p = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.col("_n"))
+    u = lambda t: F.xxhash64(F.col("order_id"), t).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(float(2**63))
+    picks = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(N_TREES - 1)), lambda t: F.struct(t.alias("tree"), u(t).alias("u"))),
+        lambda s: s["u"] < F.col("_p"),
+    )
+    pairs = (
+        x.crossJoin(F.broadcast(n))
+        .withColumn("_p", p)
+        .select("order_id", "f0", "f1", "f2", F.explode(picks).alias("s"))
+        .select("order_id", "f0", "f1", "f2", F.col("s.tree").alias("tree"), F.col("s.u").alias("u"))
+    )
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("tree").orderBy("u", "order_id")  # ~4·256 rows per tree
+    sample = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= SAMPLE).drop("_r", "u")
+    return sample.groupBy("tree").applyInPandas(_grow_tree, NODE_SCHEMA)
+
+
+def _make_scorer(nodes: pd.DataFrame):
+    trees = []
+    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        trees.append(
+            (
+                g["feat"].to_numpy(),
+                g["thr"].to_numpy(),
+                g["left"].to_numpy(),
+                g["right"].to_numpy(),
+                np.array([_c(s) for s in g["size"].to_numpy()]),
+            )
+        )
+    c_norm = _c(SAMPLE)
+
+    def score(batches):
+        for pdf in batches:
+            x = pdf[["f0", "f1", "f2"]].to_numpy(dtype="float64")
+            total = np.zeros(len(x))
+            rows = np.arange(len(x))
+            for feat, thr, left, right, cadj in trees:
+                node = np.zeros(len(x), dtype=np.int64)
+                depth = np.zeros(len(x))
+                while True:
+                    f = feat[node]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    fi = np.where(inner, f, 0)
+                    go_left = x[rows, fi] < thr[node]
+                    nxt = np.where(go_left, left[node], right[node])
+                    node = np.where(inner, nxt, node)
+                    depth = depth + inner
+                total += depth + cadj[node]
+            s = np.power(2.0, -(total / len(trees)) / c_norm) if c_norm > 0 else np.full(len(x), 0.5)
+            yield pd.DataFrame({"order_id": pdf["order_id"], "raw_score": -s})
+
+    return score
+
+
+def isolation_scores(st: Star) -> DataFrame:
+    """order_id, features and if_score (lower = stranger; < 0 is flagged at 2% contamination)."""
+    feats = delivered_features(st)
+    x = _feature_matrix(feats)
+    nodes = grow_forest(x).toPandas()  # bounded: ≤ N_TREES · (2·SAMPLE − 1) rows
+    scored = x.select("order_id", "f0", "f1", "f2").mapInPandas(_make_scorer(nodes), "order_id string, raw_score double")
+    offset = exact_quantiles(scored, "raw_score", {"_offset": CONTAMINATION}, tiebreak="order_id")
+    out = scored.crossJoin(F.broadcast(offset)).select(
+        "order_id", (F.col("raw_score") - F.col("_offset")).alias("if_score")
+    )
+    return feats.join(out, "order_id").select(
+        "order_id",
+        "total_payment",
+        "item_count",
+        F.col("delivery_duration_days"),
+        "if_score",
+        (F.col("if_score") < 0).alias("if_flag"),
+    )
+
+
+@report("p14_isolation_forest", None, note="rows-only: randomised model (seeded); scored with mapInPandas")
+def p14(st: Star) -> DataFrame:
+    return isolation_scores(st).orderBy("if_score", "order_id")
+
+
+def order_anomalies(st: Star) -> DataFrame:
+    iq = order_iqr(st).select("order_id", "iqr_flag")
+    ifs = isolation_scores(st)
+    j = ifs.join(iq, "order_id", "full").join(
+        delivered_features(st).select("order_id", F.col("total_payment").alias("_tp"), F.col("item_count").alias("_ic"),
+                                      F.col("delivery_duration_days").alias("_dd")),
+        "order_id",
+    )
+    j = j.select(
+        "order_id",
+        F.coalesce("total_payment", "_tp").alias("total_payment"),
+        F.coalesce("item_count", "_ic").alias("item_count"),
+        F.coalesce("delivery_duration_days", "_dd").alias("delivery_duration_days"),
+        "if_score",
+        F.coalesce("iqr_flag", F.lit(False)).alias("iqr_flag"),
+        F.coalesce("if_flag", F.lit(False)).alias("if_flag"),
+    )
+    return j.filter(F.col("iqr_flag") | F.col("if_flag")).withColumn(
+        "both_flag", F.col("iqr_flag") & F.col("if_flag")
+    ).withColumn("level", F.lit("order"))
+
+
+@report("p15_anomaly_union", None, note="rows-only: depends on the Isolation Forest")
+def p15(st: Star) -> DataFrame:
+    return order_anomalies(st).orderBy("order_id")
+
+
+def anomalies_report(st: Star, limit: int = 50) -> DataFrame:
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be within 1..500")
+    orders = order_anomalies(st)
+    months = monthly_iqr(st).filter(F.col("iqr_flag"))
+    totals = (
+        orders.agg(F.count(F.lit(1)).alias("order_anomalies"))
+        .crossJoin(months.agg(F.count(F.lit(1)).alias("monthly_anomalies")))
+        .withColumn("total_flagged", F.col("order_anomalies") + F.col("monthly_anomalies"))
+    )
+    top = orders.orderBy(F.asc_nulls_last("if_score"), "order_id").limit(limit)
+    return top.crossJoin(F.broadcast(totals)).select(
+        "total_flagged",
+        "order_anomalies",
+        "monthly_anomalies",
+        "order_id",
+        "total_payment",
+        "item_count",
+        "delivery_duration_days",
+        "if_score",
+        "both_flag",
+        "level",
+    )
+
+
+@report("s10_anomalies", None, note="rows-only: top 50 order anomalies by ascending if_score plus totals")
+def s10(st: Star) -> DataFrame:
+    return anomalies_report(st, 50)
+
+
+@report("e06_score_histogram", None, note="rows-only: Isolation-Forest score histogram, 0.05 bins")
+def e06(st: Star) -> DataFrame:
+    s = isolation_scores(st)
+    b = F.floor(F.col("if_score") / 0.05)
+    return (
+        s.groupBy(b.alias("_b"))
+        .agg(F.count(F.lit(1)).alias("order_count"), F.sum(F.col("if_flag").cast("int")).cast("bigint").alias("flagged"))
+        .select((F.col("_b") * 0.05).alias("bin_start"), ((F.col("_b") + 1) * 0.05).alias("bin_end"), "order_count", "flagged")
+        .orderBy("bin_start")
+    )
+
+
+@report(
+    "e07_anomaly_feature_dist",
+    with_star(
+        """SELECT iqr_payment OR iqr_items OR iqr_delivery AS is_anomaly, count(*) AS order_count,
+            """ + __import__("marketlens.functions.exact", fromlist=["x"]).sql_ratio_round("sum(total_payment_cents)", "count(total_payment_cents)", 2) + """ AS avg_total_payment,
+            """ + __import__("marketlens.functions.exact", fromlist=["x"]).sql_ratio_round("sum(item_count)", "count(item_count)", 2) + """ AS avg_item_count,
+            """ + __import__("marketlens.functions.exact", fromlist=["x"]).sql_ratio_round("sum(delivery_tenths)", "count(delivery_tenths) * 10", 2) + """ AS avg_delivery_days,
+            CAST(max(total_payment_cents) AS DOUBLE) / 100 AS max_total_payment
+        FROM iqr GROUP BY is_anomaly ORDER BY is_anomaly""",
+        ORDER_FEATURES_SQL,
+    ),
+    note="normal vs IQR-anomalous delivered orders",
+)
+def e07(st: Star) -> DataFrame:
+    from ..functions.exact import ratio_round
+
+    f = order_iqr(st)
+    return (
+        f.groupBy(F.col("iqr_flag").alias("is_anomaly"))
+        .agg(
+            F.count(F.lit(1)).alias("order_count"),
+            ratio_round(F.sum("total_payment_cents"), F.count("total_payment_cents"), 2).alias("avg_total_payment"),
+            ratio_round(F.sum("item_count"), F.count("item_count"), 2).alias("avg_item_count"),
+            ratio_round(F.sum("delivery_tenths"), F.count("delivery_tenths") * 10, 2).alias("avg_delivery_days"),
+            (F.max("total_payment_cents").cast("double") / 100).alias("max_total_payment"),
+        )
+        .orderBy("is_anomaly")
+    )

@@ -1 +1,311 @@
-"""(filled in below)"""
+"""Sales forecasting: linear and quadratic trend, simple exponential smoothing.
+
+Fitting is closed-form.  Each series is reduced to a handful of exact sums
+(Σt^k, Σt^k·y with y in cents) by one grouped aggregation, so the same code
+fits one series or a million (``series_keys``) with a single shuffle of tiny
+partial aggregates.  Determinants of the normal equations are formed in
+DECIMAL(38,0) — exact — and only the final coefficients are doubles.
+Predictions are rounded to cents before the error metrics, which are then
+computed from integers.
+
+Exponential smoothing runs a left fold (``aggregate``) over the series'
+month-ordered array: one row per (series, alpha); the array length is the
+number of months, which is bounded by the calendar.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.exact import ratio_round
+from ..functions.exact import sql_ratio_round as R
+from ..oracle.adapter_sql import with_star
+from ..plans.pipeline import MONTHLY_SALES_SQL, monthly_sales
+from ..plans.registry import report
+from ..sources.adapter import Star
+
+HORIZON = 3
+MIN_ORDERS = 10
+TEST_SHARE_DIV = 5  # last T div 5 months are the test split
+SES_ALPHAS = [round(0.1 * i, 1) for i in range(1, 10)]
+
+D = "decimal(38,0)"
+
+
+def revenue_series(st: Star) -> DataFrame:
+    """Monthly revenue (cents) of months with at least MIN_ORDERS delivered orders,
+    with month index t and the train/test split."""
+    m = monthly_sales(st).filter(F.col("order_count") >= MIN_ORDERS).select(
+        "year_month", F.round(F.col("revenue") * 100, 0).cast("bigint").alias("y")
+    )
+    w = Window.orderBy("year_month")  # month grain: bounded
+    m = m.withColumn("t", (F.row_number().over(w) - 1).cast("bigint")).withColumn(
+        "_T", F.count(F.lit(1)).over(Window.partitionBy())
+    )
+    n_test = F.call_function("div", F.col("_T"), F.lit(TEST_SHARE_DIV))
+    return m.withColumn("split", F.when(F.col("t") >= F.col("_T") - n_test, F.lit("test")).otherwise(F.lit("train"))).drop(
+        "_T"
+    )
+
+
+def _d(c: str) -> Column:
+    return F.col(c).cast(D)
+
+
+def fit_trends(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series: linear (a1, b1) and quadratic (a2, b2, c2) coefficients on the train split."""
+    tr = series.filter(F.col("split") == "train")
+    t, y = _d("t"), _d("y")
+    s = tr.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast(D).alias("n"),
+        F.sum(t).alias("st"),
+        F.sum(t * t).alias("st2"),
+        F.sum(t * t * t).alias("st3"),
+        F.sum(t * t * t * t).alias("st4"),
+        F.sum(y).alias("sy"),
+        F.sum(t * y).alias("sty"),
+        F.sum(t * t * y).alias("st2y"),
+    )
+    n, st, st2, st3, st4, sy, sty, st2y = (F.col(c) for c in ("n", "st", "st2", "st3", "st4", "sy", "sty", "st2y"))
+    m11 = st2 * st4 - st3 * st3
+    det = n * m11 - st * (st * st4 - st3 * st2) + st2 * (st * st3 - st2 * st2)
+    det_a = sy * m11 - st * (sty * st4 - st3 * st2y) + st2 * (sty * st3 - st2 * st2y)
+    det_b = n * (sty * st4 - st3 * st2y) - sy * (st * st4 - st3 * st2) + st2 * (st * st2y - sty * st2)
+    det_c = n * (st2 * st2y - sty * st3) - st * (st * st2y - sty * st2) + sy * (st * st3 - st2 * st2)
+    b1 = (n * sty - st * sy).cast("double") / (n * st2 - st * st).cast("double")
+    fitted = s.select(
+        *keys,
+        b1.alias("b1"),
+        det.cast("double").alias("_det"),
+        det_a.cast("double").alias("_da"),
+        det_b.cast("double").alias("_db"),
+        det_c.cast("double").alias("_dc"),
+        sy.cast("double").alias("_sy"),
+        st.cast("double").alias("_st"),
+        n.cast("double").alias("_n"),
+    )
+    return fitted.select(
+        *keys,
+        ((F.col("_sy") - F.col("b1") * F.col("_st")) / F.col("_n")).alias("a1"),
+        "b1",
+        (F.col("_da") / F.col("_det")).alias("a2"),
+        (F.col("_db") / F.col("_det")).alias("b2"),
+        (F.col("_dc") / F.col("_det")).alias("c2"),
+    )
+
+
+def _cents(x: Column) -> Column:
+    # round half away from zero on the exact double value (same in both engines)
+    return F.round(x, 0).cast("bigint")
+
+
+def forecast_results(st: Star) -> DataFrame:
+    series = revenue_series(st)
+    coef = fit_trends(series.withColumn("_s", F.lit(1)), ["_s"])
+    last = series.agg(F.max("t").alias("_tmax"), F.max("year_month").alias("_ym"))
+    future = last.select(F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("h"), "_tmax", "_ym").select(
+        F.date_format(F.add_months(F.to_date(F.concat("_ym", F.lit("-01"))), F.col("h")), "yyyy-MM").alias("year_month"),
+        F.lit(None).cast("bigint").alias("y"),
+        (F.col("_tmax") + F.col("h")).alias("t"),
+        F.lit("forecast").alias("split"),
+    )
+    allrows = series.unionByName(future).withColumn("_s", F.lit(1)).join(F.broadcast(coef), "_s")
+    t = F.col("t").cast("double")
+    lin = F.col("a1") + F.col("b1") * t
+    poly = F.col("a2") + F.col("b2") * t + F.col("c2") * t * t
+    return allrows.select(
+        "year_month",
+        "t",
+        "split",
+        "y",
+        (F.col("y").cast("double") / 100).alias("actual_revenue"),
+        _cents(lin).alias("lin_c"),
+        _cents(poly).alias("poly_c"),
+    )
+
+
+FORECAST_SQL = (
+    MONTHLY_SALES_SQL
+    + f""",
+series AS (
+    SELECT year_month, CAST(round(revenue * 100) AS BIGINT) AS y,
+        CAST(row_number() OVER (ORDER BY year_month) - 1 AS BIGINT) AS t,
+        count(*) OVER () AS big_t
+    FROM monthly_sales WHERE order_count >= {MIN_ORDERS}
+),
+series_s AS (
+    SELECT year_month, y, t, CASE WHEN t >= big_t - big_t // {TEST_SHARE_DIV} THEN 'test' ELSE 'train' END AS split
+    FROM series
+),
+sums AS (
+    SELECT CAST(count(*) AS HUGEINT) AS n, CAST(sum(t) AS HUGEINT) AS st, CAST(sum(t * t) AS HUGEINT) AS st2,
+        CAST(sum(t * t * t) AS HUGEINT) AS st3, CAST(sum(t * t * t * t) AS HUGEINT) AS st4,
+        CAST(sum(y) AS HUGEINT) AS sy, CAST(sum(CAST(t AS HUGEINT) * y) AS HUGEINT) AS sty,
+        CAST(sum(CAST(t * t AS HUGEINT) * y) AS HUGEINT) AS st2y
+    FROM series_s WHERE split = 'train'
+),
+dets AS (
+    SELECT CAST(n * sty - st * sy AS DOUBLE) / CAST(n * st2 - st * st AS DOUBLE) AS b1,
+        CAST(n * (st2 * st4 - st3 * st3) - st * (st * st4 - st3 * st2) + st2 * (st * st3 - st2 * st2) AS DOUBLE) AS det,
+        CAST(sy * (st2 * st4 - st3 * st3) - st * (sty * st4 - st3 * st2y) + st2 * (sty * st3 - st2 * st2y) AS DOUBLE) AS da,
+        CAST(n * (sty * st4 - st3 * st2y) - sy * (st * st4 - st3 * st2) + st2 * (st * st2y - sty * st2) AS DOUBLE) AS db,
+        CAST(n * (st2 * st2y - sty * st3) - st * (st * st2y - sty * st2) + sy * (st * st3 - st2 * st2) AS DOUBLE) AS dc,
+        CAST(sy AS DOUBLE) AS sy_d, CAST(st AS DOUBLE) AS st_d, CAST(n AS DOUBLE) AS n_d
+    FROM sums
+),
+coef AS (
+    SELECT (sy_d - b1 * st_d) / n_d AS a1, b1, da / det AS a2, db / det AS b2, dc / det AS c2 FROM dets
+),
+future AS (
+    SELECT strftime(CAST(ym || '-01' AS DATE) + to_months(CAST(h AS INTEGER)), '%Y-%m') AS year_month,
+        CAST(NULL AS BIGINT) AS y, tmax + h AS t, 'forecast' AS split
+    FROM (SELECT max(t) AS tmax, max(year_month) AS ym FROM series_s) l, range(1, {HORIZON + 1}) r(h)
+),
+forecast AS (
+    SELECT s.year_month, s.t, s.split, s.y, CAST(s.y AS DOUBLE) / 100 AS actual_revenue,
+        CAST(round(a1 + b1 * CAST(s.t AS DOUBLE)) AS BIGINT) AS lin_c,
+        CAST(round(a2 + b2 * CAST(s.t AS DOUBLE) + c2 * CAST(s.t AS DOUBLE) * CAST(s.t AS DOUBLE)) AS BIGINT) AS poly_c
+    FROM (SELECT * FROM series_s UNION ALL SELECT * FROM future) s CROSS JOIN coef
+)"""
+)
+
+
+@report(
+    "p12_forecast",
+    with_star(
+        """SELECT year_month, split, actual_revenue, CAST(lin_c AS DOUBLE) / 100 AS pred_linear,
+            CAST(poly_c AS DOUBLE) / 100 AS pred_poly FROM forecast ORDER BY year_month""",
+        FORECAST_SQL,
+    ),
+    note="linear + quadratic OLS on the month index, trained on the first 80% of months, 3-month horizon",
+)
+def p12(st: Star) -> DataFrame:
+    f = forecast_results(st)
+    return f.select(
+        "year_month",
+        "split",
+        "actual_revenue",
+        (F.col("lin_c").cast("double") / 100).alias("pred_linear"),
+        (F.col("poly_c").cast("double") / 100).alias("pred_poly"),
+    ).orderBy("year_month")
+
+
+def _metrics(f: DataFrame, pred: str, model: str) -> DataFrame:
+    test = f.filter(F.col("split") == "test")
+    e = F.abs(F.col("y") - F.col(pred))
+    return test.agg(
+        F.lit(model).alias("model"),
+        F.count(F.lit(1)).alias("test_months"),
+        ratio_round(F.sum(e), F.count(F.lit(1)) * 100, 2).alias("mae"),
+        (F.round(F.sqrt(F.sum((e * e).cast(D)).cast("double") / F.count(F.lit(1)).cast("double")), 0) / 100).alias("rmse"),
+        ratio_round(F.sum(ratio_round(e * 1000000, F.col("y"), 0).cast("bigint")) * 100, F.count(F.lit(1)) * 1000000, 2).alias(
+            "mape"
+        ),
+    )
+
+
+def _metrics_sql(pred: str, model: str) -> str:
+    e = f"abs(y - {pred})"
+    return f"""SELECT '{model}' AS model, count(*) AS test_months,
+        {R(f'sum({e})', 'count(*) * 100', 2)} AS mae,
+        round(sqrt(CAST(sum(CAST({e} AS HUGEINT) * {e}) AS DOUBLE) / CAST(count(*) AS DOUBLE))) / 100 AS rmse,
+        {R(f"sum(CAST({R(f'{e} * 1000000', 'y', 0)} AS BIGINT)) * 100", 'count(*) * 1000000', 2)} AS mape
+    FROM forecast WHERE split = 'test'"""
+
+
+@report(
+    "p12d_forecast_metrics",
+    with_star(_metrics_sql("lin_c", "linear") + "\nUNION ALL\n" + _metrics_sql("poly_c", "poly2"), FORECAST_SQL),
+    note="MAE / RMSE / MAPE computed on the test split (not constants)",
+)
+def p12d(st: Star) -> DataFrame:
+    f = forecast_results(st)
+    return _metrics(f, "lin_c", "linear").unionByName(_metrics(f, "poly_c", "poly2"))
+
+
+@report(
+    "s09_forecast",
+    with_star(
+        """SELECT f.year_month, f.split, f.actual_revenue, CAST(f.lin_c AS DOUBLE) / 100 AS pred_linear,
+            CAST(f.poly_c AS DOUBLE) / 100 AS pred_poly, m.mae AS mae_poly, m.rmse AS rmse_poly, m.mape AS mape_poly
+        FROM forecast f CROSS JOIN (""" + _metrics_sql("poly_c", "poly2") + """) m ORDER BY f.year_month""",
+        FORECAST_SQL,
+    ),
+)
+def s09(st: Star) -> DataFrame:
+    f = forecast_results(st)
+    m = _metrics(f, "poly_c", "poly2").select(
+        F.col("mae").alias("mae_poly"), F.col("rmse").alias("rmse_poly"), F.col("mape").alias("mape_poly")
+    )
+    return f.crossJoin(F.broadcast(m)).select(
+        "year_month",
+        "split",
+        "actual_revenue",
+        (F.col("lin_c").cast("double") / 100).alias("pred_linear"),
+        (F.col("poly_c").cast("double") / 100).alias("pred_poly"),
+        "mae_poly",
+        "rmse_poly",
+        "mape_poly",
+    ).orderBy("year_month")
+
+
+@report(
+    "e05_forecast_residuals",
+    with_star(
+        """SELECT year_month, split, actual_revenue, CAST(poly_c AS DOUBLE) / 100 AS predicted,
+            CAST(y - poly_c AS DOUBLE) / 100 AS residual
+        FROM forecast WHERE split <> 'forecast' ORDER BY year_month""",
+        FORECAST_SQL,
+    ),
+)
+def e05(st: Star) -> DataFrame:
+    f = forecast_results(st).filter(F.col("split") != "forecast")
+    return f.select(
+        "year_month",
+        "split",
+        "actual_revenue",
+        (F.col("poly_c").cast("double") / 100).alias("predicted"),
+        ((F.col("y") - F.col("poly_c")).cast("double") / 100).alias("residual"),
+    ).orderBy("year_month")
+
+
+# ---------------------------------------------------------------- SES
+
+
+def ses_forecast(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Simple exponential smoothing per series; alpha chosen on train SSE."""
+    arr = series.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("t", F.col("y").cast("double").alias("y"), "split", "year_month"))).alias("pts")
+    )
+    grid = arr.crossJoin(F.broadcast(series.sparkSession.createDataFrame([(a,) for a in SES_ALPHAS], "alpha double")))
+    train = F.filter("pts", lambda p: p["split"] == "train")
+
+    def step(acc, p):
+        # acc = (level, sse, started)
+        err = p["y"] - acc["level"]
+        return F.struct(
+            F.when(acc["started"], F.col("alpha") * p["y"] + (1 - F.col("alpha")) * acc["level"]).otherwise(p["y"]).alias("level"),
+            (acc["sse"] + F.when(acc["started"], err * err).otherwise(F.lit(0.0))).alias("sse"),
+            F.lit(True).alias("started"),
+        )
+
+    init = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("sse"), F.lit(False).alias("started"))
+    fitted = grid.select(*keys, "alpha", "pts", F.aggregate(train, init, step).alias("fit"))
+    best_w = Window.partitionBy(*keys).orderBy(F.col("fit.sse"), "alpha")  # 9 rows per series
+    best = fitted.withColumn("_r", F.row_number().over(best_w)).filter("_r = 1")
+    rows = best.select(*keys, "alpha", F.col("fit.level").alias("level"), F.explode("pts").alias("p"))
+    return rows.select(
+        *keys,
+        F.col("p.year_month").alias("year_month"),
+        F.col("p.split").alias("split"),
+        (F.col("p.y") / 100).alias("actual_revenue"),
+        F.when(F.col("p.split") == "test", F.round(F.col("level"), 0) / 100).alias("pred_ses"),
+        "alpha",
+    )
+
+
+@report("p12c_forecast_ses", None, note="rows-only check: iterative fold over the month series")
+def p12c(st: Star) -> DataFrame:
+    s = revenue_series(st).withColumn("series", F.lit("total"))
+    return ses_forecast(s, ["series"]).orderBy("year_month")
