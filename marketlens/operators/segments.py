@@ -1 +1,145 @@
-"""(filled in below)"""
+"""Customer segmentation: K-Means on log-transformed, standardised RFM (p11, s08).
+
+Everything runs in ``pyspark.ml`` (k-means|| initialisation, distributed
+Lloyd iterations).  Cluster ids are arbitrary, so segment names are assigned
+from the cluster profiles (K rows) by a fixed rule:
+
+1. the cluster with the highest mean frequency → Loyal Regulars;
+2. of the rest, the highest mean monetary → High-Value Champions;
+3. of the rest, the lowest mean recency → Recent Light Buyers;
+4. the remaining cluster → Inactive Low-Spend.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.exact import pct, ratio_round
+from ..plans.pipeline import customer_features
+from ..plans.registry import report
+from ..sources.adapter import Star
+
+K = 4
+SEED = 42
+K_CANDIDATES = [2, 3, 4, 5, 6]
+
+# Fixed segment names (must equal the report's labels).
+LOYAL = "Loyal Regulars"
+CHAMPIONS = "High-Value Champions"
+RECENT = "Recent Light Buyers"
+INACTIVE = "Inactive Low-Spend"
+
+
+def rfm_vectors(st: Star) -> DataFrame:
+    cf = customer_features(st)
+    return cf.select(
+        "*",
+        F.log1p(F.col("recency_days").cast("double")).alias("_lr"),
+        F.log1p(F.col("frequency").cast("double")).alias("_lf"),
+        F.log1p(F.col("monetary")).alias("_lm"),
+    )
+
+
+def _pipeline(k: int) -> Pipeline:
+    return Pipeline(
+        stages=[
+            VectorAssembler(inputCols=["_lr", "_lf", "_lm"], outputCol="_raw"),
+            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+            KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster", maxIter=50),
+        ]
+    )
+
+
+def name_clusters(profile_rows: list) -> dict[int, str]:
+    """profile_rows: (cluster, mean recency, mean frequency, mean monetary)."""
+    left = list(profile_rows)
+    names: dict[int, str] = {}
+    for name, key in (
+        (LOYAL, lambda r: (-r[2], r[0])),
+        (CHAMPIONS, lambda r: (-r[3], r[0])),
+        (RECENT, lambda r: (r[1], r[0])),
+    ):
+        if not left:
+            break
+        pick = min(left, key=key)
+        names[pick[0]] = name
+        left.remove(pick)
+    for r in left:
+        names[r[0]] = INACTIVE if INACTIVE not in names.values() else f"{INACTIVE} {r[0]}"
+    return names
+
+
+def segment_customers(st: Star, k: int = K) -> DataFrame:
+    data = rfm_vectors(st)
+    model = _pipeline(k).fit(data)
+    assigned = model.transform(data)
+    # K-row profile: bounded by k, used only to name the clusters.
+    prof = (
+        assigned.groupBy("cluster")
+        .agg(F.avg("recency_days"), F.avg("frequency"), F.avg("monetary"))
+        .orderBy("cluster")
+        .collect()
+    )
+    names = name_clusters([(int(r[0]), float(r[1]), float(r[2]), float(r[3])) for r in prof])
+    mapping = F.create_map(*[x for c, n in names.items() for x in (F.lit(c), F.lit(n))])
+    return assigned.select(
+        "customer_unique_id",
+        "recency_days",
+        "frequency",
+        "monetary",
+        "monetary_cents",
+        "is_repeat_customer",
+        F.col("cluster").cast("int").alias("cluster"),
+        mapping[F.col("cluster")].alias("segment"),
+    )
+
+
+@report("p11_kmeans_segments", None, note="rows-only: K-Means (K=4, seed 42) on log1p + standardised RFM")
+def p11(st: Star) -> DataFrame:
+    return segment_customers(st).drop("monetary_cents").orderBy("customer_unique_id")
+
+
+@report("p11b_k_selection", None, note="rows-only: silhouette of K-Means for K = 2..6 on the same features")
+def p11b(st: Star) -> DataFrame:
+    data = rfm_vectors(st).cache()
+    spark = data.sparkSession
+    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
+    rows = []
+    for k in K_CANDIDATES:
+        pred = _pipeline(k).fit(data).transform(data)
+        rows.append((k, float(ev.evaluate(pred))))
+    data.unpersist()
+    return spark.createDataFrame(rows, "k int, silhouette double").orderBy("k")
+
+
+def segmentation_summary(st: Star) -> DataFrame:
+    seg = segment_customers(st)
+    g = seg.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("customer_count"),
+        F.sum("recency_days").alias("_r"),
+        F.sum("frequency").alias("_f"),
+        F.sum("monetary_cents").alias("_m"),
+    )
+    total = g.agg(F.sum("customer_count").alias("_n"))  # K rows
+    return (
+        g.crossJoin(F.broadcast(total))
+        .select(
+            "segment",
+            "customer_count",
+            ratio_round("_r", "customer_count", 2).alias("avg_recency_days"),
+            ratio_round("_f", "customer_count", 2).alias("avg_frequency"),
+            ratio_round("_m", F.col("customer_count") * 100, 2).alias("avg_monetary"),
+            pct("customer_count", "_n").alias("pct_of_total"),
+        )
+        .orderBy(F.desc("avg_monetary"), "segment")
+    )
+
+
+@report("s08_segmentation", None, note="rows-only: per-segment counts and mean R/F/M over the K-Means output")
+def s08(st: Star) -> DataFrame:
+    return segmentation_summary(st)
