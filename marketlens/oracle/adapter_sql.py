@@ -143,7 +143,9 @@ reviews AS (
         CAST(CASE WHEN coalesce(is_late, false) THEN 1 + CAST(order_id AS BIGINT) % 3
                   ELSE 3 + CAST(order_id AS BIGINT) % 3 END AS INTEGER) AS review_score,
         CASE WHEN CAST(order_id AS BIGINT) % 4 = 0 THEN 'title ' || order_id END AS review_comment_title,
-        NULLIF(CASE WHEN CAST(order_id AS BIGINT) % 3 = 0 THEN '' ELSE 'comment ' || order_id END, '')
+        NULLIF(CASE WHEN CAST(order_id AS BIGINT) % 3 = 0 THEN ''
+                    WHEN CAST(order_id AS BIGINT) % 7 = 0 THEN 'comment ' || order_id || chr(10) || '"quoted"'
+                    ELSE 'comment ' || order_id END, '')
             AS review_comment_message,
         CAST(CAST(coalesce(order_delivered_customer_date, order_estimated_delivery_date) AS DATE) AS TIMESTAMP)
             + to_days(1) AS review_creation_date,

@@ -242,7 +242,13 @@ def build_reviews(orders: DataFrame) -> DataFrame:
     k = F.col("order_id").cast("bigint")
     late = F.coalesce(F.col("is_late"), F.lit(False))
     created = F.coalesce(F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date"))
-    comment = F.nullif(F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("comment "), F.col("order_id"))), F.lit(""))
+    # Some comments span two lines and carry quotes (exercises multi-line CSV ingest).
+    text = (
+        F.when(k % 3 == 0, F.lit(""))
+        .when(k % 7 == 0, F.concat(F.lit("comment "), F.col("order_id"), F.lit('\n"quoted"')))
+        .otherwise(F.concat(F.lit("comment "), F.col("order_id")))
+    )
+    comment = F.nullif(text, F.lit(""))
     return orders.filter(k % 53 != 0).select(
         F.concat(F.lit("r"), F.col("order_id")).alias("review_id"),
         "order_id",
