@@ -1,7 +1,7 @@
 """Anomaly detection: IQR fences (p13, p16), Isolation Forest (p14), their
 union (p15) and the anomaly reports (s10, e06, e07).
 
-IQR fences use exact distributed quantiles (``exact_quantiles``) on integer
+IQR fences use exact sort-free quantiles (``discrete_quantiles``) on integer
 features (cents, counts, tenths of a day), so fences and flags are exact.
 
 Isolation Forest (Liu, Ting & Zhou, 2008) is not in MLlib:
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import money
 from ..oracle.adapter_sql import with_star
-from ..operators.global_rank import exact_quantiles
+from ..operators.global_rank import discrete_quantiles, exact_quantiles
 from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
 from ..plans.registry import report
 from ..sources.adapter import Star
@@ -52,15 +52,13 @@ def delivered_features(st: Star) -> DataFrame:
 
 
 def iqr_fences(df: DataFrame, features: list[str]) -> DataFrame:
-    """One row: <f>_lo / <f>_hi for every feature (exact quartiles)."""
-    row = None
+    """One row: <f>_lo / <f>_hi for every feature (exact quartiles of integer features)."""
+    q = discrete_quantiles(df, features, {"q1": 0.25, "q3": 0.75})
+    cols = []
     for f in features:
-        q = exact_quantiles(df, f, {"_q1": 0.25, "_q3": 0.75}).select(
-            (F.col("_q1") - IQR_K * (F.col("_q3") - F.col("_q1"))).alias(f"{f}_lo"),
-            (F.col("_q3") + IQR_K * (F.col("_q3") - F.col("_q1"))).alias(f"{f}_hi"),
-        )
-        row = q if row is None else row.crossJoin(q)
-    return row
+        q1, q3 = F.col(f"{f}__q1"), F.col(f"{f}__q3")
+        cols += [(q1 - IQR_K * (q3 - q1)).alias(f"{f}_lo"), (q3 + IQR_K * (q3 - q1)).alias(f"{f}_hi")]
+    return q.select(*cols)
 
 
 def iqr_flags(df: DataFrame, features: list[str], names: list[str]) -> DataFrame:

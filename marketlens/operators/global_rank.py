@@ -23,8 +23,10 @@ values, NTILE and PERCENT_RANK are arithmetic on row number / rank and N.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +139,113 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tiebreak
         f = F.max(frac)
         out.append((v_lo + (v_hi - v_lo) * f).alias(name))
     return picked.agg(*out)
+
+
+# ---------------------------------------------------------------- integer quantiles without a sort
+
+_ACCURACY = 10000
+_MAX_BRACKET_VALUES = 1_000_000
+
+
+def discrete_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of integer-valued columns, no global sort.
+
+    Pass 1 (one aggregation): N and a mergeable approximate-quantile sketch
+    per column bracket every target rank.  Pass 2 (one aggregation + one
+    grouped count): the exact number of values below each bracket and the
+    histogram of the distinct values inside it.  Walking the small histogram
+    gives the exact order statistics.  Only scalars and bracket histograms
+    (bounded by ``_MAX_BRACKET_VALUES`` distinct integers) reach the driver;
+    if a bracket would be wider, or misses its target rank, the column falls
+    back to the distributed sort of :func:`exact_quantiles`.
+
+    Returns one row with columns ``<col>__<prob name>``.
+    """
+    spark = df.sparkSession
+    # The passes below read only these columns: materialise the narrow
+    # projection once (memory, spilling to disk) instead of recomputing the
+    # upstream joins per pass; released before returning.
+    df = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    eps = 4.0 / _ACCURACY
+    names = list(probs)
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-eps, eps)})
+    aggs = []
+    for c in cols:
+        aggs.append(F.count(c).alias(f"{c}__n"))
+        aggs.append(F.percentile_approx(F.col(c), grid, _ACCURACY).alias(f"{c}__approx"))
+        aggs.append(F.min(c).alias(f"{c}__min"))
+        aggs.append(F.max(c).alias(f"{c}__max"))
+    stats = df.agg(*aggs).first()
+
+    result: dict[str, float | None] = {}
+    plans = {}
+    for c in cols:
+        n = stats[f"{c}__n"]
+        if not n:
+            for name in names:
+                result[f"{c}__{name}"] = None
+            continue
+        approx = dict(zip(grid, stats[f"{c}__approx"]))
+        brackets = []
+        for name in names:
+            p = probs[name]
+            pos = (n - 1) * p
+            lo_i, hi_i = math.floor(pos), math.ceil(pos)
+            b_lo = approx[min(1.0, max(0.0, p - eps))] if p - eps > 0 else stats[f"{c}__min"]
+            b_hi = approx[min(1.0, max(0.0, p + eps))] if p + eps < 1 else stats[f"{c}__max"]
+            brackets.append((name, lo_i, hi_i, pos - lo_i, int(b_lo), int(b_hi)))
+        if any(b[5] - b[4] + 1 > _MAX_BRACKET_VALUES for b in brackets):
+            plans[c] = None
+        else:
+            plans[c] = brackets
+
+    # pass 2: counts below each bracket and the in-bracket histograms, all columns at once
+    below_aggs, hist_parts = [], []
+    for c, brackets in plans.items():
+        if brackets is None:
+            continue
+        for name, _, _, _, b_lo, b_hi in brackets:
+            below_aggs.append(F.count(F.when(F.col(c) < b_lo, 1)).alias(f"{c}__{name}__below"))
+            hist_parts.append(
+                df.filter(F.col(c).between(b_lo, b_hi))
+                .groupBy(F.col(c).cast("long").alias("v"))
+                .agg(F.count(F.lit(1)).alias("k"))
+                .select(F.lit(f"{c}__{name}").alias("q"), "v", "k")
+            )
+    below = df.agg(*below_aggs).first() if below_aggs else None
+    hists: dict[str, list] = {}
+    if hist_parts:
+        allh = hist_parts[0]
+        for h in hist_parts[1:]:
+            allh = allh.unionByName(h)
+        for r in allh.collect():  # bounded: distinct integers inside narrow brackets
+            hists.setdefault(r.q, []).append((r.v, r.k))
+
+    fallback = [c for c, b in plans.items() if b is None]
+    for c, brackets in plans.items():
+        if brackets is None:
+            continue
+        for name, lo_i, hi_i, frac, _, _ in brackets:
+            key = f"{c}__{name}"
+            start = below[f"{key}__below"]
+            h = sorted(hists.get(key, []))
+            vals = {}
+            acc = start
+            for v, k in h:
+                for idx in (lo_i, hi_i):
+                    if acc <= idx < acc + k:
+                        vals[idx] = float(v)
+                acc += k
+            if lo_i not in vals or hi_i not in vals:
+                fallback.append(c)
+                break
+            result[key] = vals[lo_i] + (vals[hi_i] - vals[lo_i]) * frac
+    for c in dict.fromkeys(fallback):
+        row = exact_quantiles(df, c, probs).first()
+        for name in names:
+            result[f"{c}__{name}"] = row[name]
+
+    df.unpersist()
+    fields = [f"{c}__{name}" for c in cols for name in names]
+    schema = ", ".join(f"`{f}` double" for f in fields)
+    return spark.createDataFrame([tuple(result[f] for f in fields)], schema)

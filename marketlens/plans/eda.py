@@ -11,7 +11,7 @@ from ..functions.exact import cents, ratio_round, tenths
 from ..functions.exact import sql_cents as C
 from ..functions.exact import sql_ratio_round as R
 from ..functions.exact import sql_tenths as T
-from ..operators.global_rank import exact_quantiles
+from ..operators.global_rank import discrete_quantiles
 from ..oracle.adapter_sql import with_star
 from ..sources.adapter import Star
 from .basic import delivered_items
@@ -63,12 +63,12 @@ def e01b(st: Star) -> DataFrame:
         (F.min("total_payment_cents").cast("double") / 100).alias("min_value"),
         (F.max("total_payment_cents").cast("double") / 100).alias("max_value"),
     )
-    q = exact_quantiles(ot, "total_payment_cents", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    q = discrete_quantiles(ot, ["total_payment_cents"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     return mm.crossJoin(q).select(
         "min_value",
-        (F.col("_q1") / 100).alias("q1"),
-        (F.col("_q2") / 100).alias("median"),
-        (F.col("_q3") / 100).alias("q3"),
+        (F.col("total_payment_cents__q1") / 100).alias("q1"),
+        (F.col("total_payment_cents__q2") / 100).alias("median"),
+        (F.col("total_payment_cents__q3") / 100).alias("q3"),
         "max_value",
     )
 

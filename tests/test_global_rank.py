@@ -76,3 +76,18 @@ def test_no_single_partition_exchange_over_rows(spark):
         assert plan.index("BroadcastExchange") < plan.index("SinglePartition")
     plain = df.withColumn("r", F.row_number().over(Window.orderBy("v")))
     assert "SinglePartition" in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_discrete_quantiles_match_numpy_and_sort_path(spark):
+    from marketlens.operators.global_rank import discrete_quantiles
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2_000_000, 20001).tolist()  # wide domain
+    b = (rng.integers(0, 5, 20001) * 3).tolist()  # heavy ties
+    rows = [(int(x), int(y) if i % 13 else None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a long, b long")
+    probs = {"q1": 0.25, "med": 0.5, "q3": 0.75, "lo": 0.0, "hi": 1.0}
+    got = discrete_quantiles(df, ["a", "b"], probs).first()
+    for c, vals in (("a", np.array(a, float)), ("b", np.array([y for i, y in enumerate(b) if i % 13], float))):
+        for name, p in probs.items():
+            assert got[f"{c}__{name}"] == np.quantile(vals, p), (c, name)
