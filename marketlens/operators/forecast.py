@@ -309,3 +309,35 @@ def ses_forecast(series: DataFrame, keys: list[str]) -> DataFrame:
 def p12c(st: Star) -> DataFrame:
     s = revenue_series(st).withColumn("series", F.lit("total"))
     return ses_forecast(s, ["series"]).orderBy("year_month")
+
+
+@report(
+    "p12a_forecast_linear",
+    with_star(
+        """SELECT year_month, split, actual_revenue, CAST(lin_c AS DOUBLE) / 100 AS pred_linear
+        FROM forecast ORDER BY year_month""",
+        FORECAST_SQL,
+    ),
+    note="linear trend component of p12_forecast",
+)
+def p12a(st: Star) -> DataFrame:
+    f = forecast_results(st)
+    return f.select("year_month", "split", "actual_revenue", (F.col("lin_c").cast("double") / 100).alias("pred_linear")).orderBy(
+        "year_month"
+    )
+
+
+@report(
+    "p12b_forecast_poly2",
+    with_star(
+        """SELECT year_month, split, actual_revenue, CAST(poly_c AS DOUBLE) / 100 AS pred_poly
+        FROM forecast ORDER BY year_month""",
+        FORECAST_SQL,
+    ),
+    note="quadratic trend component of p12_forecast",
+)
+def p12b(st: Star) -> DataFrame:
+    f = forecast_results(st)
+    return f.select("year_month", "split", "actual_revenue", (F.col("poly_c").cast("double") / 100).alias("pred_poly")).orderBy(
+        "year_month"
+    )
