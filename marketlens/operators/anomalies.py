@@ -31,6 +31,7 @@ from ..operators.global_rank import discrete_quantiles, exact_quantiles
 from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
 from ..plans.registry import report
 from ..sources.adapter import Star
+from .scalars import one_row, with_scalars
 
 IQR_K = 1.5
 N_TREES = 100
@@ -63,7 +64,7 @@ def iqr_fences(df: DataFrame, features: list[str]) -> DataFrame:
 
 def iqr_flags(df: DataFrame, features: list[str], names: list[str]) -> DataFrame:
     fences = iqr_fences(df, features)
-    j = df.crossJoin(F.broadcast(fences))
+    j = with_scalars(df, fences)
     for f, name in zip(features, names):
         v = F.col(f).cast("double")
         j = j.withColumn(name, F.coalesce((v < F.col(f"{f}_lo")) | (v > F.col(f"{f}_hi")), F.lit(False)))
@@ -221,7 +222,7 @@ def grow_forest(x: DataFrame) -> DataFrame:
         lambda s: s["u"] < F.col("_p"),
     )
     pairs = (
-        x.crossJoin(F.broadcast(n))
+        with_scalars(x, n)
         .withColumn("_p", p)
         .select("order_id", "f0", "f1", "f2", F.explode(picks).alias("s"))
         .select("order_id", "f0", "f1", "f2", F.col("s.tree").alias("tree"), F.col("s.u").alias("u"))
@@ -279,7 +280,7 @@ def isolation_scores(st: Star) -> DataFrame:
     nodes = grow_forest(x).toPandas()  # bounded: ≤ N_TREES · (2·SAMPLE − 1) rows
     scored = x.select("order_id", "f0", "f1", "f2").mapInPandas(_make_scorer(nodes), "order_id string, raw_score double")
     offset = exact_quantiles(scored, "raw_score", {"_offset": CONTAMINATION}, tiebreak="order_id")
-    out = scored.crossJoin(F.broadcast(offset)).select(
+    out = with_scalars(scored, offset).select(
         "order_id", (F.col("raw_score") - F.col("_offset")).alias("if_score")
     )
     return feats.join(out, "order_id").select(
@@ -330,12 +331,11 @@ def anomalies_report(st: Star, limit: int = 50) -> DataFrame:
     orders = order_anomalies(st)
     months = monthly_iqr(st).filter(F.col("iqr_flag"))
     totals = (
-        orders.agg(F.count(F.lit(1)).alias("order_anomalies"))
-        .crossJoin(months.agg(F.count(F.lit(1)).alias("monthly_anomalies")))
+        one_row(orders.agg(F.count(F.lit(1)).alias("order_anomalies")), months.agg(F.count(F.lit(1)).alias("monthly_anomalies")))
         .withColumn("total_flagged", F.col("order_anomalies") + F.col("monthly_anomalies"))
     )
     top = orders.orderBy(F.asc_nulls_last("if_score"), "order_id").limit(limit)
-    return top.crossJoin(F.broadcast(totals)).select(
+    return with_scalars(top, totals).select(
         "total_flagged",
         "order_anomalies",
         "monthly_anomalies",

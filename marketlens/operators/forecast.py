@@ -24,6 +24,7 @@ from ..oracle.adapter_sql import with_star
 from ..plans.pipeline import MONTHLY_SALES_SQL, monthly_sales
 from ..plans.registry import report
 from ..sources.adapter import Star
+from .scalars import with_scalars
 
 HORIZON = 3
 MIN_ORDERS = 10
@@ -110,7 +111,7 @@ def forecast_results(st: Star) -> DataFrame:
         (F.col("_tmax") + F.col("h")).alias("t"),
         F.lit("forecast").alias("split"),
     )
-    allrows = series.unionByName(future).withColumn("_s", F.lit(1)).join(F.broadcast(coef), "_s")
+    allrows = series.unionByName(future).withColumn("_s", F.lit(1)).join(coef, "_s")  # per series key; AQE sizes it
     t = F.col("t").cast("double")
     lin = F.col("a1") + F.col("b1") * t
     poly = F.col("a2") + F.col("b2") * t + F.col("c2") * t * t
@@ -238,7 +239,7 @@ def s09(st: Star) -> DataFrame:
     m = _metrics(f, "poly_c", "poly2").select(
         F.col("mae").alias("mae_poly"), F.col("rmse").alias("rmse_poly"), F.col("mape").alias("mape_poly")
     )
-    return f.crossJoin(F.broadcast(m)).select(
+    return with_scalars(f, m).select(
         "year_month",
         "split",
         "actual_revenue",
@@ -278,7 +279,7 @@ def ses_forecast(series: DataFrame, keys: list[str]) -> DataFrame:
     arr = series.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("t", F.col("y").cast("double").alias("y"), "split", "year_month"))).alias("pts")
     )
-    grid = arr.crossJoin(F.broadcast(series.sparkSession.createDataFrame([(a,) for a in SES_ALPHAS], "alpha double")))
+    grid = arr.select("*", F.explode(F.array(*[F.lit(a) for a in SES_ALPHAS])).alias("alpha"))
     train = F.filter("pts", lambda p: p["split"] == "train")
 
     def step(acc, p):

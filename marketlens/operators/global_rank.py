@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
+from .scalars import with_scalars
 
 # (column name, ascending) pairs
 OrderSpec = Sequence[tuple[str, bool]]
@@ -72,9 +73,9 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "_rn", num_par
 
 
 def with_count(df: DataFrame, out: str = "_n") -> DataFrame:
-    """Attach the total row count as a column via a 1-row cross join."""
+    """Attach the total row count as a column (a scalar subquery)."""
     total = df.agg(F.count(F.lit(1)).alias(out))
-    return df.crossJoin(F.broadcast(total))
+    return with_scalars(df, total)
 
 
 def add_rank(df: DataFrame, rn: str, values: Sequence[str], out: str = "_rank") -> DataFrame:

@@ -23,6 +23,7 @@ from ..functions.exact import pct, ratio_round
 from ..plans.pipeline import customer_features
 from ..plans.registry import report
 from ..sources.adapter import Star
+from .scalars import with_scalars
 
 K = 4
 SEED = 42
@@ -127,7 +128,7 @@ def segmentation_summary(st: Star) -> DataFrame:
     )
     total = g.agg(F.sum("customer_count").alias("_n"))  # K rows
     return (
-        g.crossJoin(F.broadcast(total))
+        with_scalars(g, total)
         .select(
             "segment",
             "customer_count",

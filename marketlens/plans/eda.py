@@ -12,6 +12,7 @@ from ..functions.exact import sql_cents as C
 from ..functions.exact import sql_ratio_round as R
 from ..functions.exact import sql_tenths as T
 from ..operators.global_rank import discrete_quantiles
+from ..operators.scalars import one_row
 from ..oracle.adapter_sql import with_star
 from ..sources.adapter import Star
 from .basic import delivered_items
@@ -64,7 +65,7 @@ def e01b(st: Star) -> DataFrame:
         (F.max("total_payment_cents").cast("double") / 100).alias("max_value"),
     )
     q = discrete_quantiles(ot, ["total_payment_cents"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    return mm.crossJoin(q).select(
+    return one_row(mm, q).select(
         "min_value",
         (F.col("total_payment_cents__q1") / 100).alias("q1"),
         (F.col("total_payment_cents__q2") / 100).alias("median"),
@@ -172,4 +173,4 @@ def e09(st: Star) -> DataFrame:
     early = st.delivered().agg(
         ratio_round(-F.sum(tenths("delivery_delay_days")), F.count("delivery_delay_days") * 10, 1).alias("avg_days_early")
     )
-    return items.crossJoin(early)
+    return one_row(items, early)

@@ -16,6 +16,7 @@ from ..functions.exact import cents, cond_count, ratio_round, tenths
 from ..functions.exact import sql_cents as C
 from ..functions.exact import sql_ratio_round as R
 from ..functions.exact import sql_tenths as T
+from ..operators.scalars import one_row
 from ..oracle.adapter_sql import with_star
 from ..sources.adapter import Star
 from .advanced import CATEGORY_REVENUE_SQL, category_revenue
@@ -64,14 +65,13 @@ def metrics(st: Star) -> DataFrame:
     )
     p = st.payments
     cc = (
-        p.filter(F.col("payment_type") == "credit_card").select("order_id").distinct().agg(F.count(F.lit(1)).alias("_cc"))
-        .crossJoin(p.select("order_id").distinct().agg(F.count(F.lit(1)).alias("_all")))
+        one_row(
+            p.filter(F.col("payment_type") == "credit_card").select("order_id").distinct().agg(F.count(F.lit(1)).alias("_cc")),
+            p.select("order_id").distinct().agg(F.count(F.lit(1)).alias("_all")),
+        )
         .select(_int(ratio_round(F.col("_cc") * 1000, F.col("_all"), 0)).alias("cc_t"))
     )
-    out = sales
-    for part in (months, peak, cat, cust, deliv, early, rv, fr, cc):
-        out = out.crossJoin(part)  # all 1-row frames
-    return out
+    return one_row(sales, months, peak, cat, cust, deliv, early, rv, fr, cc)  # all 1-row frames
 
 
 def _money(c: str) -> Column:
