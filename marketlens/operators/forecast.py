@@ -103,7 +103,7 @@ def _cents(x: Column) -> Column:
 
 def forecast_results(st: Star) -> DataFrame:
     series = revenue_series(st)
-    coef = fit_trends(series.withColumn("_s", F.lit(1)), ["_s"])
+    coef = fit_trends(series, [])  # one series: a 1-row coefficient table
     last = series.agg(F.max("t").alias("_tmax"), F.max("year_month").alias("_ym"))
     future = last.select(F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("h"), "_tmax", "_ym").select(
         F.date_format(F.add_months(F.to_date(F.concat("_ym", F.lit("-01"))), F.col("h")), "yyyy-MM").alias("year_month"),
@@ -111,7 +111,7 @@ def forecast_results(st: Star) -> DataFrame:
         (F.col("_tmax") + F.col("h")).alias("t"),
         F.lit("forecast").alias("split"),
     )
-    allrows = series.unionByName(future).withColumn("_s", F.lit(1)).join(coef, "_s")  # per series key; AQE sizes it
+    allrows = with_scalars(series.unionByName(future), coef)
     t = F.col("t").cast("double")
     lin = F.col("a1") + F.col("b1") * t
     poly = F.col("a2") + F.col("b2") * t + F.col("c2") * t * t

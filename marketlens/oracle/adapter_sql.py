@@ -103,7 +103,8 @@ sellers AS (
 _FACTS = """
 order_items AS (
     SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey * 31 + l_suppkey * 7 + l_linenumber) % 1024,
+            l_linenumber, l_partkey, l_suppkey,
             l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus)
             AS order_item_id,
         CAST(l_partkey AS VARCHAR) AS product_id,

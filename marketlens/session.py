@@ -48,7 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and materialised tables.
 
     Uses ``spark.checkpoint.dir`` as configured by the cluster.  Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    unset on a ``local`` master (tests, bench) a fresh scratch folder is created
+    and registered; on a cluster an unset folder is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -57,6 +58,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local"):
+        # A machine-local folder is not visible to the other executors.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store) for this cluster")
     local = tempfile.mkdtemp(prefix="marketlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -175,6 +175,16 @@ def build_sellers(raw_supplier: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
+ITEM_SALTS = 1024
+ITEM_TIEBREAK = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+                 "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+def item_salt() -> Column:
+    """Salt of a line item: integer arithmetic, reproduced by the SQL oracle."""
+    return (F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.col("l_linenumber")) % ITEM_SALTS
+
+
 def build_order_items(raw_lineitem: DataFrame) -> DataFrame:
     price_dec = F.col("l_extendedprice").cast("decimal(12,2)")
     items = raw_lineitem.filter(F.col("l_partkey") % 97 != 3).select(
@@ -190,14 +200,23 @@ def build_order_items(raw_lineitem: DataFrame) -> DataFrame:
                              "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")],
     )
     # Line numbers repeat inside an order, so the item number is a fully
-    # tie-broken row_number; partitioned on order_id to share the join layout.
-    w = Window.partitionBy("order_id").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-        "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-    )
-    return items.select(
+    # tie-broken row number inside the order.  It is computed in two levels so
+    # that no single task numbers a whole order, however large: rows are
+    # salted by an arithmetic hash of their own columns, numbered inside
+    # (order, salt), and each salt group is offset by the sizes of the lower
+    # salt groups of its order (at most ITEM_SALTS rows per order).  The
+    # numbering order is therefore (salt, line number, tie-breaks).  Reports
+    # that do not read order_item_id lose both the window and the join
+    # (column pruning; left join to a table unique on its keys).
+    items = items.withColumn("_salt", item_salt())
+    w = Window.partitionBy("order_id", "_salt").orderBy(*ITEM_TIEBREAK)
+    numbered = items.withColumn("_rn", F.row_number().over(w))
+    sizes = items.groupBy("order_id", "_salt").agg(F.count(F.lit(1)).alias("_cnt"))
+    lower = Window.partitionBy("order_id").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("order_id", "_salt", F.coalesce(F.sum("_cnt").over(lower), F.lit(0)).alias("_off"))
+    return numbered.join(offsets, ["order_id", "_salt"], "left").select(
         "order_id",
-        F.row_number().over(w).alias("order_item_id"),
+        (F.col("_off") + F.col("_rn")).cast("int").alias("order_item_id"),
         "product_id",
         "seller_id",
         "shipping_limit_date",
