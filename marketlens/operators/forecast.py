@@ -306,7 +306,36 @@ def ses_forecast(series: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-@report("p12c_forecast_ses", None, note="rows-only check: iterative fold over the month series")
+SES_SQL = (
+    FORECAST_SQL
+    + """,
+alphas AS (SELECT alpha FROM (VALUES """ + ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in SES_ALPHAS) + """) v(alpha)),
+train AS (
+    SELECT CAST(y AS DOUBLE) AS y, row_number() OVER (ORDER BY t) AS i FROM series_s WHERE split = 'train'
+),
+fold AS (
+    SELECT a.alpha, tr.i, tr.y AS level, CAST(0.0 AS DOUBLE) AS sse FROM alphas a JOIN train tr ON tr.i = 1
+    UNION ALL
+    SELECT f.alpha, tr.i, f.alpha * tr.y + (1 - f.alpha) * f.level, f.sse + (tr.y - f.level) * (tr.y - f.level)
+    FROM fold f JOIN train tr ON tr.i = f.i + 1
+),
+best AS (
+    SELECT alpha, level FROM fold WHERE i = (SELECT max(i) FROM train) ORDER BY sse, alpha LIMIT 1
+)"""
+)
+
+
+@report(
+    "p12c_forecast_ses",
+    with_star(
+        """SELECT 'total' AS series, s.year_month, s.split, CAST(s.y AS DOUBLE) / 100 AS actual_revenue,
+            CASE WHEN s.split = 'test' THEN round(b.level, 0) / 100 END AS pred_ses, b.alpha
+        FROM series_s s JOIN best b ON TRUE ORDER BY s.year_month""",
+        SES_SQL,
+        recursive=True,
+    ),
+    note="fold over the train months per alpha (same double arithmetic, in order, as a recursive CTE)",
+)
 def p12c(st: Star) -> DataFrame:
     s = revenue_series(st).withColumn("series", F.lit("total"))
     return ses_forecast(s, ["series"]).orderBy("year_month")

@@ -159,7 +159,7 @@ reviews AS (
 STAR_CTES = (_ORDERS_BASE + _ORDERS_EN + _DIMS + _FACTS).strip()
 
 
-def with_star(body: str, ctes: str = "") -> str:
-    """Wrap a report: ``WITH <star>, <ctes> <body>``."""
+def with_star(body: str, ctes: str = "", recursive: bool = False) -> str:
+    """Wrap a report: ``WITH [RECURSIVE] <star>, <ctes> <body>``."""
     extra = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
-    return f"WITH {STAR_CTES}{extra}\n{body.strip()}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{STAR_CTES}{extra}\n{body.strip()}"

@@ -12,7 +12,7 @@ FAST_KEYS = [
     "ig2_seller_state", "ig3_multi_category_sellers", "ih4_order_delivery_scorecard",
     "q02_running_revenue", "q06_seller_tiers", "q07_rfm_segments", "q08_value_tiers", "q12_seller_quartiles",
     "q13_retention", "q15_monthly_dashboard", "s01_kpis", "s07a_delivery_summary", "s07b_delivery_by_month",
-    "p09_monthly_sales", "p12_forecast", "p12d_forecast_metrics", "p13_anomaly_iqr", "p19_integrity_check",
+    "p09_monthly_sales", "p12_forecast", "p12c_forecast_ses", "p12d_forecast_metrics", "p13_anomaly_iqr", "p19_integrity_check",
     "e04_correlation_matrix", "p04_dedup_reviews",
 ]
 
