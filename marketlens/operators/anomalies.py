@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import money
+from ..functions.exact import money, ratio_round, sql_ratio_round
 from ..oracle.adapter_sql import with_star
 from ..operators.global_rank import discrete_quantiles, exact_quantiles
 from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
@@ -370,9 +370,9 @@ def e06(st: Star) -> DataFrame:
     "e07_anomaly_feature_dist",
     with_star(
         """SELECT iqr_payment OR iqr_items OR iqr_delivery AS is_anomaly, count(*) AS order_count,
-            """ + __import__("marketlens.functions.exact", fromlist=["x"]).sql_ratio_round("sum(total_payment_cents)", "count(total_payment_cents)", 2) + """ AS avg_total_payment,
-            """ + __import__("marketlens.functions.exact", fromlist=["x"]).sql_ratio_round("sum(item_count)", "count(item_count)", 2) + """ AS avg_item_count,
-            """ + __import__("marketlens.functions.exact", fromlist=["x"]).sql_ratio_round("sum(delivery_tenths)", "count(delivery_tenths) * 10", 2) + """ AS avg_delivery_days,
+            """ + sql_ratio_round("sum(total_payment_cents)", "count(total_payment_cents)", 2) + """ AS avg_total_payment,
+            """ + sql_ratio_round("sum(item_count)", "count(item_count)", 2) + """ AS avg_item_count,
+            """ + sql_ratio_round("sum(delivery_tenths)", "count(delivery_tenths) * 10", 2) + """ AS avg_delivery_days,
             CAST(max(total_payment_cents) AS DOUBLE) / 100 AS max_total_payment
         FROM iqr GROUP BY is_anomaly ORDER BY is_anomaly""",
         ORDER_FEATURES_SQL,
@@ -380,8 +380,6 @@ def e06(st: Star) -> DataFrame:
     note="normal vs IQR-anomalous delivered orders",
 )
 def e07(st: Star) -> DataFrame:
-    from ..functions.exact import ratio_round
-
     f = order_iqr(st)
     return (
         f.groupBy(F.col("iqr_flag").alias("is_anomaly"))
