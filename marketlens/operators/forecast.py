@@ -24,7 +24,6 @@ from ..oracle.adapter_sql import with_star
 from ..plans.pipeline import MONTHLY_SALES_SQL, monthly_sales
 from ..plans.registry import report
 from ..sources.adapter import Star
-from .scalars import with_scalars
 
 HORIZON = 3
 MIN_ORDERS = 10
@@ -54,41 +53,48 @@ def _d(c: str) -> Column:
     return F.col(c).cast(D)
 
 
-def fit_trends(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Per series: linear (a1, b1) and quadratic (a2, b2, c2) coefficients on the train split."""
-    tr = series.filter(F.col("split") == "train")
+def with_trends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Append linear (a1, b1) and quadratic (a2, b2, c2) coefficients fitted on
+    the train rows of each series.
+
+    The normal-equation moments are exact DECIMAL(38,0) sums taken as window
+    aggregates over the series (partition = series key, rows = its months, a
+    calendar-bounded count), so the coefficients reach every row of the
+    series, forecast months included, without a join or a second pass.
+    """
+    series = Window.partitionBy(*keys)
+    train = F.col("split") == "train"
     t, y = _d("t"), _d("y")
-    s = tr.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast(D).alias("n"),
-        F.sum(t).alias("st"),
-        F.sum(t * t).alias("st2"),
-        F.sum(t * t * t).alias("st3"),
-        F.sum(t * t * t * t).alias("st4"),
-        F.sum(y).alias("sy"),
-        F.sum(t * y).alias("sty"),
-        F.sum(t * t * y).alias("st2y"),
-    )
-    n, st, st2, st3, st4, sy, sty, st2y = (F.col(c) for c in ("n", "st", "st2", "st3", "st4", "sy", "sty", "st2y"))
+
+    def moment(x: Column) -> Column:
+        return F.sum(F.when(train, x)).over(series)
+
+    n = F.count(F.when(train, F.lit(1))).over(series).cast(D)
+    st, st2, st3, st4 = moment(t), moment(t * t), moment(t * t * t), moment(t * t * t * t)
+    sy, sty, st2y = moment(y), moment(t * y), moment(t * t * y)
+    m = rows.select("*", n.alias("_n0"), st.alias("_st"), st2.alias("_st2"), st3.alias("_st3"), st4.alias("_st4"),
+                    sy.alias("_sy"), sty.alias("_sty"), st2y.alias("_st2y"))
+    n, st, st2, st3, st4, sy, sty, st2y = (F.col(c) for c in ("_n0", "_st", "_st2", "_st3", "_st4", "_sy", "_sty", "_st2y"))
     m11 = st2 * st4 - st3 * st3
     det = n * m11 - st * (st * st4 - st3 * st2) + st2 * (st * st3 - st2 * st2)
     det_a = sy * m11 - st * (sty * st4 - st3 * st2y) + st2 * (sty * st3 - st2 * st2y)
     det_b = n * (sty * st4 - st3 * st2y) - sy * (st * st4 - st3 * st2) + st2 * (st * st2y - sty * st2)
     det_c = n * (st2 * st2y - sty * st3) - st * (st * st2y - sty * st2) + sy * (st * st3 - st2 * st2)
     b1 = (n * sty - st * sy).cast("double") / (n * st2 - st * st).cast("double")
-    fitted = s.select(
-        *keys,
+    fitted = m.select(
+        *rows.columns,
         b1.alias("b1"),
         det.cast("double").alias("_det"),
         det_a.cast("double").alias("_da"),
         det_b.cast("double").alias("_db"),
         det_c.cast("double").alias("_dc"),
-        sy.cast("double").alias("_sy"),
-        st.cast("double").alias("_st"),
-        n.cast("double").alias("_n"),
+        sy.cast("double").alias("_syd"),
+        st.cast("double").alias("_std"),
+        n.cast("double").alias("_nd"),
     )
     return fitted.select(
-        *keys,
-        ((F.col("_sy") - F.col("b1") * F.col("_st")) / F.col("_n")).alias("a1"),
+        *rows.columns,
+        ((F.col("_syd") - F.col("b1") * F.col("_std")) / F.col("_nd")).alias("a1"),
         "b1",
         (F.col("_da") / F.col("_det")).alias("a2"),
         (F.col("_db") / F.col("_det")).alias("b2"),
@@ -103,7 +109,6 @@ def _cents(x: Column) -> Column:
 
 def forecast_results(st: Star) -> DataFrame:
     series = revenue_series(st)
-    coef = fit_trends(series, [])  # one series: a 1-row coefficient table
     last = series.agg(F.max("t").alias("_tmax"), F.max("year_month").alias("_ym"))
     future = last.select(F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("h"), "_tmax", "_ym").select(
         F.date_format(F.add_months(F.to_date(F.concat("_ym", F.lit("-01"))), F.col("h")), "yyyy-MM").alias("year_month"),
@@ -111,7 +116,7 @@ def forecast_results(st: Star) -> DataFrame:
         (F.col("_tmax") + F.col("h")).alias("t"),
         F.lit("forecast").alias("split"),
     )
-    allrows = with_scalars(series.unionByName(future), coef)
+    allrows = with_trends(series.unionByName(future), [])  # one series
     t = F.col("t").cast("double")
     lin = F.col("a1") + F.col("b1") * t
     poly = F.col("a2") + F.col("b2") * t + F.col("c2") * t * t
@@ -192,18 +197,29 @@ def p12(st: Star) -> DataFrame:
     ).orderBy("year_month")
 
 
-def _metrics(f: DataFrame, pred: str, model: str) -> DataFrame:
-    test = f.filter(F.col("split") == "test")
+def _metric_columns(pred: str, over: Window | None = None) -> list[Column]:
+    """MAE / RMSE / MAPE over the test rows, as aggregates or (``over``) as
+    window aggregates attached to every row of the series."""
+    test = F.col("split") == "test"
     e = F.abs(F.col("y") - F.col(pred))
-    return test.agg(
-        F.lit(model).alias("model"),
-        F.count(F.lit(1)).alias("test_months"),
-        ratio_round(F.sum(e), F.count(F.lit(1)) * 100, 2).alias("mae"),
-        (F.round(F.sqrt(F.sum((e * e).cast(D)).cast("double") / F.count(F.lit(1)).cast("double")), 0) / 100).alias("rmse"),
-        ratio_round(F.sum(ratio_round(e * 1000000, F.col("y"), 0).cast("bigint")) * 100, F.count(F.lit(1)) * 1000000, 2).alias(
-            "mape"
-        ),
-    )
+
+    def agg(c: Column) -> Column:
+        return c.over(over) if over is not None else c
+
+    n = agg(F.count(F.when(test, F.lit(1))))
+    abs_err = agg(F.sum(F.when(test, e)))
+    sq_err = agg(F.sum(F.when(test, (e * e).cast(D))))
+    pct_err = agg(F.sum(F.when(test, ratio_round(e * 1000000, F.col("y"), 0).cast("bigint"))))
+    return [
+        n.alias("test_months"),
+        ratio_round(abs_err, n * 100, 2).alias("mae"),
+        (F.round(F.sqrt(sq_err.cast("double") / n.cast("double")), 0) / 100).alias("rmse"),
+        ratio_round(pct_err * 100, n * 1000000, 2).alias("mape"),
+    ]
+
+
+def _metrics(f: DataFrame, pred: str, model: str) -> DataFrame:
+    return f.agg(F.lit(model).alias("model"), *_metric_columns(pred))
 
 
 def _metrics_sql(pred: str, model: str) -> str:
@@ -236,10 +252,8 @@ def p12d(st: Star) -> DataFrame:
 )
 def s09(st: Star) -> DataFrame:
     f = forecast_results(st)
-    m = _metrics(f, "poly_c", "poly2").select(
-        F.col("mae").alias("mae_poly"), F.col("rmse").alias("rmse_poly"), F.col("mape").alias("mape_poly")
-    )
-    return with_scalars(f, m).select(
+    m = _metric_columns("poly_c", Window.partitionBy())  # month grain: bounded
+    return f.select("*", *m).withColumnsRenamed({"mae": "mae_poly", "rmse": "rmse_poly", "mape": "mape_poly"}).select(
         "year_month",
         "split",
         "actual_revenue",

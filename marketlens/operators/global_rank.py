@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from .scalars import with_scalars
 
 # (column name, ascending) pairs
 OrderSpec = Sequence[tuple[str, bool]]
@@ -42,8 +41,11 @@ def _sort_cols(spec: OrderSpec) -> list[Column]:
     return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in spec]
 
 
-def global_row_number(df: DataFrame, order: OrderSpec, out: str = "_rn", num_partitions: int | None = None) -> DataFrame:
-    """Append ``out`` = ROW_NUMBER() OVER (ORDER BY order) (1-based).
+def global_row_number(
+    df: DataFrame, order: OrderSpec, out: str = "_rn", num_partitions: int | None = None, count_out: str | None = None
+) -> DataFrame:
+    """Append ``out`` = ROW_NUMBER() OVER (ORDER BY order) (1-based), and the
+    total row count as ``count_out`` if given.
 
     ``order`` must be a total order (end it with a unique key) for the result
     to be deterministic.
@@ -63,7 +65,11 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "_rn", num_par
     # One row per partition: a single-partition window here is bounded by the
     # partition count, not by the data.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select(
+        "_pid",
+        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+        *([F.sum("_cnt").over(Window.partitionBy()).alias(count_out)] if count_out else []),
+    )
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (
         ranged.join(F.broadcast(offsets), "_pid")
@@ -72,12 +78,6 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "_rn", num_par
     )
 
 
-def with_count(df: DataFrame, out: str = "_n") -> DataFrame:
-    """Attach the total row count as a column (a scalar subquery)."""
-    total = df.agg(F.count(F.lit(1)).alias(out))
-    return with_scalars(df, total)
-
-
 def add_rank(df: DataFrame, rn: str, values: Sequence[str], out: str = "_rank") -> DataFrame:
     """RANK() = smallest row number among rows with equal ordering values."""
     renamed = {v: f"_k{i}" for i, v in enumerate(values)}
@@ -119,7 +119,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tiebreak
         F.col("_v").isNotNull()
     )
     order = [("_v", True)] + ([("_t", True)] if tiebreak else [])
-    numbered = with_count(global_row_number(base, order), "_n")
+    numbered = global_row_number(base, order, count_out="_n")
     aggs = []
     needed = []
     for name, p in probs.items():

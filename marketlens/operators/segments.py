@@ -23,7 +23,7 @@ from ..functions.exact import pct, ratio_round
 from ..plans.pipeline import customer_features
 from ..plans.registry import report
 from ..sources.adapter import Star
-from .scalars import with_scalars
+from .scalars import with_group_totals
 
 K = 4
 SEED = 42
@@ -126,9 +126,8 @@ def segmentation_summary(st: Star) -> DataFrame:
         F.sum("frequency").alias("_f"),
         F.sum("monetary_cents").alias("_m"),
     )
-    total = g.agg(F.sum("customer_count").alias("_n"))  # K rows
     return (
-        with_scalars(g, total)
+        with_group_totals(g, _n=F.sum("customer_count"))  # K rows
         .select(
             "segment",
             "customer_count",

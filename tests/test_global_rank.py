@@ -10,7 +10,6 @@ from marketlens.operators.global_rank import (
     exact_quantiles,
     global_row_number,
     ntile,
-    with_count,
 )
 
 
@@ -24,7 +23,7 @@ def _frame(spark, n=3000):
 def test_row_number_rank_dense_ntile_equal_plain_windows(spark):
     df = _frame(spark)
     order = [("v", False), ("id", True)]
-    got = with_count(global_row_number(df, order), "_n")
+    got = global_row_number(df, order, count_out="_n")
     got = add_rank(got, "_rn", ["v"], "rnk")
     got = add_dense_rank(got, [("v", False)], "drk")
     got = got.withColumn("nt", ntile(F.col("_rn"), F.col("_n"), 4))

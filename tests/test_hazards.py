@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from marketlens.operators.anomalies import _c, _grow_tree, iqr_flags
-from marketlens.operators.forecast import fit_trends
+from marketlens.operators.forecast import with_trends
 from marketlens.plans.advanced import next_month, value_tier
 from marketlens.plans.intermediate import delay_bucket
 from marketlens.sources.adapter import category
@@ -73,13 +73,17 @@ def test_isolation_tree_on_constant_column_is_a_leaf():
     assert _c(1) == 0.0 and _c(2) == 1.0 and abs(_c(256) - 10.2448) < 1e-3
 
 
-def test_quadratic_fit_recovers_coefficients(spark):
-    a, b, c = 1000, 37, 3
-    rows = [(t, a + b * t + c * t * t, "train") for t in range(24)]
-    df = spark.createDataFrame(rows, "t long, y long, split string").withColumn("s", F.lit(1))
-    co = fit_trends(df, ["s"]).first()
-    assert abs(co.a2 - a) < 1e-6 and abs(co.b2 - b) < 1e-6 and abs(co.c2 - c) < 1e-9
-    assert abs(co.b1 - (b + c * 23)) < 1e-6  # linear slope of t^2 over 0..23 is 23
+def test_quadratic_fit_recovers_coefficients_per_series(spark):
+    truth = {1: (1000, 37, 3), 2: (-50, 4, 1)}
+    rows = [(s, t, a + b * t + c * t * t, "train") for s, (a, b, c) in truth.items() for t in range(24)]
+    rows += [(s, 24, None, "forecast") for s in truth]  # future rows receive the coefficients too
+    df = spark.createDataFrame(rows, "s int, t long, y long, split string")
+    out = with_trends(df, ["s"]).collect()
+    assert len(out) == len(rows)
+    for co in out:
+        a, b, c = truth[co.s]
+        assert abs(co.a2 - a) < 1e-6 and abs(co.b2 - b) < 1e-6 and abs(co.c2 - c) < 1e-9
+        assert abs(co.b1 - (b + c * 23)) < 1e-6  # linear slope of t^2 over 0..23 is 23
 
 
 def test_payments_sum_distinct_drops_equal_values(spark, duck):
