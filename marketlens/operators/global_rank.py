@@ -52,11 +52,13 @@ def global_row_number(
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     sort_cols = _sort_cols(order)
+    # Without an explicit count the exchange uses the cluster's shuffle
+    # partition count and AQE may merge adjacent (small) ranges; partition ids
+    # stay in range order either way and are frozen by the checkpoint below.
+    ranged = df.repartitionByRange(num_partitions, *sort_cols) if num_partitions else df.repartitionByRange(*sort_cols)
     ranged = (
-        df.repartitionByRange(parts, *sort_cols)
-        .sortWithinPartitions(*sort_cols)
+        ranged.sortWithinPartitions(*sort_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
