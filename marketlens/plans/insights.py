@@ -9,6 +9,7 @@ Numbers are rendered from integers, never from binary floating point.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from ..functions.exact import sql_ratio_round as R
 from ..functions.exact import sql_tenths as T
 from ..operators.scalars import one_row
 from ..oracle.adapter_sql import with_star
+from ..session import scratch_path
 from ..sources.adapter import Star
+from ..sources.outputs import read_insights_report, write_insights_report
 from .advanced import CATEGORY_REVENUE_SQL, category_revenue
 from .basic import delivered_items
 from .pipeline import CUSTOMER_FEATURES_SQL, ORDER_TOTALS_SQL, customer_features, order_totals
@@ -212,19 +215,17 @@ def p17(st: Star) -> DataFrame:
     return insights(st).orderBy("section", "ord")
 
 
-@report(
-    "s11_insights",
-    with_star(
-        INSIGHTS_SQL
-        + f"""
+S11_SQL = with_star(
+    INSIGHTS_SQL
+    + f"""
 UNION ALL SELECT 'data_range', 1, first_month || ' to ' || last_month FROM m
 UNION ALL SELECT 'methodology_note', 1, '{METHODOLOGY}' FROM m""",
-        _METRICS_SQL,
-    ),
-    note="the insights endpoint: rule rows plus data range and methodology note",
+    _METRICS_SQL,
 )
-def s11(st: Star) -> DataFrame:
-    m = metrics(st)
+
+
+def endpoint_rows(m: DataFrame) -> DataFrame:
+    """Rule rows plus data range and methodology note, from the metrics row."""
     items = F.array(
         *[F.struct(F.lit(s).alias("section"), F.lit(o).alias("ord"), c.alias("keep"), t.alias("text")) for s, o, c, t in rules()],
         F.struct(F.lit("data_range").alias("section"), F.lit(1).alias("ord"), F.lit(True).alias("keep"),
@@ -232,4 +233,22 @@ def s11(st: Star) -> DataFrame:
         F.struct(F.lit("methodology_note").alias("section"), F.lit(1).alias("ord"), F.lit(True).alias("keep"),
                  F.lit(METHODOLOGY).alias("text")),
     )
-    return m.select(F.explode(items).alias("r")).filter("r.keep").select("r.section", "r.ord", "r.text").orderBy("section", "ord")
+    return m.select(F.explode(items).alias("r")).filter("r.keep").select("r.section", "r.ord", "r.text")
+
+
+@report("s11_insights", S11_SQL, note="the insights endpoint: rule rows plus data range and methodology note")
+def s11(st: Star) -> DataFrame:
+    return endpoint_rows(metrics(st)).orderBy("section", "ord")
+
+
+@report(
+    "s11b_insights_from_report",
+    S11_SQL,
+    note="the insights endpoint served from the written JSON report (raw metrics left out)",
+)
+def s11b(st: Star) -> DataFrame:
+    spark = st.orders.sparkSession
+    m = metrics(st).persist(StorageLevel.MEMORY_AND_DISK)  # one row, written twice
+    root = write_insights_report(endpoint_rows(m), m, scratch_path(spark, "insights-report"))
+    m.unpersist()
+    return read_insights_report(spark, root).orderBy("section", "ord")
