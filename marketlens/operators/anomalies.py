@@ -30,6 +30,7 @@ from ..oracle.adapter_sql import with_star
 from ..operators.global_rank import discrete_quantiles, exact_quantiles
 from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
 from ..plans.registry import report
+from ..session import checkpoint_root
 from ..sources.adapter import Star
 from .scalars import one_row, with_scalars
 
@@ -279,6 +280,11 @@ def isolation_scores(st: Star) -> DataFrame:
     x = _feature_matrix(feats)
     nodes = grow_forest(x).toPandas()  # bounded: ≤ N_TREES · (2·SAMPLE − 1) rows
     scored = x.select("order_id", "f0", "f1", "f2").mapInPandas(_make_scorer(nodes), "order_id string, raw_score double")
+    # The offset and the output both read the scores: score once (the Python
+    # pass over every order) and keep the two narrow columns in the shared
+    # checkpoint folder rather than re-running the forest.
+    checkpoint_root(scored.sparkSession)
+    scored = scored.checkpoint(eager=True)
     offset = exact_quantiles(scored, "raw_score", {"_offset": CONTAMINATION}, tiebreak="order_id")
     out = with_scalars(scored, offset).select(
         "order_id", (F.col("raw_score") - F.col("_offset")).alias("if_score")
@@ -328,7 +334,10 @@ def p15(st: Star) -> DataFrame:
 def anomalies_report(st: Star, limit: int = 50) -> DataFrame:
     if not 1 <= limit <= 500:
         raise ValueError("limit must be within 1..500")
-    orders = order_anomalies(st)
+    # Totals and the top rows read the same flagged set: materialise it once
+    # (a few percent of the orders) instead of scoring every order twice.
+    checkpoint_root(st.orders.sparkSession)
+    orders = order_anomalies(st).checkpoint(eager=True)
     months = monthly_iqr(st).filter(F.col("iqr_flag"))
     totals = (
         one_row(orders.agg(F.count(F.lit(1)).alias("order_anomalies")), months.agg(F.count(F.lit(1)).alias("monthly_anomalies")))

@@ -203,24 +203,22 @@ def discrete_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, floa
             plans[c] = brackets
 
     # pass 2: counts below each bracket and the in-bracket histograms, all columns at once
-    below_aggs, hist_parts = [], []
+    below_aggs, hits = [], []
     for c, brackets in plans.items():
         if brackets is None:
             continue
         for name, _, _, _, b_lo, b_hi in brackets:
             below_aggs.append(F.count(F.when(F.col(c) < b_lo, 1)).alias(f"{c}__{name}__below"))
-            hist_parts.append(
-                df.filter(F.col(c).between(b_lo, b_hi))
-                .groupBy(F.col(c).cast("long").alias("v"))
-                .agg(F.count(F.lit(1)).alias("k"))
-                .select(F.lit(f"{c}__{name}").alias("q"), "v", "k")
+            hits.append(
+                F.when(F.col(c).between(b_lo, b_hi), F.struct(F.lit(f"{c}__{name}").alias("q"), F.col(c).cast("long").alias("v")))
             )
     below = df.agg(*below_aggs).first() if below_aggs else None
     hists: dict[str, list] = {}
-    if hist_parts:
-        allh = hist_parts[0]
-        for h in hist_parts[1:]:
-            allh = allh.unionByName(h)
+    if hits:
+        # One scan and one shuffle for every bracket: each row emits the
+        # (bracket, value) pairs it falls in (usually none), then one count.
+        pairs = df.select(F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+        allh = pairs.groupBy(F.col("h.q").alias("q"), F.col("h.v").alias("v")).agg(F.count(F.lit(1)).alias("k"))
         for r in allh.collect():  # bounded: distinct integers inside narrow brackets
             hists.setdefault(r.q, []).append((r.v, r.k))
 
