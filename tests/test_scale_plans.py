@@ -27,9 +27,10 @@ def test_no_cartesian_product(star, key):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
 
 
-def test_item_numbering_pruned_when_unused(star):
-    plan = _plan(all_reports()["b08_top_categories_revenue"].build(star))
-    assert "row_number" not in plan and "LeftOuter" not in plan
+@pytest.mark.parametrize("key", ["b08_top_categories_revenue", "p08_order_totals", "b20_order_summary"])
+def test_item_numbering_pruned_when_unused(star, key):
+    plan = _plan(all_reports()[key].build(star))
+    assert "_salt" not in plan and "row_number" not in plan
 
 
 def test_item_numbering_splits_orders(star):
