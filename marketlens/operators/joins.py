@@ -1,0 +1,19 @@
+"""Broadcast hints behind a size check.
+
+A dimension is broadcast only after counting it against a fixed bound (the
+count stops at bound + 1 rows); beyond the bound the join is left to the
+planner (sort-merge join, with AQE free to switch strategy on runtime
+statistics and to split skewed partitions).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
