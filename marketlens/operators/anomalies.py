@@ -218,9 +218,15 @@ def grow_forest(x: DataFrame) -> DataFrame:
     n = x.agg(F.count(F.lit(1)).alias("_n"))
     p = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.col("_n"))
     u = lambda t: F.xxhash64(F.col("order_id"), t).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(float(2**63))
-    picks = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(N_TREES - 1)), lambda t: F.struct(t.alias("tree"), u(t).alias("u"))),
-        lambda s: s["u"] < F.col("_p"),
+    # One plain expression per tree (compiled by whole-stage codegen, unlike
+    # lambda functions), the misses dropped by array_compact.
+    picks = F.array_compact(
+        F.array(
+            *[
+                F.when(u(F.lit(t)) < F.col("_p"), F.struct(F.lit(t).alias("tree"), u(F.lit(t)).alias("u")))
+                for t in range(N_TREES)
+            ]
+        )
     )
     pairs = (
         with_scalars(x, n)
