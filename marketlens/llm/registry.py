@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe
+from marketlens.llm import bpe, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": pii.query,
     "op7_byte_bpe": bpe.query,
 }
 
