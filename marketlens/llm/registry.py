@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, jaccard, pii
+from marketlens.llm import bpe, jaccard, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": secrets.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_pii": pii.query,
     "op7_byte_bpe": bpe.query,
