@@ -13,6 +13,9 @@ from marketlens.session import apply_defaults, scratch_path
 
 #: Bytes of text that a task turns into numpy arrays at a time.
 BLOCK_BYTES = 1 << 20
+#: Most bits of a bit table; beyond a sixteenth of it in entries it lets more
+#: rows pass, which an exact join then drops.
+TABLE_BITS = 1 << 26
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,8 +41,22 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(d, F.lit("\x00")), d.isNull(), F.coalesce(t, F.lit("")), t.isNull())
 
 
-def key_cells(spark: SparkSession, n_rows_per_cell: int, n_rows: int, most: int) -> int:
-    return int(min(most, max(1, n_rows // n_rows_per_cell)))
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """A table of 2^k bits, as 64-bit words, with a bit for every value of a
+    long column: a filter without false negatives.  Sixteen bits a row, at most
+    TABLE_BITS, so its words fit the driver and a broadcast at any scale."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(df.count(), 1) * 16)), 10, np.log2(TABLE_BITS)))
+    words = df.selectExpr(f"cast(pmod({column}, {bits}L) div 64 as int) as w", f"shiftleft(1L, cast(pmod({column}, 64) as int)) as v")
+    found = words.groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[found["w"].to_numpy()] = found["v"].to_numpy()
+    return table.view(np.uint64)
+
+
+def has_bit(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit values have their bit set."""
+    p = x & np.uint64(len(table) * 64 - 1)
+    return ((table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, jaccard, langid, pii, secrets
+from marketlens.llm import bpe, jaccard, langid, pii, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": pii.query,
     "op6_language_id": langid.query,
     "op7_byte_bpe": bpe.query,
+    "op9_suffix_repeats": repeats.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
