@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, jaccard, langid, pii, repeats, secrets
+from marketlens.llm import ann, bpe, jaccard, langid, pii, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_pii": pii.query,
+    "op4_multiprobe_ann": ann.query,
     "op6_language_id": langid.query,
     "op7_byte_bpe": bpe.query,
     "op9_suffix_repeats": repeats.query,
