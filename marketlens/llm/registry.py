@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import ann, bpe, jaccard, langid, pii, repeats, secrets
+from marketlens.llm import ann, bpe, jaccard, langid, pii, rangejoin, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": langid.query,
     "op7_byte_bpe": bpe.query,
     "op9_suffix_repeats": repeats.query,
+    "op10_metric_range_join": rangejoin.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
