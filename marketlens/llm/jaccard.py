@@ -17,16 +17,18 @@ e + 1 tokens singly too, whatever the class, which covers pairs across that
 border and above it.
 
 The order needs a frequency estimate only, and any order is correct: counts of
-2^16 hash cells (a table of fixed size) tell the frequent class.  Signatures of
+2^18 hash cells (a table of fixed size) tell the frequent class.  Signatures of
 frequent tokens are dealt over salts in proportion to their estimate, so a
 token of a third of all documents doesn't meet in one task.
 
-Buckets aren't expanded into all pairs.  Each document first verifies the
-bucket minimum that it shares most signatures with; components of these links
-settle most buckets.  Buckets that still hold several components are compared
-across components, and a second pass of components ends the job: links inside
-a component change nothing.  Sets are rebuilt from the texts wherever that is
-cheaper than to store them.  Equal sets are one node (a 64-bit fingerprint).
+Groups of copies aren't expanded into all pairs.  Each document first verifies
+the bucket minimum that it shares most signatures with, if these are enough to
+promise a link; components of these links settle the buckets of copies.  Buckets
+that still hold several components give the pairs across them; there the count
+of shared signatures is exact and bounds the overlap, and what passes is
+verified.  A second pass of components ends the job: links inside a component
+change nothing.  Sets are rebuilt from the texts rather than stored.  Equal sets
+are one node (a 64-bit fingerprint).
 
 Cases: null text, empty text, or no words: an empty set, linked with nothing;
 fewer than five words: one shingle of all words; equal rows: one node; a null
@@ -41,20 +43,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, blocks, materialise, read_table, row_key, text_bytes
+from marketlens.llm.common import arrow_rows, bit_table, blocks, has_bit, materialise, read_table, row_key, text_bytes
 from marketlens.llm.components import connected_components
 from marketlens.llm.shingles import mix, shingle_sets
 
 WIDTH = 5
 #: Similarity in hundredths.
 PERCENT = 75
-CELL_BITS = 16
+CELL_BITS = 18
 #: Largest set that indexes pairs of frequent tokens.
 SHORT = 120
 #: Rows of a frequent signature that one salt is meant for.
 PER_SALT = 4000
-#: Most bits of the filter that picks documents with candidates.
-FILTER_BITS = 1 << 24
 
 
 def _fingerprint(s: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -101,8 +101,8 @@ def _profile(keyed: DataFrame) -> tuple[DataFrame, np.ndarray]:
     id_type = to_arrow_type(kind)
     both = materialise(keyed.select("key", "text", "doc_id").mapInArrow(run, f"key long, doc_id {kind.simpleString()}, n long, node long, cell int"), "jaccard-profile")
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    for r in both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # 2^CELL_BITS rows at most
-        counts[r["cell"]] = r["n"]
+    cells = both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2^CELL_BITS rows at most
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return both.where("cell is null").select("key", "doc_id", "n", "node"), counts
 
 
@@ -113,13 +113,14 @@ def _excess(counts: np.ndarray) -> np.ndarray:
     return np.where(over >= max(64.0, 6 * np.sqrt(usual)), over, 0).astype(np.int64)
 
 
-def _signatures(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set and the estimate that each has to be dealt by."""
+def _signatures(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of one set, the estimate that each is dealt by, and how many
+    of them, the last ones, are of the scheme of single tokens."""
     n = len(s)
     e = n - -(-PERCENT * n // 100)
     order = np.lexsort((s, level))[: e + 2]
     s, level = s[order], level[order]
-    sig, est = [], []
+    sig, est, singles = [], [], 0
     with np.errstate(over="ignore"):
         if n <= SHORT:
             rare = level == 0
@@ -136,11 +137,13 @@ def _signatures(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if n * 100 > PERCENT * SHORT:
             sig.append(mix(s[: e + 1] + np.uint64(3)))
             est.append(level[: e + 1])
-    return np.concatenate(sig), np.concatenate(est)
+            singles = e + 1
+    return np.concatenate(sig), np.concatenate(est), singles
 
 
 def _index(keyed: DataFrame, excess: np.ndarray) -> DataFrame:
-    """sig, salt, salts, node, n for every signature of every distinct set."""
+    """sig, salt, salted, single, node, n for every signature of every
+    distinct set."""
     cast = keyed.sparkSession.sparkContext.broadcast(excess)  # 2^CELL_BITS numbers
 
     def run(batches):
@@ -154,42 +157,35 @@ def _index(keyed: DataFrame, excess: np.ndarray) -> DataFrame:
                     if i == j or node in seen:  # the task has shown this set
                         continue
                     seen.add(node)
-                    sig, est = _signatures(s[i:j], level[i:j])
+                    sig, est, singles = _signatures(s[i:j], level[i:j])
                     sigs.append(sig)
                     ests.append(est)
-                    nodes.append((len(sig), node, j - i))
+                    nodes.append((len(sig), node, j - i, singles))
                 if not sigs:
                     continue
                 sig, est = np.concatenate(sigs), np.concatenate(ests)
                 times = np.array([x[0] for x in nodes])
                 node = np.repeat(np.array([x[1] for x in nodes], np.uint64), times)
                 size = np.repeat(np.array([x[2] for x in nodes], np.int32), times)
+                from_end = np.repeat(np.cumsum(times), times) - np.arange(len(sig))
+                single = from_end <= np.repeat(np.array([x[3] for x in nodes]), times)
                 salts = np.maximum(1, -(-est // PER_SALT)).astype(np.int64)
                 salt = (mix(node) % salts.astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(salts > 1), pa.array(node.view(np.int64)), pa.array(size)], ["sig", "salt", "salted", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(salts > 1), pa.array(single), pa.array(node.view(np.int64)), pa.array(size)], ["sig", "salt", "salted", "single", "node", "n"])
 
-    return keyed.select("text").mapInArrow(run, "sig long, salt int, salted boolean, node long, n int")
+    return keyed.select("text").mapInArrow(run, "sig long, salt int, salted boolean, single boolean, node long, n int")
 
 
 def _candidate_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, tokens for every node of ``nodes`` (column node), from the texts.
     A bit table of bounded size drops most other documents before the join."""
-    spark = keyed.sparkSession
-    many = nodes.count()
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(many, 1) * 16)), 10, np.log2(FILTER_BITS)))
-    words = nodes.selectExpr(f"cast(pmod(node, {bits}L) div 64 as int) as w", "shiftleft(1L, cast(pmod(node, 64) as int)) as v")
-    table = np.zeros(bits // 64, np.uint64)
-    for r in words.groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toLocalIterator():  # FILTER_BITS / 64 rows at most
-        table[r["w"]] = np.uint64(r["v"] & 0xFFFFFFFFFFFFFFFF)
-    cast = spark.sparkContext.broadcast(table)
+    cast = keyed.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))
 
     def run(batches):
-        bit, seen = cast.value, set()
+        seen = set()
         for b in arrow_rows(batches):
             for lo, hi, s, at, fp in _sets(b.column(0)):
-                p = fp & np.uint64(bits - 1)
-                hit = (bit[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
-                rows = [k for k in np.flatnonzero(hit) if at[k + 1] > at[k] and not (int(fp[k]) in seen or seen.add(int(fp[k])))]
+                rows = [k for k in np.flatnonzero(has_bit(cast.value, fp)) if at[k + 1] > at[k] and not (int(fp[k]) in seen or seen.add(int(fp[k])))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array([s[at[k] : at[k + 1]].view(np.int64) for k in rows], pa.list_(pa.int64()))], ["node", "tokens"])
 
@@ -197,8 +193,10 @@ def _candidate_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that reach the similarity."""
+    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes")
+    sets = _candidate_sets(keyed, nodes)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -206,6 +204,17 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"100L * i >= {PERCENT}L * (n - i)").select("a", "b")
 
 
+def _hopeful() -> str:
+    """SQL: whether sets of a_n and b_n tokens can reach the similarity.  If
+    both index their prefix singly, c shared signatures leave at most c plus the
+    larger rest to share; pairs of tokens don't bound it."""
+    rest = lambda n: f"(({PERCENT}L * {n} + 99) div 100 - 1)"
+    need = f"(({PERCENT}L * (a_n + b_n) + {99 + PERCENT}) div {100 + PERCENT})"
+    sizes = f"100L * least(a_n, b_n) >= {PERCENT}L * greatest(a_n, b_n)"
+    single = f"100L * least(a_n, b_n) > {PERCENT * SHORT}L"
+    return f"{sizes} and case when {single} then c + greatest({rest('a_n')}, {rest('b_n')}) >= {need} else pairs or c > 0 end"
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: key (see ``row_key``), doc_id, n_shingles,
     component_id, component (the group's own 64 bits; a set of its own for an
@@ -217,30 +226,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # buckets with two nodes at least; those of a salted signature stay, as other salts may hold the second
     bucket = "partition by sig, salt"
-    marked = index.selectExpr("*", f"min(node) over ({bucket}) as low", f"max(node) over ({bucket}) as high")
-    members = materialise(marked.where("low < high or salted").drop("high"), "jaccard-members")
-    tops = members.where("salted").groupBy("sig").agg(F.min("low").alias("top"))
-    across = members.where("salted").select("sig", "low").distinct().join(tops, "sig").select(F.col("low").alias("a"), F.col("top").alias("b"))
-    stars = members.select(F.col("node").alias("a"), F.col("low").alias("b")).union(across).where("a <> b")
-    stars = materialise(stars.groupBy("a", "b").agg(F.count("*").alias("shared")), "jaccard-stars")
-
-    best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-    best = materialise(best, "jaccard-best")
-    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    nodes = materialise(nodes, "jaccard-nodes")
-    sets = _candidate_sets(keyed, nodes)
-    links = materialise(_verify(best, sets), "jaccard-links")
+    marked = index.selectExpr("*", f"min(struct(node, n)) over ({bucket}) as low", f"max(node) over ({bucket}) as high")
+    members = materialise(marked.where("low.node < high or salted").selectExpr("sig", "salted", "single", "node", "n", "low.node as low", "low.n as low_n"), "jaccard-members")
+    tops = members.where("salted").groupBy("sig").agg(F.min(F.struct("low", "low_n")).alias("top"))
+    across = members.where("salted").select("sig", "single", "low", "low_n").distinct().join(tops, "sig")
+    stars = members.selectExpr("node as a", "n as a_n", "low as b", "low_n as b_n", "single").union(across.selectExpr("low", "low_n", "top.low", "top.low_n", "single"))
+    stars = stars.where("a <> b").groupBy("a", "a_n", "b", "b_n").agg(F.count(F.when(F.col("single"), 1)).alias("c"), F.max(~F.col("single")).alias("pairs"))
+    best = stars.where(_hopeful()).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).selectExpr("a", "best.b as b")
+    links = materialise(_verify(materialise(best, "jaccard-pairs"), keyed), "jaccard-links")
     labels = connected_components(links)
 
-    # buckets that still hold several components
-    held = members.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    # buckets that still hold several components: pairs across them, with all the signatures that they share
+    held = members.join(labels, "node", "left").select("sig", "single", "node", "n", F.coalesce("root", "node").alias("root"))
     open_ = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    left = materialise(held.join(open_, "sig", "left_semi"), "jaccard-open")
+    left = materialise(held.join(open_, "sig", "left_semi").distinct(), "jaccard-open")
     x, y = left.alias("x"), left.alias("y")
-    near = (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(_verify(pairs.join(tried, ["a", "b"], "left_anti"), sets), "jaccard-links")
+    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    near = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    pairs = x.join(y, across & near).groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("a_n"), F.col("y.node").alias("b"), F.col("y.n").alias("b_n"))
+    pairs = pairs.agg(F.count(F.when(F.col("x.single"), 1)).alias("c"), F.max(~F.col("x.single")).alias("pairs")).where(_hopeful()).select("a", "b")
+    more = materialise(_verify(materialise(pairs, "jaccard-pairs"), keyed), "jaccard-links")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
