@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import ann, bpe, jaccard, langid, pii, rangejoin, repeats, secrets
+from marketlens.llm import ann, bpe, jaccard, langid, pii, pitmanyor, rangejoin, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_multiprobe_ann": ann.query,
     "op6_language_id": langid.query,
     "op7_byte_bpe": bpe.query,
+    "op8_pitman_yor": pitmanyor.query,
     "op9_suffix_repeats": repeats.query,
     "op10_metric_range_join": rangejoin.query,
 }
