@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import ann, bpe, jaccard, langid, pii, pitmanyor, rangejoin, repeats, secrets
+from marketlens.llm import ann, bpe, jaccard, langid, mixing, pii, pitmanyor, rangejoin, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_pii": pii.query,
     "op4_multiprobe_ann": ann.query,
+    "op5_mixing": mixing.query,
     "op6_language_id": langid.query,
     "op7_byte_bpe": bpe.query,
     "op8_pitman_yor": pitmanyor.query,
@@ -21,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_metric_range_join": rangejoin.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
