@@ -21,19 +21,22 @@ def _col(c) -> Column:
 def ratio_round(num, den, k: int) -> Column:
     """round(num / den, k), half away from zero; NULL if den is 0 or NULL.
 
-    ``num`` and ``den`` must be integral (bigint or scale-0 decimal).
+    ``num`` and ``den`` must be integral (bigint or scale-0 decimal).  The
+    arithmetic runs in 38 digits, so totals of any table fit: cents in 18
+    digits, times a hundred, times 2 * 10^k.
     """
     scale = 10 ** k
-    n = _col(num).cast("bigint")
-    d = _col(den).cast("bigint")
-    q = F.call_function("div", F.abs(n) * F.lit(2 * scale) + d, d * F.lit(2))
-    return F.when(d != 0, (F.signum(n) * q) / F.lit(float(scale)))
+    wide = "decimal(38,0)"
+    n = _col(num).cast(wide)
+    d = _col(den).cast(wide)
+    q = F.call_function("div", F.abs(n) * F.lit(2 * scale).cast(wide) + d, d * F.lit(2).cast(wide))
+    return F.when(d != 0, F.when(n < 0, -q).otherwise(q).cast("double") / F.lit(float(scale)))
 
 
 def sql_ratio_round(num: str, den: str, k: int) -> str:
     scale = 10 ** k
-    n = f"CAST(({num}) AS BIGINT)"
-    d = f"CAST(({den}) AS BIGINT)"
+    n = f"CAST(({num}) AS HUGEINT)"
+    d = f"CAST(({den}) AS HUGEINT)"
     return (
         f"(CASE WHEN {d} <> 0 THEN CAST(sign({n}) * ((abs({n}) * {2 * scale} + {d}) // (2 * {d})) AS DOUBLE)"
         f" / {float(scale)} END)"
@@ -65,11 +68,11 @@ def money(c) -> Column:
 
 def pct(num, den, k: int = 1) -> Column:
     """round(num * 100 / den, k) on integer counts."""
-    return ratio_round(_col(num).cast("bigint") * F.lit(100), den, k)
+    return ratio_round(_col(num).cast("decimal(38,0)") * F.lit(100).cast("decimal(38,0)"), den, k)
 
 
 def sql_pct(num: str, den: str, k: int = 1) -> str:
-    return sql_ratio_round(f"CAST(({num}) AS BIGINT) * 100", den, k)
+    return sql_ratio_round(f"CAST(({num}) AS HUGEINT) * 100", den, k)
 
 
 def cond_count(cond: Column) -> Column:

@@ -1,9 +1,8 @@
 """Sales forecasting: linear and quadratic trend, simple exponential smoothing.
 
-Fitting is closed-form.  Each series is reduced to a handful of exact sums
-(Σt^k, Σt^k·y with y in cents) by one grouped aggregation, so the same code
-fits one series or a million (``series_keys``) with a single shuffle of tiny
-partial aggregates.  Determinants of the normal equations are formed in
+Fitting is closed-form.  A handful of exact sums (Σt^k, Σt^k·y with y in cents)
+are taken as window aggregates over each series, so the same code fits one
+series or a million, with one shuffle of months by series.  Determinants of the normal equations are formed in
 DECIMAL(38,0) — exact — and only the final coefficients are doubles.
 Predictions are rounded to cents before the error metrics, which are then
 computed from integers.
@@ -26,7 +25,6 @@ from ..plans.registry import report
 from ..sources.adapter import Star
 
 HORIZON = 3
-MIN_ORDERS = 10
 TEST_SHARE_DIV = 5  # last T div 5 months are the test split
 SES_ALPHAS = [round(0.1 * i, 1) for i in range(1, 10)]
 
@@ -34,18 +32,25 @@ D = "decimal(38,0)"
 
 
 def revenue_series(st: Star) -> DataFrame:
-    """Monthly revenue (cents) of months with at least MIN_ORDERS delivered orders,
-    with month index t and the train/test split."""
-    m = monthly_sales(st).filter(F.col("order_count") >= MIN_ORDERS).select(
-        "year_month", F.round(F.col("revenue") * 100, 0).cast("bigint").alias("y")
+    """Monthly revenue (cents) of every month with a delivered order, with the
+    months since the first one as t and the train/test split."""
+    month = F.split("year_month", "-")
+    m = monthly_sales(st).select(
+        "year_month",
+        F.round(F.col("revenue") * 100, 0).cast("bigint").alias("y"),
+        (month[0].cast("bigint") * 12 + month[1].cast("bigint")).alias("_m"),
     )
-    w = Window.orderBy("year_month")  # month grain: bounded
-    m = m.withColumn("t", (F.row_number().over(w) - 1).cast("bigint")).withColumn(
-        "_T", F.count(F.lit(1)).over(Window.partitionBy())
+    everything = Window.partitionBy()  # month grain: bounded
+    m = m.select(
+        "year_month",
+        "y",
+        (F.col("_m") - F.min("_m").over(everything)).alias("t"),
+        (F.row_number().over(Window.orderBy("year_month")) - 1).alias("_i"),
+        F.count(F.lit(1)).over(everything).alias("_T"),
     )
     n_test = F.call_function("div", F.col("_T"), F.lit(TEST_SHARE_DIV))
-    return m.withColumn("split", F.when(F.col("t") >= F.col("_T") - n_test, F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_T"
+    return m.withColumn("split", F.when(F.col("_i") >= F.col("_T") - n_test, F.lit("test")).otherwise(F.lit("train"))).drop(
+        "_i", "_T"
     )
 
 
@@ -136,12 +141,14 @@ FORECAST_SQL = (
     + f""",
 series AS (
     SELECT year_month, CAST(round(revenue * 100) AS BIGINT) AS y,
-        CAST(row_number() OVER (ORDER BY year_month) - 1 AS BIGINT) AS t,
-        count(*) OVER () AS big_t
-    FROM monthly_sales WHERE order_count >= {MIN_ORDERS}
+        CAST(left(year_month, 4) AS BIGINT) * 12 + CAST(right(year_month, 2) AS BIGINT) AS month_no,
+        row_number() OVER (ORDER BY year_month) - 1 AS i,
+        count(*) OVER () AS months
+    FROM monthly_sales
 ),
 series_s AS (
-    SELECT year_month, y, t, CASE WHEN t >= big_t - big_t // {TEST_SHARE_DIV} THEN 'test' ELSE 'train' END AS split
+    SELECT year_month, y, month_no - (SELECT min(month_no) FROM series) AS t,
+        CASE WHEN i >= months - months // {TEST_SHARE_DIV} THEN 'test' ELSE 'train' END AS split
     FROM series
 ),
 sums AS (

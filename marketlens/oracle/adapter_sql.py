@@ -114,7 +114,6 @@ order_items AS (
         CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(0.01 AS DECIMAL(2,2)) * CAST(l_tax AS DECIMAL(3,2))
              AS DECIMAL(10,2)) AS freight_value
     FROM lineitem
-    WHERE l_partkey % 97 <> 3
 ),
 pay_b AS (
     SELECT o_orderkey AS k,
@@ -125,7 +124,6 @@ pay_b AS (
         CAST(CAST(o_totalprice AS DECIMAL(12,2)) * CAST(0.002 AS DECIMAL(3,3)) AS DECIMAL(10,2)) AS tot,
         o_orderkey % 20 = 0 AS split
     FROM orders
-    WHERE o_orderkey % 997 <> 5
 ),
 pay_v AS (
     SELECT *, CAST(tot * CAST(0.3 AS DECIMAL(1,1)) AS DECIMAL(10,2)) AS voucher FROM pay_b
@@ -153,7 +151,6 @@ reviews AS (
         CAST(CAST(coalesce(order_delivered_customer_date, order_estimated_delivery_date) AS DATE) AS TIMESTAMP)
             + to_days(1) + to_hours(CAST(CAST(order_id AS BIGINT) % 48 AS BIGINT)) AS review_answer_timestamp
     FROM orders_en
-    WHERE CAST(order_id AS BIGINT) % 53 <> 0
 )"""
 
 STAR_CTES = (_ORDERS_BASE + _ORDERS_EN + _DIMS + _FACTS).strip()

@@ -31,6 +31,7 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 
 # Fixed mapping values (must equal the oracle's): order status for open
 # orders by k % 5, payment method by order priority, unmapped categories.
+DELIVERED = ["F", "P"]
 OPEN_STATUS_BY_MOD5 = ["shipped", "canceled", "invoiced", "processing", "unavailable"]
 PRIORITY_PAYMENT = {"3-MEDIUM": "boleto", "5-LOW": "debit_card"}
 UNTRANSLATED_PARTS = ["red bolt", "cold ring"]
@@ -65,13 +66,18 @@ class Star:
     payments: DataFrame
     reviews: DataFrame
 
+    # the delivered orders, where they can be told before the status is derived
+    delivered_orders: DataFrame | None = None
+
     def delivered(self) -> DataFrame:
+        if self.delivered_orders is not None:
+            return self.delivered_orders
         return self.orders.filter(F.col("order_status") == "delivered")
 
 
 def build_orders(raw_orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    status = F.when(F.col("o_orderstatus").isin("F", "P"), F.lit("delivered"))
+    status = F.when(F.col("o_orderstatus").isin(*DELIVERED), F.lit("delivered"))
     for i, name in enumerate(OPEN_STATUS_BY_MOD5):
         status = status.when(k % 5 == i, F.lit(name))
     pts = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (k % 24).cast("int"), ((k * 7) % 60).cast("int"), F.lit(0))
@@ -189,7 +195,7 @@ def item_salt() -> Column:
 
 def build_order_items(raw_lineitem: DataFrame) -> DataFrame:
     price_dec = F.col("l_extendedprice").cast("decimal(12,2)")
-    items = raw_lineitem.filter(F.col("l_partkey") % 97 != 3).select(
+    items = raw_lineitem.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("l_suppkey").cast("string").alias("seller_id"),
@@ -236,7 +242,7 @@ def build_payments(raw_orders: DataFrame) -> DataFrame:
     for prio, name in PRIORITY_PAYMENT.items():
         ptype = ptype.when(F.col("o_orderpriority") == prio, F.lit(name))
     ptype = ptype.otherwise(F.lit("credit_card"))
-    base = raw_orders.filter(k % 997 != 5).select(
+    base = raw_orders.select(
         k.alias("k"), ptype.alias("ptype"), tot.alias("tot"), voucher.alias("voucher"), split.alias("split")
     )
     # seq 1 for every paid order, seq 2 (voucher) for split orders: an explode
@@ -270,7 +276,7 @@ def build_reviews(orders: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("comment "), F.col("order_id")))
     )
     comment = F.nullif(text, F.lit(""))
-    return orders.filter(k % 53 != 0).select(
+    return orders.select(
         F.concat(F.lit("r"), F.col("order_id")).alias("review_id"),
         "order_id",
         F.when(late, 1 + k % 3).otherwise(3 + k % 3).cast("int").alias("review_score"),
@@ -289,6 +295,7 @@ def load_star(spark: SparkSession, sf_dir: str) -> Star:
     nation = read_raw(spark, sf_dir, "nation")
     orders = build_orders(raw_orders)
     return Star(
+        delivered_orders=build_orders(raw_orders.filter(F.col("o_orderstatus").isin(*DELIVERED))),
         customers=build_customers(raw_orders, read_raw(spark, sf_dir, "customer"), nation),
         products=build_products(read_raw(spark, sf_dir, "part")),
         sellers=build_sellers(read_raw(spark, sf_dir, "supplier"), nation),
