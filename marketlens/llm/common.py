@@ -23,6 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def prepared(df: DataFrame) -> SparkSession:
+    """The frame's session, with this package on the executors' path and unset
+    settings filled in."""
+    apply_defaults(df.sparkSession)
+    return df.sparkSession
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the cluster's shared checkpoint folder and read it
     back: later steps neither recompute it nor depend on executors that hold
@@ -41,6 +48,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(d, F.lit("\x00")), d.isNull(), F.coalesce(t, F.lit("")), t.isNull())
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, out of the way of other names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def bit_table(df: DataFrame, column: str) -> np.ndarray:
     """A table of 2^k bits, as 64-bit words, with a bit for every value of a
     long column: a filter without false negatives.  Sixteen bits a row, at most

@@ -17,13 +17,13 @@ e + 1 tokens singly too, whatever the class, which covers pairs across that
 border and above it.
 
 The order needs a frequency estimate only, and any order is correct: counts of
-2^18 hash cells (a table of fixed size) tell the frequent class.  Signatures of
-frequent tokens are dealt over salts in proportion to their estimate, so a
-token of a third of all documents doesn't meet in one task.
+2^18 hash cells (a table of fixed size) tell the frequent class.  Signatures are
+counted first, and only those of two sets at least are indexed.
 
-Groups of copies aren't expanded into all pairs.  Each document first verifies
-the bucket minimum that it shares most signatures with, if these are enough to
-promise a link; components of these links settle the buckets of copies.  Buckets
+Groups of copies aren't expanded into all pairs.  Each bucket names a hub, found
+by a grouped maximum, and each document verifies the hub that it shares most
+signatures with, if these are enough to promise a link; components of these
+links settle the buckets of copies.  Buckets
 that still hold several components give the pairs across them; there the count
 of shared signatures is exact and bounds the overlap, and what passes is
 verified.  A second pass of components ends the job: links inside a component
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, bit_table, blocks, has_bit, materialise, read_table, row_key, text_bytes
+from marketlens.llm.common import arrow_rows, bit_table, blocks, has_bit, materialise, prepared, read_table, row_key, text_bytes, whole_row
 from marketlens.llm.components import connected_components
 from marketlens.llm.shingles import mix, shingle_sets
 
@@ -51,10 +51,13 @@ WIDTH = 5
 #: Similarity in hundredths.
 PERCENT = 75
 CELL_BITS = 18
+#: Members from which a bucket is large, and the largest set whose rows carry
+#: its signatures of large buckets.
+LARGE, CARRIED = 64, 1000
+#: Rounds in which each node tries its likeliest pair only.
+STARS = 1
 #: Largest set that indexes pairs of frequent tokens.
 SHORT = 120
-#: Rows of a frequent signature that one salt is meant for.
-PER_SALT = 4000
 
 
 def _fingerprint(s: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -113,67 +116,86 @@ def _excess(counts: np.ndarray) -> np.ndarray:
     return np.where(over >= max(64.0, 6 * np.sqrt(usual)), over, 0).astype(np.int64)
 
 
-def _signatures(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Signatures of one set, the estimate that each is dealt by, and how many
-    of them, the last ones, are of the scheme of single tokens."""
+def _signatures(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, int]:
+    """Signatures of one set, and how many of them, the last ones, are of the
+    scheme of single tokens."""
     n = len(s)
     e = n - -(-PERCENT * n // 100)
-    order = np.lexsort((s, level))[: e + 2]
-    s, level = s[order], level[order]
-    sig, est, singles = [], [], 0
+    if level.any():
+        order = np.argsort(level, kind="stable")[: e + 2]
+        s, level = s[order], level[order]
+    else:
+        s, level = s[: e + 2], level[: e + 2]
+    sig, singles = [], 0
     with np.errstate(over="ignore"):
         if n <= SHORT:
             rare = level == 0
             if rare[min(e, n - 1)]:  # the whole prefix is of the rare class
                 sig.append(mix(s[: e + 1] + np.uint64(1)))
-                est.append(level[: e + 1])
             else:
-                sig.append(mix(s[rare] + np.uint64(1)))
-                est.append(level[rare])
-                t, f = s[~rare], level[~rare]
+                t = s[~rare]
                 i, j = np.triu_indices(len(t), 1)
-                sig.append(mix(mix(t[i] + np.uint64(2)) + t[j]))
-                est.append(np.minimum(f[i], f[j]))
+                sig += [mix(s[rare] + np.uint64(1)), mix(mix(t[i] + np.uint64(2)) + t[j])]
         if n * 100 > PERCENT * SHORT:
             sig.append(mix(s[: e + 1] + np.uint64(3)))
-            est.append(level[: e + 1])
             singles = e + 1
-    return np.concatenate(sig), np.concatenate(est), singles
+    return np.concatenate(sig), singles
 
 
-def _index(keyed: DataFrame, excess: np.ndarray) -> DataFrame:
-    """sig, salt, salted, single, node, n for every signature of every
-    distinct set."""
-    cast = keyed.sparkSession.sparkContext.broadcast(excess)  # 2^CELL_BITS numbers
+def _shared(keyed: DataFrame, level) -> DataFrame:
+    """Signatures (column sig) of at least two tasks' or blocks' sets."""
 
     def run(batches):
-        level_of, seen = cast.value, set()
-        for b in arrow_rows(batches):
-            for lo, hi, s, at, fp in _sets(b.column(0)):
-                level = level_of[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                sigs, ests, nodes = [], [], []
-                for k in range(hi - lo):
-                    node, i, j = int(fp[k]), at[k], at[k + 1]
-                    if i == j or node in seen:  # the task has shown this set
-                        continue
-                    seen.add(node)
-                    sig, est, singles = _signatures(s[i:j], level[i:j])
-                    sigs.append(sig)
-                    ests.append(est)
-                    nodes.append((len(sig), node, j - i, singles))
-                if not sigs:
-                    continue
-                sig, est = np.concatenate(sigs), np.concatenate(ests)
-                times = np.array([x[0] for x in nodes])
-                node = np.repeat(np.array([x[1] for x in nodes], np.uint64), times)
-                size = np.repeat(np.array([x[2] for x in nodes], np.int32), times)
-                from_end = np.repeat(np.cumsum(times), times) - np.arange(len(sig))
-                single = from_end <= np.repeat(np.array([x[3] for x in nodes]), times)
-                salts = np.maximum(1, -(-est // PER_SALT)).astype(np.int64)
-                salt = (mix(node) % salts.astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(salts > 1), pa.array(single), pa.array(node.view(np.int64)), pa.array(size)], ["sig", "salt", "salted", "single", "node", "n"])
+        seen: set[int] = set()
+        for sig, *_ in _signed(batches, level.value, seen):
+            u, n = np.unique(sig.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["sig", "n"])
+
+    n = keyed.select("text").mapInArrow(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
+    return materialise(n.where("n > 1").select("sig"), "jaccard-shared")
+
+
+def _index(keyed: DataFrame, level) -> DataFrame:
+    """sig, single, node, n, degree for the shared signatures of every distinct
+    set (and a few more that their bit table lets pass); degree: how many of
+    them the set has."""
+    cast = keyed.sparkSession.sparkContext.broadcast(bit_table(_shared(keyed, level), "sig"))
 
-    return keyed.select("text").mapInArrow(run, "sig long, salt int, salted boolean, single boolean, node long, n int")
+    def run(batches):
+        seen: set[int] = set()
+        for sig, single, node, size in _signed(batches, level.value, seen):
+            keep = has_bit(cast.value, sig)
+            sig, single, node, size = sig[keep], single[keep], node[keep], size[keep]
+            _, own, many = np.unique(node, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(single), pa.array(node.view(np.int64)), pa.array(size), pa.array(many[own].astype(np.int32))], ["sig", "single", "node", "n", "degree"])
+
+    return keyed.select("text").mapInArrow(run, "sig long, single boolean, node long, n int, degree int")
+
+
+def _signed(batches, level_of: np.ndarray, seen: set[int]):
+    """Signatures of a task's distinct sets, a block at a time, with whether
+    they are of the single scheme, the node and its set size."""
+    for b in arrow_rows(batches):
+        for lo, hi, s, at, fp in _sets(b.column(0)):
+            level = level_of[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            sigs, nodes = [], []
+            for k in range(hi - lo):
+                node, i, j = int(fp[k]), at[k], at[k + 1]
+                if i == j or node in seen:  # the task has shown this set
+                    continue
+                seen.add(node)
+                sig, singles = _signatures(s[i:j], level[i:j])
+                sigs.append(sig)
+                nodes.append((len(sig), node, j - i, singles))
+            if not sigs:
+                continue
+            sig = np.concatenate(sigs)
+            times = np.array([x[0] for x in nodes])
+            node = np.repeat(np.array([x[1] for x in nodes], np.uint64), times)
+            size = np.repeat(np.array([x[2] for x in nodes], np.int32), times)
+            from_end = np.repeat(np.cumsum(times), times) - np.arange(len(sig))
+            single = from_end <= np.repeat(np.array([x[3] for x in nodes]), times)
+            yield sig, single, node, size
 
 
 def _candidate_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -193,10 +215,13 @@ def _candidate_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _verify(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+def _sets_of(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The sets of the nodes of pairs (a, b)."""
+    return _candidate_sets(keyed, materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that reach the similarity."""
-    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes")
-    sets = _candidate_sets(keyed, nodes)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -204,50 +229,91 @@ def _verify(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     return both.where(f"100L * i >= {PERCENT}L * (n - i)").select("a", "b")
 
 
+def _pairs_across(left: DataFrame) -> DataFrame:
+    """Pairs of nodes of one bucket and different roots: a, a_n, b, b_n, c
+    (shared signatures of the single scheme), pairs (whether they share one of
+    another).  ``left``: sig, single, node, n, root of the open buckets.
+
+    A pair of a large bucket usually shares many, so there it is made at the
+    first of them only, and only if all that it may share is enough; rows carry
+    the node's signatures of large buckets for that (sets up to CARRIED)."""
+    large = left.where("single").groupBy("sig").count().where(f"count >= {LARGE}").select("sig", F.lit(True).alias("large"))
+    rows = left.join(large, "sig", "left").withColumn("carried", F.coalesce("large", F.lit(False)) & F.col("single") & (F.col("n") <= CARRIED))
+    rows = materialise(rows.select("sig", "single", "node", "n", "root", "carried"), "jaccard-rows")
+    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    across = across & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
+    named = ["x.node as a", "x.n as a_n", "y.node as b", "y.n as b_n"]
+    plain = rows.alias("x").join(rows.alias("y"), across & ~(F.col("x.carried") & F.col("y.carried")))
+    plain = plain.selectExpr(*named, "if(x.single, 1L, 0L) as c", "not x.single as pairs")
+
+    carried = rows.where("carried")
+    own = carried.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("own"))
+    carried = carried.join(own, "node")
+    both = F.array_intersect("x.own", "y.own")
+    others = lambda t: f"({t}.n - ({PERCENT}L * {t}.n + 99) div 100 + 1 - size({t}.own))"
+    most = F.size(both) + F.expr(f"least({others('x')}, {others('y')})")
+    enough = most + F.expr(_rest("x.n", "y.n")) >= F.expr(_need("x.n", "y.n"))
+    once = carried.alias("x").join(carried.alias("y"), across & (F.col("x.sig") == F.array_min(both)) & enough)
+    once = once.select(*[F.expr(e) for e in named], F.size(both).cast("long").alias("c"), F.lit(False).alias("pairs"))
+    return plain.union(once).groupBy("a", "a_n", "b", "b_n").agg(F.sum("c").alias("c"), F.max("pairs").alias("pairs"))
+
+
+def _rest(a: str, b: str) -> str:
+    """SQL: what the larger of two sets holds beyond its prefix."""
+    return f"(({PERCENT}L * greatest({a}, {b}) + 99) div 100 - 1)"
+
+
+def _need(a: str, b: str) -> str:
+    """SQL: tokens that sets of two sizes have to share."""
+    return f"(({PERCENT}L * ({a} + {b}) + {99 + PERCENT}) div {100 + PERCENT})"
+
+
 def _hopeful() -> str:
     """SQL: whether sets of a_n and b_n tokens can reach the similarity.  If
     both index their prefix singly, c shared signatures leave at most c plus the
     larger rest to share; pairs of tokens don't bound it."""
-    rest = lambda n: f"(({PERCENT}L * {n} + 99) div 100 - 1)"
-    need = f"(({PERCENT}L * (a_n + b_n) + {99 + PERCENT}) div {100 + PERCENT})"
     sizes = f"100L * least(a_n, b_n) >= {PERCENT}L * greatest(a_n, b_n)"
     single = f"100L * least(a_n, b_n) > {PERCENT * SHORT}L"
-    return f"{sizes} and case when {single} then c + greatest({rest('a_n')}, {rest('b_n')}) >= {need} else pairs or c > 0 end"
+    return f"{sizes} and case when {single} then c + {_rest('a_n', 'b_n')} >= {_need('a_n', 'b_n')} else pairs or c > 0 end"
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: key (see ``row_key``), doc_id, n_shingles,
     component_id, component (the group's own 64 bits; a set of its own for an
     empty row)."""
+    prepared(docs)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     keyed = src.withColumn("key", row_key())
     rows, counts = _profile(keyed)
-    index = _index(keyed, _excess(counts))
-
-    # buckets with two nodes at least; those of a salted signature stay, as other salts may hold the second
-    bucket = "partition by sig, salt"
-    marked = index.selectExpr("*", f"min(struct(node, n)) over ({bucket}) as low", f"max(node) over ({bucket}) as high")
-    members = materialise(marked.where("low.node < high or salted").selectExpr("sig", "salted", "single", "node", "n", "low.node as low", "low.n as low_n"), "jaccard-members")
-    tops = members.where("salted").groupBy("sig").agg(F.min(F.struct("low", "low_n")).alias("top"))
-    across = members.where("salted").select("sig", "single", "low", "low_n").distinct().join(tops, "sig")
-    stars = members.selectExpr("node as a", "n as a_n", "low as b", "low_n as b_n", "single").union(across.selectExpr("low", "low_n", "top.low", "top.low_n", "single"))
+    level = docs.sparkSession.sparkContext.broadcast(_excess(counts))  # 2^CELL_BITS numbers
+
+    # each bucket's star: from the member that shares most signatures in all, as the original of copies does
+    members = materialise(_index(keyed, level), "jaccard-members")
+    hubs = members.groupBy("sig").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
+    stars = members.join(hubs, "sig").selectExpr("node as a", "n as a_n", "hub.node as b", "hub.n as b_n", "single")
     stars = stars.where("a <> b").groupBy("a", "a_n", "b", "b_n").agg(F.count(F.when(F.col("single"), 1)).alias("c"), F.max(~F.col("single")).alias("pairs"))
     best = stars.where(_hopeful()).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).selectExpr("a", "best.b as b")
-    links = materialise(_verify(materialise(best, "jaccard-pairs"), keyed), "jaccard-links")
+    best = materialise(best, "jaccard-pairs")
+    links = materialise(_verify(best, _sets_of(best, keyed)), "jaccard-links")
     labels = connected_components(links)
 
     # buckets that still hold several components: pairs across them, with all the signatures that they share
     held = members.join(labels, "node", "left").select("sig", "single", "node", "n", F.coalesce("root", "node").alias("root"))
     open_ = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
     left = materialise(held.join(open_, "sig", "left_semi").distinct(), "jaccard-open")
-    x, y = left.alias("x"), left.alias("y")
-    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    near = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
-    pairs = x.join(y, across & near).groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("a_n"), F.col("y.node").alias("b"), F.col("y.n").alias("b_n"))
-    pairs = pairs.agg(F.count(F.when(F.col("x.single"), 1)).alias("c"), F.max(~F.col("x.single")).alias("pairs")).where(_hopeful()).select("a", "b")
-    more = materialise(_verify(materialise(pairs, "jaccard-pairs"), keyed), "jaccard-links")
-    if not more.isEmpty():
-        labels = connected_components(links.union(more))
+    pairs = _pairs_across(left).where(_hopeful()).select("a", "b", "c")
+    pairs = materialise(pairs, "jaccard-pairs")
+    sets = _sets_of(pairs, keyed)
+    for again in range(STARS + 1):  # each node's likeliest pair first, which settles most others; then all that are left
+        if pairs.isEmpty():
+            break
+        tried = pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).selectExpr("a", "best.b as b") if again < STARS else pairs.select("a", "b")
+        tried = materialise(tried, "jaccard-tried")
+        links = links.union(materialise(_verify(tried, sets), "jaccard-links"))
+        labels = connected_components(links)
+        root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        left = pairs.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        pairs = materialise(left.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b", "c"), "jaccard-pairs")
 
     placed = rows.join(labels, "node", "left").select("key", "doc_id", "n", F.coalesce("root", "node").alias("component"))
     ids = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("first_id"))
@@ -256,5 +322,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("key", "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group: the one of the
+    least id (nulls last).  Rows without words stay."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), whole_row(docs).alias("row")).withColumn("key", row_key())
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = link(docs, id_col, text_col).where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    once = rows.where(worded).join(first.select("first.key"), "key", "left_semi").dropDuplicates(["key"])
+    return once.select("row").union(rows.where(~worded).select("row")).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
