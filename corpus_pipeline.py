@@ -6,17 +6,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import bpe
+from marketlens.llm import bpe, jaccard, langid, mixing, secrets
 from marketlens.llm.common import materialise, read_table
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents whose language can't be told (no letters, or a
+    score under langid.MIN_SCORE) go."""
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.accepted(docs, model)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group stays."""
+    return jaccard.keep_one(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: secrets are replaced in the texts; documents stay."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: every document as often as its source's target takes it."""
+    return mixing.mixed(docs, mixing.qualities(read_table(spark, sf_dir, "labels")))
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids and round trip of every document, as digests."""
     return bpe.encode_digests(docs, bpe.default_vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify),
+    ("ngram_jaccard", deduplicate),
+    ("secrets", redact),
+    ("mixing", mix),
     ("byte_bpe", tokenise),
 ]
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm.common import arrow_rows, blocks, read_table, text_bytes
+from marketlens.llm.common import arrow_rows, blocks, prepared, read_table, text_bytes
 
 #: Slices whose merges a worker remembers.
 CACHE_PIECES = 400_000
@@ -289,7 +289,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256,
     decoded_sha256.  ``vocabulary``: path of the rank file on the driver; its
     bytes (a fixed vocabulary of about a megabyte) are broadcast."""
-    spark = docs.sparkSession
+    spark = prepared(docs)
     with open(vocabulary, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

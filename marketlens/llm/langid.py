@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, blocks, read_table, text_bytes
+from marketlens.llm.common import arrow_rows, blocks, prepared, read_table, text_bytes, whole_row
 from marketlens.llm.shingles import mix
 
 FEATURE_BITS = 15
@@ -39,6 +39,8 @@ SAMPLE_PER_LABEL = 600
 SAMPLE = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
+#: Texts with a lower score are rejected by ``accepted``.
+MIN_SCORE = 0.4
 #: Code points of a text that are turned into n-grams at a time.
 PIECE = 1 << 20
 
@@ -164,6 +166,7 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Learns from the rows of ``docs`` that have a label and a letter in
     their text; all of them must be free to learn from."""
+    prepared(docs)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[label_col].alias("lang")).where("lang is not null and text is not null")
     per = {r["lang"]: r["count"] for r in src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 10).collect()}
     labels = sorted(per)
@@ -198,9 +201,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` and lang_pred, score (these names, where
     ``docs`` has them, are replaced)."""
-    cast = docs.sparkSession.sparkContext.broadcast(model)
+    cast = prepared(docs).sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    src = docs.select(docs[text_col].alias("text"), F.struct(*[docs[c] for c in kept]).alias("row"))
+    src = docs.select(docs[text_col].alias("text"), whole_row(docs.select(*[f"`{c}`" for c in kept])).alias("row"))
     out = src.schema["row"].dataType.simpleString()
 
     def run(batches):
@@ -214,6 +217,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return src.mapInArrow(run, f"row {out}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language the model can tell, unchanged."""
+    rows = docs.select(docs[text_col].alias("text"), whole_row(docs).alias("row"))
+    return predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     return _remainder(doc_id, 4) == 2
 

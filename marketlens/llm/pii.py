@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm.common import arrow_rows, blocks, read_table, text_bytes
+from marketlens.llm.common import arrow_rows, blocks, prepared, read_table, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "iban", "natid")
 BASE = KINDS[:4]
@@ -139,6 +139,7 @@ def find(text: str) -> list[Span]:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id and its spans, an array of (kind,
     start, end, score, text)."""
+    prepared(docs)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, blocks, materialise, read_table, row_key, text_bytes
+from marketlens.llm.common import arrow_rows, blocks, materialise, prepared, read_table, row_key, text_bytes
 from marketlens.llm.shingles import mix, words
 
 BURN_IN, KEPT = 2, 3
@@ -335,6 +335,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """One row per row of ``docs``: doc_id, train, n_tokens, n_known,
     train_tokens, base_score, score, perplexity.  ``train``: condition on
     column doc_id of the rows to learn from."""
+    prepared(docs)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("train", train).withColumn("key", row_key())
     table = _word_table(src)
     model = fit(table)

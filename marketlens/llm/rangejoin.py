@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, materialise, read_table
+from marketlens.llm.common import arrow_rows, materialise, prepared, read_table
 from marketlens.llm.components import connected_components
 from marketlens.llm.vectors import cosine, matrix, unit, usable
 
@@ -133,7 +133,7 @@ def block_links(own: pa.Table, others: pa.Table) -> list[tuple[int, int, int]]:
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
+    spark = prepared(vectors)
     rows = usable(vectors, id_col, vec_col)
     nodes = materialise(rows.groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("mult"), F.min("vec_id").alias("least")), "rangejoin-nodes")
     n = nodes.count()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, bit_table, has_bit, materialise, read_table, row_key, text_bytes
+from marketlens.llm.common import arrow_rows, bit_table, has_bit, materialise, prepared, read_table, row_key, text_bytes
 from marketlens.llm.gsaca import suffix_array
 from marketlens.llm.shingles import _R, PIECE, _powers, mix
 
@@ -340,6 +340,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans,
     spans (removed runs as an array of start, end), kept (the remaining bytes,
     binary)."""
+    prepared(docs)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     keyed = src.withColumn("key", row_key())
     cut = intervals(keyed)

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import materialise, read_table
+from marketlens.llm.common import materialise, read_table, whole_row
 
 # The base patterns, and the least length of what they match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -126,7 +126,7 @@ def _tested(runs: str) -> str:
 def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
     """The rows as struct _row, with _base (base spans) and _runs (tested runs
     that overlap no base span)."""
-    df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
+    df = docs.select(whole_row(docs).alias("_row"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     values = {"_assign_v": F.when(F.size("_assign") > 0, F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2)))}
     df = _located(df, "assign", ASSIGN, values)
     df = _located(df, "access", ACCESS)
