@@ -248,10 +248,10 @@ def _pairs_across(left: DataFrame) -> DataFrame:
 
     carried = rows.where("carried")
     own = carried.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("own"))
-    carried = carried.join(own, "node")
+    others = rows.where("single and not carried").groupBy("node").agg(F.count("*").alias("others"))
+    carried = carried.join(own.join(others, "node", "left").select("node", "own", F.coalesce("others", F.lit(0)).alias("others")), "node")
     both = F.array_intersect("x.own", "y.own")
-    others = lambda t: f"({t}.n - ({PERCENT}L * {t}.n + 99) div 100 + 1 - size({t}.own))"
-    most = F.size(both) + F.expr(f"least({others('x')}, {others('y')})")
+    most = F.size(both) + F.least("x.others", "y.others")  # what they share is in open buckets
     enough = most + F.expr(_rest("x.n", "y.n")) >= F.expr(_need("x.n", "y.n"))
     once = carried.alias("x").join(carried.alias("y"), across & (F.col("x.sig") == F.array_min(both)) & enough)
     once = once.select(*[F.expr(e) for e in named], F.size(both).cast("long").alias("c"), F.lit(False).alias("pairs"))
