@@ -2,12 +2,10 @@
 
 Everything runs in ``pyspark.ml`` (k-means|| initialisation, distributed
 Lloyd iterations).  Cluster ids are arbitrary, so segment names are assigned
-from the cluster profiles (K rows) by a fixed rule:
-
-1. the cluster with the highest mean frequency → Loyal Regulars;
-2. of the rest, the highest mean monetary → High-Value Champions;
-3. of the rest, the lowest mean recency → Recent Light Buyers;
-4. the remaining cluster → Inactive Low-Spend.
+from the cluster profiles (K rows) by combined RFM rank: each cluster's places
+by mean recency (lowest first), frequency and monetary (highest first) are
+added up, and the names go from the best sum to the worst (ties: the higher
+monetary, then the lower cluster id).
 """
 
 from __future__ import annotations
@@ -30,10 +28,12 @@ SEED = 42
 K_CANDIDATES = [2, 3, 4, 5, 6]
 
 # Fixed segment names (must equal the report's labels).
-LOYAL = "Loyal Regulars"
 CHAMPIONS = "High-Value Champions"
+LOYAL = "Loyal Regulars"
 RECENT = "Recent Light Buyers"
 INACTIVE = "Inactive Low-Spend"
+BEST_FIRST = [CHAMPIONS, LOYAL, RECENT, INACTIVE]
+METHOD = "K-Means clustering on log-transformed, scaled RFM features (K=4)"
 
 
 def rfm_vectors(st: Star) -> DataFrame:
@@ -58,21 +58,12 @@ def _pipeline(k: int) -> Pipeline:
 
 def name_clusters(profile_rows: list) -> dict[int, str]:
     """profile_rows: (cluster, mean recency, mean frequency, mean monetary)."""
-    left = list(profile_rows)
-    names: dict[int, str] = {}
-    for name, key in (
-        (LOYAL, lambda r: (-r[2], r[0])),
-        (CHAMPIONS, lambda r: (-r[3], r[0])),
-        (RECENT, lambda r: (r[1], r[0])),
-    ):
-        if not left:
-            break
-        pick = min(left, key=key)
-        names[pick[0]] = name
-        left.remove(pick)
-    for r in left:
-        names[r[0]] = INACTIVE if INACTIVE not in names.values() else f"{INACTIVE} {r[0]}"
-    return names
+    place = {r[0]: 0 for r in profile_rows}
+    for key in (lambda r: r[1], lambda r: -r[2], lambda r: -r[3]):
+        for r in profile_rows:
+            place[r[0]] += sum(key(other) < key(r) for other in profile_rows)
+    best_first = sorted(profile_rows, key=lambda r: (place[r[0]], -r[3], r[0]))
+    return {r[0]: BEST_FIRST[i] if i < len(BEST_FIRST) else f"{INACTIVE} {i + 1}" for i, r in enumerate(best_first)}
 
 
 def segment_customers(st: Star, k: int = K) -> DataFrame:
@@ -102,7 +93,7 @@ def segment_customers(st: Star, k: int = K) -> DataFrame:
 
 @report("p11_kmeans_segments", None, note="rows-only: K-Means (K=4, seed 42) on log1p + standardised RFM")
 def p11(st: Star) -> DataFrame:
-    return segment_customers(st).drop("monetary_cents").orderBy("customer_unique_id")
+    return segment_customers(st).drop("monetary_cents")
 
 
 @report("p11b_k_selection", None, note="rows-only: silhouette of K-Means for K = 2..6 on the same features")
@@ -135,6 +126,8 @@ def segmentation_summary(st: Star) -> DataFrame:
             ratio_round("_f", "customer_count", 2).alias("avg_frequency"),
             ratio_round("_m", F.col("customer_count") * 100, 2).alias("avg_monetary"),
             pct("customer_count", "_n").alias("pct_of_total"),
+            F.col("_n").alias("total_customers"),
+            F.lit(METHOD).alias("method"),
         )
         .orderBy(F.desc("avg_monetary"), "segment")
     )

@@ -106,7 +106,7 @@ def rules() -> list[tuple[str, int, Column, Column]]:
             F.col("n_orders").cast("string"), _lit(" delivered orders worth R$ "), _money("revenue_c"),
             _lit(" between "), F.col("first_month"), _lit(" and "), F.col("last_month"),
             _lit("; average order value R$ "), _money("aov_c"), _lit("."))),
-        ("sales_trends", 1, true, F.concat(_lit("Revenue peaked in "), F.col("peak_month"), _lit(" at R$ "), _money("peak_c"), _lit("."))),
+        ("key_trends", 1, true, F.concat(_lit("Revenue peaked in "), F.col("peak_month"), _lit(" at R$ "), _money("peak_c"), _lit("."))),
         ("customer_insights", 1, true, F.concat(_tenths_txt("repeat_t"), _lit("% of customers ordered more than once."))),
         ("customer_insights", 2, true, F.concat(_lit("Credit card pays for "), _tenths_txt("cc_t"), _lit("% of orders."))),
         ("product_insights", 1, true, F.concat(_lit("Top category by item revenue: "), F.col("top_category"),
@@ -117,12 +117,12 @@ def rules() -> list[tuple[str, int, Column, Column]]:
         ("delivery_insights", 2, true, F.concat(_lit("Orders arrive "), _tenths_txt("early_t"), _lit(" days before the estimate on average."))),
         ("review_insights", 1, true, F.concat(_lit("Average review score "), _hundredths_txt("review_h"), _lit(" with "),
                                               _tenths_txt("five_t"), _lit("% five-star reviews."))),
-        ("issues", 1, F.col("late_t") > 100, _lit("Late deliveries exceed 10% of delivered orders.")),
-        ("issues", 2, F.col("repeat_t") < 100, _lit("Fewer than 10% of customers come back for a second order.")),
-        ("issues", 3, F.col("freight_t") > 150, _lit("Freight costs exceed 15% of item price.")),
-        ("actions", 1, F.col("late_t") > 100, _lit("Review carrier performance on the slowest routes.")),
-        ("actions", 2, F.col("repeat_t") < 100, _lit("Target one-time buyers with a second-purchase campaign.")),
-        ("actions", 3, F.col("freight_t") > 150, _lit("Negotiate freight rates or set free-shipping thresholds.")),
+        ("potential_issues", 1, F.col("late_t") > 100, _lit("Late deliveries exceed 10% of delivered orders.")),
+        ("potential_issues", 2, F.col("repeat_t") < 100, _lit("Fewer than 10% of customers come back for a second order.")),
+        ("potential_issues", 3, F.col("freight_t") > 150, _lit("Freight costs exceed 15% of item price.")),
+        ("suggested_actions", 1, F.col("late_t") > 100, _lit("Review carrier performance on the slowest routes.")),
+        ("suggested_actions", 2, F.col("repeat_t") < 100, _lit("Target one-time buyers with a second-purchase campaign.")),
+        ("suggested_actions", 3, F.col("freight_t") > 150, _lit("Negotiate freight rates or set free-shipping thresholds.")),
     ]
 
 
@@ -189,7 +189,7 @@ def _sh(c: str) -> str:
 
 _RULES_SQL = [
     ("executive_summary", 1, "true", f"CAST(n_orders AS VARCHAR) || ' delivered orders worth R$ ' || {_sm('revenue_c')} || ' between ' || first_month || ' and ' || last_month || '; average order value R$ ' || {_sm('aov_c')} || '.'"),
-    ("sales_trends", 1, "true", f"'Revenue peaked in ' || peak_month || ' at R$ ' || {_sm('peak_c')} || '.'"),
+    ("key_trends", 1, "true", f"'Revenue peaked in ' || peak_month || ' at R$ ' || {_sm('peak_c')} || '.'"),
     ("customer_insights", 1, "true", f"{_st('repeat_t')} || '% of customers ordered more than once.'"),
     ("customer_insights", 2, "true", f"'Credit card pays for ' || {_st('cc_t')} || '% of orders.'"),
     ("product_insights", 1, "true", f"'Top category by item revenue: ' || top_category || ' (R$ ' || {_sm('top_category_c')} || ').'"),
@@ -197,12 +197,12 @@ _RULES_SQL = [
     ("delivery_insights", 1, "true", f"'Delivery takes ' || {_st('avg_days_t')} || ' days on average; ' || {_st('late_t')} || '% of orders arrive late.'"),
     ("delivery_insights", 2, "true", f"'Orders arrive ' || {_st('early_t')} || ' days before the estimate on average.'"),
     ("review_insights", 1, "true", f"'Average review score ' || {_sh('review_h')} || ' with ' || {_st('five_t')} || '% five-star reviews.'"),
-    ("issues", 1, "late_t > 100", "'Late deliveries exceed 10% of delivered orders.'"),
-    ("issues", 2, "repeat_t < 100", "'Fewer than 10% of customers come back for a second order.'"),
-    ("issues", 3, "freight_t > 150", "'Freight costs exceed 15% of item price.'"),
-    ("actions", 1, "late_t > 100", "'Review carrier performance on the slowest routes.'"),
-    ("actions", 2, "repeat_t < 100", "'Target one-time buyers with a second-purchase campaign.'"),
-    ("actions", 3, "freight_t > 150", "'Negotiate freight rates or set free-shipping thresholds.'"),
+    ("potential_issues", 1, "late_t > 100", "'Late deliveries exceed 10% of delivered orders.'"),
+    ("potential_issues", 2, "repeat_t < 100", "'Fewer than 10% of customers come back for a second order.'"),
+    ("potential_issues", 3, "freight_t > 150", "'Freight costs exceed 15% of item price.'"),
+    ("suggested_actions", 1, "late_t > 100", "'Review carrier performance on the slowest routes.'"),
+    ("suggested_actions", 2, "repeat_t < 100", "'Target one-time buyers with a second-purchase campaign.'"),
+    ("suggested_actions", 3, "freight_t > 150", "'Negotiate freight rates or set free-shipping thresholds.'"),
 ]
 
 INSIGHTS_SQL = "\nUNION ALL\n".join(
@@ -219,19 +219,24 @@ S11_SQL = with_star(
     INSIGHTS_SQL
     + f"""
 UNION ALL SELECT 'data_range', 1, first_month || ' to ' || last_month FROM m
-UNION ALL SELECT 'methodology_note', 1, '{METHODOLOGY}' FROM m""",
+UNION ALL SELECT 'methodology_note', 1, '{METHODOLOGY}' FROM m
+UNION ALL SELECT 'generated_at', 1, last_month FROM m""",
     _METRICS_SQL,
 )
 
 
-def endpoint_rows(m: DataFrame) -> DataFrame:
-    """Rule rows plus data range and methodology note, from the metrics row."""
+def endpoint_rows(m: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """Rule rows plus data range, methodology note and the caller's time of
+    generation (the last month of the data, if none is given), from the metrics
+    row."""
     items = F.array(
         *[F.struct(F.lit(s).alias("section"), F.lit(o).alias("ord"), c.alias("keep"), t.alias("text")) for s, o, c, t in rules()],
         F.struct(F.lit("data_range").alias("section"), F.lit(1).alias("ord"), F.lit(True).alias("keep"),
                  F.concat(F.col("first_month"), F.lit(" to "), F.col("last_month")).alias("text")),
         F.struct(F.lit("methodology_note").alias("section"), F.lit(1).alias("ord"), F.lit(True).alias("keep"),
                  F.lit(METHODOLOGY).alias("text")),
+        F.struct(F.lit("generated_at").alias("section"), F.lit(1).alias("ord"), F.lit(True).alias("keep"),
+                 (F.col("last_month") if generated_at is None else F.lit(generated_at)).alias("text")),
     )
     return m.select(F.explode(items).alias("r")).filter("r.keep").select("r.section", "r.ord", "r.text")
 

@@ -68,6 +68,8 @@ class Star:
 
     # the delivered orders, where they can be told before the status is derived
     delivered_orders: DataFrame | None = None
+    # where the tables come from; results kept per source use it as their key
+    source: str | None = None
 
     def delivered(self) -> DataFrame:
         if self.delivered_orders is not None:
@@ -295,6 +297,7 @@ def load_star(spark: SparkSession, sf_dir: str) -> Star:
     nation = read_raw(spark, sf_dir, "nation")
     orders = build_orders(raw_orders)
     return Star(
+        source=sf_dir.rstrip("/"),
         delivered_orders=build_orders(raw_orders.filter(F.col("o_orderstatus").isin(*DELIVERED))),
         customers=build_customers(raw_orders, read_raw(spark, sf_dir, "customer"), nation),
         products=build_products(read_raw(spark, sf_dir, "part")),

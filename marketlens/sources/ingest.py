@@ -6,9 +6,9 @@ The raw marketplace exports are CSV files: header row, RFC-4180 quoting
 Portuguese-only product file plus a category translation file, duplicate
 reviews per order and a raw geolocation file with several points per zip.
 
-``export_raw_csv`` writes such files, derived from the star schema, to the
-shared checkpoint folder (never a machine-local path); the ``clean_*``
-functions read them back with ``spark.read.csv`` and rebuild typed tables.
+``export_raw_csv`` writes such a file, derived from the star schema, to the
+shared checkpoint folder (never a machine-local path), once per source and only
+when a report reads it; the ``clean_*`` functions read it back with ``spark.read.csv`` and rebuild typed tables.
 Each p0x report is checked against the star table it must reproduce.
 """
 
@@ -26,12 +26,14 @@ from ..plans.registry import report
 from ..session import scratch_path
 from .adapter import Star
 
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+# Only this file has line breaks inside fields; the others stay splittable.
+MULTI_LINE = {"reviews"}
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 RAW_FILES = ("customers", "products", "category_translation", "sellers", "orders", "order_items", "payments",
              "reviews", "geolocation")
 
-_EXPORTS: dict[tuple[str, str], str] = {}
+_EXPORTS: dict[tuple[str, str, str], str] = {}
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -80,41 +82,46 @@ def raw_geolocation(st: Star) -> DataFrame:
     )
 
 
-def export_raw_csv(spark: SparkSession, st: Star, key: str) -> str:
-    """Write the raw CSV exports once per (application, source) and return the folder."""
-    cache_key = (spark.sparkContext.applicationId, key)
-    if cache_key in _EXPORTS:
-        return _EXPORTS[cache_key]
-    root = scratch_path(spark, "raw-csv")
-    customers = st.customers.withColumn(
-        "customer_zip_code_prefix", F.col("customer_zip_code_prefix").cast("int").cast("string")
-    )
-    products = st.products.drop("product_category_name_english", "is_incomplete")
-    translation = (
-        st.products.filter(F.col("product_category_name_english").isNotNull())
-        .select("product_category_name", "product_category_name_english")
-        .distinct()
-    )
-    frames = {
-        "customers": customers,
-        "products": products,
-        "category_translation": translation,
-        "sellers": st.sellers,
-        "orders": st.orders,
-        "order_items": st.order_items,
-        "payments": st.payments,
-        "reviews": raw_reviews(st),
-        "geolocation": raw_geolocation(st),
-    }
-    for name, df in frames.items():
-        _as_text(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{root}/{name}")
-    _EXPORTS[cache_key] = root
-    return root
-
-
-def read_csv(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """p01: header CSV, quoted multi-line fields, every column read as text."""
-    return spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(f"{root}/{name}")
+def _raw_frame(st: Star, name: str) -> DataFrame:
+    """The rows of one raw export."""
+    if name == "customers":
+        return st.customers.withColumn("customer_zip_code_prefix", F.col("customer_zip_code_prefix").cast("int").cast("string"))
+    if name == "products":
+        return st.products.drop("product_category_name_english", "is_incomplete")
+    if name == "category_translation":
+        named = st.products.filter(F.col("product_category_name_english").isNotNull())
+        return named.select("product_category_name", "product_category_name_english").distinct()
+    if name == "reviews":
+        return raw_reviews(st)
+    if name == "geolocation":
+        return raw_geolocation(st)
+    return getattr(st, name)
+
+
+def export_raw_csv(spark: SparkSession, st: Star, name: str) -> str:
+    """Write one raw CSV export, once per application and source, and return
+    its folder.  A star without a source is written anew each time."""
+    key = (spark.sparkContext.applicationId, st.source or "", name)
+    if st.source is None or key not in _EXPORTS:
+        path = scratch_path(spark, f"raw-{name}")
+        _as_text(_raw_frame(st, name)).write.options(**CSV_OPTIONS).csv(path)
+        if st.source is None:
+            return path
+        _EXPORTS[key] = path
+    return _EXPORTS[key]
+
+
+def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """p01: header CSV, quoted fields (over several lines in reviews), every
+    column read as text."""
+    multi = str(name in MULTI_LINE).lower()
+    return spark.read.options(**CSV_OPTIONS, multiLine=multi, inferSchema="false").csv(path)
+
+
+def raw_csv(st: Star, name: str) -> DataFrame:
+    """One raw export, written and read back."""
+    spark = st.orders.sparkSession
+    return read_csv(spark, export_raw_csv(spark, st, name), name)
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -173,12 +180,6 @@ def geolocation_by_zip(raw: DataFrame) -> DataFrame:
     )
 
 
-def _root(st: Star) -> tuple[SparkSession, str]:
-    spark = st.orders.sparkSession
-    key = str(id(st))
-    return spark, export_raw_csv(spark, st, key)
-
-
 @report(
     "p01_csv_ingest",
     with_star(
@@ -196,38 +197,44 @@ def _root(st: Star) -> tuple[SparkSession, str]:
     note="row counts of the nine raw CSV files as read back (multi-line quoted fields intact)",
 )
 def p01(st: Star) -> DataFrame:
-    spark, root = _root(st)
-    parts = [
-        read_csv(spark, root, name).agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("file_name"), "row_count"
-        )
-        for name in RAW_FILES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    counts = [raw_csv(st, name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("file_name"), "row_count") for name in RAW_FILES]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @report("p02_clean_customers", with_star("SELECT * FROM customers"))
 def p02(st: Star) -> DataFrame:
-    spark, root = _root(st)
-    return clean_customers(read_csv(spark, root, "customers"), st.customers.schema)
+    return clean_customers(raw_csv(st, "customers"), st.customers.schema)
 
 
 @report("p03_clean_products", with_star("SELECT * FROM products"))
 def p03(st: Star) -> DataFrame:
-    spark, root = _root(st)
-    return clean_products(read_csv(spark, root, "products"), read_csv(spark, root, "category_translation"), st.products.schema)
+    return clean_products(raw_csv(st, "products"), raw_csv(st, "category_translation"), st.products.schema)
 
 
 @report("p04_dedup_reviews", with_star("SELECT * FROM reviews"))
 def p04(st: Star) -> DataFrame:
-    spark, root = _root(st)
-    return dedup_reviews(read_csv(spark, root, "reviews"), st.reviews.schema)
+    return dedup_reviews(raw_csv(st, "reviews"), st.reviews.schema)
 
 
 @report("p05_empty_to_null", with_star("SELECT * FROM orders_en"))
 def p05(st: Star) -> DataFrame:
-    spark, root = _root(st)
-    return typed(read_csv(spark, root, "orders"), st.orders.schema)
+    return typed(raw_csv(st, "orders"), st.orders.schema)
+
+
+@report("p05b_typed_order_items", with_star("SELECT * FROM order_items"))
+def p05b(st: Star) -> DataFrame:
+    return typed(raw_csv(st, "order_items"), st.order_items.schema)
+
+
+@report("p05c_typed_payments", with_star("SELECT * FROM payments"))
+def p05c(st: Star) -> DataFrame:
+    return typed(raw_csv(st, "payments"), st.payments.schema)
+
+
+@report("p05d_typed_sellers", with_star("SELECT * FROM sellers"))
+def p05d(st: Star) -> DataFrame:
+    sellers = typed(raw_csv(st, "sellers"), st.sellers.schema)
+    return sellers.withColumn("seller_zip_code_prefix", F.lpad("seller_zip_code_prefix", 5, "0"))
 
 
 @report(
@@ -245,5 +252,4 @@ def p05(st: Star) -> DataFrame:
     ),
 )
 def p06(st: Star) -> DataFrame:
-    spark, root = _root(st)
-    return geolocation_by_zip(read_csv(spark, root, "geolocation"))
+    return geolocation_by_zip(raw_csv(st, "geolocation"))
