@@ -13,9 +13,9 @@ well.  Strings never cross documents and are judged on the input.
 * Contexts that share an anchor but differ are cut into cores: STEP consecutive
   starts have SPAN - STEP + 1 bytes in common.  Cores that differ share none of
   their strings.  Members of a core are written as a short string (the bytes
-  before it, one symbol for the core, the bytes after it) and suffix-sorted with
-  the rest of the partition (``gsaca``); neighbours in suffix order tell which
-  strings repeat.
+  before it, one symbol for the core, the bytes after it).  Twins repeat wholly;
+  the distinct ones are suffix-sorted with the rest of the partition
+  (``gsaca``), and neighbours in suffix order tell which strings repeat.
 * A core of more than MOST members compares its strings by their hashes in a
   grouped count, which no task has to hold.
 
@@ -269,51 +269,52 @@ def repeated_starts(members: list[tuple[int, bytes, bytes]]) -> list[tuple[int,
     return out
 
 
-def _sorted_cores(cores: DataFrame) -> DataFrame:
-    """anchor, context, step, lo, hi: starts of repeated strings relative to
-    the core's start."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("step", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+def _sorted_cores(strings: DataFrame) -> DataFrame:
+    """id, lo, hi: starts of repeated strings relative to the core's start.
+    ``strings``: core, before, after, id."""
+    schema = pa.schema([("id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches):
         held: list[tuple] = []
         size = 0
 
         def settle():
-            found = repeated_starts([(r[3], r[4], r[5]) for r in held])
-            got = [(r[0], r[1], r[2], *f) for r, f in zip(held, found) if f]
+            found = repeated_starts([r[:3] for r in held])
+            got = [(r[3], *f) for r, f in zip(held, found) if f]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), schema.types)], schema=schema)
 
         for b in arrow_rows(batches):
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= SORT and r[3] != held[-1][3]:  # never within a core
+                if size >= SORT and r[0] != held[-1][0]:  # never within a core
                     yield from settle()
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4]) + len(r[5]) + 2
+                size += len(r[1]) + len(r[2]) + 2
         if held:
             yield from settle()
 
-    return cores.repartition("core").sortWithinPartitions("core").mapInArrow(run, "anchor long, context long, step int, lo int, hi int")
+    return strings.repartition("core").sortWithinPartitions("core").mapInArrow(run, "id long, lo int, hi int")
 
 
-def _hashed_cores(cores: DataFrame) -> DataFrame:
+def _hashed_cores(strings: DataFrame) -> DataFrame:
     """The same for cores of any size, by counting hashes of strings."""
 
     def run(batches):
         for b in arrow_rows(batches):
-            rows = []
-            for anchor, context, step, core, before, after in zip(*(c.to_pylist() for c in b.columns)):
-                for d in range(max(0, STEP - 1 - len(after)), len(before) + 1):
-                    string = before[len(before) - d :] + core.to_bytes(8, "big", signed=True) + after[: STEP - 1 - d]
-                    rows.append((anchor, context, step, -d, int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True), core))
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["anchor", "context", "step", "d", "string", "core"])
+            for k in range(0, b.num_rows, 256):  # each row gives up to STEP strings
+                rows = []
+                for core, before, after, id_ in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)):
+                    for d in range(max(0, STEP - 1 - len(after)), len(before) + 1):
+                        string = before[len(before) - d :] + core.to_bytes(8, "big", signed=True) + after[: STEP - 1 - d]
+                        rows.append((id_, -d, int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True), core))
+                if rows:
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["id", "d", "string", "core"])
 
-    strings = cores.mapInArrow(run, "anchor long, context long, step int, d int, string long, core long")
-    again = strings.groupBy("core", "string").agg(F.count("*").alias("n")).where("n > 1").select("core", "string")
-    return strings.join(again, ["core", "string"], "left_semi").groupBy("anchor", "context", "step").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    cut = strings.mapInArrow(run, "id long, d int, string long, core long")
+    again = cut.groupBy("core", "string").agg(F.count("*").alias("n")).where("n > 1").select("core", "string")
+    return cut.join(again, ["core", "string"], "left_semi").groupBy("id").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
 
 
 def intervals(keyed: DataFrame) -> DataFrame:
@@ -327,11 +328,17 @@ def intervals(keyed: DataFrame) -> DataFrame:
     mixed = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
     unlike = materialise(kinds.join(mixed, "anchor", "left_semi").select("anchor", "context", "n"), "repeats-unlike")
     cores = _cores(keyed, bit_table(unlike, "context")).join(unlike.select("anchor", "context"), ["anchor", "context"], "left_semi")
-    cores = materialise(cores.dropDuplicates(["anchor", "context", "step"]), "repeats-cores")
-    many = materialise(cores.groupBy("core").count().where("count > 1"), "repeats-members")
-    small = cores.join(many.where(f"count <= {MOST}"), "core", "left_semi").select(cores.columns)
-    large = cores.join(many.where(f"count > {MOST}"), "core", "left_semi").select(cores.columns)
-    found = _sorted_cores(small).union(_hashed_cores(large))
+    cores = cores.dropDuplicates(["anchor", "context", "step"]).withColumn("id", F.xxhash64("core", "before", "after"))
+    cores = materialise(cores, "repeats-cores")
+    strings = materialise(cores.groupBy("core", "before", "after", "id").agg(F.count("*").alias("n")), "repeats-strings")
+    many = materialise(strings.groupBy("core").count().where("count > 1"), "repeats-members")
+    members = lambda size: strings.join(many.where(size), "core", "left_semi").select("core", "before", "after", "id")
+    found = _sorted_cores(members(f"count <= {MOST}")).union(_hashed_cores(members(f"count > {MOST}")))
+    # a member's twin has all of its strings
+    twins = strings.where(f"n > 1 and octet_length(before) + octet_length(after) >= {STEP - 1}")
+    found = found.union(twins.selectExpr("id", "cast(-octet_length(before) as int) as lo", f"cast(least(0, octet_length(after) - {STEP - 1}) as int) as hi"))
+    found = found.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = materialise(cores.select("anchor", "context", "step", "id").join(found, "id"), "repeats-found")
     part = ctx.join(found, ["anchor", "context"]).selectExpr("key", f"at - {STEP} * step + lo as start", f"at - {STEP} * step + hi + {SPAN} as end")
     return materialise(whole.union(part), "repeats-intervals")
 
