@@ -13,7 +13,8 @@ Isolation Forest (Liu, Ting & Zhou, 2008) is not in MLlib:
 * growing — ``applyInPandas`` grows one tree per ``tree_id`` from its 256
   rows with a RNG seeded by the tree id (deterministic reruns);
 * scoring — the forest (≤ 100 × 511 nodes, bounded by construction) is shipped
-  to the tasks and ``mapInPandas`` scores every row in Arrow batches.
+  to the tasks and ``mapInArrow`` scores every row, carrying its features, so
+  nothing is joined back.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exact import money, ratio_round, sql_ratio_round
 from ..oracle.adapter_sql import with_star
-from ..operators.global_rank import discrete_quantiles, exact_quantiles
+from ..operators.global_rank import discrete_quantiles
 from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
 from ..plans.registry import report
-from ..session import checkpoint_root
+from ..session import checkpoint_root, scratch_path
 from ..sources.adapter import Star
 from .scalars import one_row, with_scalars
 
@@ -125,7 +129,7 @@ def p13(st: Star) -> DataFrame:
     f = order_iqr(st).filter(F.col("iqr_flag"))
     return f.select(
         "order_id", "total_payment", "item_count", "delivery_duration_days", *IQR_NAMES
-    ).orderBy("order_id")
+    )
 
 
 # ---------------------------------------------------------------- monthly IQR (p16)
@@ -253,88 +257,94 @@ def _make_scorer(nodes: pd.DataFrame):
                 np.array([_c(s) for s in g["size"].to_numpy()]),
             )
         )
-    c_norm = _c(SAMPLE)
+    sizes = nodes.loc[nodes["node"] == 0, "size"]  # the rows that each tree has seen
+    c_norm = _c(float(sizes.mean())) if len(sizes) else 0.0
+
+    def path_scores(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        rows = np.arange(len(x))
+        for feat, thr, left, right, cadj in trees:
+            node = np.zeros(len(x), dtype=np.int64)
+            depth = np.zeros(len(x))
+            while True:
+                f = feat[node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                fi = np.where(inner, f, 0)
+                go_left = x[rows, fi] < thr[node]
+                nxt = np.where(go_left, left[node], right[node])
+                node = np.where(inner, nxt, node)
+                depth = depth + inner
+            total += depth + cadj[node]
+        return -(np.power(2.0, -(total / len(trees)) / c_norm) if c_norm > 0 else np.full(len(x), 0.5))
 
     def score(batches):
-        for pdf in batches:
-            x = pdf[["f0", "f1", "f2"]].to_numpy(dtype="float64")
-            total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feat, thr, left, right, cadj in trees:
-                node = np.zeros(len(x), dtype=np.int64)
-                depth = np.zeros(len(x))
-                while True:
-                    f = feat[node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    fi = np.where(inner, f, 0)
-                    go_left = x[rows, fi] < thr[node]
-                    nxt = np.where(go_left, left[node], right[node])
-                    node = np.where(inner, nxt, node)
-                    depth = depth + inner
-                total += depth + cadj[node]
-            s = np.power(2.0, -(total / len(trees)) / c_norm) if c_norm > 0 else np.full(len(x), 0.5)
-            yield pd.DataFrame({"order_id": pdf["order_id"], "raw_score": -s})
+        for b in batches:
+            x = np.column_stack([pc.cast(b.column(c), pa.float64()).to_numpy(zero_copy_only=False) for c in FEATURES]) if b.num_rows else np.zeros((0, 3))
+            whole = ~np.isnan(x).any(axis=1)
+            out = np.full(len(x), np.nan)
+            if whole.any():
+                out[whole] = path_scores(x[whole])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, from_pandas=True)], [*b.schema.names, "raw_score"])
 
     return score
 
 
-def isolation_scores(st: Star) -> DataFrame:
-    """order_id, features and if_score (lower = stranger; < 0 is flagged at 2% contamination)."""
-    feats = delivered_features(st)
-    x = _feature_matrix(feats)
-    nodes = grow_forest(x).toPandas()  # bounded: ≤ N_TREES · (2·SAMPLE − 1) rows
-    scored = x.select("order_id", "f0", "f1", "f2").mapInPandas(_make_scorer(nodes), "order_id string, raw_score double")
-    # The offset and the output both read the scores: score once (the Python
-    # pass over every order) and keep the two narrow columns in the shared
-    # checkpoint folder rather than re-running the forest.
-    checkpoint_root(scored.sparkSession)
-    scored = scored.checkpoint(eager=True)
-    offset = exact_quantiles(scored, "raw_score", {"_offset": CONTAMINATION}, tiebreak="order_id")
-    out = with_scalars(scored, offset).select(
-        "order_id", (F.col("raw_score") - F.col("_offset")).alias("if_score")
-    )
-    return feats.join(out, "order_id").select(
+def scored_orders(st: Star) -> DataFrame:
+    """Every delivered order with its features, if_score (lower = stranger;
+    below 0 is flagged at 2% contamination; null where a feature is missing) and
+    if_flag.  The features are joined once and written, and so are the scores:
+    what reads this runs neither the joins nor the forest again."""
+    spark = st.orders.sparkSession
+    path = scratch_path(spark, "order-features")
+    delivered_features(st).write.parquet(path)
+    feats = spark.read.parquet(path)
+    nodes = grow_forest(_feature_matrix(feats)).toPandas()  # bounded: ≤ N_TREES · (2·SAMPLE − 1) rows
+    narrow = feats.select("order_id", *FEATURES)
+    schema = T.StructType([*narrow.schema.fields, T.StructField("raw_score", T.DoubleType())])
+    path = scratch_path(spark, "order-scores")
+    narrow.mapInArrow(_make_scorer(nodes), schema).write.parquet(path)
+    scored = spark.read.parquet(path)
+    offset = discrete_quantiles(scored, ["raw_score"], {"offset": CONTAMINATION})
+    score = F.col("raw_score") - F.col("raw_score__offset")
+    return with_scalars(scored, offset).select(
         "order_id",
-        "total_payment",
-        "item_count",
-        F.col("delivery_duration_days"),
-        "if_score",
-        (F.col("if_score") < 0).alias("if_flag"),
+        (F.col("total_payment_cents").cast("decimal(20,0)") * F.lit(0.01).cast("decimal(2,2)")).cast(feats.schema["total_payment"].dataType).alias("total_payment"),
+        (F.col("delivery_tenths").cast("decimal(10,0)") * F.lit(0.1).cast("decimal(1,1)")).cast(feats.schema["delivery_duration_days"].dataType).alias("delivery_duration_days"),
+        *FEATURES,
+        score.alias("if_score"),
+        F.coalesce(score < 0, F.lit(False)).alias("if_flag"),
     )
 
 
-@report("p14_isolation_forest", None, note="rows-only: randomised model (seeded); scored with mapInPandas")
+def isolation_scores(st: Star) -> DataFrame:
+    return scored_orders(st).select("order_id", "total_payment", "item_count", "delivery_duration_days", "if_score", "if_flag")
+
+
+@report("p14_isolation_forest", None, note="rows-only: randomised model (seeded); every delivered order, scored in Arrow batches")
 def p14(st: Star) -> DataFrame:
-    return isolation_scores(st).orderBy("if_score", "order_id")
+    return isolation_scores(st)
 
 
 def order_anomalies(st: Star) -> DataFrame:
-    iq = order_iqr(st).select("order_id", "iqr_flag")
-    ifs = isolation_scores(st)
-    j = ifs.join(iq, "order_id", "full").join(
-        delivered_features(st).select("order_id", F.col("total_payment").alias("_tp"), F.col("item_count").alias("_ic"),
-                                      F.col("delivery_duration_days").alias("_dd")),
+    flagged = iqr_flags(scored_orders(st), FEATURES, IQR_NAMES).filter(F.col("iqr_flag") | F.col("if_flag"))
+    return flagged.select(
         "order_id",
-    )
-    j = j.select(
-        "order_id",
-        F.coalesce("total_payment", "_tp").alias("total_payment"),
-        F.coalesce("item_count", "_ic").alias("item_count"),
-        F.coalesce("delivery_duration_days", "_dd").alias("delivery_duration_days"),
+        "total_payment",
+        "item_count",
+        "delivery_duration_days",
         "if_score",
-        F.coalesce("iqr_flag", F.lit(False)).alias("iqr_flag"),
-        F.coalesce("if_flag", F.lit(False)).alias("if_flag"),
+        "iqr_flag",
+        "if_flag",
+        (F.col("iqr_flag") & F.col("if_flag")).alias("both_flag"),
+        F.lit("order").alias("level"),
     )
-    return j.filter(F.col("iqr_flag") | F.col("if_flag")).withColumn(
-        "both_flag", F.col("iqr_flag") & F.col("if_flag")
-    ).withColumn("level", F.lit("order"))
 
 
 @report("p15_anomaly_union", None, note="rows-only: depends on the Isolation Forest")
 def p15(st: Star) -> DataFrame:
-    return order_anomalies(st).orderBy("order_id")
+    return order_anomalies(st)
 
 
 def anomalies_report(st: Star, limit: int = 50) -> DataFrame:
@@ -371,7 +381,7 @@ def s10(st: Star) -> DataFrame:
 
 @report("e06_score_histogram", None, note="rows-only: Isolation-Forest score histogram, 0.05 bins")
 def e06(st: Star) -> DataFrame:
-    s = isolation_scores(st)
+    s = isolation_scores(st).filter(F.col("if_score").isNotNull())
     b = F.floor(F.col("if_score") / 0.05)
     return (
         s.groupBy(b.alias("_b"))
@@ -395,9 +405,18 @@ def e06(st: Star) -> DataFrame:
     note="normal vs IQR-anomalous delivered orders",
 )
 def e07(st: Star) -> DataFrame:
-    f = order_iqr(st)
+    return feature_summary(order_iqr(st).withColumn("is_anomaly", F.col("iqr_flag")))
+
+
+@report("e07b_anomaly_feature_dist_union", None, note="rows-only: normal orders vs those that IQR or the Isolation Forest flags")
+def e07b(st: Star) -> DataFrame:
+    f = iqr_flags(scored_orders(st), FEATURES, IQR_NAMES)
+    return feature_summary(f.withColumn("is_anomaly", F.col("iqr_flag") | F.col("if_flag")))
+
+
+def feature_summary(f: DataFrame) -> DataFrame:
     return (
-        f.groupBy(F.col("iqr_flag").alias("is_anomaly"))
+        f.groupBy("is_anomaly")
         .agg(
             F.count(F.lit(1)).alias("order_count"),
             ratio_round(F.sum("total_payment_cents"), F.count("total_payment_cents"), 2).alias("avg_total_payment"),

@@ -110,143 +110,76 @@ def ntile(rn: Column, n: Column, buckets: int) -> Column:
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], tiebreak: str | None = None) -> DataFrame:
-    """One-row DataFrame with linear-interpolated quantiles of ``value``.
-
-    Matches ``quantile_cont`` / pandas' default: position p·(N−1) over the
-    ascending values, interpolated between its floor and ceiling.  NULLs are
-    ignored.  Values should be integral (cents, tenths) for exact results.
-    """
-    base = df.select(F.col(value).alias("_v"), *([F.col(tiebreak).alias("_t")] if tiebreak else [])).filter(
-        F.col("_v").isNotNull()
-    )
-    order = [("_v", True)] + ([("_t", True)] if tiebreak else [])
-    numbered = global_row_number(base, order, count_out="_n")
-    aggs = []
-    needed = []
-    for name, p in probs.items():
-        pos = (F.col("_n") - 1).cast("double") * F.lit(p)
-        lo = F.floor(pos).cast("long") + 1
-        hi = F.ceil(pos).cast("long") + 1
-        frac = pos - F.floor(pos)
-        needed.append((F.col("_rn") == lo) | (F.col("_rn") == hi))
-        aggs.append((name, lo, hi, frac))
-    cond = needed[0]
-    for c in needed[1:]:
-        cond = cond | c
-    picked = numbered.filter(cond)
-    out = []
-    for name, lo, hi, frac in aggs:
-        v_lo = F.max(F.when(F.col("_rn") == lo, F.col("_v").cast("double")))
-        v_hi = F.max(F.when(F.col("_rn") == hi, F.col("_v").cast("double")))
-        f = F.max(frac)
-        out.append((v_lo + (v_hi - v_lo) * f).alias(name))
-    return picked.agg(*out)
-
-
-# ---------------------------------------------------------------- integer quantiles without a sort
+# ---------------------------------------------------------------- quantiles without a sort
 
 _ACCURACY = 10000
-_MAX_BRACKET_VALUES = 1_000_000
+_MARGIN = 4.0 / _ACCURACY
 
 
 def discrete_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of integer-valued columns, no global sort.
+    """Exact linear-interpolated quantiles of numeric columns by distributed
+    selection, without a sort.
 
-    Pass 1 (one aggregation): N and a mergeable approximate-quantile sketch
-    per column bracket every target rank.  Pass 2 (one aggregation + one
-    grouped count): the exact number of values below each bracket and the
-    histogram of the distinct values inside it.  Walking the small histogram
-    gives the exact order statistics.  Only scalars and bracket histograms
-    (bounded by ``_MAX_BRACKET_VALUES`` distinct integers) reach the driver;
-    if a bracket would be wider, or misses its target rank, the column falls
-    back to the distributed sort of :func:`exact_quantiles`.
+    Two aggregations with mergeable quantile sketches narrow each target rank
+    down to a bracket of values that holds about a millionth of the rows (or one
+    value with many copies).  A third pass counts, per target, the values of the
+    bracket, with all smaller ones as one, and picks the order statistics from
+    their running total.  Equal values are counted before they are shuffled, so
+    a value of a third of all rows is no hot key; the driver sees the brackets
+    and the result only.
 
     Returns one row with columns ``<col>__<prob name>``.
     """
     spark = df.sparkSession
-    # The passes below read only these columns: materialise the narrow
-    # projection once (memory, spilling to disk) instead of recomputing the
-    # upstream joins per pass; released before returning.
-    df = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    eps = 4.0 / _ACCURACY
-    names = list(probs)
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-eps, eps)})
-    aggs = []
-    for c in cols:
-        aggs.append(F.count(c).alias(f"{c}__n"))
-        aggs.append(F.percentile_approx(F.col(c), grid, _ACCURACY).alias(f"{c}__approx"))
-        aggs.append(F.min(c).alias(f"{c}__min"))
-        aggs.append(F.max(c).alias(f"{c}__max"))
-    stats = df.agg(*aggs).first()
-
-    result: dict[str, float | None] = {}
-    plans = {}
+    # the passes read only these columns: keep the narrow projection (memory,
+    # spilling to disk) instead of recomputing the upstream joins
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-_MARGIN, _MARGIN)})
+    stats = df.agg(
+        *[F.count(c).alias(f"{c}__n") for c in cols],
+        *[F.percentile_approx(c, grid, _ACCURACY).alias(f"{c}__q") for c in cols],
+        *[f(c).alias(f"{c}__{f.__name__}") for c in cols for f in (F.min, F.max)],
+    ).first()
+
+    targets = {}  # key: (column, position, bracket)
     for c in cols:
-        n = stats[f"{c}__n"]
-        if not n:
-            for name in names:
-                result[f"{c}__{name}"] = None
+        if not stats[f"{c}__n"]:
             continue
-        approx = dict(zip(grid, stats[f"{c}__approx"]))
-        brackets = []
-        for name in names:
-            p = probs[name]
-            pos = (n - 1) * p
-            lo_i, hi_i = math.floor(pos), math.ceil(pos)
-            b_lo = approx[min(1.0, max(0.0, p - eps))] if p - eps > 0 else stats[f"{c}__min"]
-            b_hi = approx[min(1.0, max(0.0, p + eps))] if p + eps < 1 else stats[f"{c}__max"]
-            brackets.append((name, lo_i, hi_i, pos - lo_i, int(b_lo), int(b_hi)))
-        if any(b[5] - b[4] + 1 > _MAX_BRACKET_VALUES for b in brackets):
-            plans[c] = None
-        else:
-            plans[c] = brackets
-
-    # pass 2: counts below each bracket and the in-bracket histograms, all columns at once
-    below_aggs, hits = [], []
-    for c, brackets in plans.items():
-        if brackets is None:
-            continue
-        for name, _, _, _, b_lo, b_hi in brackets:
-            below_aggs.append(F.count(F.when(F.col(c) < b_lo, 1)).alias(f"{c}__{name}__below"))
-            hits.append(
-                F.when(F.col(c).between(b_lo, b_hi), F.struct(F.lit(f"{c}__{name}").alias("q"), F.col(c).cast("long").alias("v")))
-            )
-    below = df.agg(*below_aggs).first() if below_aggs else None
-    hists: dict[str, list] = {}
-    if hits:
-        # One scan and one shuffle for every bracket: each row emits the
-        # (bracket, value) pairs it falls in (usually none), then one count.
-        pairs = df.select(F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
-        allh = pairs.groupBy(F.col("h.q").alias("q"), F.col("h.v").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        for r in allh.collect():  # bounded: distinct integers inside narrow brackets
-            hists.setdefault(r.q, []).append((r.v, r.k))
-
-    fallback = [c for c, b in plans.items() if b is None]
-    for c, brackets in plans.items():
-        if brackets is None:
-            continue
-        for name, lo_i, hi_i, frac, _, _ in brackets:
-            key = f"{c}__{name}"
-            start = below[f"{key}__below"]
-            h = sorted(hists.get(key, []))
-            vals = {}
-            acc = start
-            for v, k in h:
-                for idx in (lo_i, hi_i):
-                    if acc <= idx < acc + k:
-                        vals[idx] = float(v)
-                acc += k
-            if lo_i not in vals or hi_i not in vals:
-                fallback.append(c)
-                break
-            result[key] = vals[lo_i] + (vals[hi_i] - vals[lo_i]) * frac
-    for c in dict.fromkeys(fallback):
-        row = exact_quantiles(df, c, probs).first()
-        for name in names:
-            result[f"{c}__{name}"] = row[name]
-
+        at = dict(zip(grid, stats[f"{c}__q"]))
+        for name, p in probs.items():
+            lo = at[p - _MARGIN] if p > _MARGIN else stats[f"{c}__min"]
+            hi = at[p + _MARGIN] if p < 1 - _MARGIN else stats[f"{c}__max"]
+            targets[f"{c}__{name}"] = (c, (stats[f"{c}__n"] - 1) * p, lo, hi)
+
+    result: dict[str, float] = {}
+    if targets:
+        steps = [i / 200 for i in range(201)]
+        inside = df.agg(
+            *[F.count(F.when(F.col(c) < lo, 1)).alias(f"{k}__below") for k, (c, _, lo, _) in targets.items()],
+            *[F.max(F.when(F.col(c) < lo, F.col(c))).alias(f"{k}__under") for k, (c, _, lo, _) in targets.items()],
+            *[F.min(F.when(F.col(c) > hi, F.col(c))).alias(f"{k}__over") for k, (c, _, _, hi) in targets.items()],
+            *[F.count(F.when(F.col(c).between(lo, hi), 1)).alias(f"{k}__n") for k, (c, _, lo, hi) in targets.items()],
+            *[F.percentile_approx(F.when(F.col(c).between(lo, hi), F.col(c)), steps, _ACCURACY).alias(f"{k}__q") for k, (c, _, lo, hi) in targets.items()],
+        ).first()
+        rows = []
+        for k, (c, pos, lo, hi) in targets.items():
+            n, share = inside[f"{k}__n"], pos - inside[f"{k}__below"]
+            first = math.floor(max(0.0, math.floor(share) / n - _MARGIN) * 200)
+            last = math.ceil(min(1.0, (math.ceil(share) + 1) / n + _MARGIN) * 200)
+            lo, hi = inside[f"{k}__q"][first] if first else lo, inside[f"{k}__q"][last] if last < 200 else hi
+            value = F.when(F.col(c) < lo, F.lit(float("-inf"))).when(F.col(c) <= hi, F.col(c))
+            rows.append(F.struct(F.lit(k).alias("k"), value.alias("v"), F.lit(math.floor(pos)).alias("lo"), F.lit(math.ceil(pos)).alias("hi")))
+        values = df.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("v is not null")
+        counted = values.groupBy("k", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("n"))
+        running = F.sum("n").over(Window.partitionBy("k").orderBy("v"))  # the values of a bracket
+        placed = counted.withColumn("end", running)
+        held = lambda at: F.max(F.when((F.col(at) >= F.col("end") - F.col("n")) & (F.col(at) < F.col("end")), F.col("v")))
+        for r in placed.groupBy("k").agg(held("lo").alias("a"), held("hi").alias("b")).collect():  # a row per target
+            pos = targets[r["k"]][1]
+            # in few rows the margin is less than a rank: the neighbours of the first bracket
+            a = inside[f"{r['k']}__under"] if r["a"] in (None, float("-inf")) else r["a"]
+            b = inside[f"{r['k']}__over"] if r["b"] is None else a if r["b"] == float("-inf") else r["b"]
+            result[r["k"]] = a + (b - a) * (pos - math.floor(pos))
     df.unpersist()
-    fields = [f"{c}__{name}" for c in cols for name in names]
-    schema = ", ".join(f"`{f}` double" for f in fields)
-    return spark.createDataFrame([tuple(result[f] for f in fields)], schema)
+    fields = [f"{c}__{name}" for c in cols for name in probs]
+    return spark.createDataFrame([tuple(result.get(f) for f in fields)], ", ".join(f"`{f}` double" for f in fields))

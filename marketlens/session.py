@@ -7,6 +7,7 @@ partitions, checkpoint directory, AQE knobs) always win.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -91,7 +92,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return local
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path under the shared checkpoint folder."""
+    """A unique path under the shared checkpoint folder.  What is written there
+    may be read until the application calls ``remove_scratch`` or ends."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def is_scratch(spark: SparkSession, path: str) -> bool:
+    """Whether a scratch path of this application is still there."""
+    return path in _SCRATCH.get(spark.sparkContext.applicationId, [])
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this application; frames that read them are
+    void from then on.  Returns how many there were."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        remove_scratch(spark)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..operators.joins import bounded_broadcast
 from ..oracle.adapter_sql import with_star
 from ..plans.registry import report
-from ..session import scratch_path
+from ..session import is_scratch, scratch_path
 from .adapter import Star
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
@@ -102,7 +102,7 @@ def export_raw_csv(spark: SparkSession, st: Star, name: str) -> str:
     """Write one raw CSV export, once per application and source, and return
     its folder.  A star without a source is written anew each time."""
     key = (spark.sparkContext.applicationId, st.source or "", name)
-    if st.source is None or key not in _EXPORTS:
+    if st.source is None or not is_scratch(spark, _EXPORTS.get(key, "")):
         path = scratch_path(spark, f"raw-{name}")
         _as_text(_raw_frame(st, name)).write.options(**CSV_OPTIONS).csv(path)
         if st.source is None:

@@ -15,7 +15,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from marketlens.session import apply_defaults
+    from marketlens.session import apply_defaults, remove_scratch
 
     s = (
         SparkSession.builder.master("local[4]")
@@ -29,6 +29,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     apply_defaults(s)
     yield s
+    remove_scratch(s)
     s.stop()
 
 

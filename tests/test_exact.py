@@ -6,7 +6,9 @@ import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marketlens.functions.exact import ratio_round, sql_ratio_round
+from pyspark.sql import functions as F
+
+from marketlens.functions.exact import pct, ratio_round, sql_pct, sql_ratio_round
 
 
 def expected(n: int, d: int, k: int) -> float:
@@ -21,6 +23,14 @@ def test_sql_ratio_round_matches_decimal(n, d, k):
     assert got == expected(n, d, k)
 
 
+def test_shares_of_huge_totals(spark):
+    """Cents of a table of about 100 TB: the share formulas stay in range."""
+    cents = 7_510_110_20 * 10**7
+    row = spark.range(1).select(pct(F.lit(cents), F.lit(3 * cents), 2).alias("p"), ratio_round(F.lit(-cents), F.lit(7), 2).alias("r")).first()
+    assert row.p == 33.33 and row.r == expected(-cents, 7, 2)
+    assert duckdb.sql(f"SELECT {sql_pct(str(cents), f'3 * {cents}::HUGEINT', 2)}").fetchall()[0][0] == 33.33
+
+
 def test_spark_ratio_round_matches_decimal(spark):
     import random
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketlens.operators.global_rank import (
     add_dense_rank,
     add_rank,
-    exact_quantiles,
+    discrete_quantiles,
     global_row_number,
     ntile,
 )
@@ -55,14 +55,26 @@ def test_ntile_remainder_groups(spark):
         assert [r.t for r in got] == [r.t for r in ref]
 
 
-def test_exact_quantiles_match_numpy(spark):
+def test_quantiles_of_a_hot_value_match_numpy(spark):
     rng = np.random.default_rng(11)
     vals = rng.integers(0, 10_000, 1001).tolist() + [5] * 300
     df = spark.createDataFrame([(int(v),) for v in vals], "v long")
-    q = exact_quantiles(df, "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75, "p2": 0.02}).first()
+    q = discrete_quantiles(df, ["v"], {"q1": 0.25, "q2": 0.5, "q3": 0.75, "p2": 0.02}).first()
     arr = np.array(vals, dtype=float)
     for name, p in {"q1": 0.25, "q2": 0.5, "q3": 0.75, "p2": 0.02}.items():
-        assert abs(q[name] - np.quantile(arr, p)) < 1e-9
+        assert abs(q[f"v__{name}"] - np.quantile(arr, p)) < 1e-9
+
+
+def test_quantiles_of_few_rows_match_numpy(spark):
+    probs = {"a": 0.02, "b": 0.25, "c": 0.5, "d": 0.75, "e": 1.0}
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 986):
+        vals = rng.integers(-50, 50, n).astype(float)
+        got = discrete_quantiles(spark.createDataFrame([(float(v),) for v in vals], "v double"), ["v"], probs).first()
+        for name, p in probs.items():
+            assert abs(got[f"v__{name}"] - np.quantile(vals, p)) < 1e-9, (n, p)
+    empty = discrete_quantiles(spark.createDataFrame([], "v double"), ["v"], probs).first()
+    assert all(x is None for x in empty)
 
 
 def test_no_single_partition_exchange_over_rows(spark):
@@ -77,9 +89,7 @@ def test_no_single_partition_exchange_over_rows(spark):
     assert "SinglePartition" in plain._jdf.queryExecution().executedPlan().toString()
 
 
-def test_discrete_quantiles_match_numpy_and_sort_path(spark):
-    from marketlens.operators.global_rank import discrete_quantiles
-
+def test_discrete_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2_000_000, 20001).tolist()  # wide domain
     b = (rng.integers(0, 5, 20001) * 3).tolist()  # heavy ties
