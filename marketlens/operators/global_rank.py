@@ -116,9 +116,10 @@ _ACCURACY = 10000
 _MARGIN = 4.0 / _ACCURACY
 
 
-def discrete_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of numeric columns by distributed
-    selection, without a sort.
+def discrete_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float], lower: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles of numeric columns (with ``lower`` the
+    value at the position rounded down) by distributed selection, without a
+    sort.
 
     Two aggregations with mergeable quantile sketches narrow each target rank
     down to a bracket of values that holds about a millionth of the rows (or one
@@ -179,7 +180,7 @@ def discrete_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, floa
             # in few rows the margin is less than a rank: the neighbours of the first bracket
             a = inside[f"{r['k']}__under"] if r["a"] in (None, float("-inf")) else r["a"]
             b = inside[f"{r['k']}__over"] if r["b"] is None else a if r["b"] == float("-inf") else r["b"]
-            result[r["k"]] = a + (b - a) * (pos - math.floor(pos))
+            result[r["k"]] = a if lower else a + (b - a) * (pos - math.floor(pos))
     df.unpersist()
     fields = [f"{c}__{name}" for c in cols for name in probs]
     return spark.createDataFrame([tuple(result.get(f) for f in fields)], ", ".join(f"`{f}` double" for f in fields))
