@@ -7,6 +7,8 @@ orders_en (enriched orders), order_items, payments, reviews.
 
 from __future__ import annotations
 
+from ..functions.exact import sql_cents, sql_tenths
+
 
 def _tenths(start: str, end: str) -> str:
     s = f"date_diff('second', {start}, {end})"
@@ -160,3 +162,36 @@ def with_star(body: str, ctes: str = "", recursive: bool = False) -> str:
     """Wrap a report: ``WITH [RECURSIVE] <star>, <ctes> <body>``."""
     extra = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
     return f"WITH {'RECURSIVE ' if recursive else ''}{STAR_CTES}{extra}\n{body.strip()}"
+
+
+#: One row per delivered order, with its buyer, payments, items and reviews
+#: already added up.  Reports that are defined on joined rows weight these
+#: figures by how many rows the other tables hold for the order.
+ORDER_GRAIN = f"""per_payment AS (
+    SELECT order_id, count(*) AS pay_n, CAST(sum({sql_cents('payment_value')}) AS BIGINT) AS pay_c,
+        CAST(sum(DISTINCT {sql_cents('payment_value')}) AS BIGINT) AS pay_distinct_c,
+        max(payment_type) AS pay_type, max(payment_installments) AS pay_months
+    FROM payments GROUP BY order_id
+),
+per_items AS (
+    SELECT order_id, count(*) AS item_n, CAST(sum({sql_cents('price')}) AS BIGINT) AS price_c,
+        CAST(sum({sql_cents('freight_value')}) AS BIGINT) AS freight_c
+    FROM order_items GROUP BY order_id
+),
+per_review AS (
+    SELECT order_id, count(*) AS review_n, count(review_score) AS score_n, CAST(sum(review_score) AS BIGINT) AS score_s,
+        max(review_score) AS score
+    FROM reviews GROUP BY order_id
+),
+grain AS (
+    SELECT e.*, b.customer_unique_id AS buyer, b.customer_state AS state,
+        {sql_tenths('e.delivery_duration_days')} AS days_t, {sql_tenths('e.delivery_delay_days')} AS delay_t,
+        pay_n, pay_c, pay_distinct_c, pay_type, pay_months, item_n, price_c, freight_c,
+        coalesce(review_n, 1) AS review_w, coalesce(score_n, 0) AS score_n, score_s, score,
+        coalesce(review_n, 0) AS review_n
+    FROM (SELECT * FROM orders_en WHERE order_status = 'delivered') e
+    JOIN customers b USING (customer_id)
+    LEFT JOIN per_payment USING (order_id)
+    LEFT JOIN per_items USING (order_id)
+    LEFT JOIN per_review USING (order_id)
+)"""

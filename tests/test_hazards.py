@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.operators.anomalies import _c, _grow_tree, iqr_flags
 from marketlens.operators.forecast import with_trends
 from marketlens.plans.advanced import next_month, value_tier
-from marketlens.plans.intermediate import delay_bucket
+from marketlens.plans.intermediate import delay_bucket_sql
 from marketlens.sources.adapter import category
 from marketlens.sources.ingest import dedup_reviews
 
@@ -16,7 +16,7 @@ from marketlens.sources.ingest import dedup_reviews
 def test_delay_bucket_edges(spark):
     vals = ["-14.1", "-14.0", "-7.1", "-7.0", "-0.1", "0.0", "7.0", "7.1", "14.0", "14.1"]
     df = spark.createDataFrame([(Decimal(v),) for v in vals], "d decimal(6,1)")
-    got = [r.b for r in df.select(delay_bucket(F.col("d")).alias("b")).collect()]
+    got = [r.b for r in df.select(F.expr(delay_bucket_sql("d")).alias("b")).collect()]
     assert got == [
         "> 14 days early", "8-14 days early", "8-14 days early", "1-7 days early", "1-7 days early",
         "exactly on time", "1-7 days late", "8-14 days late", "8-14 days late", "> 14 days late",
