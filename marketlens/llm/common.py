@@ -23,11 +23,20 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Set where unset: what passes between a task and its Python worker at a time.
+#: Texts are long, and both sides hold a batch or two.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+
+
 def prepared(df: DataFrame) -> SparkSession:
     """The frame's session, with this package on the executors' path and unset
     settings filled in."""
-    apply_defaults(df.sparkSession)
-    return df.sparkSession
+    spark = df.sparkSession
+    apply_defaults(spark)
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -50,7 +50,7 @@ STEP = 64
 #: Members of a core that are sorted in a task.
 MOST = 1000
 #: Symbols that a task sorts at a time.
-SORT = 1 << 17
+SORT = 1 << 15
 
 _U = np.uint64
 _LOW = 24
