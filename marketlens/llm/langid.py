@@ -44,7 +44,8 @@ MIN_SCORE = 0.4
 #: Code points of a text that are turned into n-grams at a time.
 PIECE = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+def _lettered(text: str) -> bool:
+    return any(c.isalpha() for c in text)
 _U = np.uint64
 
 
@@ -155,7 +156,7 @@ class Model:
         self.labels, self.idf, self.w, self.b, self.temperature = labels, idf, w, b, temperature
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.labels or not _LETTER.search(text):
+        if not text or not self.labels or not _lettered(text):
             return "und", 0.0
         at, x = vector(text, self.idf)
         p = _softmax((x @ self.w[at] + self.b) / self.temperature)
@@ -182,7 +183,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     def run(batches):
         for b in arrow_rows(batches):
             ids, texts, langs = (c.to_pylist() for c in b.columns)
-            out = [(k, t, zlib.crc32(str(i).encode()) % 4 == 3, *vector(t, idf)) for i, t, k in zip(ids, texts, langs) if _LETTER.search(t)]
+            out = [(k, t, zlib.crc32(str(i).encode()) % 4 == 3, *vector(t, idf)) for i, t, k in zip(ids, texts, langs) if _lettered(t)]
             if out:
                 k, t, late, at, x = zip(*out)
                 key = [int(mix(np.array([zlib.crc32(v.encode())], np.uint64))[0] >> _U(1)) for v in t]
