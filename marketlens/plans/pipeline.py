@@ -254,18 +254,17 @@ def p19(st: Star) -> DataFrame:
                 F.lit(f"orphan {child}.{ck} -> {parent}").alias("check_name"), F.lit(child).alias("table_name"), "violations"
             )
         )
+    # one pass per table finds its repeated keys and its missing values
     for t, keys in PRIMARY_KEYS.items():
-        dup = frames[t].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        rows.append(
-            dup.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations")).select(
-                F.lit(f"duplicate key {t}({', '.join(keys)})").alias("check_name"), F.lit(t).alias("table_name"), "violations"
-            )
+        missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in NOT_NULL[t]])
+        per_key = frames[t].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), cond_count(missing).alias("z"))
+        both = per_key.agg(
+            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("again"),
+            F.coalesce(F.sum("z"), F.lit(0)).cast("bigint").alias("missing"),
         )
-    for t, cols in NOT_NULL.items():
-        cond = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-        rows.append(
-            frames[t].agg(cond_count(cond).alias("violations")).select(
-                F.lit(f"null required column {t}").alias("check_name"), F.lit(t).alias("table_name"), "violations"
-            )
+        checks = F.array(
+            F.struct(F.lit(f"duplicate key {t}({', '.join(keys)})").alias("check_name"), F.col("again").alias("violations")),
+            F.struct(F.lit(f"null required column {t}").alias("check_name"), F.col("missing").alias("violations")),
         )
+        rows.append(both.select(F.explode(checks).alias("c")).select("c.check_name", F.lit(t).alias("table_name"), "c.violations"))
     return reduce(DataFrame.unionByName, rows)

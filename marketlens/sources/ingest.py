@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import bounded_broadcast
 from ..oracle.adapter_sql import with_star
 from ..plans.registry import report
 from ..session import is_scratch, scratch_path
@@ -146,8 +145,7 @@ def clean_products(raw: DataFrame, translation: DataFrame, schema: T.StructType)
         F.nullif(F.col("product_category_name"), F.lit("")).alias("_pt"),
         F.nullif(F.col("product_category_name_english"), F.lit("")).alias("product_category_name_english"),
     )
-    # The translation file is one row per category (bounded domain).
-    j = base.join(bounded_broadcast(tr), base["product_category_name"] == tr["_pt"], "left").drop("_pt")
+    j = base.join(tr, base["product_category_name"] == tr["_pt"], "left").drop("_pt")
     descriptive = [f.name for f in base.schema.fields if f.name != "product_id"]
     incomplete = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in descriptive])
     return j.withColumn("is_incomplete", incomplete).select(*[f.name for f in schema.fields])

@@ -1,9 +1,9 @@
-"""Totals without joins and size-checked broadcasts."""
+"""Totals without joins, and broadcasts by size."""
 
 from pyspark.sql import functions as F
 
-from marketlens.operators.joins import bounded_broadcast
 from marketlens.operators.scalars import one_row, with_group_totals, with_scalars
+from marketlens.sources.adapter import load_star
 
 
 def _plan(df) -> str:
@@ -35,14 +35,15 @@ def test_with_scalars_attaches_every_column(spark):
     assert "Join" not in _plan(with_scalars(rows, ref))
 
 
-def test_bounded_broadcast_only_below_the_bound(spark):
-    dim = spark.range(30).withColumnRenamed("id", "k")
-    fact = spark.range(1000).select((F.col("id") % 30).alias("k"))
-    small = fact.join(bounded_broadcast(dim, max_rows=100), "k")
-    large = fact.join(bounded_broadcast(dim, max_rows=10), "k")
-    assert "BroadcastHashJoin" in _plan(small)
-    # beyond the bound no hint is given: the planner picks (here AQE may still broadcast on runtime size)
-    assert large.count() == small.count() == 1000
-    hinted = small._jdf.queryExecution().analyzed().toString()
-    unhinted = large._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in hinted.lower() and "broadcast" not in unhinted.lower()
+def test_dimensions_are_broadcast_by_size_alone(spark):
+    """The star asks for no broadcast; a small dimension gets one from its
+    statistics, and none once the threshold is below its size."""
+    star = lambda: load_star(spark, "/root/testdata/sf0.001").sellers
+    assert "broadcast" not in star()._jdf.queryExecution().analyzed().toString().lower()
+    assert "BroadcastHashJoin" in _plan(star())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+        assert "SortMergeJoin" in _plan(star())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
