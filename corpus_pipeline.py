@@ -14,7 +14,7 @@ from marketlens.llm.common import materialise, read_table
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents whose language can't be told (no letters, or a
-    score under langid.MIN_SCORE) go."""
+    score within a tenth of chance) go."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.accepted(docs, model)
 

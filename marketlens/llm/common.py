@@ -62,6 +62,12 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def row_order(df: DataFrame) -> Column:
+    """64 bits of all columns (but maps): tells rows apart that agree in id and
+    text, so the choice of one is the same in every run."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() != "map"])
+
+
 def bit_table(df: DataFrame, column: str) -> np.ndarray:
     """A table of 2^k bits, as 64-bit words, with a bit for every value of a
     long column: a filter without false negatives.  Sixteen bits a row, at most

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, bit_table, blocks, has_bit, materialise, prepared, read_table, row_key, text_bytes, whole_row
+from marketlens.llm.common import arrow_rows, bit_table, blocks, has_bit, materialise, prepared, read_table, row_key, row_order, text_bytes, whole_row
 from marketlens.llm.components import connected_components
 from marketlens.llm.shingles import mix, shingle_sets
 
@@ -325,10 +325,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each group: the one of the
     least id (nulls last).  Rows without words stay."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), whole_row(docs).alias("row")).withColumn("key", row_key())
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), whole_row(docs).alias("row"), row_order(docs).alias("order")).withColumn("key", row_key())
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     first = link(docs, id_col, text_col).where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    once = rows.where(worded).join(first.select("first.key"), "key", "left_semi").dropDuplicates(["key"])
+    once = rows.where(worded).join(first.select("first.key"), "key", "left_semi").groupBy("key").agg(F.min_by("row", "order").alias("row"))
     return once.select("row").union(rows.where(~worded).select("row")).select("row.*")
 
 

@@ -39,8 +39,8 @@ SAMPLE_PER_LABEL = 600
 SAMPLE = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-#: Texts with a lower score are rejected by ``accepted``.
-MIN_SCORE = 0.4
+#: ``accepted`` rejects texts whose score is less than this many times chance.
+MIN_LIFT = 1.1
 #: Code points of a text that are turned into n-grams at a time.
 PIECE = 1 << 20
 
@@ -218,8 +218,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return src.mapInArrow(run, f"row {out}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language the model can tell, unchanged."""
+def accepted(docs: DataFrame, model: Model, lift: float = MIN_LIFT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language the model can tell, unchanged: with a
+    letter, and a score that isn't that of a guess among the labels."""
+    least = min(0.5, lift / max(1, len(model.labels)))
     rows = docs.select(docs[text_col].alias("text"), whole_row(docs).alias("row"))
     return predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import materialise, read_table, row_key, whole_row
+from marketlens.llm.common import materialise, read_table, row_key, row_order, whole_row
 
 WEIGHTS = (5, 2, 1)
 #: Target of a source, and repeats of a document, at most.
@@ -101,10 +101,12 @@ def mix(docs: DataFrame, quality: DataFrame, id_col: str = "doc_id", text_col: s
 
 def mixed(docs: DataFrame, quality: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    copies = mix(docs, quality).groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = docs.select(row_key().alias("key"), whole_row(docs).alias("row"))
-    # equal rows stand for each other: one of them, as often as all are taken
-    once = rows.join(copies, "key").dropDuplicates(["key"])
+    copies = mix(docs, quality).groupBy("key", "source").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    copies = copies.select(F.col("key").alias("c_key"), F.col("source").alias("c_source"), "copies")
+    rows = docs.select(row_key().alias("key"), F.col("source").alias("s"), row_order(docs).alias("order"), whole_row(docs).alias("row"))
+    # rows equal in id, text and source stand for each other: one of them, as often as all are taken
+    once = rows.join(copies, (F.col("key") == F.col("c_key")) & F.col("s").eqNullSafe(F.col("c_source")))
+    once = once.groupBy("key", "s", "copies").agg(F.min_by("row", "order").alias("row"))
     return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
