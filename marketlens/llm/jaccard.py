@@ -198,26 +198,29 @@ def _signed(batches, level_of: np.ndarray, seen: set[int]):
             yield sig, single, node, size
 
 
-def _candidate_sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tokens for every node of ``nodes`` (column node), from the texts.
+def _candidate_sets(keyed: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, tokens for every node of ``nodes`` (column node), from the texts
+    of a row each.
     A bit table of bounded size drops most other documents before the join."""
-    cast = keyed.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))
+    keys = materialise(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "jaccard-keys")
+    cast = keyed.sparkSession.sparkContext.broadcast(bit_table(keys, "key"))
 
     def run(batches):
         seen = set()
         for b in arrow_rows(batches):
-            for lo, hi, s, at, fp in _sets(b.column(0)):
-                rows = [k for k in np.flatnonzero(has_bit(cast.value, fp)) if at[k + 1] > at[k] and not (int(fp[k]) in seen or seen.add(int(fp[k])))]
+            b = b.filter(pa.array(has_bit(cast.value, b.column(1).to_numpy().view(np.uint64))))
+            for _, _, s, at, fp in _sets(b.column(0)):
+                rows = [k for k in range(len(fp)) if at[k + 1] > at[k] and not (int(fp[k]) in seen or seen.add(int(fp[k])))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array([s[at[k] : at[k + 1]].view(np.int64) for k in rows], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    found = keyed.select("text").mapInArrow(run, "node long, tokens array<long>").join(nodes, "node", "left_semi")
+    found = keyed.select("text", "key").mapInArrow(run, "node long, tokens array<long>").join(nodes, "node", "left_semi")
     return materialise(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _sets_of(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+def _sets_of(pairs: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """The sets of the nodes of pairs (a, b)."""
-    return _candidate_sets(keyed, materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes"))
+    return _candidate_sets(keyed, rows, materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,7 +297,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     stars = stars.where("a <> b").groupBy("a", "a_n", "b", "b_n").agg(F.count(F.when(F.col("single"), 1)).alias("c"), F.max(~F.col("single")).alias("pairs"))
     best = stars.where(_hopeful()).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).selectExpr("a", "best.b as b")
     best = materialise(best, "jaccard-pairs")
-    links = materialise(_verify(best, _sets_of(best, keyed)), "jaccard-links")
+    links = materialise(_verify(best, _sets_of(best, keyed, rows)), "jaccard-links")
     labels = connected_components(links)
 
     # buckets that still hold several components: pairs across them, with all the signatures that they share
@@ -303,7 +306,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     left = materialise(held.join(open_, "sig", "left_semi").distinct(), "jaccard-open")
     pairs = _pairs_across(left).where(_hopeful()).select("a", "b", "c")
     pairs = materialise(pairs, "jaccard-pairs")
-    sets = _sets_of(pairs, keyed)
+    sets = _sets_of(pairs, keyed, rows)
     for again in range(STARS + 1):  # each node's likeliest pair first, which settles most others; then all that are left
         if pairs.isEmpty():
             break
