@@ -66,6 +66,9 @@ class Star:
 
     # the delivered orders, where they can be told before the status is derived
     delivered_orders: DataFrame | None = None
+    # the same with the buyer's key, and each buyer's state by that key
+    delivered_keys: DataFrame | None = None
+    buyer_states: DataFrame | None = None
     # where the tables come from; results kept per source use it as their key
     source: str | None = None
 
@@ -74,8 +77,19 @@ class Star:
             return self.delivered_orders
         return self.orders.filter(F.col("order_status") == "delivered")
 
+    def delivered_buyers(self, *buyer: str) -> DataFrame:
+        """Delivered orders with the buyer's ``customer_unique_id`` and/or
+        ``customer_state``: by the key that the order holds, if it is known, else
+        by the order-scoped customer table."""
+        if self.delivered_keys is None:
+            return self.delivered().join(self.customers.select("customer_id", *buyer), "customer_id")
+        d = self.delivered_keys.withColumn("customer_unique_id", F.col("o_custkey").cast("string"))
+        if "customer_state" in buyer:
+            d = d.join(self.buyer_states, "o_custkey")
+        return d.drop("o_custkey")
 
-def build_orders(raw_orders: DataFrame) -> DataFrame:
+
+def build_orders(raw_orders: DataFrame, buyer_key: bool = False) -> DataFrame:
     k = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus").isin(*DELIVERED), F.lit("delivered"))
     for i, name in enumerate(OPEN_STATUS_BY_MOD5):
@@ -101,6 +115,7 @@ def build_orders(raw_orders: DataFrame) -> DataFrame:
     )
     estimated = F.to_date(pts).cast("timestamp_ntz") + F.make_dt_interval((20 + k % 13).cast("int"))
     out = base.select(
+        *(["o_custkey"] if buyer_key else []),
         F.col("k").cast("string").alias("order_id"),
         F.concat(F.lit("c"), F.col("k").cast("string")).alias("customer_id"),
         "order_status",
@@ -294,9 +309,13 @@ def load_star(spark: SparkSession, sf_dir: str) -> Star:
     raw_orders = read_raw(spark, sf_dir, "orders")
     nation = read_raw(spark, sf_dir, "nation")
     orders = build_orders(raw_orders)
+    delivered = raw_orders.filter(F.col("o_orderstatus").isin(*DELIVERED))
+    states = read_raw(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return Star(
         source=sf_dir.rstrip("/"),
-        delivered_orders=build_orders(raw_orders.filter(F.col("o_orderstatus").isin(*DELIVERED))),
+        delivered_orders=build_orders(delivered),
+        delivered_keys=build_orders(delivered, buyer_key=True),
+        buyer_states=states.select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("customer_state")),
         customers=build_customers(raw_orders, read_raw(spark, sf_dir, "customer"), nation),
         products=build_products(read_raw(spark, sf_dir, "part")),
         sellers=build_sellers(read_raw(spark, sf_dir, "supplier"), nation),
