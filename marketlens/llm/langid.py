@@ -21,7 +21,6 @@ repeated results; empty table: no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np

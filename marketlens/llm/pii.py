@@ -18,7 +18,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
