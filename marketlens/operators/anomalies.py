@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exact import money, ratio_round, sql_ratio_round
+from ..functions.exact import ratio_round, sql_ratio_round
 from ..oracle.adapter_sql import with_star
 from ..operators.global_rank import discrete_quantiles
 from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
