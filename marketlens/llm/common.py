@@ -114,6 +114,9 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 
 def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that hold rows.  What Arrow has freed goes back to the system
+    at the end of a task: its worker lives on beside others."""
     for b in batches:
         if b.num_rows:
             yield b
+    pa.default_memory_pool().release_unused()

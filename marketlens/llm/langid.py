@@ -189,8 +189,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(late), pa.array(key), pa.array(at, pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in x], pa.list_(pa.float32()))], ["lang", "late", "key", "at", "x"])
 
     rows = picked.mapInArrow(run, "lang string, late boolean, key long, at array<int>, x array<float>").limit(2 * SAMPLE).toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("key", "ascending")]).to_pylist()
-    sets = {late: [(np.array(r["at"]), np.array(r["x"], float), labels.index(r["lang"])) for r in rows if r["late"] == late] for late in (False, True)}
+    rows = rows.sort_by([("lang", "ascending"), ("key", "ascending")]).combine_chunks()
+    # views of the sample's arrays: as Python numbers they would be ten times as large
+    flat = {c: rows[c].chunk(0).values.to_numpy() if rows.num_rows else np.zeros(0) for c in ("at", "x")}
+    ends = rows["at"].chunk(0).offsets.to_numpy() if rows.num_rows else np.zeros(1, int)
+    sets: dict[bool, list] = {False: [], True: []}
+    for i, (lang, late) in enumerate(zip(rows["lang"].to_pylist(), rows["late"].to_pylist())):
+        part = slice(ends[i], ends[i + 1])
+        sets[late].append((flat["at"][part], flat["x"][part], labels.index(lang)))
     fit = sets[False] or sets[True]
     w, b = fit_ftrl(fit, len(labels))
     held = sets[True] or fit
@@ -198,31 +204,37 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return Model(labels, idf, w, b, temperature)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` and lang_pred, score (these names, where
-    ``docs`` has them, are replaced)."""
+def _predicted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """row (all columns of ``docs``), lang_pred, score."""
     cast = prepared(docs).sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    src = docs.select(docs[text_col].alias("text"), whole_row(docs.select(*[f"`{c}`" for c in kept])).alias("row"))
+    src = docs.select(whole_row(docs).alias("row"))
     out = src.schema["row"].dataType.simpleString()
 
     def run(batches):
         m = cast.value
         for b in arrow_rows(batches):
-            _, off = text_bytes(b.column(0))
+            texts = b.column(0).field(text_col)
+            _, off = text_bytes(texts)
             for lo, hi in blocks(off):
-                pred = [m.predict(t) for t in b.column(0).slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array([p[0] for p in pred]), pa.array([p[1] for p in pred])], ["row", "lang_pred", "score"])
+                pred = [m.predict(t) for t in texts.slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([p[0] for p in pred]), pa.array([p[1] for p in pred])], ["row", "lang_pred", "score"])
+
+    return src.mapInArrow(run, f"row {out}, lang_pred string, score double")
 
-    return src.mapInArrow(run, f"row {out}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` and lang_pred, score (these names, where
+    ``docs`` has them, are replaced)."""
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")])
+    return _predicted(kept, model, text_col).select("row.*", "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, model: Model, lift: float = MIN_LIFT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language the model can tell, unchanged: with a
     letter, and a score that isn't that of a guess among the labels."""
     least = min(0.5, lift / max(1, len(model.labels)))
-    rows = docs.select(docs[text_col].alias("text"), whole_row(docs).alias("row"))
-    return predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    found = _predicted(docs, model, text_col)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:
