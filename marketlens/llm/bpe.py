@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm.common import arrow_rows, blocks, prepared, read_table, text_bytes
 
-#: Slices whose merges a worker remembers.
-CACHE_PIECES = 400_000
+#: Slices whose merges a task remembers.
+CACHE_PIECES = 200_000
 #: Pieces of more bytes are merged with a heap.
 LONG_PIECE = 64
 
@@ -278,7 +278,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def _codec(raw: bytes) -> Codec:
-    """One codec a worker and vocabulary, so its cache outlives a task."""
+    """One codec a worker and vocabulary, parsed once."""
     key = hashlib.sha256(raw).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = Codec(parse_ranks(raw))
@@ -303,6 +303,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 texts = [t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()]
                 n, ids, back = zip(*codec.digests(texts))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.seen.clear()  # the worker lives on beside others
 
     return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
