@@ -1,28 +1,41 @@
 """Language-model scores from a hierarchical Pitman-Yor model (operator 8).
 
-Tokens are words (A-Z lower-cased) and one end per document.  The model nests
-restaurants: a word restaurant over all tokens, whose new tables draw the word
-from a spelling model of byte restaurants, one for each context of two bytes;
-contexts that end in the same byte share the parent restaurant of that byte,
-and those share the root over a uniform byte.
-
-* Seating is sampled by Gibbs sweeps.  A sweep seats the customers of every
-  word anew, given the other tables' number and the spelling model of the sweep
-  before; the words' tables are the byte customers, which are seated by context,
-  then by their parents.  Seatings of different words are independent given
-  those totals, so a sweep is one pass over the word table.
+Tokens are words (A-Z lower-cased) and one end per document; a token's context
+is the token before it, a document's first token has the end as context.  The
+model nests restaurants: one for each context, whose new tables draw the word
+from a word restaurant that all contexts share; its new tables draw from a
+spelling model of byte restaurants, one for each context of two bytes; contexts
+that end in the same byte share the parent restaurant of that byte, and those
+share the root over a uniform byte.
+
+* Word pairs are counted in buckets by their hash, so a hot context is spread
+  over all of them and a hot pair is one entry a task.  Pairs that occur once
+  have one table; a context's tables and a word's customers follow from the
+  other pairs' excess of customers over tables.
+* Seating is sampled by Gibbs sweeps.  The first sweeps of the word restaurant
+  take one table for each dish of a context; then all contexts are seated anew
+  for each sweep that is kept, given the words' probabilities so far.  A sweep
+  seats the customers of every word anew, given the other tables' number and the
+  spelling model of the sweep before; the words' tables are the byte customers,
+  which are seated by context, then by their parents.  Seatings of different
+  words are independent given those totals, so a sweep is one pass over the word
+  table.
 * Frequent words are seated in blocks: tables that open while the customers grow
   by a quarter are drawn as one Poisson number.  Draws are hashes of (word,
   sweep, step), so a lost task repeats its own.
-* Predictive probabilities of the last KEPT sweeps are averaged.  The events are
-  the training tokens' types and one unknown type, as in the add-one base: an
+* Predictive probabilities of the last KEPT sweeps are averaged, each level's
+  over the mean of its parent's, so they sum to one in every context.  The events
+  are the training tokens' types and one unknown type, as in the add-one base: an
   unknown word has the probability of any new word, i.e. what the spelling model
-  leaves beside the known ones.  A text's score is the sum of its tokens' log10
+  leaves beside the known ones; an unknown context has no customers and passes
+  on the word restaurant's.  A text's score is the sum of its tokens' log10
   probabilities; perplexity follows.
+* A token whose pair was not seen has probability back(context) * p(word), so the
+  two are summed by word; a seen pair adds its gain over that.
 
 Counts cover all training documents.  Only byte counts (at most 256^3 cells) and
-the HEAD most frequent words' scores meet on the driver; other words meet their
-scores in a join by word.
+the HEAD most frequent words' and pairs' scores meet on the driver; other words
+and pairs meet their scores in joins.
 
 Cases: a null or empty text is one end token; a null doc_id counts as training;
 repeated rows train as often as they occur and get equal scores; nothing to
@@ -37,19 +50,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, blocks, materialise, prepared, read_table, row_key, text_bytes
+from marketlens.llm.common import arrow_rows, bit_table, blocks, has_bit, materialise, prepared, read_table, row_key, text_bytes
 from marketlens.llm.shingles import mix, words
 
 BURN_IN, KEPT = 2, 3
 #: Strength of every restaurant; discounts are estimated, within these bounds.
 STRENGTH = 1.0
 DISCOUNT = (0.05, 0.95)
-#: Words whose scores are broadcast.
+#: Words, and pairs of words, whose scores are broadcast.
 HEAD = 1 << 17
 #: Customers that are seated one by one.
 SINGLY = 24
 #: Distinct words that a task holds before it passes them on.
 HELD = 400_000
+#: Distinct pairs that a task holds before it passes them on, and entries of a
+#: bucket of pairs in expectation.
+PAIRS_HELD, BUCKET = 1 << 20, 1 << 21
 
 _U = np.uint64
 _EDGE = 0x20  # a byte that no word holds: before a word, and after it
@@ -188,7 +204,7 @@ class Sweep:
     def __init__(self, number: int, before: Spelling, total_before: float):
         self.number, self.before, self.total_before = number, before, total_before
         self.after: Spelling | None = None
-        self.total = 0.0
+        self.total, self.customers = 0.0, 0.0
         self.known = 0.0  # probability of the known words in the spelling model
 
     def tables(self, ids: np.ndarray, c: np.ndarray, letters: pa.Array, d: float) -> np.ndarray:
@@ -241,27 +257,212 @@ def _word_table(docs: DataFrame) -> DataFrame:
     return materialise(parts.groupBy("word").agg(F.first("letters").alias("letters"), F.sum("c").alias("c"), F.sum("n").alias("n")), "pitmanyor-words")
 
 
+_R = _U(0x9E3779B97F4A7C15)
+
+
+def _pair(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits of a pair of word hashes."""
+    with np.errstate(over="ignore"):
+        return mix(mix(prev.view(np.uint64) + _R) * _R + word.view(np.uint64))
+
+
+def _grid(x: np.ndarray) -> np.ndarray:
+    """Multiples of 2^-32: sums of a text's scores are exact in any order."""
+    return np.rint(x * 2.0**32) * 2.0**-32
+
+
+def _sequence(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, context and hash of every token, end tokens among them, in order."""
+    n = len(first) - 1
+    word = np.full(len(h) + n, END, np.int64)
+    inner = np.ones(len(word), bool)
+    inner[first[1:] + np.arange(n)] = False
+    word[inner] = h.view(np.int64)
+    return np.repeat(np.arange(n), np.diff(first) + 1), np.roll(word, 1), word
+
+
+def _place(names: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of ``h`` in the ascending ``names``; -1: not there."""
+    if not len(names):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+    return np.where(names[at] == h, at, -1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the high ones (mostly zero) together."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(x: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(x, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
+
+
+def _head(table: DataFrame) -> np.ndarray:
+    """Hashes of the HEAD most frequent words, ascending."""
+    return np.sort(table.select("word", "n").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()["word"].to_numpy())
+
+
+def _pair_table(docs: DataFrame, names: np.ndarray, tokens: int) -> DataFrame:
+    """prev, word, pair (64-bit hash), c (training occurrences), h (others) of
+    the training pairs, without those of two frequent words that occur once in
+    the training texts and nowhere else: these need no table, see ``score``."""
+    cast = docs.sparkSession.sparkContext.broadcast(names)
+    buckets = max(1, -(-tokens // BUCKET))
+
+    def merged(prev, word, c, h):
+        p = _pair(prev, word)
+        o = np.argsort(p)
+        p, prev, word, c, h = p[o], prev[o], word[o], c[o], h[o]
+        new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        return p[new], prev[new], word[new], np.add.reduceat(c, new), np.add.reduceat(h, new)
+
+    def count(batches):
+        names = cast.value
+
+        def coded(x):  # a frequent word by its place from 1 on
+            at = _place(names, x)
+            return np.where(at >= 0, at + 1, x)
+
+        def out(held):
+            p, prev, word, c, h = merged(*(np.concatenate(x) for x in zip(*held)))
+            bucket = ((p >> _U(32)) * _U(buckets)) >> _U(32)
+            prev, word = coded(prev), coded(word)
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(p))
+            rows = list(zip(cut[:-1], cut[1:]))
+            for k in range(0, len(rows), 64):
+                some = rows[k : k + 64]
+                data = [[_packed(x[i:j]) for i, j in some] for x in (prev, word, c, h)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[[i for i, _ in some]].astype(np.int32)), pa.array([int(j - i) for i, j in some], pa.int32()), *[pa.array(x, pa.binary()) for x in data]], ["bucket", "size", "prev", "word", "c", "h"])
+
+        held, size = [], 0
+        for b in arrow_rows(batches):
+            buf, off = text_bytes(b.column(0))
+            train = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in blocks(off):
+                h, _, _, first = words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                row, prev, word = _sequence(h, first)
+                own = train[lo:hi][row]
+                held.append((prev, word, own, 1 - own))
+                size += len(word)
+                if size >= PAIRS_HELD:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    def merge(batches):
+        names = cast.value
+        parts: dict[int, list] = {}
+        for b in arrow_rows(batches):
+            for r in b.to_pylist():
+                parts.setdefault(r["bucket"], []).append([_unpacked(r[k], r["size"], np.int64) for k in ("prev", "word", "c", "h")])
+        for k in list(parts):
+            prev, word, c, h = (np.concatenate(x) for x in zip(*parts.pop(k)))
+            rare = np.zeros(len(c), bool)
+            for x in (prev, word):
+                frequent = (x >= 1) & (x <= len(names))
+                x[frequent] = names[x[frequent] - 1]
+                rare |= ~frequent
+            p, prev1, word1, c1, h1 = merged(prev, word, c, h)
+            tail = np.isin(p, _pair(prev[rare], word[rare])) if rare.any() else np.zeros(len(p), bool)
+            at = np.flatnonzero((c1 > 0) & ((c1 > 1) | (h1 > 0) | tail))
+            for i in range(0, len(at), 100_000):
+                some = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (prev1, word1, p.view(np.int64), c1, h1)], ["prev", "word", "pair", "c", "h"])
+
+    parts = docs.select("text", "train").mapInArrow(count, "bucket int, size int, prev binary, word binary, c binary, h binary")
+    return materialise(parts.repartition(buckets, "bucket").mapInArrow(merge, "prev long, word long, pair long, c long, h long"), "pitmanyor-pairs")
+
+
+def _with_values(pairs: DataFrame, values: DataFrame, names: np.ndarray, of_word: list[str], of_prev: list[str]) -> DataFrame:
+    """``pairs`` with their words' and their contexts' columns (doubles) of
+    ``values``: frequent words' from a broadcast, others' by joins."""
+    head = values.join(F.broadcast(pairs.sparkSession.createDataFrame(pa.table({"word": names}))), "word", "left_semi").toArrow().sort_by("word")  # HEAD rows at most
+    cast = pairs.sparkSession.sparkContext.broadcast({k: head[k].to_numpy() for k in {"word", *of_word, *of_prev}})
+    out = pairs
+    for key, columns in (("word", of_word), ("prev", of_prev)):
+        schema = out.schema.simpleString()[7:-1]
+
+        def fill(batches, key=key, columns=columns):
+            v = cast.value
+            for b in arrow_rows(batches):
+                at = _place(v["word"], b.column(b.schema.get_field_index(key)).to_numpy())
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v[c][at] if len(v["word"]) else np.zeros(len(at)), mask=at < 0) for c in columns]], [*b.schema.names, *[f"{key}_{c}" for c in columns]])
+
+        new = [f"{key}_{c}" for c in columns]
+        filled = out.mapInArrow(fill, ", ".join([schema.replace(":", " "), *[f"{c} double" for c in new]]))
+        rest = values.select(F.col("word").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in columns])
+        out = filled.where(f"{new[0]} is not null").unionByName(filled.where(f"{new[0]} is null").drop(*new).join(rest, key))
+    return out
+
+
 class Model:
-    """Totals, discount and the kept sweeps; its size is that of the byte
-    tables."""
+    """Totals, discounts and the kept sweeps; its size is that of the byte
+    tables.  ``pairs``: the pair table with its excess customers in each."""
 
-    def __init__(self, tokens: int, types: int, d: float, sweeps: list[Sweep]):
+    def __init__(self, tokens: int, types: int, d: float, sweeps: list[Sweep], d2: float = 0.0, known: DataFrame | None = None, pairs: DataFrame | None = None):
         self.tokens, self.types, self.d, self.sweeps = tokens, types, d, sweeps
+        self.d2, self.known, self.pairs = d2, known, pairs
 
-    def scores(self, ids: np.ndarray, c: np.ndarray, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each word: add-one base, and the model's."""
+    def __getstate__(self):
+        return self.__dict__ | {"known": None, "pairs": None}
+
+    def scores(self, ids: np.ndarray, c: np.ndarray, letters: pa.Array, customers: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word: add-one base, and the word
+        restaurant's with its customers in each kept sweep (``c``, if it has no
+        contexts above)."""
         base = np.log10((c + 1) / (self.tokens + self.types + 1))
-        p = np.zeros(len(c))
-        for s in self.sweeps:
-            t = s.tables(ids, c, letters, self.d)
-            p += (np.maximum(c - self.d * t, 0) + (STRENGTH + self.d * s.total) * s.after.base(letters)) / (STRENGTH + self.tokens)
-        new = sum((STRENGTH + self.d * s.total) * max(0.0, 1 - s.known) for s in self.sweeps) / (STRENGTH + self.tokens)
+        p, new = np.zeros(len(c)), 0.0
+        for s, n in zip(self.sweeps, customers or [c] * len(self.sweeps)):
+            t = s.tables(ids, n, letters, self.d)
+            p += (np.maximum(n - self.d * t, 0) + (STRENGTH + self.d * s.total) * s.after.base(letters)) / (STRENGTH + s.customers)
+            new += (STRENGTH + self.d * s.total) * max(0.0, 1 - s.known) / (STRENGTH + s.customers)
         p = np.where(c > 0, p, new)
         return base, np.log10(np.maximum(p / len(self.sweeps), 1e-300))
 
+    def back(self, c: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """log10 of what contexts with ``c`` customers pass on."""
+        return np.log10((STRENGTH + self.d2 * sum(tables) / max(1, len(tables))) / (STRENGTH + c))
+
+    def gain(self, c, tables, context, back, lm) -> np.ndarray:
+        """log10 of a seen pair's probability over that of an unseen one."""
+        return _grid(np.log10(1 + (c - self.d2 * tables) / (STRENGTH + context) * np.power(10.0, -back - lm)))
+
+
+def _state(known: DataFrame, pairs: DataFrame, excess: list[str], name: str) -> DataFrame:
+    """word, letters, c; customers u0, u1, ... in the word restaurant and tables
+    v0, v1, ... in the word's own context, of the seatings with ``excess``."""
+    out = known.select("word", "letters", "c")
+    for key, mark in (("word", "u"), ("prev", "v")):
+        sums = pairs.where("c > 1").groupBy(F.col(key).alias("word")).agg(*[F.sum(F.expr(e)).cast("double").alias(f"{mark}{i}") for i, e in enumerate(excess)])
+        out = out.join(sums, "word", "left")
+    return materialise(out.select("word", "letters", "c", *[F.expr(f"c - coalesce({m}{i}, 0D)").alias(f"{m}{i}") for m in "uv" for i in range(len(excess))]), name)
+
+
+def _seated(pairs: DataFrame, values: DataFrame, names: np.ndarray, d2: float) -> DataFrame:
+    """``pairs`` with their customers beyond one a table, e0, e1, ..., when they
+    are seated for each kept sweep: ``values`` has p of a word and v0 of a context."""
+
+    def run(batches):
+        for b in arrow_rows(batches):
+            got = {k: b.column(i).to_numpy() for i, k in enumerate(b.schema.names)}
+            c = got["c"].astype(float)
+            tables = [seat(c, got["word_p"], got["prev_v0"], d2, got["pair"].view(np.uint64), BURN_IN + k) for k in range(KEPT)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *[pa.array(c - t) for t in tables]], [*b.schema.names[:5], *[f"e{k}" for k in range(KEPT)]])
+
+    plain = ["prev", "word", "pair", "c", "h"]
+    found = _with_values(pairs.where("c > 1"), values, names, ["p"], ["v0"]).select(*plain, "word_p", "prev_v0")
+    kind = "prev long, word long, pair long, c long, h long, " + ", ".join(f"e{k} double" for k in range(KEPT))
+    once = pairs.where("c = 1").select(*plain, *[F.lit(0.0).alias(f"e{k}") for k in range(KEPT)])
+    return materialise(found.mapInArrow(run, kind).unionByName(once), "pitmanyor-seated")
+
 
-def fit(table: DataFrame) -> Model:
-    """Gibbs sweeps over the word table's training counts."""
+def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | None = None) -> Model:
+    """Gibbs sweeps over the training counts of the word table and of the pair
+    table; without the latter, tokens sit in the word restaurant."""
     spark = table.sparkSession
     known = table.where("c > 0")
     sums = known.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
@@ -277,25 +478,48 @@ def fit(table: DataFrame) -> Model:
 
     letters = known.select("letters").mapInArrow(alphabet, "b int").distinct().toArrow()["b"].to_numpy()  # 256 rows at most
     spelling, total = Spelling(np.union1d(letters, [_EDGE])), float(types)
+    d2, column = 0.0, "c"
+    if pairs is not None:
+        two, more = (int(x or 0) for x in pairs.agg(F.count(F.when(F.col("c") == 2, 1)), F.sum(F.when(F.col("c") > 1, F.col("c")))).first())
+        one = tokens - more  # pairs that occur once
+        d2 = float(np.clip(one / (one + 2 * two) if one else 0, *DISCOUNT))
+        known = _state(known, pairs, ["c - 1"], "pitmanyor-state")
+        column = "u0"
     sweeps = []
     for number in range(BURN_IN + KEPT):
+        if number == BURN_IN and pairs is not None:
+            before = spark.sparkContext.broadcast(Model(tokens, types, d, [sweep]))
+
+            def settled(batches, before=before):
+                for b in arrow_rows(batches):
+                    c = b.column(2).to_numpy()
+                    _, lm = before.value.scores(b.column(0).to_numpy().view(np.uint64), c, b.column(1), [c])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.power(10.0, lm)), b.column(3)], ["word", "p", "v0"])
+
+            values = materialise(known.select("word", "letters", "u0", "v0").mapInArrow(settled, "word long, p double, v0 double"), "pitmanyor-values")
+            pairs = _seated(pairs, values, names, d2)
+            known = _state(known, pairs, [f"e{k}" for k in range(KEPT)], "pitmanyor-state")
+        if pairs is not None:
+            column = f"u{max(0, number - BURN_IN)}"
         sweep = Sweep(number, spelling, total)
         cast = spark.sparkContext.broadcast(sweep)
 
         def run(batches, cast=cast):
             s = cast.value
-            cells, tables = np.zeros(s.before.size**3), 0.0
+            cells, tables, customers = np.zeros(s.before.size**3), 0.0, 0.0
             for b in arrow_rows(batches):
                 t = s.tables(b.column(0).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(float), b.column(1), d)
                 cell, start = s.before.cells(b.column(1))
                 cells += np.bincount(cell, np.repeat(t, np.diff(np.append(start, len(cell)))), len(cells))
                 tables += t.sum()
+                customers += b.column(2).to_numpy().sum()
             full = np.flatnonzero(cells)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1), pa.int64()), pa.array(np.append(cells[full], tables))], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(full, [-1, -2]), pa.int64()), pa.array(np.append(cells[full], [tables, customers]))], ["cell", "n"])
 
-        got = known.select("word", "letters", "c").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 257^3 rows at most
+        got = known.select("word", "letters", column).mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 257^3 rows at most
         cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
-        sweep.total = total = float(n[cell < 0].sum())
+        sweep.total = total = float(n[cell == -1].sum())
+        sweep.customers = float(n[cell == -2].sum())
         counts = np.zeros(spelling.size**3)
         counts[cell[cell >= 0]] = n[cell >= 0]
         after = Spelling(np.union1d(letters, [_EDGE]))
@@ -315,20 +539,43 @@ def fit(table: DataFrame) -> Model:
 
     for r in known.select("letters").mapInArrow(mass, "sweep int, p double").groupBy("sweep").agg(F.sum("p").alias("p")).collect():  # KEPT rows
         sweeps[r["sweep"]].known = r["p"]
-    return Model(tokens, types, d, sweeps)
+    return Model(tokens, types, d, sweeps, d2, known if pairs is not None else None, pairs)
 
 
 def _scored_words(table: DataFrame, model: Model) -> DataFrame:
-    """word, base, lm, known, n."""
+    """word, base, lm, back, context (its customers), known, n."""
     cast = table.sparkSession.sparkContext.broadcast(model)
+    marks = [f"{m}{k}" for m in "uv" for k in range(KEPT)] if model.known is not None else []
 
     def run(batches):
+        m = cast.value
         for b in arrow_rows(batches):
-            c = b.column(2).to_numpy()
-            base, lm = cast.value.scores(b.column(0).to_numpy().view(np.uint64), c.astype(float), b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base), pa.array(lm), pa.array((c > 0).astype(np.int64)), b.column(3)], ["word", "base", "lm", "known", "n"])
+            c = b.column(2).to_numpy().astype(float)
+            more = [x.to_numpy(zero_copy_only=False) for x in b.columns[4:]]
+            customers, tables = more[:KEPT], more[KEPT:]
+            base, lm = m.scores(b.column(0).to_numpy().view(np.uint64), c, b.column(1), customers)
+            back = m.back(c, tables) if tables else np.zeros(len(c))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base), pa.array(_grid(lm)), pa.array(_grid(back)), pa.array(c), pa.array((c > 0).astype(np.int64)), b.column(3)], ["word", "base", "lm", "back", "context", "known", "n"])
 
-    return materialise(table.select("word", "letters", "c", "n").mapInArrow(run, "word long, base double, lm double, known long, n long"), "pitmanyor-scores")
+    src = table.select("word", "letters", "c", "n")
+    if marks:
+        src = src.join(model.known.select("word", *marks), "word", "left").select(*src.columns, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in marks])
+    return materialise(src.mapInArrow(run, "word long, base double, lm double, back double, context double, known long, n long"), "pitmanyor-scores")
+
+
+def _gains(model: Model, scored: DataFrame, names: np.ndarray) -> DataFrame:
+    """pair, gain, n of the pair table."""
+    cast = scored.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in arrow_rows(batches):
+            c, n, e, lm, back, context = (b.column(i).to_numpy() for i in range(1, 7))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast.value.gain(c, c - e, context, back, lm)), pa.array(n)], ["pair", "gain", "n"])
+
+    mean = "(" + " + ".join(f"e{k}" for k in range(KEPT)) + f") / {KEPT}D as e"
+    pairs = model.pairs.selectExpr("pair", "prev", "word", "cast(c as double) as c", "c + h as n", mean)
+    found = _with_values(pairs, scored.where("known = 1"), names, ["lm"], ["back", "context"])
+    return materialise(found.select("pair", "c", "n", "e", "word_lm", "prev_back", "prev_context").mapInArrow(run, "pair long, gain double, n long"), "pitmanyor-gains")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,10 +585,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     prepared(docs)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("train", train).withColumn("key", row_key())
     table = _word_table(src)
-    model = fit(table)
+    names = _head(table)
+    model = fit(table, _pair_table(src, names, int(table.agg(F.sum("n")).first()[0] or 0)), names)
     scored = _scored_words(table, model)
+    gains = _gains(model, scored, names)
+    often = gains.orderBy(F.desc("n"), "pair").limit(HEAD).toArrow().sort_by("pair")
+    cast_pairs = docs.sparkSession.sparkContext.broadcast((often["pair"].to_numpy(), often["gain"].to_numpy(), bit_table(gains, "pair"), model))
     head = scored.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().sort_by("word")
-    cast = docs.sparkSession.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("word", "base", "lm", "known")))
+    cast = docs.sparkSession.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("word", "base", "lm", "known", "back", "context")))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def found(column: pa.Array):
@@ -356,12 +607,34 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
             yield lo, hi, row, h, np.where(names[at] == h, at, -1) if len(names) else np.full(len(h), -1)
 
+    def followed(column: pa.Array, train: np.ndarray):
+        """Blocks of a text column: rows, and the tokens' rows, pairs, gains and
+        whether a join may find another gain: not for the most frequent pairs,
+        nor for two frequent words without an entry in the pair table, which
+        training texts hold once and others never."""
+        names, _, lm, _, back, context = cast.value
+        frequent, gain, bits, model = cast_pairs.value
+        buf, off = text_bytes(column)
+        for lo, hi in blocks(off):
+            h, _, _, first = words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            row, prev, word = _sequence(h, first)
+            u, w, pair = _place(names, prev), _place(names, word), _pair(prev, word)
+            at = _place(frequent, pair.view(np.int64))
+            got = np.zeros(len(row))
+            once = np.flatnonzero((at < 0) & (u >= 0) & (w >= 0) & train[lo:hi][row])
+            got[once] = model.gain(1.0, 1.0, context[u[once]], back[u[once]], lm[w[once]])
+            got[at >= 0] = gain[at[at >= 0]]
+            yield lo, hi, row, pair.view(np.int64), got, (at < 0) & has_bit(bits, pair)
+
     def frequent(batches):
-        _, base, lm, known = cast.value
+        _, base, lm, known, back, _ = cast.value
+        lm = lm + back  # a token is a token and a context once
         for b in arrow_rows(batches):
-            for lo, hi, row, h, at in found(b.column(3)):
+            train = b.column(2).to_numpy(zero_copy_only=False)
+            for (lo, hi, row, h, at), (_, _, place, _, got, joined) in zip(found(b.column(3)), followed(b.column(3), train)):
                 n, hit = hi - lo, at >= 0
                 sums = [np.bincount(row[hit], x[at[hit]], n) for x in (base, lm, known)]
+                sums[1] += np.bincount(place, np.where(joined, 0.0, got), n)
                 arrays = [c.slice(lo, n) for c in b.columns[:3]]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(row, minlength=n)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["key", "doc_id", "train", "n_tokens", "base", "lm", "known"])
 
@@ -375,9 +648,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(r) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key[lo + r[new]]), pa.array(w[new]), pa.array(np.diff(np.append(new, len(r))).astype(np.int32))], ["key", "word", "m"])
 
+    def paired(batches):
+        for b in arrow_rows(batches):
+            key = b.column(0).to_numpy()
+            for lo, _, row, pair, got, joined in followed(b.column(2), b.column(1).to_numpy(zero_copy_only=False)):
+                r, w, g = row[joined], pair[joined], got[joined]
+                o = np.lexsort((w, r))
+                r, w, g = r[o], w[o], g[o]
+                new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(r) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo + r[new]]), pa.array(w[new]), pa.array(np.diff(np.append(new, len(r))).astype(np.int32)), pa.array(g[new])], ["key", "pair", "m", "got"])
+
     heads = materialise(src.select("key", "doc_id", "train", "text").mapInArrow(frequent, f"key long, doc_id {kind}, train boolean, n_tokens long, base double, lm double, known long"), "pitmanyor-heads")
-    rest = src.select("key", "text").mapInArrow(rare, "key long, word long, m int").join(scored.select("word", "base", "lm", "known"), "word")
+    rest = src.select("key", "text").mapInArrow(rare, "key long, word long, m int").join(scored.select("word", "base", (F.col("lm") + F.col("back")).alias("lm"), "known"), "word")
     rest = rest.selectExpr("key", "m * base as base", "m * lm as lm", "m * known as known", "0L as rows")
+    more = src.select("key", "train", "text").mapInArrow(paired, "key long, pair long, m int, got double").join(gains.select("pair", "gain"), "pair", "left")
+    rest = rest.union(more.selectExpr("key", "0D", "m * coalesce(gain, got)", "0L", "0L"))
     rest = rest.union(heads.selectExpr("key", "0D", "0D", "0L", "1L as rows"))
     rest = rest.groupBy("key").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "lm", "known", "rows")])  # equal rows have summed up more_rows times
     out = heads.join(rest, "key")

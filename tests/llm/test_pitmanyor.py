@@ -92,3 +92,43 @@ def test_nothing_to_learn(spark, no_docs):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = P.score(df, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and r.score == 0 for r in rows)
+
+
+def test_preceding_words_are_contexts(spark):
+    """The order of the words counts, and a word pair that was seen is likelier
+    than the same words in another order."""
+    rows = [(i, "red stone blue river red stone blue river") for i in range(40)] + [(100, "red stone blue river"), (101, "river blue stone red")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in P.score(df, F.col("doc_id") < 100).collect()}
+    assert got[100] > got[101] + 1
+
+
+def test_every_context_sums_to_one(spark, doc_rows, monkeypatch):
+    """Scores of one-word texts, as differences, against a whole distribution:
+    what may follow the end token, by texts of every type."""
+    monkeypatch.setattr(P, "HEAD", 6)
+    rows = [(r[0], r[1]) for r in doc_rows]
+    src = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", train_column())
+    table = P._word_table(src)
+    names = P._head(table)
+    model = P.fit(table, P._pair_table(src, names, table.agg(F.sum("n")).first()[0]), names)
+    scored = {r.word: r for r in P._scored_words(table, model).collect()}
+    gains = {r.pair: r.gain for r in P._gains(model, P._scored_words(table, model), names).collect()}
+    c = Counter()
+    for d, t in rows:
+        if trains(d):
+            w = tokens(t)
+            c.update(zip([None, *w], w))
+    hashes = {None: P.END}
+    for w in {w for p in c for w in p if w is not None}:
+        hashes[w] = int(P.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    unknown = 1 - sum(10**scored[h].lm for h in hashes.values())
+    for u in (None, b"the", b"tail", b"und"):
+        total, s = 0.0, scored[hashes[u]]
+        for w, h in hashes.items():
+            pair = int(P._pair(np.array([hashes[u]]), np.array([h])).view(np.int64)[0])
+            lm = scored[h].lm
+            gain = gains.get(pair, float(model.gain(1.0, 1.0, s.context, s.back, lm))) if c[u, w] else 0.0
+            assert c[u, w] < 2 or pair in gains
+            total += 10 ** (s.back + lm + gain)
+        assert total + 10**s.back * unknown == pytest.approx(1, abs=1e-9)
