@@ -25,6 +25,8 @@ extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -133,23 +135,27 @@ def block_links(own: pa.Table, others: pa.Table) -> list[tuple[int, int, int]]:
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    spark = prepared(vectors)
-    rows = usable(vectors, id_col, vec_col)
+    prepared(vectors)
+    linked = reduce(DataFrame.union, [_linked(rows) for rows in usable(vectors, id_col, vec_col)])
+    everyone = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].alias("embedding")).withColumn("node", F.xxhash64("embedding"))
+    out = everyone.select("vec_id", "node").join(linked, "node", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """node, n_links, least (smallest id of its component) of vectors of one
+    length."""
+    spark = rows.sparkSession
     nodes = materialise(rows.groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("mult"), F.min("vec_id").alias("least")), "rangejoin-nodes")
     n = nodes.count()
     many = int(np.clip(-(-n // CELL), 1, PIVOTS))
     head = nodes.orderBy(F.xxhash64("node"), "node").limit(many).select("embedding").toArrow()
     if not n:
-        linked = spark.createDataFrame([], "node long, n_links long, least long")
-    else:
-        pivots = spark.sparkContext.broadcast(unit(matrix(head["embedding"])))
-        radius = spark.sparkContext.broadcast(_radii(nodes, pivots))
-        placed = _placed(nodes, pivots, radius)
-        linked = _joined(placed, nodes)
-    everyone = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].alias("embedding")).withColumn("node", F.xxhash64("embedding"))
-    out = everyone.select("vec_id", "node").join(linked, "node", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+        return spark.createDataFrame([], "node long, n_links long, least long")
+    pivots = spark.sparkContext.broadcast(unit(matrix(head["embedding"])))
+    radius = spark.sparkContext.broadcast(_radii(nodes, pivots))
+    return _joined(_placed(nodes, pivots, radius), nodes)
 
 
 def _joined(placed: DataFrame, nodes: DataFrame) -> DataFrame:

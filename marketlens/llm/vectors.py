@@ -1,7 +1,8 @@
 """Reading vectors: which rows take part, and one node per distinct vector.
 
-A vector takes part if it and its components are not null, it is finite and
-not zero, and it has the table's most frequent length (the shorter of equals).
+A vector takes part if it and its components are not null, and it is finite and
+not zero.  Vectors are compared with those of their own length only, so each
+length is a frame of its own, and the operators go through them one by one.
 Equal vectors are one node, a 64-bit hash of the components, so thousands of
 copies cost one comparison.
 """
@@ -14,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, embedding, node of the rows that take part."""
+def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> list[DataFrame]:
+    """vec_id, embedding, node of the rows that take part, by length (one frame
+    without rows, if none do)."""
     src = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].alias("embedding"))
     fine = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> coalesce(not isnan(x) and abs(x) < double('infinity'), false)) and exists(embedding, x -> x <> 0)"
     src = src.where(fine)
-    length = src.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    kept = src.where(F.size("embedding") == (length[0]["d"] if length else 0))
-    return kept.withColumn("node", F.xxhash64("embedding"))
+    lengths = [r["d"] for r in src.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    return [src.where(F.size("embedding") == d).withColumn("node", F.xxhash64("embedding")) for d in lengths or [0]]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -128,3 +128,17 @@ def test_null_ids_and_repeats(spark):
 def test_empty(spark):
     df = frame(spark, [])
     assert rangejoin.link(df).count() == 0 and ann.search(df, F.expr("vec_id % 50 = 0")).count() == 0
+
+
+def test_every_length_is_compared(spark):
+    """Vectors of the rarer lengths link and are found among their own."""
+    long, short = vectors(n=120), vectors(seed=3, n=60, dims=4)[:100]
+    df = frame(spark, long + short)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rangejoin.link(df).collect()}
+    at = len(long)
+    assert got == brute_links(long) | {at + i: (n, at + c, k) for i, (n, c, k) in brute_links(short).items()}
+    found = {}
+    for r in ann.search(df, F.expr(f"vec_id in (0, 60, {at}, {at + 30})")).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in found.items()} == {0: 5, 60: 5, at: 5, at + 30: 5}
+    assert all((v >= at) == (q >= at) for q, some in found.items() for v in some)
