@@ -8,7 +8,8 @@ leader under an elastic-net penalty, then calibrated by one temperature.
   fixed size that are summed per feature.
 * The classifier is fitted on a sample of training rows, SAMPLE_PER_LABEL each
   at most in expectation, chosen by a hash of the id; their sparse vectors (at
-  most SAMPLE documents) are the only rows that reach the driver.
+  most SAMPLE documents) are the only rows that reach the driver.  Labels beyond
+  the SAMPLE // 10 most frequent are not learned, so never predicted.
 * The temperature minimises the log loss on rows of the sample that the fit
   has not seen.
 * Prediction reads whole texts; lang, source and doc_id play no part in it.
