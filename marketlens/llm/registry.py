@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import ann, bpe, jaccard, langid, mixing, pii, pitmanyor, rangejoin, repeats, secrets
+from marketlens.llm import ann, bpe, jaccard, langid, mixing, pii, pitmanyor, rangejoin, repeats, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor": pitmanyor.query,
     "op9_suffix_repeats": repeats.query,
     "op10_metric_range_join": rangejoin.query,
+    "op11_sampled_splitters": sharding.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op11_sampled_splitters": sharding.ORACLE_SQL}
