@@ -44,6 +44,7 @@ PART = 100
 ROWS, PIECES, RANGES = 2048, 1024, 1 << 20
 #: Sampled records for each splitter.
 OVER = 32
+KEY = ("grp", "doc_id", "uid")
 
 
 def _records(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFrame:
@@ -95,9 +96,9 @@ def _ranged(records: DataFrame, rows: int, total: int) -> DataFrame:
     size = max(ROWS, -(-rows // RANGES))
     pieces = min(PIECES, -(-rows // size))
     first = materialise(_splitters(records.withColumn("cell", F.lit(0)), "cell", F.col("size") / float(total), F.lit(pieces)), "sharding-splitters")
-    # one row of at most PIECES - 1 splitters
-    found = records.withColumn("cell", F.lit(0)).join(F.broadcast(first), "cell", "left")
-    found = found.withColumn("cell", F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(_below(F.col("bounds"), F.col("key"), PIECES))).drop("bounds")
+    bounds = [tuple(b) for r in first.collect() for b in r["bounds"]]  # PIECES - 1 splitters at most
+    fixed = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(KEY, b)]) for b in bounds])
+    found = records.withColumn("cell", _below(fixed, F.col("key"), PIECES) if bounds else F.lit(0))
     counts = materialise(found.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "sharding-cells")
     overfull = counts.where(F.col("n") > 2 * size).withColumn("parts", F.ceil(F.col("n") / size).cast("int"))  # PIECES rows at most
     if overfull.isEmpty():
