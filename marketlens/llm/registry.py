@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import ann, bpe, jaccard, langid, mixing, nra, pii, pitmanyor, rangejoin, repeats, secrets, sharding
+from marketlens.llm import ann, bpe, collocations, jaccard, langid, mixing, nra, pii, pitmanyor, rangejoin, repeats, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -22,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_metric_range_join": rangejoin.query,
     "op11_sampled_splitters": sharding.query,
     "op12_nra": nra.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE_SQL,
     "op11_sampled_splitters": sharding.ORACLE_SQL,
     "op12_nra": nra.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
