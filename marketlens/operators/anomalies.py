@@ -2,45 +2,31 @@
 union (p15) and the anomaly reports (s10, e06, e07).
 
 IQR fences use exact sort-free quantiles (``discrete_quantiles``) on integer
-features (cents, counts, tenths of a day), so fences and flags are exact.
-
-Isolation Forest (Liu, Ting & Zhou, 2008) is not in MLlib:
-
-* sampling — each (row, tree) pair is kept when a hash of (order_id, tree) is
-  below ~4·256/N; the 256 smallest hashes per tree form its sample.  Only the
-  sampled pairs are ever materialised (the filter runs inside the row's
-  projection), and the per-tree window holds about a thousand rows;
-* growing — ``applyInPandas`` grows one tree per ``tree_id`` from its 256
-  rows with a RNG seeded by the tree id (deterministic reruns);
-* scoring — the forest (≤ 100 × 511 nodes, bounded by construction) is shipped
-  to the tasks and ``mapInArrow`` scores every row, carrying its features, so
-  nothing is joined back.
+features (cents, counts, tenths of a day), so fences and flags are exact.  The
+forest is in ``forest``; its scores are whole numbers, too.
+
+p14 grows the forest and scores every delivered order; what it returns is kept
+for the source (``sources.kept``), and p15, s10, e06 and e07b serve from that.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.exact import ratio_round, sql_ratio_round
+from ..functions.exact import money_ratio, ratio_round, sql_money_ratio, sql_ratio_round
 from ..oracle.adapter_sql import with_star
 from ..operators.global_rank import discrete_quantiles
+from ..operators.group_quantiles import group_quantiles
 from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
 from ..plans.registry import report
-from ..session import checkpoint_root, scratch_path
+from ..session import scratch_path
 from ..sources.adapter import Star
+from ..sources.kept import keep
+from . import forest
 from .scalars import one_row, with_scalars
 
 IQR_K = 1.5
-N_TREES = 100
-SAMPLE = 256
 CONTAMINATION = 0.02
 FEATURES = ["total_payment_cents", "item_count", "delivery_tenths"]
 
@@ -167,164 +153,53 @@ def p16(st: Star) -> DataFrame:
 # ---------------------------------------------------------------- Isolation Forest
 
 
-def _c(n: float) -> float:
-    """Average path length of an unsuccessful BST search over n points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
-
-
-def _grow_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    tree = int(pdf["tree"].iloc[0])
-    x = pdf[["f0", "f1", "f2"]].to_numpy(dtype="float64")
-    rng = np.random.default_rng(1000003 * (tree + 1))
-    limit = int(math.ceil(math.log2(max(len(x), 2))))
-    rows = []
-
-    def build(idx: np.ndarray, depth: int) -> int:
-        node = len(rows)
-        rows.append(None)
-        sub = x[idx]
-        spans = sub.max(axis=0) - sub.min(axis=0) if len(idx) else np.zeros(3)
-        splittable = np.flatnonzero(spans > 0)
-        if depth >= limit or len(idx) <= 1 or len(splittable) == 0:
-            rows[node] = (tree, node, -1, 0.0, -1, -1, len(idx))
-            return node
-        feat = int(rng.choice(splittable))
-        lo, hi = sub[:, feat].min(), sub[:, feat].max()
-        thr = float(rng.uniform(lo, hi))
-        go_left = sub[:, feat] < thr
-        left = build(idx[go_left], depth + 1)
-        right = build(idx[~go_left], depth + 1)
-        rows[node] = (tree, node, feat, thr, left, right, len(idx))
-        return node
-
-    build(np.arange(len(x)), 0)
-    return pd.DataFrame(rows, columns=["tree", "node", "feat", "thr", "left", "right", "size"])
-
-
-NODE_SCHEMA = "tree int, node int, feat int, thr double, left int, right int, size long"
-
-
-def _feature_matrix(df: DataFrame) -> DataFrame:
-    # Complete cases only: orders with a payment total and a delivery time.
-    return df.filter(F.col("total_payment_cents").isNotNull() & F.col("delivery_tenths").isNotNull()).select(
-        "order_id",
-        F.col("total_payment_cents").cast("double").alias("f0"),
-        F.col("item_count").cast("double").alias("f1"),
-        F.col("delivery_tenths").cast("double").alias("f2"),
-    )
-
-
-def grow_forest(x: DataFrame) -> DataFrame:
-    n = x.agg(F.count(F.lit(1)).alias("_n"))
-    p = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.col("_n"))
-    u = lambda t: F.xxhash64(F.col("order_id"), t).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(float(2**63))
-    # One plain expression per tree (compiled by whole-stage codegen, unlike
-    # lambda functions), the misses dropped by array_compact.
-    picks = F.array_compact(
-        F.array(
-            *[
-                F.when(u(F.lit(t)) < F.col("_p"), F.struct(F.lit(t).alias("tree"), u(F.lit(t)).alias("u")))
-                for t in range(N_TREES)
-            ]
-        )
-    )
-    pairs = (
-        with_scalars(x, n)
-        .withColumn("_p", p)
-        .select("order_id", "f0", "f1", "f2", F.explode(picks).alias("s"))
-        .select("order_id", "f0", "f1", "f2", F.col("s.tree").alias("tree"), F.col("s.u").alias("u"))
-    )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("tree").orderBy("u", "order_id")  # ~4·256 rows per tree
-    sample = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= SAMPLE).drop("_r", "u")
-    return sample.groupBy("tree").applyInPandas(_grow_tree, NODE_SCHEMA)
-
-
-def _make_scorer(nodes: pd.DataFrame):
-    trees = []
-    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append(
-            (
-                g["feat"].to_numpy(),
-                g["thr"].to_numpy(),
-                g["left"].to_numpy(),
-                g["right"].to_numpy(),
-                np.array([_c(s) for s in g["size"].to_numpy()]),
-            )
-        )
-    sizes = nodes.loc[nodes["node"] == 0, "size"]  # the rows that each tree has seen
-    c_norm = _c(float(sizes.mean())) if len(sizes) else 0.0
-
-    def path_scores(x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feat, thr, left, right, cadj in trees:
-            node = np.zeros(len(x), dtype=np.int64)
-            depth = np.zeros(len(x))
-            while True:
-                f = feat[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                fi = np.where(inner, f, 0)
-                go_left = x[rows, fi] < thr[node]
-                nxt = np.where(go_left, left[node], right[node])
-                node = np.where(inner, nxt, node)
-                depth = depth + inner
-            total += depth + cadj[node]
-        return -(np.power(2.0, -(total / len(trees)) / c_norm) if c_norm > 0 else np.full(len(x), 0.5))
-
-    def score(batches):
-        for b in batches:
-            x = np.column_stack([pc.cast(b.column(c), pa.float64()).to_numpy(zero_copy_only=False) for c in FEATURES]) if b.num_rows else np.zeros((0, 3))
-            whole = ~np.isnan(x).any(axis=1)
-            out = np.full(len(x), np.nan)
-            if whole.any():
-                out[whole] = path_scores(x[whole])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, from_pandas=True)], [*b.schema.names, "raw_score"])
-
-    return score
-
-
-def scored_orders(st: Star) -> DataFrame:
+def isolation_scores(st: Star) -> DataFrame:
     """Every delivered order with its features, if_score (lower = stranger;
     below 0 is flagged at 2% contamination; null where a feature is missing) and
     if_flag.  The features are joined once and written, and so are the scores:
     what reads this runs neither the joins nor the forest again."""
-    spark = st.orders.sparkSession
+    spark = st.spark
     path = scratch_path(spark, "order-features")
     delivered_features(st).write.parquet(path)
     feats = spark.read.parquet(path)
-    nodes = grow_forest(_feature_matrix(feats)).toPandas()  # bounded: ≤ N_TREES · (2·SAMPLE − 1) rows
-    narrow = feats.select("order_id", *FEATURES)
-    schema = T.StructType([*narrow.schema.fields, T.StructField("raw_score", T.DoubleType())])
+    complete = feats.where(" and ".join(f"{f} is not null" for f in FEATURES))
+    nodes = forest.grow(complete, "order_id", FEATURES)
     path = scratch_path(spark, "order-scores")
-    narrow.mapInArrow(_make_scorer(nodes), schema).write.parquet(path)
+    forest.scored(feats, nodes, FEATURES).write.parquet(path)
     scored = spark.read.parquet(path)
     offset = discrete_quantiles(scored, ["raw_score"], {"offset": CONTAMINATION})
-    score = F.col("raw_score") - F.col("raw_score__offset")
+    score = (F.col("raw_score") - F.col("raw_score__offset")) / float(forest.SCORE)
     return with_scalars(scored, offset).select(
-        "order_id",
-        (F.col("total_payment_cents").cast("decimal(20,0)") * F.lit(0.01).cast("decimal(2,2)")).cast(feats.schema["total_payment"].dataType).alias("total_payment"),
-        (F.col("delivery_tenths").cast("decimal(10,0)") * F.lit(0.1).cast("decimal(1,1)")).cast(feats.schema["delivery_duration_days"].dataType).alias("delivery_duration_days"),
-        *FEATURES,
-        score.alias("if_score"),
-        F.coalesce(score < 0, F.lit(False)).alias("if_flag"),
+        "order_id", "total_payment", "delivery_duration_days", *FEATURES, score.alias("if_score"), F.coalesce(score < 0, F.lit(False)).alias("if_flag")
     )
 
 
-def isolation_scores(st: Star) -> DataFrame:
-    return scored_orders(st).select("order_id", "total_payment", "item_count", "delivery_duration_days", "if_score", "if_flag")
+def scored_orders(st: Star, fresh: bool = False) -> DataFrame:
+    """``isolation_scores`` as kept for the star's source."""
+    return keep(st, "isolation-forest", (forest.TREES, forest.SAMPLE, CONTAMINATION, FEATURES), lambda: isolation_scores(st), fresh)
 
 
-@report("p14_isolation_forest", None, note="rows-only: randomised model (seeded); every delivered order, scored in Arrow batches")
+FOREST_SQL = f"""{ORDER_FEATURES_SQL},
+{forest.sql_forest("feats", "order_id", FEATURES)},
+foffset AS (SELECT quantile_cont(raw_score, CAST({CONTAMINATION} AS DOUBLE)) AS cutoff FROM forest_scores),
+scored AS (
+    SELECT i.*, (s.raw_score - cutoff) / CAST({forest.SCORE} AS DOUBLE) AS if_score, coalesce(s.raw_score < cutoff, false) AS if_flag,
+        iqr_payment OR iqr_items OR iqr_delivery AS iqr_flag
+    FROM iqr i LEFT JOIN forest_scores s ON s.k = i.order_id, foffset
+)"""
+
+FLAGGED_SQL = """SELECT order_id, total_payment, item_count, delivery_duration_days, if_score, iqr_flag, if_flag,
+        iqr_flag AND if_flag AS both_flag, 'order' AS level
+    FROM scored WHERE iqr_flag OR if_flag"""
+
+
+@report(
+    "p14_isolation_forest",
+    with_star("SELECT order_id, total_payment, item_count, delivery_duration_days, if_score, if_flag FROM scored", FOREST_SQL),
+    note="grows the forest anew and keeps the scores for the source; every delivered order, scored in Arrow batches",
+)
 def p14(st: Star) -> DataFrame:
-    return isolation_scores(st)
+    return scored_orders(st, fresh=True).select("order_id", "total_payment", "item_count", "delivery_duration_days", "if_score", "if_flag")
 
 
 def order_anomalies(st: Star) -> DataFrame:
@@ -342,18 +217,20 @@ def order_anomalies(st: Star) -> DataFrame:
     )
 
 
-@report("p15_anomaly_union", None, note="rows-only: depends on the Isolation Forest")
+def kept_anomalies(st: Star) -> DataFrame:
+    """``order_anomalies`` as kept for the star's source."""
+    return keep(st, "order-anomalies", (forest.TREES, forest.SAMPLE, CONTAMINATION, IQR_K, FEATURES), lambda: order_anomalies(st))
+
+
+@report("p15_anomaly_union", with_star(FLAGGED_SQL, FOREST_SQL), note="from the kept forest scores")
 def p15(st: Star) -> DataFrame:
-    return order_anomalies(st)
+    return kept_anomalies(st)
 
 
 def anomalies_report(st: Star, limit: int = 50) -> DataFrame:
     if not 1 <= limit <= 500:
         raise ValueError("limit must be within 1..500")
-    # Totals and the top rows read the same flagged set: materialise it once
-    # (a few percent of the orders) instead of scoring every order twice.
-    checkpoint_root(st.orders.sparkSession)
-    orders = order_anomalies(st).checkpoint(eager=True)
+    orders = kept_anomalies(st)
     months = monthly_iqr(st).filter(F.col("iqr_flag"))
     totals = (
         one_row(orders.agg(F.count(F.lit(1)).alias("order_anomalies")), months.agg(F.count(F.lit(1)).alias("monthly_anomalies")))
@@ -374,14 +251,40 @@ def anomalies_report(st: Star, limit: int = 50) -> DataFrame:
     )
 
 
-@report("s10_anomalies", None, note="rows-only: top 50 order anomalies by ascending if_score plus totals")
+@report(
+    "s10_anomalies",
+    with_star(
+        """SELECT order_anomalies + monthly_anomalies AS total_flagged, order_anomalies, monthly_anomalies, order_id, total_payment,
+            item_count, delivery_duration_days, if_score, both_flag, level
+        FROM (SELECT * FROM flagged ORDER BY if_score NULLS LAST, order_id LIMIT 50),
+            (SELECT count(*) AS order_anomalies FROM flagged),
+            (SELECT count(*) AS monthly_anomalies FROM mrev, mfences WHERE revenue_cents < revenue_cents_lo OR revenue_cents > revenue_cents_hi
+                OR order_count < order_count_lo OR order_count > order_count_hi)""",
+        f"""{FOREST_SQL},
+flagged AS MATERIALIZED ({FLAGGED_SQL}),
+{MONTHLY_SALES_SQL.removeprefix(ORDER_TOTALS_SQL + ",").strip()},
+mrev AS (SELECT *, CAST(round(revenue * 100) AS BIGINT) AS revenue_cents FROM monthly_sales),
+mfences AS ({_sql_fences('mrev', ['revenue_cents', 'order_count'])})""",
+    ),
+    note="top 50 order anomalies by ascending if_score plus totals, from the kept scores",
+)
 def s10(st: Star) -> DataFrame:
     return anomalies_report(st, 50)
 
 
-@report("e06_score_histogram", None, note="rows-only: Isolation-Forest score histogram, 0.05 bins")
+@report(
+    "e06_score_histogram",
+    with_star(
+        """SELECT bin * CAST(0.05 AS DOUBLE) AS bin_start, (bin + 1) * CAST(0.05 AS DOUBLE) AS bin_end, count(*) AS order_count,
+            CAST(sum(CASE WHEN if_flag THEN 1 ELSE 0 END) AS BIGINT) AS flagged
+        FROM (SELECT floor(if_score / CAST(0.05 AS DOUBLE)) AS bin, if_flag FROM scored WHERE if_score IS NOT NULL)
+        GROUP BY bin ORDER BY bin""",
+        FOREST_SQL,
+    ),
+    note="Isolation-Forest score histogram, 0.05 bins, from the kept scores",
+)
 def e06(st: Star) -> DataFrame:
-    s = isolation_scores(st).filter(F.col("if_score").isNotNull())
+    s = scored_orders(st).filter(F.col("if_score").isNotNull())
     b = F.floor(F.col("if_score") / 0.05)
     return (
         s.groupBy(b.alias("_b"))
@@ -391,38 +294,60 @@ def e06(st: Star) -> DataFrame:
     )
 
 
+# Features, as e07 shows them: name of the result, divisor of the integer.
+SHOWN = {"total_payment": ("total_payment_cents", 100), "item_count": ("item_count", 1), "delivery_days": ("delivery_tenths", 10)}
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+_QUARTILES_SQL = ",\n".join(
+    f"quantile_cont({c}, CAST({p} AS DOUBLE)) / CAST({by} AS DOUBLE) AS {q}_{name}" for name, (c, by) in SHOWN.items() for q, p in QUARTILES.items()
+)
+
+
+def _summary_sql(flag: str, source: str) -> str:
+    return (
+        f"SELECT {flag} AS is_anomaly, count(*) AS order_count, "
+        + sql_money_ratio("sum(total_payment_cents)", "count(total_payment_cents)", 2)
+        + " AS avg_total_payment, "
+        + sql_ratio_round("sum(item_count)", "count(item_count)", 2)
+        + " AS avg_item_count, "
+        + sql_ratio_round("sum(delivery_tenths)", "count(delivery_tenths) * 10", 2)
+        + f""" AS avg_delivery_days, CAST(max(total_payment_cents) AS DOUBLE) / 100 AS max_total_payment,
+        {_QUARTILES_SQL}
+        FROM {source} GROUP BY is_anomaly ORDER BY is_anomaly"""
+    )
+
+
+def feature_summary(f: DataFrame) -> DataFrame:
+    """Averages, maximum and quartiles of the features by is_anomaly."""
+    path = scratch_path(f.sparkSession, "anomaly-features")
+    f.select("is_anomaly", *FEATURES).write.parquet(path)
+    f = f.sparkSession.read.parquet(path)
+    quartiles = group_quantiles(f, "is_anomaly", FEATURES, QUARTILES)
+    means = f.groupBy("is_anomaly").agg(
+        F.count(F.lit(1)).alias("order_count"),
+        money_ratio(F.sum("total_payment_cents"), F.count("total_payment_cents"), 2).alias("avg_total_payment"),
+        ratio_round(F.sum("item_count"), F.count("item_count"), 2).alias("avg_item_count"),
+        ratio_round(F.sum("delivery_tenths"), F.count("delivery_tenths") * 10, 2).alias("avg_delivery_days"),
+        (F.max("total_payment_cents").cast("double") / 100).alias("max_total_payment"),
+    )
+    shown = [(F.col(f"{c}__{q}") / float(by)).alias(f"{q}_{name}") for name, (c, by) in SHOWN.items() for q in QUARTILES]
+    return means.join(quartiles, "is_anomaly").select(*means.columns, *shown).orderBy("is_anomaly")
+
+
 @report(
     "e07_anomaly_feature_dist",
-    with_star(
-        """SELECT iqr_payment OR iqr_items OR iqr_delivery AS is_anomaly, count(*) AS order_count,
-            """ + sql_ratio_round("sum(total_payment_cents)", "count(total_payment_cents)", 2) + """ AS avg_total_payment,
-            """ + sql_ratio_round("sum(item_count)", "count(item_count)", 2) + """ AS avg_item_count,
-            """ + sql_ratio_round("sum(delivery_tenths)", "count(delivery_tenths) * 10", 2) + """ AS avg_delivery_days,
-            CAST(max(total_payment_cents) AS DOUBLE) / 100 AS max_total_payment
-        FROM iqr GROUP BY is_anomaly ORDER BY is_anomaly""",
-        ORDER_FEATURES_SQL,
-    ),
+    with_star(_summary_sql("iqr_payment OR iqr_items OR iqr_delivery", "iqr"), ORDER_FEATURES_SQL),
     note="normal vs IQR-anomalous delivered orders",
 )
 def e07(st: Star) -> DataFrame:
     return feature_summary(order_iqr(st).withColumn("is_anomaly", F.col("iqr_flag")))
 
 
-@report("e07b_anomaly_feature_dist_union", None, note="rows-only: normal orders vs those that IQR or the Isolation Forest flags")
+@report(
+    "e07b_anomaly_feature_dist_union",
+    with_star(_summary_sql("iqr_flag OR if_flag", "scored"), FOREST_SQL),
+    note="normal orders vs those that IQR or the Isolation Forest flags, from the kept scores",
+)
 def e07b(st: Star) -> DataFrame:
     f = iqr_flags(scored_orders(st), FEATURES, IQR_NAMES)
     return feature_summary(f.withColumn("is_anomaly", F.col("iqr_flag") | F.col("if_flag")))
-
-
-def feature_summary(f: DataFrame) -> DataFrame:
-    return (
-        f.groupBy("is_anomaly")
-        .agg(
-            F.count(F.lit(1)).alias("order_count"),
-            ratio_round(F.sum("total_payment_cents"), F.count("total_payment_cents"), 2).alias("avg_total_payment"),
-            ratio_round(F.sum("item_count"), F.count("item_count"), 2).alias("avg_item_count"),
-            ratio_round(F.sum("delivery_tenths"), F.count("delivery_tenths") * 10, 2).alias("avg_delivery_days"),
-            (F.max("total_payment_cents").cast("double") / 100).alias("max_total_payment"),
-        )
-        .orderBy("is_anomaly")
-    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.anomalies import monthly_iqr, order_anomalies
 from ..operators.forecast import forecast_results
-from ..operators.segments import segment_customers
+from ..operators.segments import kept_segments
 from ..session import scratch_path
 from ..sources.adapter import Star
 from ..sources.outputs import write_csv
@@ -21,7 +21,7 @@ def analytical_frames(st: Star) -> dict[str, DataFrame]:
         "order_totals": order_totals(st),
         "monthly_sales": monthly_sales(st),
         "customer_features": customer_features(st),
-        "customer_segments": segment_customers(st),
+        "customer_segments": kept_segments(st),
         "forecast_results": forecast_results(st),
         "anomalies": order_anomalies(st),
         "monthly_anomalies": monthly_iqr(st),

@@ -7,8 +7,9 @@ specified in FIXTURES.md §3; ``k`` below is ``o_orderkey`` / ``l_orderkey``.
 
 Scale notes
 -----------
-* Everything is lazy: each report prunes the adapter down to the columns it
-  needs and Catalyst pushes filters into the parquet scans.
+* Everything is lazy: tables are derived when a report asks for them, each
+  report prunes them down to the columns it needs, and Catalyst pushes filters
+  into the parquet scans.
 * ``order_items.order_item_id`` is a row number inside the order, computed per
   (order, salt) plus offsets of the lower salt groups, so a huge order is
   numbered by many tasks; reports that do not read it prune both steps.
@@ -18,10 +19,12 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.exact import cents
 
@@ -35,8 +38,17 @@ PRIORITY_PAYMENT = {"3-MEDIUM": "boleto", "5-LOW": "debit_card"}
 UNTRANSLATED_PARTS = ["red bolt", "cold ring"]
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  Its files are listed anew each time, its schema is read
+    from them once per application."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
 
 
 def _hours(n: Column) -> Column:
@@ -54,23 +66,39 @@ def day_tenths(start: Column, end: Column) -> Column:
     return (t * F.lit(0.1).cast("decimal(1,1)")).cast("decimal(6,1)")
 
 
+#: A table, or what derives it when it is first asked for.
+Table = DataFrame | Callable[[], DataFrame]
+
+
 @dataclass
 class Star:
-    customers: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    payments: DataFrame
-    reviews: DataFrame
+    customers: Table
+    products: Table
+    sellers: Table
+    orders: Table
+    order_items: Table
+    payments: Table
+    reviews: Table
 
     # the delivered orders, where they can be told before the status is derived
-    delivered_orders: DataFrame | None = None
+    delivered_orders: Table | None = None
     # the same with the buyer's key, and each buyer's state by that key
-    delivered_keys: DataFrame | None = None
-    buyer_states: DataFrame | None = None
+    delivered_keys: Table | None = None
+    buyer_states: Table | None = None
     # where the tables come from; results kept per source use it as their key
     source: str | None = None
+    session: SparkSession | None = None
+
+    def __getattribute__(self, name: str):
+        value = object.__getattribute__(self, name)
+        if callable(value) and name in Star.__dataclass_fields__:
+            value = value()
+            object.__setattr__(self, name, value)
+        return value
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.session or self.orders.sparkSession
 
     def delivered(self) -> DataFrame:
         if self.delivered_orders is not None:
@@ -305,25 +333,38 @@ def build_reviews(orders: DataFrame) -> DataFrame:
 
 
 def load_star(spark: SparkSession, sf_dir: str) -> Star:
-    """Lazily derive the seven marketplace tables from the driver tables."""
-    raw_orders = read_raw(spark, sf_dir, "orders")
-    nation = read_raw(spark, sf_dir, "nation")
-    orders = build_orders(raw_orders)
-    delivered = raw_orders.filter(F.col("o_orderstatus").isin(*DELIVERED))
-    states = read_raw(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return Star(
+    """The seven marketplace tables of the driver's tables.  Each is derived when
+    a report first asks for it, so a report opens and analyses only the files
+    that it reads."""
+    frames: dict[str, DataFrame] = {}
+
+    def raw(name: str) -> DataFrame:
+        if name not in frames:
+            frames[name] = read_raw(spark, sf_dir, name)
+        return frames[name]
+
+    def delivered() -> DataFrame:
+        return raw("orders").filter(F.col("o_orderstatus").isin(*DELIVERED))
+
+    def buyer_states() -> DataFrame:
+        states = raw("customer").join(raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return states.select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("customer_state"))
+
+    star = Star(
         source=sf_dir.rstrip("/"),
-        delivered_orders=build_orders(delivered),
-        delivered_keys=build_orders(delivered, buyer_key=True),
-        buyer_states=states.select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("customer_state")),
-        customers=build_customers(raw_orders, read_raw(spark, sf_dir, "customer"), nation),
-        products=build_products(read_raw(spark, sf_dir, "part")),
-        sellers=build_sellers(read_raw(spark, sf_dir, "supplier"), nation),
-        orders=orders,
-        order_items=build_order_items(read_raw(spark, sf_dir, "lineitem")),
-        payments=build_payments(raw_orders),
-        reviews=build_reviews(orders),
+        session=spark,
+        delivered_orders=lambda: build_orders(delivered()),
+        delivered_keys=lambda: build_orders(delivered(), buyer_key=True),
+        buyer_states=buyer_states,
+        customers=lambda: build_customers(raw("orders"), raw("customer"), raw("nation")),
+        products=lambda: build_products(raw("part")),
+        sellers=lambda: build_sellers(raw("supplier"), raw("nation")),
+        orders=lambda: build_orders(raw("orders")),
+        order_items=lambda: build_order_items(raw("lineitem")),
+        payments=lambda: build_payments(raw("orders")),
+        reviews=lambda: build_reviews(star.orders),
     )
+    return star
 
 
 def category(products_alias: str | None = None) -> Column:

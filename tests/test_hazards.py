@@ -5,8 +5,9 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from marketlens.operators.anomalies import _c, _grow_tree, iqr_flags
+from marketlens.operators.anomalies import iqr_flags
 from marketlens.operators.forecast import with_trends
+from marketlens.operators.forest import EDGE, _grow_tree, unsuccessful
 from marketlens.plans.advanced import next_month, value_tier
 from marketlens.plans.intermediate import delay_bucket_sql
 from marketlens.sources.adapter import category
@@ -70,7 +71,7 @@ def test_isolation_tree_on_constant_column_is_a_leaf():
     pdf = pd.DataFrame({"tree": [0] * 8, "f0": [1.0] * 8, "f1": [2.0] * 8, "f2": [3.0] * 8})
     nodes = _grow_tree(pdf)
     assert len(nodes) == 1 and nodes.feat.iloc[0] == -1 and nodes["size"].iloc[0] == 8
-    assert _c(1) == 0.0 and _c(2) == 1.0 and abs(_c(256) - 10.2448) < 1e-3
+    assert unsuccessful(1) == 0 and unsuccessful(2) == EDGE and abs(unsuccessful(256) / EDGE - 10.2448) < 1e-3
 
 
 def test_quadratic_fit_recovers_coefficients_per_series(spark):

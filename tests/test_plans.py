@@ -40,3 +40,27 @@ def test_reports_pre_aggregate_before_exchange(spark):
     st = load_star(spark, SF)
     plan = _plan(all_reports()["b08_top_categories_revenue"].build(st))
     assert "HashAggregate" in plan and "partial" in plan.lower()
+
+
+def test_reports_open_only_their_files(spark, monkeypatch):
+    """b05 needs orders alone; tables are derived when they are asked for."""
+    from marketlens.sources import adapter
+
+    opened = []
+    real = adapter.read_raw
+    monkeypatch.setattr(adapter, "read_raw", lambda s, d, name: opened.append(name) or real(s, d, name))
+    st = load_star(spark, SF)
+    assert opened == []
+    all_reports()["b05_delivered_revenue"].build(st).collect()
+    assert opened == ["orders"]
+    st.payments, st.order_items
+    assert opened == ["orders", "lineitem"]
+
+
+def test_loading_is_quick(spark):
+    import time
+
+    load_star(spark, SF)
+    began = time.time()
+    load_star(spark, SF)
+    assert time.time() - began < 0.1
