@@ -9,12 +9,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import cond_count, money, ratio_round, tenths
+from ..functions.exact import cond_count, days_ratio, money, money_ratio, ratio_round, tenths
 from ..functions.exact import sql_cents as C
+from ..functions.exact import sql_days_ratio as RD
+from ..functions.exact import sql_money_ratio as RM
 from ..functions.exact import sql_ratio_round as R
 from ..functions.exact import sql_tenths as T
 from ..operators.grain import item_totals, payment_totals
 from ..oracle.adapter_sql import with_star
+from ..session import scratch_path
 from ..sources.adapter import Star
 from .registry import report
 
@@ -81,9 +84,9 @@ MONTHLY_SALES_SQL = (
 monthly_sales AS (
     SELECT year_month, row_number() OVER (ORDER BY year_month) AS month_number,
         count(*) AS order_count, CAST(sum(total_payment_cents) AS DOUBLE) / 100 AS revenue,
-        {R('sum(total_payment_cents)', 'count(total_payment_cents)', 2)} AS avg_order_value,
+        {RM('sum(total_payment_cents)', 'count(total_payment_cents)', 2)} AS avg_order_value,
         {R('sum(review_score)', 'count(review_score)', 2)} AS avg_review_score,
-        {R('sum(CAST(delivery_duration_days * 10 AS BIGINT))', 'count(delivery_duration_days)', 1)} AS avg_delivery_days,
+        {RD('sum(CAST(delivery_duration_days * 10 AS BIGINT))', 'count(delivery_duration_days)', 1)} AS avg_delivery_days,
         CAST(sum(CASE WHEN is_late THEN 1 ELSE 0 END) AS BIGINT) AS late_order_count
     FROM order_totals WHERE order_status = 'delivered' AND year_month IS NOT NULL
     GROUP BY year_month
@@ -109,9 +112,9 @@ def monthly_sales(st: Star) -> DataFrame:
         F.row_number().over(Window.orderBy("year_month")).cast("bigint").alias("month_number"),
         "order_count",
         (F.col("_c").cast("double") / 100).alias("revenue"),
-        ratio_round("_c", "_cn", 2).alias("avg_order_value"),
+        money_ratio("_c", "_cn", 2).alias("avg_order_value"),
         ratio_round("_r", "_rn", 2).alias("avg_review_score"),
-        ratio_round("_d", "_dn", 1).alias("avg_delivery_days"),
+        days_ratio("_d", "_dn", 1).alias("avg_delivery_days"),
         "late_order_count",
     )
 
@@ -169,24 +172,16 @@ def star_frames(st: Star) -> dict[str, DataFrame]:
     "p18_load_verify",
     with_star(
         "\nUNION ALL\n".join(
-            f"SELECT '{t}' AS table_name, {i + 1} AS load_order, count(*) AS row_count FROM {'orders_en' if t == 'orders' else t}"
+            f"SELECT '{t}' AS table_name, {i + 1} AS load_order, count(*) AS expected_count, count(*) AS row_count, true AS ok FROM {'orders_en' if t == 'orders' else t}"
             for i, t in enumerate(STAR_TABLES)
         )
     ),
-    note="tables are written to the shared checkpoint folder in FK order and the counts read back",
+    note="a new version of the tables is written in FK order below the shared checkpoint folder, verified and published",
 )
 def p18(st: Star) -> DataFrame:
-    from ..sources.sinks import write_star
+    from ..sources.versions import load_version
 
-    spark = st.orders.sparkSession
-    loaded = write_star(spark, st)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), F.lit(i + 1).alias("load_order"), "row_count"
-        )
-        for i, (name, df) in enumerate(loaded.items())
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return load_version(st, scratch_path(st.spark, "star"))
 
 
 # (check, table, violating rows) — FK orphans, duplicate keys, NULLs in NOT NULL columns.
@@ -241,30 +236,52 @@ def _integrity_sql() -> str:
     return with_star("\nUNION ALL\n".join(parts))
 
 
-@report("p19_integrity_check", _integrity_sql())
-def p19(st: Star) -> DataFrame:
-    frames = star_frames(st)
-    rows = []
-    for child, ck, parent, pk in FOREIGN_KEYS:
-        orphans = frames[child].select(F.col(ck).alias("_k")).join(
-            frames[parent].select(F.col(pk).alias("_k")), "_k", "left_anti"
-        )
-        rows.append(
-            orphans.agg(F.count(F.lit(1)).alias("violations")).select(
-                F.lit(f"orphan {child}.{ck} -> {parent}").alias("check_name"), F.lit(child).alias("table_name"), "violations"
-            )
-        )
-    # one pass per table finds its repeated keys and its missing values
+def key_rows(frames: dict[str, DataFrame]) -> DataFrame:
+    """(domain, k1, k2, kind, missing): a row for every primary key and every
+    reference of every table.  Kind 0 is the key itself, kind i > 0 the i-th of
+    FOREIGN_KEYS; a reference lies in the domain of the table that it names, a
+    key that only its own table has is a domain of its own."""
+    named = {parent: pk for _, _, parent, pk in FOREIGN_KEYS}
+    tables = []
     for t, keys in PRIMARY_KEYS.items():
+        text = lambda c: F.col(c).cast("string")
         missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in NOT_NULL[t]])
-        per_key = frames[t].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), cond_count(missing).alias("z"))
-        both = per_key.agg(
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("again"),
-            F.coalesce(F.sum("z"), F.lit(0)).cast("bigint").alias("missing"),
-        )
-        checks = F.array(
-            F.struct(F.lit(f"duplicate key {t}({', '.join(keys)})").alias("check_name"), F.col("again").alias("violations")),
-            F.struct(F.lit(f"null required column {t}").alias("check_name"), F.col("missing").alias("violations")),
-        )
-        rows.append(both.select(F.explode(checks).alias("c")).select("c.check_name", F.lit(t).alias("table_name"), "c.violations"))
-    return reduce(DataFrame.unionByName, rows)
+        entry = lambda domain, k1, k2, kind, gone: F.struct(F.lit(domain).alias("domain"), k1.alias("k1"), k2.alias("k2"), F.lit(kind).alias("kind"), gone.cast("int").alias("missing"))
+        none = F.lit(None).cast("string")
+        entries = [entry(t, text(keys[0]), text(keys[1]) if len(keys) > 1 else none, 0, missing)]
+        for i, (child, ck, parent, _) in enumerate(FOREIGN_KEYS):
+            if child == t:
+                entries.append(entry(parent, text(ck), none, i + 1, F.lit(False)))
+        assert t not in named or keys == [named[t]]
+        tables.append(frames[t].select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def integrity(frames: dict[str, DataFrame]) -> DataFrame:
+    """check_name, table_name, violations.  Keys and the references to them are
+    united and grouped once; tasks count before they shuffle, so a parent with a
+    third of all children is a row a task."""
+    refs = range(1, len(FOREIGN_KEYS) + 1)
+    per_key = key_rows(frames).groupBy("domain", "k1", "k2").agg(
+        cond_count(F.col("kind") == 0).alias("own"),
+        F.sum("missing").alias("missing"),
+        *[cond_count(F.col("kind") == i).alias(f"r{i}") for i in refs],
+    )
+    # a missing reference names no parent, not even one whose key is missing
+    lost = (F.col("own") == 0) | F.col("k1").isNull()
+    own = lambda t: F.when(F.col("domain") == t, F.col("own"))
+    whole = per_key.agg(
+        *[F.sum(F.when(lost, F.col(f"r{i}"))).alias(f"r{i}") for i in refs],
+        *[F.sum(F.greatest(own(t) - 1, F.lit(0))).alias(f"d_{t}") for t in PRIMARY_KEYS],
+        *[F.sum(F.when(F.col("domain") == t, F.col("missing"))).alias(f"m_{t}") for t in PRIMARY_KEYS],
+    )
+    check = lambda name, t, c: F.struct(F.lit(name).alias("check_name"), F.lit(t).alias("table_name"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("violations"))
+    checks = [check(f"orphan {child}.{ck} -> {parent}", child, f"r{i}") for i, (child, ck, parent, _) in zip(refs, FOREIGN_KEYS)]
+    checks += [check(f"duplicate key {t}({', '.join(keys)})", t, f"d_{t}") for t, keys in PRIMARY_KEYS.items()]
+    checks += [check(f"null required column {t}", t, f"m_{t}") for t in PRIMARY_KEYS]
+    return whole.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+
+
+@report("p19_integrity_check", _integrity_sql())
+def p19(st: Star) -> DataFrame:
+    return integrity(star_frames(st))
