@@ -38,8 +38,8 @@ def report(key: str, oracle: str | None = None, note: str = ""):
 
 def all_reports() -> dict[str, Report]:
     # Import for side effects: each module registers its reports.
-    from . import advanced, basic, eda, insights, intermediate, pipeline, service  # noqa: F401
+    from . import advanced, basic, eda, insights, intermediate, pipeline, refresh, service  # noqa: F401
     from ..operators import anomalies, forecast, segments  # noqa: F401
-    from ..sources import ingest  # noqa: F401
+    from ..sources import ingest, quarantine  # noqa: F401
 
     return REPORTS
