@@ -43,6 +43,28 @@ def sql_ratio_round(num: str, den: str, k: int) -> str:
     )
 
 
+def _per(den, units: int) -> Column:
+    return _col(den).cast("decimal(38,0)") * F.lit(units).cast("decimal(38,0)")
+
+
+def money_ratio(num, den, k: int = 2) -> Column:
+    """A mean of money: ``num`` in cents over a count, in whole units."""
+    return ratio_round(num, _per(den, 100), k)
+
+
+def days_ratio(num, den, k: int = 1) -> Column:
+    """A mean of days: ``num`` in tenths of a day over a count, in days."""
+    return ratio_round(num, _per(den, 10), k)
+
+
+def sql_money_ratio(num: str, den: str, k: int = 2) -> str:
+    return sql_ratio_round(num, f"CAST(({den}) AS HUGEINT) * 100", k)
+
+
+def sql_days_ratio(num: str, den: str, k: int = 1) -> str:
+    return sql_ratio_round(num, f"CAST(({den}) AS HUGEINT) * 10", k)
+
+
 def cents(c) -> Column:
     """DECIMAL(…,2) money → exact BIGINT cents."""
     return (_col(c) * F.lit(100)).cast("bigint")
