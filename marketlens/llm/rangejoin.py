@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import arrow_rows, materialise, prepared, read_table
 from marketlens.llm.components import connected_components
-from marketlens.llm.vectors import cosine, matrix, unit, usable
+from marketlens.llm.vectors import cosine, matrix, node, unit, usable
 
 LEAST = 0.95
 #: Vectors that a cell is meant for, and most pivots (they are broadcast).
@@ -137,7 +137,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     prepared(vectors)
     linked = reduce(DataFrame.union, [_linked(rows) for rows in usable(vectors, id_col, vec_col)])
-    everyone = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].alias("embedding")).withColumn("node", F.xxhash64("embedding"))
+    everyone = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].alias("embedding")).withColumn("node", node())
     out = everyone.select("vec_id", "node").join(linked, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

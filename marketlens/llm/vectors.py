@@ -11,18 +11,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: SQL: whether ``embedding`` takes part.
+_FINE = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> coalesce(not isnan(x) and abs(x) < double('infinity'), false)) and exists(embedding, x -> x <> 0)"
+
+
+def node() -> Column:
+    """The node of ``embedding``, null where it takes no part (hashes skip null
+    components, so others would share theirs)."""
+    return F.expr(f"if({_FINE}, xxhash64(embedding), cast(null as bigint))")
+
+
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> list[DataFrame]:
     """vec_id, embedding, node of the rows that take part, by length (one frame
     without rows, if none do)."""
     src = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].alias("embedding"))
-    fine = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> coalesce(not isnan(x) and abs(x) < double('infinity'), false)) and exists(embedding, x -> x <> 0)"
-    src = src.where(fine)
+    src = src.where(_FINE)
     lengths = [r["d"] for r in src.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
-    return [src.where(F.size("embedding") == d).withColumn("node", F.xxhash64("embedding")) for d in lengths or [0]]
+    return [src.where(F.size("embedding") == d).withColumn("node", node()) for d in lengths or [0]]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

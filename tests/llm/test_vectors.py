@@ -142,3 +142,14 @@ def test_every_length_is_compared(spark):
         found.setdefault(r.query_id, []).append(r.vec_id)
     assert {q: len(v) for q, v in found.items()} == {0: 5, 60: 5, at: 5, at + 30: 5}
     assert all((v >= at) == (q >= at) for q, some in found.items() for v in some)
+
+
+def test_unusable_vectors_beside_what_is_left_of_them(spark):
+    """Null and non-finite components link with nothing, not even with vectors
+    that equal the rest of theirs."""
+    v = [[1.0, 2.0], [1.0, 2.0], [1.0, 2.0, None], [None, 1.0, 2.0], [1.0, None, 2.0], [float("nan"), 1.0, 2.0], [1.0, 2.0, float("inf")], [None, None], [], None, [0.0, 0.0], [3.0], [None, 3.0], [3.0, None], [3.0]]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rangejoin.link(frame(spark, v)).collect()}
+    want = {i: (0, i, True) for i in range(len(v))} | {0: (1, 0, True), 1: (1, 0, False), 11: (1, 11, True), 14: (1, 11, False)}
+    assert got == want
+    found = {r.query_id for r in ann.search(frame(spark, v), F.expr("vec_id >= 0")).collect()}
+    assert found == {0, 1, 11, 14}
