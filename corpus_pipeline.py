@@ -13,8 +13,8 @@ from marketlens.llm.common import materialise, read_table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents whose language can't be told (no letters, or a
-    score within a tenth of chance) go."""
+    """Language ID: documents in no learned language go (no letters, or score and
+    known n-grams beyond bounds that unseen rows set)."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.accepted(docs, model)
 

@@ -109,6 +109,15 @@ def is_scratch(spark: SparkSession, path: str) -> bool:
     return path in _SCRATCH.get(spark.sparkContext.applicationId, [])
 
 
+def remove_scratch_path(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table; frames that read it are void from then on."""
+    paths = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    if path in paths:
+        paths.remove(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables of this application; frames that read them are
     void from then on.  Returns how many there were."""
