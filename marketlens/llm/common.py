@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.session import apply_defaults, scratch_path
+from marketlens.session import apply_defaults, remove_scratch_path, scratch_path
 
 #: Bytes of text that a task turns into numpy arrays at a time.
 BLOCK_BYTES = 1 << 20
@@ -46,7 +46,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these frames, once what follows from
+    them is written, and let Spark clean up the shuffles of frames that are gone."""
+    for df in frames:
+        remove_scratch_path(df.sparkSession, df._scratch_path)
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

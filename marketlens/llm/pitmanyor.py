@@ -50,15 +50,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, bit_table, blocks, has_bit, materialise, prepared, read_table, row_key, text_bytes
+from marketlens.llm.common import arrow_rows, bit_table, blocks, discard, has_bit, materialise, prepared, read_table, row_key, text_bytes
 from marketlens.llm.shingles import mix, words
 
 BURN_IN, KEPT = 2, 3
 #: Strength of every restaurant; discounts are estimated, within these bounds.
 STRENGTH = 1.0
 DISCOUNT = (0.05, 0.95)
-#: Words, and pairs of words, whose scores are broadcast.
-HEAD = 1 << 17
+#: Words, and pairs of words, whose scores are broadcast, about.
+HEAD = 1 << 20
+#: Entries of a text that one row holds.
+LISTED = 1 << 16
 #: Customers that are seated one by one.
 SINGLY = 24
 #: Distinct words that a task holds before it passes them on.
@@ -300,9 +302,22 @@ def _unpacked(x: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
 
 
+def _most(table: DataFrame, key: str) -> Column:
+    """A condition that holds for the HEAD rows of greatest ``n``, about: whole
+    classes of n (eight to a doubling), and of the last one a share by hash."""
+    kind = F.floor(F.log2("n") * 8).cast("int")
+    left = HEAD
+    for r in table.groupBy(kind.alias("kind")).count().orderBy(F.desc("kind")).collect():  # 512 rows at most
+        if r["count"] > left:
+            share = int(left / r["count"] * (1 << 30))
+            return (kind > r["kind"]) | ((kind == r["kind"]) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share))
+        left -= r["count"]
+    return F.lit(True)
+
+
 def _head(table: DataFrame) -> np.ndarray:
     """Hashes of the HEAD most frequent words, ascending."""
-    return np.sort(table.select("word", "n").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()["word"].to_numpy())
+    return np.sort(table.where(_most(table, "word")).select("word").toArrow()["word"].to_numpy())
 
 
 def _pair_table(docs: DataFrame, names: np.ndarray, tokens: int) -> DataFrame:
@@ -460,9 +475,10 @@ def _seated(pairs: DataFrame, values: DataFrame, names: np.ndarray, d2: float) -
     return materialise(found.mapInArrow(run, kind).unionByName(once), "pitmanyor-seated")
 
 
-def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | None = None) -> Model:
+def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | None = None, spend: bool = False) -> Model:
     """Gibbs sweeps over the training counts of the word table and of the pair
-    table; without the latter, tokens sit in the word restaurant."""
+    table; without the latter, tokens sit in the word restaurant.  ``spend``:
+    the pair table is discarded when its pairs are seated."""
     spark = table.sparkSession
     known = table.where("c > 0")
     sums = known.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
@@ -497,8 +513,11 @@ def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | No
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.power(10.0, lm)), b.column(3)], ["word", "p", "v0"])
 
             values = materialise(known.select("word", "letters", "u0", "v0").mapInArrow(settled, "word long, p double, v0 double"), "pitmanyor-values")
-            pairs = _seated(pairs, values, names, d2)
-            known = _state(known, pairs, [f"e{k}" for k in range(KEPT)], "pitmanyor-state")
+            seated = _seated(pairs, values, names, d2)
+            discard(values, *([pairs] if spend else []))
+            pairs, earlier = seated, known
+            known = _state(earlier, pairs, [f"e{k}" for k in range(KEPT)], "pitmanyor-state")
+            discard(earlier)
         if pairs is not None:
             column = f"u{max(0, number - BURN_IN)}"
         sweep = Sweep(number, spelling, total)
@@ -586,82 +605,80 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("train", train).withColumn("key", row_key())
     table = _word_table(src)
     names = _head(table)
-    model = fit(table, _pair_table(src, names, int(table.agg(F.sum("n")).first()[0] or 0)), names)
+    model = fit(table, _pair_table(src, names, int(table.agg(F.sum("n")).first()[0] or 0)), names, spend=True)
     scored = _scored_words(table, model)
+    discard(table, model.known)
     gains = _gains(model, scored, names)
-    often = gains.orderBy(F.desc("n"), "pair").limit(HEAD).toArrow().sort_by("pair")
-    cast_pairs = docs.sparkSession.sparkContext.broadcast((often["pair"].to_numpy(), often["gain"].to_numpy(), bit_table(gains, "pair"), model))
-    head = scored.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().sort_by("word")
-    cast = docs.sparkSession.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("word", "base", "lm", "known", "back", "context")))
+    discard(model.pairs)
+    often = gains.where(_most(gains, "pair")).select("pair", "gain").toArrow().sort_by("pair")
+    head = scored.where(_most(scored, "word")).toArrow().sort_by("word")
+    cast = docs.sparkSession.sparkContext.broadcast((tuple(head[c].to_numpy() for c in ("word", "base", "lm", "known", "back", "context")), often["pair"].to_numpy(), often["gain"].to_numpy(), bit_table(gains, "pair"), model))
     kind = src.schema["doc_id"].dataType.simpleString()
 
-    def found(column: pa.Array):
-        """Blocks of a text column: rows, words' rows and hashes (the end
-        tokens last), and their places among the frequent ones (-1: rare)."""
-        names = cast.value[0]
-        buf, off = text_bytes(column)
-        for lo, hi in blocks(off):
-            h, _, _, first = words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            row = np.append(np.repeat(np.arange(hi - lo), np.diff(first)), np.arange(hi - lo))
-            h = np.append(h.view(np.int64), np.full(hi - lo, END))
-            at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
-            yield lo, hi, row, h, np.where(names[at] == h, at, -1) if len(names) else np.full(len(h), -1)
-
-    def followed(column: pa.Array, train: np.ndarray):
-        """Blocks of a text column: rows, and the tokens' rows, pairs, gains and
-        whether a join may find another gain: not for the most frequent pairs,
-        nor for two frequent words without an entry in the pair table, which
-        training texts hold once and others never."""
-        names, _, lm, _, back, context = cast.value
-        frequent, gain, bits, model = cast_pairs.value
-        buf, off = text_bytes(column)
-        for lo, hi in blocks(off):
-            h, _, _, first = words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            row, prev, word = _sequence(h, first)
-            u, w, pair = _place(names, prev), _place(names, word), _pair(prev, word)
-            at = _place(frequent, pair.view(np.int64))
-            got = np.zeros(len(row))
-            once = np.flatnonzero((at < 0) & (u >= 0) & (w >= 0) & train[lo:hi][row])
-            got[once] = model.gain(1.0, 1.0, context[u[once]], back[u[once]], lm[w[once]])
-            got[at >= 0] = gain[at[at >= 0]]
-            yield lo, hi, row, pair.view(np.int64), got, (at < 0) & has_bit(bits, pair)
-
-    def frequent(batches):
-        _, base, lm, known, back, _ = cast.value
-        lm = lm + back  # a token is a token and a context once
+    def counted(row: np.ndarray, key: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Distinct (row, key), their number, and ``more`` of the first."""
+        o = np.lexsort((key, row))
+        row, key = row[o], key[o]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, np.int64)
+        return row[new], key[new], np.diff(np.append(new, len(row))).astype(np.int32), *([more[o][new]] if more is not None else [])
+
+    def lists(row: np.ndarray, n: int, part: int, *columns: np.ndarray) -> list[pa.Array]:
+        """The ``part``-th LISTED entries of each row."""
+        ends = np.searchsorted(row, np.arange(n + 1))
+        lo = np.minimum(ends[:-1] + part * LISTED, ends[1:])
+        hi = np.minimum(lo + LISTED, ends[1:])
+        size = hi - lo
+        at = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        off = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+        return [pa.ListArray.from_arrays(off, pa.array(c[at])) for c in columns]
+
+    def run(batches):
+        """A text's sums over the frequent words and pairs; its other words and
+        pairs in lists, where those of a long text take further rows (n_tokens
+        null there).  No join is needed for a pair of two frequent words without
+        an entry in the pair table, which training texts hold once and others
+        never."""
+        (names, base, lm, known, back, context), frequent, gain, bits, model = cast.value
+        both = lm + back  # a token is a token and a context once
         for b in arrow_rows(batches):
+            buf, off = text_bytes(b.column(3))
             train = b.column(2).to_numpy(zero_copy_only=False)
-            for (lo, hi, row, h, at), (_, _, place, _, got, joined) in zip(found(b.column(3)), followed(b.column(3), train)):
-                n, hit = hi - lo, at >= 0
-                sums = [np.bincount(row[hit], x[at[hit]], n) for x in (base, lm, known)]
-                sums[1] += np.bincount(place, np.where(joined, 0.0, got), n)
-                arrays = [c.slice(lo, n) for c in b.columns[:3]]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(row, minlength=n)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["key", "doc_id", "train", "n_tokens", "base", "lm", "known"])
-
-    def rare(batches):
-        for b in arrow_rows(batches):
-            key = b.column(0).to_numpy()
-            for lo, _, row, h, at in found(b.column(1)):
-                r, w = row[at < 0], h[at < 0]
-                o = np.lexsort((w, r))
-                r, w = r[o], w[o]
-                new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(r) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo + r[new]]), pa.array(w[new]), pa.array(np.diff(np.append(new, len(r))).astype(np.int32))], ["key", "word", "m"])
-
-    def paired(batches):
-        for b in arrow_rows(batches):
-            key = b.column(0).to_numpy()
-            for lo, _, row, pair, got, joined in followed(b.column(2), b.column(1).to_numpy(zero_copy_only=False)):
-                r, w, g = row[joined], pair[joined], got[joined]
-                o = np.lexsort((w, r))
-                r, w, g = r[o], w[o], g[o]
-                new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(r) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo + r[new]]), pa.array(w[new]), pa.array(np.diff(np.append(new, len(r))).astype(np.int32)), pa.array(g[new])], ["key", "pair", "m", "got"])
-
-    heads = materialise(src.select("key", "doc_id", "train", "text").mapInArrow(frequent, f"key long, doc_id {kind}, train boolean, n_tokens long, base double, lm double, known long"), "pitmanyor-heads")
-    rest = src.select("key", "text").mapInArrow(rare, "key long, word long, m int").join(scored.select("word", "base", (F.col("lm") + F.col("back")).alias("lm"), "known"), "word")
+            for lo, hi in blocks(off):
+                n = hi - lo
+                h, _, _, first = words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                row, prev, word = _sequence(h, first)
+                u, inv = np.unique(word, return_inverse=True)
+                w = _place(names, u)[inv]
+                v, hit = np.roll(w, 1), w >= 0
+                sums = [np.bincount(row[hit], x[w[hit]], n) for x in (base, both, known)]
+                pair, inv = np.unique(_pair(prev, word), return_inverse=True)
+                at, entered = _place(frequent, pair.view(np.int64)), has_bit(bits, pair)
+                joined = ((at < 0) & entered)[inv]
+                at = at[inv]
+                got = np.zeros(len(row))
+                once = np.flatnonzero((at < 0) & (v >= 0) & hit & train[lo:hi][row])
+                got[once] = model.gain(1.0, 1.0, context[v[once]], back[v[once]], lm[w[once]])
+                got[at >= 0] = gain[at[at >= 0]]
+                sums[1] += np.bincount(row, np.where(joined, 0.0, got), n)
+                wr, wk, wm = counted(row[~hit], word[~hit])
+                pr, pk, pm, pg = counted(row[joined], pair.view(np.int64)[inv[joined]], got[joined])
+                parts = max([0, *(-(-int(np.bincount(r).max()) // LISTED) for r in (wr, pr) if len(r))])
+                for part in range(max(1, parts)):
+                    rest = [*lists(wr, n, part, wk, wm), *lists(pr, n, part, pk, pm, pg)]
+                    full = np.ones(n, bool) if part == 0 else (np.diff(rest[0].offsets.to_numpy()) > 0) | (np.diff(rest[2].offsets.to_numpy()) > 0)
+                    tokens = pa.array(np.bincount(row, minlength=n), mask=np.full(n, part > 0))
+                    heads = [c.slice(lo, n) for c in b.columns[:3]]
+                    rows = pa.RecordBatch.from_arrays([*heads, tokens, pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), *rest], ["key", "doc_id", "train", "n_tokens", "base", "lm", "known", "words", "word_m", "pairs", "pair_m", "pair_got"])
+                    yield rows.filter(pa.array(full))
+
+    lists_of = "words array<long>, word_m array<int>, pairs array<long>, pair_m array<int>, pair_got array<double>"
+    read = materialise(src.select("key", "doc_id", "train", "text").mapInArrow(run, f"key long, doc_id {kind}, train boolean, n_tokens long, base double, lm double, known long, {lists_of}"), "pitmanyor-heads")
+    heads = read.where("n_tokens is not null").select("key", "doc_id", "train", "n_tokens", "base", "lm", "known")
+    rest = read.select("key", F.explode(F.arrays_zip("words", "word_m")).alias("e")).selectExpr("key", "e.words as word", "e.word_m as m")
+    rest = rest.join(scored.select("word", "base", (F.col("lm") + F.col("back")).alias("lm"), "known"), "word")
     rest = rest.selectExpr("key", "m * base as base", "m * lm as lm", "m * known as known", "0L as rows")
-    more = src.select("key", "train", "text").mapInArrow(paired, "key long, pair long, m int, got double").join(gains.select("pair", "gain"), "pair", "left")
+    more = read.select("key", F.explode(F.arrays_zip("pairs", "pair_m", "pair_got")).alias("e")).selectExpr("key", "e.pairs as pair", "e.pair_m as m", "e.pair_got as got")
+    more = more.join(gains.select("pair", "gain"), "pair", "left")
     rest = rest.union(more.selectExpr("key", "0D", "m * coalesce(gain, got)", "0L", "0L"))
     rest = rest.union(heads.selectExpr("key", "0D", "0D", "0L", "1L as rows"))
     rest = rest.groupBy("key").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "lm", "known", "rows")])  # equal rows have summed up more_rows times
