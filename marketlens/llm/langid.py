@@ -12,6 +12,11 @@ leader under an elastic-net penalty, then calibrated by one temperature.
   the SAMPLE // 10 most frequent are not learned, so never predicted.
 * The temperature minimises the log loss on rows of the sample that the fit
   has not seen.
+* Scores say nothing about languages that were not learned, so ``accepted`` asks
+  for two bounds fitted on the same rows: the score that all but a thousandth of
+  the right predictions reach, and the share of unknown n-grams (in a RARE part
+  of the training documents at most) that all but a thousandth of the texts stay
+  below; both with a margin, the second with room for the chance of short texts.
 * Prediction reads whole texts; lang, source and doc_id play no part in it.
 
 Cases: null text or no letter: ``und``, score 0; null lang: not learned from,
@@ -39,8 +44,14 @@ SAMPLE_PER_LABEL = 600
 SAMPLE = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-#: ``accepted`` rejects texts whose score is less than this many times chance.
-MIN_LIFT = 1.1
+#: An n-gram is unknown if at most this part of the training documents hold it.
+RARE = 2e-5
+#: Part of the unseen rows beyond each of ``accepted``'s bounds, before the
+#: margins: odds of the score divided, share of unknown n-grams multiplied.
+BEYOND, ODDS_MARGIN, SHARE_MARGIN = 0.001, 4.0, 2.0
+#: The greatest bound on the score; the least share that is let through; room in
+#: standard deviations and n-grams.
+MOST_SCORE, LEAST_SHARE, ROOM, FEW = 0.5, 0.01, 4.0, 2
 #: Code points of a text that are turned into n-grams at a time.
 PIECE = 1 << 20
 
@@ -68,7 +79,10 @@ def counts(text: str) -> np.ndarray:
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features and weights: (1 + ln tf) * idf, of length one."""
-    tf = counts(text)
+    return weighted(counts(text), idf)
+
+
+def weighted(tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(tf)
     w = (1 + np.log(tf[at])) * idf[at]
     norm = np.sqrt((w * w).sum())
@@ -152,16 +166,28 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """What prediction needs; its size is fixed by FEATURES and the labels."""
 
-    def __init__(self, labels: list[str], idf: np.ndarray, w: np.ndarray, b: np.ndarray, temperature: float):
+    def __init__(self, labels: list[str], idf: np.ndarray, w: np.ndarray, b: np.ndarray, temperature: float, unknown: np.ndarray | None = None, share: float = 1.0, least: float = 0.0):
         self.labels, self.idf, self.w, self.b, self.temperature = labels, idf, w, b, temperature
+        self.unknown, self.share, self.least = np.zeros(FEATURES, bool) if unknown is None else unknown, share, least
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Label, score, and whether the text is in a learned language."""
         if not text or not self.labels or not _lettered(text):
-            return "und", 0.0
-        at, x = vector(text, self.idf)
+            return "und", 0.0, False
+        tf = counts(text)
+        at, x = weighted(tf, self.idf)
         p = _softmax((x @ self.w[at] + self.b) / self.temperature)
         k = int(np.argmax(p))
-        return self.labels[k], float(p[k])
+        fine = p[k] >= self.least and tf[self.unknown].sum() <= allowed(self.share, tf.sum())
+        return self.labels[k], float(p[k]), bool(fine)
+
+
+def allowed(share: float, n: np.ndarray | float) -> np.ndarray | float:
+    """Unknown n-grams that may be among ``n``."""
+    return share * n + ROOM * np.sqrt(share * n) + FEW
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
@@ -175,6 +201,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     n, have = document_frequencies(src)
     idf = np.log((1 + n) / (1 + have)) + 1
+    unknown = have <= RARE * n
     want = min(SAMPLE_PER_LABEL, SAMPLE // len(labels))
     share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, want / per[k]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
@@ -183,30 +210,44 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     def run(batches):
         for b in arrow_rows(batches):
             ids, texts, langs = (c.to_pylist() for c in b.columns)
-            out = [(k, t, zlib.crc32(str(i).encode()) % 4 == 3, *vector(t, idf)) for i, t, k in zip(ids, texts, langs) if _lettered(t)]
+            out = []
+            for i, t, k in zip(ids, texts, langs):
+                if _lettered(t):
+                    tf = counts(t)
+                    out.append((k, t, zlib.crc32(str(i).encode()) % 4 == 3, tf[unknown].sum() / tf.sum(), *weighted(tf, idf)))
             if out:
-                k, t, late, at, x = zip(*out)
+                k, t, late, odd, at, x = zip(*out)
                 key = [int(mix(np.array([zlib.crc32(v.encode())], np.uint64))[0] >> _U(1)) for v in t]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(late), pa.array(key), pa.array(at, pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in x], pa.list_(pa.float32()))], ["lang", "late", "key", "at", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(late), pa.array(key), pa.array(odd, pa.float64()), pa.array(at, pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in x], pa.list_(pa.float32()))], ["lang", "late", "key", "odd", "at", "x"])
 
-    rows = picked.mapInArrow(run, "lang string, late boolean, key long, at array<int>, x array<float>").limit(2 * SAMPLE).toArrow()
+    rows = picked.mapInArrow(run, "lang string, late boolean, key long, odd double, at array<int>, x array<float>").limit(2 * SAMPLE).toArrow()
     rows = rows.sort_by([("lang", "ascending"), ("key", "ascending")]).combine_chunks()
     # views of the sample's arrays: as Python numbers they would be ten times as large
     flat = {c: rows[c].chunk(0).values.to_numpy() if rows.num_rows else np.zeros(0) for c in ("at", "x")}
     ends = rows["at"].chunk(0).offsets.to_numpy() if rows.num_rows else np.zeros(1, int)
     sets: dict[bool, list] = {False: [], True: []}
-    for i, (lang, late) in enumerate(zip(rows["lang"].to_pylist(), rows["late"].to_pylist())):
+    shares: dict[bool, list[float]] = {False: [], True: []}
+    for i, (lang, late, odd) in enumerate(zip(rows["lang"].to_pylist(), rows["late"].to_pylist(), rows["odd"].to_pylist())):
         part = slice(ends[i], ends[i + 1])
         sets[late].append((flat["at"][part], flat["x"][part], labels.index(lang)))
+        shares[late].append(odd)
     fit = sets[False] or sets[True]
     w, b = fit_ftrl(fit, len(labels))
     held = sets[True] or fit
-    temperature = fit_temperature(np.array([x @ w[at] + b for at, x, _ in held]), np.array([y for *_, y in held])) if held else 1.0
-    return Model(labels, idf, w, b, temperature)
+    if not held:
+        return Model(labels, idf, w, b, 1.0)
+    logits, y = np.array([x @ w[at] + b for at, x, _ in held]), np.array([y for *_, y in held])
+    temperature = fit_temperature(logits, y)
+    p = _softmax(logits / temperature)
+    right = p.max(axis=1)[p.argmax(axis=1) == y]
+    low = float(np.quantile(right, BEYOND)) if len(right) else 0.0
+    least = min(MOST_SCORE, low / (low + ODDS_MARGIN * (1 - low)))
+    share = SHARE_MARGIN * float(np.quantile(shares[True] or shares[False], 1 - BEYOND))
+    return Model(labels, idf, w, b, temperature, unknown, max(share, LEAST_SHARE), least)
 
 
 def _predicted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """row (all columns of ``docs``), lang_pred, score."""
+    """row (all columns of ``docs``), lang_pred, score, learned."""
     cast = prepared(docs).sparkContext.broadcast(model)
     src = docs.select(whole_row(docs).alias("row"))
     out = src.schema["row"].dataType.simpleString()
@@ -217,10 +258,10 @@ def _predicted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             texts = b.column(0).field(text_col)
             _, off = text_bytes(texts)
             for lo, hi in blocks(off):
-                pred = [m.predict(t) for t in texts.slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([p[0] for p in pred]), pa.array([p[1] for p in pred])], ["row", "lang_pred", "score"])
+                pred = [m.judge(t) for t in texts.slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array([p[k] for p in pred]) for k in range(3)]], ["row", "lang_pred", "score", "learned"])
 
-    return src.mapInArrow(run, f"row {out}, lang_pred string, score double")
+    return src.mapInArrow(run, f"row {out}, lang_pred string, score double, learned boolean")
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -230,12 +271,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return _predicted(kept, model, text_col).select("row.*", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, model: Model, lift: float = MIN_LIFT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language the model can tell, unchanged: with a
-    letter, and a score that isn't that of a guess among the labels."""
-    least = min(0.5, lift / max(1, len(model.labels)))
-    found = _predicted(docs, model, text_col)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are in a language which the model has learned,
+    unchanged: with a letter, a score and known n-grams within the bounds that
+    were fitted on unseen rows."""
+    return _predicted(docs, model, text_col).where("learned").select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -53,3 +53,30 @@ def test_temperature_lowers_the_loss():
     t = langid.fit_temperature(logits, y)
     loss = lambda s: -np.log(langid._softmax(logits / s)[np.arange(500), y]).mean()
     assert loss(t) <= min(loss(1.0), loss(t * 1.1), loss(t / 1.1)) + 1e-9
+
+
+# Sentences in languages that the tables don't hold.
+UNLEARNED = {
+    "sv": "alla människor är födda fria och lika i värde och rättigheter de har utrustats med förnuft och samvete och bör handla gentemot varandra i en anda av gemenskap var och en är berättigad till alla de rättigheter",
+    "it": "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza ad ogni individuo spettano",
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства каждый человек должен обладать всеми правами",
+    "pl": "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa każdy człowiek posiada wszystkie prawa",
+}
+
+
+def test_unlearned_languages_and_junk_go_and_clean_documents_stay(spark):
+    import random
+
+    rnd = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    strange = {}
+    for lang, words in UNLEARNED.items():
+        strange[lang] = [" ".join(rnd.choices(words.split(), k=rnd.randint(25, 120))) for _ in range(30)]
+    strange["junk"] = ["".join(rnd.choice("bcdfghjklmnpqrstvwxz") if rnd.random() < 0.85 else " " for _ in range(rnd.randint(200, 900))) for _ in range(30)]
+    strange["signs"] = ["".join(rnd.choice("äöÿøþðßæœłžč#@%&*") for _ in range(rnd.randint(100, 400))) for _ in range(30)]
+    for kind, texts in strange.items():
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert langid.accepted(df, model).count() <= 0.1 * len(texts), kind
+    clean = docs.where(langid.held_out(F.col("doc_id")))
+    assert langid.accepted(clean, model).count() >= 0.99 * clean.where("text rlike '[A-Za-z]'").count()
