@@ -58,7 +58,7 @@ BURN_IN, KEPT = 2, 3
 STRENGTH = 1.0
 DISCOUNT = (0.05, 0.95)
 #: Words, and pairs of words, whose scores are broadcast, about.
-HEAD = 1 << 20
+HEAD = 1 << 19
 #: Entries of a text that one row holds.
 LISTED = 1 << 16
 #: Customers that are seated one by one.
@@ -395,8 +395,16 @@ def _pair_table(docs: DataFrame, names: np.ndarray, tokens: int) -> DataFrame:
 def _with_values(pairs: DataFrame, values: DataFrame, names: np.ndarray, of_word: list[str], of_prev: list[str]) -> DataFrame:
     """``pairs`` with their words' and their contexts' columns (doubles) of
     ``values``: frequent words' from a broadcast, others' by joins."""
-    head = values.join(F.broadcast(pairs.sparkSession.createDataFrame(pa.table({"word": names}))), "word", "left_semi").toArrow().sort_by("word")  # HEAD rows at most
-    cast = pairs.sparkSession.sparkContext.broadcast({k: head[k].to_numpy() for k in {"word", *of_word, *of_prev}})
+    sc = pairs.sparkSession.sparkContext
+    frequent = sc.broadcast(names)
+    kept = ["word", *dict.fromkeys([*of_word, *of_prev])]
+
+    def among(batches):
+        for b in arrow_rows(batches):
+            yield b.filter(pa.array(_place(frequent.value, b.column(0).to_numpy()) >= 0))
+
+    head = values.select(*kept).mapInArrow(among, "word long, " + ", ".join(f"{k} double" for k in kept[1:])).toArrow().sort_by("word")  # as many as there are names
+    cast = sc.broadcast({k: head[k].to_numpy() for k in {"word", *of_word, *of_prev}})
     out = pairs
     for key, columns in (("word", of_word), ("prev", of_prev)):
         schema = out.schema.simpleString()[7:-1]
