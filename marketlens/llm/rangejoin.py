@@ -5,8 +5,10 @@ least hash) partition the vectors into cells of the nearest pivot.  A vector is
 replicated to another cell if a partner could lie there: by the triangle
 inequality it is within the cell's radius + EPS of the pivot and no more than 2
 EPS farther from it than from its own pivot, and it lies within EPS of the plane
-halfway between the two pivots.  Cells then join independently: each counts, for
-its own vectors, the partners among its own and the replicated ones.
+halfway between the two pivots.  Two vectors of a link would visit each other's
+cell, so only one of any two cells receives the other's (in turn the lower and
+the higher, by their numbers' sum).  Cells then join independently: each counts
+the partners of its own vectors, and those of its visitors among its own.
 
 Cells are dealt over blocks of bounded size, own vectors by replicated ones, so
 a dense cell is split.  A block returns counts and, instead of links, a star for
@@ -70,6 +72,12 @@ def replicas(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> tuple[np.
     return own, visit
 
 
+def receives(cell: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether a cell is the one of two that gets the other's vectors (both, if
+    they are the same)."""
+    return (cell == of) | (((cell + of) % 2 == 0) == (cell < of))
+
+
 def _radii(nodes: DataFrame, pivots) -> np.ndarray:
     """Largest distance of each cell's vectors to its pivot."""
 
@@ -85,28 +93,33 @@ def _radii(nodes: DataFrame, pivots) -> np.ndarray:
 
 
 def _placed(nodes: DataFrame, pivots, radius) -> DataFrame:
-    """cell, own, node, mult, embedding: each vector in its cell (own) and as a
-    visitor of every cell where it may have partners, its own included."""
+    """cell, own, home, node, mult, embedding: each vector in its cell (own) and as
+    a visitor of every cell that receives it and where it may have partners, its
+    own included (home)."""
 
     def run(batches):
         for b in arrow_rows(batches):
             cell, visit = replicas(unit(matrix(b.column(2))), pivots.value, radius.value)
+            visit &= receives(np.arange(visit.shape[1])[None, :], cell[:, None])
             row, to = np.nonzero(visit)
             take = pa.array(np.concatenate((np.arange(len(cell)), row)))
             cells = np.concatenate((cell, to)).astype(np.int32)
             mine = np.arange(len(cells)) < len(cell)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(mine), *(c.take(take) for c in b.columns)], ["cell", "own", "node", "mult", "embedding"])
+            home = cells == cell[np.concatenate((np.arange(len(cell)), row))]
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(mine), pa.array(home), *(c.take(take) for c in b.columns)], ["cell", "own", "home", "node", "mult", "embedding"])
 
     kind = nodes.schema["embedding"].dataType.simpleString()
-    return nodes.select("node", "mult", "embedding").mapInArrow(run, f"cell int, own boolean, node long, mult long, embedding {kind}")
+    return nodes.select("node", "mult", "embedding").mapInArrow(run, f"cell int, own boolean, home boolean, node long, mult long, embedding {kind}")
 
 
 def block_links(own: pa.Table, others: pa.Table) -> list[tuple[int, int, int]]:
-    """(node, links, root): for each own vector the rows behind its partners,
-    and for every vector of a link a common member of its linked group."""
+    """(node, links, root): for each own vector, and each visitor from another
+    cell, the rows behind its partners, and for every vector of a link a common
+    member of its linked group."""
     x, y = matrix(own["embedding"]), matrix(others["embedding"])
     xu, yu = unit(x), unit(y)
-    xn, yn, mult = own["node"].to_numpy(), others["node"].to_numpy(), others["mult"].to_numpy()
+    xn, yn = own["node"].to_numpy(), others["node"].to_numpy()
+    xm, ym = own["mult"].to_numpy(), others["mult"].to_numpy()
     up = {int(v): int(v) for v in np.concatenate((xn, yn))}
 
     def top(v: int) -> int:
@@ -115,21 +128,26 @@ def block_links(own: pa.Table, others: pa.Table) -> list[tuple[int, int, int]]:
             v = up[v]
         return v
 
-    links, hint = np.zeros(len(x), np.int64), yn.copy()  # hint: a vector above each other one in its group
+    links, back = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    hint = yn.copy()  # a vector above each other one in its group
     for lo in range(0, len(x), 512):
         s = xu[lo : lo + 512] @ yu.T
         near = s >= LEAST - SLACK
         r, c = np.nonzero(near & (s < LEAST + SLACK))
         near[r, c] = cosine(x[lo + r], y[c]) >= LEAST
         near &= xn[lo : lo + 512, None] != yn[None, :]
-        links[lo : lo + 512] = near @ mult
+        links[lo : lo + 512] = near @ ym
+        back += xm[lo : lo + 512] @ near
         for i in np.flatnonzero(near.any(axis=1)):
             tops = {top(v) for v in np.unique(hint[near[i]]).tolist()} | {top(int(xn[lo + i]))}
             least = min(tops)
             for v in tops:
                 up[v] = least
             hint[near[i]] = least
+    back[others["home"].to_numpy()] = 0  # counted where they are own ones
     count = dict(zip(xn.tolist(), links.tolist()))
+    for v, n in zip(yn.tolist(), back.tolist()):
+        count[v] = count.get(v, 0) + n
     return [(v, count.get(v, 0), r) for v in up if (r := top(v)) != v or count.get(v, 0)]
 
 
@@ -165,7 +183,7 @@ def _joined(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     dealt = placed.join(F.broadcast(sizes), "cell")
     spot = lambda k: f"cast(pmod(xxhash64(node), {k}) as int)"
     dealt = dealt.withColumn("at", F.expr(f"if(own, array({spot('a')}), sequence(0, a - 1))")).withColumn("by", F.expr(f"if(own, sequence(0, b - 1), array({spot('b')}))"))
-    dealt = dealt.withColumn("at", F.explode("at")).withColumn("by", F.explode("by")).select("cell", "at", "by", "own", "node", "mult", "embedding")
+    dealt = dealt.withColumn("at", F.explode("at")).withColumn("by", F.explode("by")).select("cell", "at", "by", "own", "home", "node", "mult", "embedding")
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
