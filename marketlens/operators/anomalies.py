@@ -14,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import money_ratio, ratio_round, sql_money_ratio, sql_ratio_round
+from ..functions.exact import money, money_ratio, ratio_round, sql_money_ratio, sql_ratio_round
 from ..oracle.adapter_sql import with_star
 from ..operators.global_rank import discrete_quantiles
+from ..operators.grain import item_totals, payment_totals
 from ..operators.group_quantiles import group_quantiles
-from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales, order_totals
+from ..plans.pipeline import MONTHLY_SALES_SQL, ORDER_TOTALS_SQL, monthly_sales
 from ..plans.registry import report
 from ..session import scratch_path
 from ..sources.adapter import Star
@@ -32,15 +33,23 @@ FEATURES = ["total_payment_cents", "item_count", "delivery_tenths"]
 
 
 def delivered_features(st: Star) -> DataFrame:
-    ot = order_totals(st).filter(F.col("order_status") == "delivered")
-    return ot.select(
+    """Delivered orders with payment, number of items and delivery time, written
+    once: fences, forest and flags read it several times."""
+    o = st.delivered().select("order_id", F.col("delivery_duration_days").cast("double").alias("delivery_duration_days"))
+    paid = payment_totals(st).select("order_id", "pay_sum", F.col("pay_cents").cast("bigint").alias("total_payment_cents"))
+    items = item_totals(st).select("order_id", "item_rows")
+    rows = o.join(paid, "order_id", "left").join(items, "order_id", "left")
+    rows = rows.select(
         "order_id",
-        "total_payment",
+        money("pay_sum").alias("total_payment"),
         "total_payment_cents",
-        "item_count",
+        F.coalesce(F.col("item_rows"), F.lit(0)).cast("bigint").alias("item_count"),
         "delivery_duration_days",
         (F.col("delivery_duration_days") * 10).cast("bigint").alias("delivery_tenths"),
     )
+    path = scratch_path(st.spark, "order-features")
+    rows.write.parquet(path)
+    return st.spark.read.parquet(path)
 
 
 def iqr_fences(df: DataFrame, features: list[str]) -> DataFrame:
@@ -159,9 +168,7 @@ def isolation_scores(st: Star) -> DataFrame:
     if_flag.  The features are joined once and written, and so are the scores:
     what reads this runs neither the joins nor the forest again."""
     spark = st.spark
-    path = scratch_path(spark, "order-features")
-    delivered_features(st).write.parquet(path)
-    feats = spark.read.parquet(path)
+    feats = delivered_features(st)
     complete = feats.where(" and ".join(f"{f} is not null" for f in FEATURES))
     nodes = forest.grow(complete, "order_id", FEATURES)
     path = scratch_path(spark, "order-scores")
