@@ -1,8 +1,8 @@
 """Results of the offline pipeline, kept for the reports that serve them.
 
 A result lives below the cluster's shared checkpoint folder, under its name and
-a version: a fingerprint of the source's files (path, length, modification time)
-and of the parameters.  Reports that find the version read it; otherwise it is
+a version: a fingerprint of the source's files (path, length, modification time),
+of the parameters and of the code.  Reports that find the version read it; otherwise it is
 built, written beside others that may be under way, and found by its _SUCCESS
 marker, so an interrupted build is never read.  A changed source has another
 version, and publishing one removes the versions before it.
@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,15 @@ def fingerprint(spark: SparkSession, source: str) -> str:
     return hashlib.md5(f"{n}:{total}".encode()).hexdigest()[:16]
 
 
+@cache
+def code() -> str:
+    """Digest of what builds the results: the package without what nothing of it
+    imports."""
+    package = Path(__file__).resolve().parent.parent
+    files = sorted(f for f in package.rglob("*.py") if "llm" not in f.relative_to(package).parts)
+    return hashlib.md5(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
+
+
 def _listed(spark: SparkSession, pattern: str) -> list[str]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
@@ -53,7 +64,7 @@ def keep(st: Star, name: str, parameters: object, build: Callable[[], DataFrame]
         build().write.parquet(path)
         return spark.read.parquet(path)
     folder = f"{checkpoint_root(spark).rstrip('/')}/kept/{name}-{hashlib.md5(st.source.encode()).hexdigest()[:12]}"
-    version = hashlib.md5(f"{fingerprint(spark, st.source)}:{parameters}".encode()).hexdigest()[:16]
+    version = hashlib.md5(f"{fingerprint(spark, st.source)}:{parameters}:{code()}".encode()).hexdigest()[:16]
     there = _listed(spark, f"{folder}/{version}-*/_SUCCESS")
     if there and not fresh:
         return spark.read.parquet(there[-1].rsplit("/", 1)[0])
