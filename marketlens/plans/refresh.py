@@ -25,7 +25,7 @@ from ..operators.scalars import with_scalars
 from ..oracle.adapter_sql import with_star
 from ..session import scratch_path
 from ..sources.adapter import Star
-from ..sources.kept import _listed
+from ..sources.kept import _listed, _removed
 from .pipeline import CUSTOMER_FEATURES_SQL, MONTHLY_SALES_SQL
 from .registry import report
 
@@ -107,11 +107,22 @@ def refresh(spark: SparkSession, root: str, state: str) -> list[str]:
         months.write.parquet(f"{state}/{batch}/months")
         buyers.hint("rebalance", "year_month").write.partitionBy("year_month").parquet(f"{state}/{batch}/buyers")
     rows = [(m, mark, batch if m in changed else known[m]["batch"]) for m, mark in now.items()]
-    number = len(_listed(spark, f"{state}/record-*"))
+    number = max((int(p.rsplit("-", 1)[1]) + 1 for p in _listed(spark, f"{state}/record-*")), default=0)
     spark.createDataFrame(rows, RECORD).coalesce(1).write.parquet(f"{state}/record-{number:08d}")
     return changed
 
 
+def prune(spark: SparkSession, state: str) -> int:
+    """Remove the records before the last one and the batches that it doesn't
+    name (also those of refreshes that broke off); returns how many folders."""
+    named = {r["batch"] for r in record(spark, state).collect()}
+    records = [p.rsplit("/", 1)[0] for p in _listed(spark, f"{state}/record-*/_SUCCESS")]
+    spent = records[:-1] + [p for p in _listed(spark, f"{state}/batch-*") if p.rsplit("/", 1)[1] not in named]
+    for folder in spent:
+        _removed(spark, folder)
+    return len(spent)
+
+
 def _state(spark: SparkSession, state: str, kind: str, schema: str) -> DataFrame:
     """The rows of every month from the batch that holds it."""
     parts: dict[str, list[str]] = {}

@@ -39,6 +39,9 @@ def test_late_order_changes_its_month_only(spark, star):
     assert rows(R.features_of(spark, state)) == rows(customer_features(star))
     after = {r.year_month: r.batch for r in R.record(spark, state).collect()}
     assert {m for m in after if after[m] != before[m]} == {late.year_month}
+    assert R.prune(spark, state) == 1  # the first record; its batch still holds the other months
+    assert rows(R.features_of(spark, state)) == rows(customer_features(star))
+    assert R.refresh(spark, root, state) == [] and R.prune(spark, state) == 0
 
 
 def test_a_refresh_that_breaks_changes_nothing(spark, star, monkeypatch):
