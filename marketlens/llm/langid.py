@@ -181,7 +181,8 @@ class Model:
         at, x = weighted(tf, self.idf)
         p = _softmax((x @ self.w[at] + self.b) / self.temperature)
         k = int(np.argmax(p))
-        fine = p[k] >= self.least and tf[self.unknown].sum() <= allowed(self.share, tf.sum())
+        held = tf[at]
+        fine = p[k] >= self.least and held[self.unknown[at]].sum() <= allowed(self.share, held.sum())
         return self.labels[k], float(p[k]), bool(fine)
 
 
