@@ -5,7 +5,7 @@ Start centres are quantiles, all features at once (a feature that is better when
 low turned round), so they do not depend on the rows' order.  Lloyd's rounds are
 exact: squared distances, sums and counts are integers, centres are rounded,
 ties go to the lower centre, an empty cluster keeps its centre.  A round is one
-aggregation of a row per cluster; rounds end when no centre moves.  SQL runs the
+aggregation for all numbers of clusters that are tried; it ends when no centre moves.  SQL runs the
 same rounds as CTEs (``sql_kmeans``).
 """
 
@@ -46,12 +46,14 @@ def standardised(df: DataFrame, features: dict[str, Column]) -> DataFrame:
     return df.withColumns(cols)
 
 
-def starts(z: DataFrame, k: int, turned: Sequence[bool]) -> list[tuple[int, ...]]:
-    """``k`` centres at the quantiles (2j + 1) / 2k of every z column."""
+def starts_of(z: DataFrame, ks: Sequence[int], turned: Sequence[bool]) -> dict[int, list[tuple[int, ...]]]:
+    """For every k its centres at the quantiles (2j + 1) / 2k of every z column,
+    found together."""
     cols = [f"z{i}" for i in range(len(turned))]
-    probs = {str(j): (2 * j + 1) / (2 * k) for j in range(k)}
-    q = discrete_quantiles(z, cols, probs, lower=True).first()
-    return [tuple(int(q[f"{c}__{k - 1 - j if t else j}"] or 0) for c, t in zip(cols, turned)) for j in range(k)]
+    at = lambda k, j: (2 * j + 1) / (2 * k)
+    probs = {p: str(n) for n, p in enumerate(sorted({at(k, j) for k in ks for j in range(k)}))}
+    q = discrete_quantiles(z, cols, {name: p for p, name in probs.items()}, lower=True).first()
+    return {k: [tuple(int(q[f"{c}__{probs[at(k, k - 1 - j if t else j)]}"] or 0) for c, t in zip(cols, turned)) for j in range(k)] for k in ks}
 
 
 def nearest(centres: list[tuple[int, ...]]) -> Column:
@@ -60,19 +62,37 @@ def nearest(centres: list[tuple[int, ...]]) -> Column:
     return (F.array_position(F.array(*far), F.least(*far) if len(far) > 1 else far[0]) - 1).cast("int")
 
 
-def fit(z: DataFrame, k: int, turned: Sequence[bool], rounds: int = ROUNDS) -> list[tuple[int, ...]]:
-    """The centres.  ``z`` is read once a round; write it before."""
-    centres = starts(z, k, turned)
+def fit_all(z: DataFrame, ks: Sequence[int], turned: Sequence[bool], rounds: int = ROUNDS) -> dict[int, list[tuple[int, ...]]]:
+    """The centres for every k.  ``z`` is read once a round for all that still
+    move; write it before."""
+    centres = starts_of(z, ks, turned)
     sums = [F.sum(F.col(f"z{i}").cast("decimal(38,0)")).alias(f"s{i}") for i in range(len(turned))]
+    moving = list(ks)
     for _ in range(rounds):
-        found = {r["c"]: r for r in z.groupBy(nearest(centres).alias("c")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()}  # a row per cluster
-        moved = [tuple(_rounded(int(found[j][f"s{i}"]), found[j]["n"]) for i in range(len(turned))) if j in found else c for j, c in enumerate(centres)]
-        if moved == centres:
+        # a row per combination of clusters, which hold all of the rounds' sums
+        found = z.groupBy(*[nearest(centres[k]).alias(f"c{k}") for k in moving]).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+        still = []
+        for k in moving:
+            n, total = [0] * k, [[0] * len(turned) for _ in range(k)]
+            for r in found:
+                if (c := r[f"c{k}"]) is not None:
+                    n[c] += r["n"]
+                    total[c] = [t + int(r[f"s{i}"]) for i, t in enumerate(total[c])]
+            moved = [tuple(_rounded(t, n[j]) for t in total[j]) if n[j] else c for j, c in enumerate(centres[k])]
+            if moved != centres[k]:
+                still.append(k)
+            centres[k] = moved
+        moving = still
+        if not moving:
             break
-        centres = moved
     return centres
 
 
+def fit(z: DataFrame, k: int, turned: Sequence[bool], rounds: int = ROUNDS) -> list[tuple[int, ...]]:
+    """The centres for one k."""
+    return fit_all(z, [k], turned, rounds)[k]
+
+
 # ---------------------------------------------------------------- the same in SQL
 
 

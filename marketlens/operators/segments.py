@@ -14,6 +14,7 @@ serves from that.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -118,12 +119,16 @@ def p11(st: Star) -> DataFrame:
 @report("p11b_k_selection", None, note="rows-only: silhouette of K-Means for K = 2..6 on the same features")
 def p11b(st: Star) -> DataFrame:
     data = rfm_vectors(st)
-    vectors = VectorAssembler(inputCols=["z0", "z1", "z2"], outputCol="features").transform(data.select(*[(F.col(f"z{i}") / float(kmeans.UNIT)).alias(f"z{i}") for i in range(3)]))
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
+    fitted = kmeans.fit_all(data, K_CANDIDATES, TURNED)
+    z = data.select(*[(F.col(f"z{i}") / float(kmeans.UNIT)).alias(f"z{i}") for i in range(3)])
+    clusters = [kmeans.nearest([tuple(v / kmeans.UNIT for v in c) for c in fitted[k]]).alias(f"cluster{k}") for k in K_CANDIDATES]
+    # the evaluator reads its rows several times for each k
+    vectors = VectorAssembler(inputCols=["z0", "z1", "z2"], outputCol="features").transform(z.select("*", *clusters)).drop("z0", "z1", "z2").persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for k in K_CANDIDATES:
-        centres = [tuple(v / kmeans.UNIT for v in c) for c in kmeans.fit(data, k, TURNED)]
-        rows.append((k, float(ev.evaluate(vectors.withColumn("cluster", kmeans.nearest(centres))))))
+        ev = ClusteringEvaluator(featuresCol="features", predictionCol=f"cluster{k}", metricName="silhouette")
+        rows.append((k, float(ev.evaluate(vectors))))
+    vectors.unpersist()
     return st.spark.createDataFrame(rows, "k int, silhouette double").orderBy("k")
 
 
