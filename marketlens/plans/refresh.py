@@ -17,7 +17,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import cents, cond_count, days_ratio, money, money_ratio, ratio_round, tenths
@@ -65,31 +65,43 @@ def record(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.schema(RECORD).parquet(found[-1].rsplit("/", 1)[0])
 
 
-def month_states(orders: DataFrame, payments: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(by month, by month and buyer) of the delivered orders: all that p09 and
-    p10 need, in sums, counts and maxima."""
-    orders = orders.where("order_status = 'delivered' and year_month is not null")
-    paid = payments.groupBy("year_month", "order_id").agg(F.sum(cents("payment_value")).alias("pay_cents"), F.sum("payment_value").alias("pay_sum"))
-    rows = orders.join(paid, ["year_month", "order_id"], "left")
-    scored = rows.join(reviews.select("year_month", "order_id", "review_score"), ["year_month", "order_id"], "left")
-    months = scored.groupBy("year_month").agg(
-        F.count(F.lit(1)).alias("order_count"),
-        F.sum("pay_cents").alias("c"),
-        F.count("pay_cents").alias("cn"),
-        F.sum("review_score").alias("r"),
-        F.count("review_score").alias("rn"),
-        F.sum(tenths("delivery_duration_days")).alias("d"),
-        F.count("delivery_duration_days").alias("dn"),
-        cond_count(F.col("is_late")).alias("late"),
-        F.max("order_purchase_timestamp").alias("last"),
+def month_states(orders: DataFrame, payments: DataFrame, reviews: DataFrame) -> DataFrame:
+    """By month and buyer of the delivered orders: all that p09 and p10 need, in
+    sums, counts and maxima.  Payments and reviews are brought to a row per order,
+    so an order counts once for its buyer and as often as it has reviews for its
+    month (``order_count``, ``c`` to ``late``); ``n`` is 0 where nothing was paid."""
+    key = ["order_id", "year_month"]  # sorted by what tells rows apart first
+    paid = payments.groupBy(*key).agg(F.sum(cents("payment_value")).alias("pay_cents"), F.sum("payment_value").alias("pay_sum"))
+    scores = reviews.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.sum("review_score").alias("_score"), F.count("review_score").alias("_scored"))
+    orders = orders.where("order_status = 'delivered' and year_month is not null").select(
+        *key, "customer_unique_id", "order_purchase_timestamp", tenths("delivery_duration_days").alias("_days"), "is_late"
     )
-    buyers = rows.where("pay_sum is not null").groupBy("year_month", "customer_unique_id").agg(
-        F.max("order_purchase_timestamp").alias("last"),
-        F.count(F.lit(1)).alias("n"),
+    rows = orders.join(paid, key, "left").join(scores, key, "left").withColumn("_times", F.coalesce("_rows", F.lit(1)))
+
+    def times(value: str) -> Column:
+        return F.sum(F.when(F.col(value).isNotNull(), F.col("_times")).otherwise(0))
+
+    return rows.groupBy("year_month", "customer_unique_id").agg(
+        F.max(F.when(F.col("pay_sum").isNotNull(), F.col("order_purchase_timestamp"))).alias("last"),
+        F.count("pay_sum").alias("n"),
         F.sum("pay_sum").alias("pay_sum"),
         F.sum("pay_cents").alias("pay_cents"),
+        F.max("order_purchase_timestamp").alias("newest"),
+        F.sum("_times").alias("order_count"),
+        F.sum(F.col("pay_cents") * F.col("_times")).alias("c"),
+        times("pay_cents").alias("cn"),
+        F.sum("_score").alias("r"),
+        F.sum(F.coalesce("_scored", F.lit(0))).alias("rn"),
+        F.sum(F.col("_days") * F.col("_times")).alias("d"),
+        times("_days").alias("dn"),
+        F.sum(F.when(F.col("is_late"), F.col("_times")).otherwise(0)).alias("late"),
     )
-    return months, buyers
+
+
+def month_totals(buyers: DataFrame) -> DataFrame:
+    """The months' rows: those of their buyers added up."""
+    sums = [F.sum(c).alias(c) for c in ("order_count", "c", "cn", "r", "rn", "d", "dn", "late")]
+    return buyers.groupBy("year_month").agg(*sums, F.max("newest").alias("last"))
 
 
 def refresh(spark: SparkSession, root: str, state: str) -> list[str]:
@@ -103,9 +115,9 @@ def refresh(spark: SparkSession, root: str, state: str) -> list[str]:
     if changed:
         # the partition filter keeps the other months' files unread
         tables = [spark.read.parquet(f"{root}/{t}").withColumn("year_month", F.col("year_month").cast("string")).where(F.col("year_month").isin(changed)) for t in LANDED]
-        months, buyers = month_states(*tables)
-        months.write.parquet(f"{state}/{batch}/months")
-        buyers.hint("rebalance", "year_month").write.partitionBy("year_month").parquet(f"{state}/{batch}/buyers")
+        month_states(*tables).hint("rebalance", "year_month").write.partitionBy("year_month").parquet(f"{state}/{batch}/buyers")
+        buyers = spark.read.schema(_PARTS).parquet(f"{state}/{batch}/buyers")
+        month_totals(buyers).write.parquet(f"{state}/{batch}/months")
     rows = [(m, mark, batch if m in changed else known[m]["batch"]) for m, mark in now.items()]
     number = max((int(p.rsplit("-", 1)[1]) + 1 for p in _listed(spark, f"{state}/record-*")), default=0)
     spark.createDataFrame(rows, RECORD).coalesce(1).write.parquet(f"{state}/record-{number:08d}")
@@ -134,6 +146,8 @@ def _state(spark: SparkSession, state: str, kind: str, schema: str) -> DataFrame
 
 _MONTHS = "year_month string, order_count long, c long, cn long, r long, rn long, d long, dn long, late long, last timestamp_ntz"
 _BUYERS = "customer_unique_id string, last timestamp_ntz, n long, pay_sum decimal(38,2), pay_cents long, year_month string"
+#: What a month's buyers add to its row.
+_PARTS = "newest timestamp_ntz, order_count long, c long, cn long, r long, rn long, d long, dn long, late long, year_month string"
 
 
 def sales_of(spark: SparkSession, state: str) -> DataFrame:
@@ -154,7 +168,7 @@ def sales_of(spark: SparkSession, state: str) -> DataFrame:
 def features_of(spark: SparkSession, state: str) -> DataFrame:
     """p10's rows from the state."""
     newest = _state(spark, state, "months", _MONTHS).agg(F.max("last").alias("_ref"))
-    g = _state(spark, state, "buyers", _BUYERS).groupBy("customer_unique_id").agg(
+    g = _state(spark, state, "buyers", _BUYERS).where("n > 0").groupBy("customer_unique_id").agg(
         F.max("last").alias("_last"), F.sum("n").alias("frequency"), F.sum("pay_sum").alias("pay_sum"), F.sum("pay_cents").alias("monetary_cents")
     )
     return with_scalars(g, newest).select(

@@ -68,3 +68,31 @@ def test_only_changed_months_are_read(spark, star):
     orders = spark.read.parquet(f"{root}/orders").where(F.col("year_month").cast("string").isin([month]))
     plan = orders._jdf.queryExecution().executedPlan().toString()
     assert f"year_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_states_read_each_delivery_once(spark, tmp_path):
+    """The months' rows come from those of the buyers, and repeated orders, payments
+    and reviews, unpaid orders and unknown buyers count as in the joined rows."""
+    orders = spark.sql("""
+        SELECT order_id, customer_unique_id, order_status, timestamp_ntz'2020-01-05 10:00:00' + make_interval(0, 0, 0, day) AS order_purchase_timestamp,
+               CAST(days AS decimal(6,1)) AS delivery_duration_days, is_late, '2020-01' AS year_month
+        FROM VALUES ('1', 'a', 'delivered', 0, 2.5, true), ('1', 'a', 'delivered', 0, 2.5, true), ('2', 'a', 'delivered', 9, NULL, NULL),
+                    ('3', NULL, 'delivered', 1, 4.0, false), ('4', 'b', 'delivered', 2, 1.0, true), ('5', 'b', 'shipped', 3, 1.0, true),
+                    ('6', 'c', 'delivered', 20, 7.1, false) AS t (order_id, customer_unique_id, order_status, day, days, is_late)""")
+    payments = spark.sql("""
+        SELECT order_id, CAST(v AS decimal(10,2)) AS payment_value, '2020-01' AS year_month
+        FROM VALUES ('1', 1.25), ('1', 2.00), ('2', 3.00), ('3', 0.50), ('4', NULL), ('5', 9.00) AS t (order_id, v)""")
+    reviews = spark.sql("""
+        SELECT order_id, score AS review_score, '2020-01' AS year_month
+        FROM VALUES ('1', 5), ('1', 2), ('2', NULL), ('3', 4), ('3', NULL), ('6', 1) AS t (order_id, score)""")
+    root, state = str(tmp_path / "root"), str(tmp_path / "state")
+    R.land({"orders": orders, "payments": payments, "reviews": reviews}, root)
+    assert R.refresh(spark, root, state) == ["2020-01"]
+
+    (month,) = R._state(spark, state, "months", R._MONTHS).collect()
+    assert (month.order_count, month.c, month.cn) == (9, 4 * 325 + 300 + 2 * 50, 7)
+    assert (month.r, month.rn, month.d, month.dn, month.late) == (2 * 7 + 4 + 1, 6, 4 * 25 + 2 * 40 + 10 + 71, 8, 5)
+    assert str(month["last"]) == "2020-01-25 10:00:00"
+    got = {r.customer_unique_id: (r.recency_days, r.frequency, r.monetary_cents) for r in R.features_of(spark, state).collect()}
+    assert got == {"a": (11, 3, 950), None: (19, 1, 50)}  # b's payment has no value, c has none
+    assert "order_count" in spark.read.parquet(f"{state}/batch-*/buyers").columns
