@@ -5,8 +5,8 @@ class, classes and one to three code points of look-ahead give a symbol, and
 each symbol is a transition function over six states.  The functions compose
 associatively, so a blocked prefix scan over the elements of the monoid that
 they generate yields the state at every code point, and with it the token
-starts.  The resulting slices go through pair merging by rank, behind a cache
-with a fixed bound.  Offsets of the slices are kept, so a decoded piece can be
+starts.  The resulting slices go through pair merging by rank, all unseen ones of
+a block of texts at a time, behind a cache with a fixed bound.  Offsets of the slices are kept, so a decoded piece can be
 traced to its place.
 
 The split agrees with the pattern of the public byte-level vocabularies
@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm.common import arrow_rows, blocks, prepared, read_table, text_bytes
 
-#: Slices whose merges a task remembers.
+#: Slices whose merges a task remembers, before those of one more block of texts.
 CACHE_PIECES = 200_000
+#: Slices that are merged together.
+TOGETHER = 1 << 13
 #: Pieces of more bytes are merged with a heap.
 LONG_PIECE = 64
 
@@ -174,7 +176,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
+        self.name = {r: str(r) for r in self.token}
+        self.width = max(self.token, default=0) + 1
         self.seen: dict[str, tuple[str, bytes]] = {}
+        self.pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the pair of lowest rank merges first, the
@@ -229,16 +234,86 @@ class Codec:
                 offer(left[i])
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def piece(self, piece: str) -> tuple[str, bytes]:
-        """A slice's ids as decimal text, and the bytes that the ids decode
-        to; remembered up to CACHE_PIECES."""
-        ids = self.merge(piece.encode())
-        out = " ".join(map(str, ids)), self.decode(ids)
-        if len(self.seen) >= CACHE_PIECES:
-            self.seen.clear()
-        self.seen[piece] = out
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id of every single byte (-1: none), and the pairs of ids that merge:
+        sorted keys (first id * width + second) with the ids that they make."""
+        if self.pairs is None:
+            ranks, width = self.ranks, self.width
+            found = {}
+            for t, r in ranks.items():
+                for k in range(1, len(t)):
+                    if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None:
+                        found[a * width + b] = r
+            keys = np.fromiter(found, np.int64, len(found))
+            order = np.argsort(keys)
+            made = np.fromiter(found.values(), np.int64, len(found))[order]
+            single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+            # beyond all keys: what no pair finds
+            self.pairs = single, np.append(keys[order], np.iinfo(np.int64).max), np.append(made, width)
+        return self.pairs
+
+    def _ranks_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """What pairs of ids merge into; ``width`` where they don't."""
+        _, keys, made = self._pairs()
+        want = first * self.width + second
+        at = np.searchsorted(keys, want)
+        return np.where(keys[at] == want, made[at], self.width)
+
+    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merge`` of many slices: those of one length advance together, by one
+        pair each at a time."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        single, none = self._pairs()[0], self.width
+        by_length: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            if len(p) > LONG_PIECE or p in self.ranks or len(p) < 2:
+                out[i] = self.merge(p)
+            else:
+                by_length.setdefault(len(p), []).append(i)
+        for length, at in by_length.items():
+            for k in range(0, len(at), TOGETHER):
+                own = np.array(at[k : k + TOGETHER])
+                ids = single[np.frombuffer(b"".join([pieces[i] for i in own]), np.uint8)].reshape(len(own), length)
+                if (ids < 0).any():  # a vocabulary without some byte
+                    for i in own:
+                        out[i] = self.merge(pieces[i])
+                    continue
+                pair = self._ranks_of(ids[:, :-1], ids[:, 1:])
+                while len(own):
+                    low = pair.argmin(axis=1)  # the leftmost of equals
+                    made = pair[np.arange(len(own)), low]
+                    on = made < none
+                    if not on.all():
+                        for i, got in zip(own[~on].tolist(), ids[~on].tolist()):
+                            out[i] = got
+                        own, ids, pair, low, made = own[on], ids[on], pair[on], low[on], made[on]
+                    if not len(own):
+                        break
+                    n, m, row = len(own), ids.shape[1] - 1, np.arange(len(own))
+                    ids[row, low] = made
+                    left = np.ones((n, m + 1), bool)
+                    left[row, low + 1] = False
+                    ids = ids[left].reshape(n, m)
+                    if m == 1:
+                        for i, got in zip(own.tolist(), ids.tolist()):
+                            out[i] = got
+                        break
+                    left = np.ones((n, m), bool)
+                    left[row, low] = False
+                    pair = pair[left].reshape(n, m - 1)
+                    some = np.flatnonzero(low < m - 1)
+                    pair[some, low[some]] = self._ranks_of(ids[some, low[some]], ids[some, low[some] + 1])
+                    some = np.flatnonzero(low)
+                    pair[some, low[some] - 1] = self._ranks_of(ids[some, low[some] - 1], ids[some, low[some]])
         return out
 
+    def learn(self, pieces: list[str]) -> None:
+        """Remember each slice's ids as decimal text, and the bytes that the ids
+        decode to."""
+        name = self.name
+        for p, ids in zip(pieces, self.merge_many([p.encode() for p in pieces])):
+            self.seen[p] = " ".join([name[i] for i in ids]), self.decode(ids)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.token[i] for i in ids])
 
@@ -266,9 +341,13 @@ class Codec:
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: tokens, digest of its ids, digest of what they
         decode to."""
-        for pieces, _ in self.slices(texts):
-            seen, make = self.seen, self.piece
-            got = [seen.get(p) or make(p) for p in pieces]
+        seen = self.seen
+        if len(seen) >= CACHE_PIECES:
+            seen.clear()
+        cut = [pieces for pieces, _ in self.slices(texts)]
+        self.learn([p for p in set().union(*cut) if p not in seen])
+        for pieces in cut:
+            got = [seen[p] for p in pieces]
             ids = " ".join([g[0] for g in got])
             whole = b"".join([g[1] for g in got])
             yield (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()

@@ -44,6 +44,30 @@ def test_long_pieces(codec, library, text):
     assert codec.encode(text)[0] == library.encode_ordinary(text)
 
 
+def test_slices_merged_together(codec, library, monkeypatch):
+    """A block's unseen slices merge together, with the ids of one at a time, whatever
+    the cache holds; also where the vocabulary lacks some byte or pair."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeéstrn日0") for _ in range(rnd.randint(1, 40))) for _ in range(3000)] + ["x" * 64, "x" * 65]
+    pieces = [w.encode() for w in words]
+    assert codec.merge_many(pieces) == [codec.merge(p) for p in pieces]
+    assert codec.merge_many([]) == []
+    small = bpe.Codec({b"a": 0, b"b": 1, b"ab": 2, b"abab": 3, b"ba": 9})
+    some = [b"ab" * n + b"a" * k for n in range(6) for k in range(3) if n + k]
+    assert small.merge_many(some) == [small.merge(p) for p in some]
+
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
+    monkeypatch.setattr(bpe.Codec, "merge", lambda self, p: 1 / 0 if 1 < len(p) <= bpe.LONG_PIECE and p not in self.ranks else merge(self, p))
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 400, 50)]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(len(i), sha(" ".join(map(str, i)).encode()), sha(t.encode())) for t, i in ((t, library.encode_ordinary(t)) for t in texts)]
+    for _ in range(2):
+        assert [x for k in range(0, 8, 2) for x in codec.digests(texts[k : k + 2])] == want
+
+
+merge = bpe.Codec.merge
+
+
 def test_scan_equals_one_by_one():
     """The blocked scan over the monoid equals stepping through the rules."""
     import numpy as np
