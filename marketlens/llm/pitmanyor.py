@@ -8,9 +8,10 @@ spelling model of byte restaurants, one for each context of two bytes; contexts
 that end in the same byte share the parent restaurant of that byte, and those
 share the root over a uniform byte.
 
-* Word pairs are counted in buckets by their hash, so a hot context is spread
-  over all of them and a hot pair is one entry a task.  Pairs that occur once
-  have one table; a context's tables and a word's customers follow from the
+* Texts are read once, into units of some UNIT bytes: tokens as places among the
+  unit's words.  Word pairs are counted in buckets by their hash, so a hot context
+  is spread over all of them and a hot pair is one entry a unit.  Pairs that occur
+  once have one table; a context's tables and a word's customers follow from the
   other pairs' excess of customers over tables.
 * Seating is sampled by Gibbs sweeps.  The first sweeps of the word restaurant
   take one table for each dish of a context; then all contexts are seated anew
@@ -31,11 +32,13 @@ share the root over a uniform byte.
   on the word restaurant's.  A text's score is the sum of its tokens' log10
   probabilities; perplexity follows.
 * A token whose pair was not seen has probability back(context) * p(word), so the
-  two are summed by word; a seen pair adds its gain over that.
+  two are summed by word; a seen pair adds its gain over that.  A bucket answers
+  each unit with its pairs' customers, in the order of their hashes; the unit has
+  the words' values and adds up its documents.
 
 Counts cover all training documents.  Only byte counts (at most 256^3 cells) and
-the HEAD most frequent words' and pairs' scores meet on the driver; other words
-and pairs meet their scores in joins.
+the HEAD most frequent words' values meet on the driver; other words' meet the
+units and buckets that hold them in joins.
 
 Cases: a null or empty text is one end token; a null doc_id counts as training;
 repeated rows train as often as they occur and get equal scores; nothing to
@@ -45,34 +48,37 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import arrow_rows, bit_table, blocks, discard, has_bit, materialise, prepared, read_table, row_key, text_bytes
+from marketlens.llm.common import arrow_rows, blocks, discard, materialise, prepared, read_table, text_bytes
 from marketlens.llm.shingles import mix, words
 
 BURN_IN, KEPT = 2, 3
 #: Strength of every restaurant; discounts are estimated, within these bounds.
 STRENGTH = 1.0
 DISCOUNT = (0.05, 0.95)
-#: Words, and pairs of words, whose scores are broadcast, about.
+#: Words whose scores are broadcast, about.
 HEAD = 1 << 19
-#: Entries of a text that one row holds.
-LISTED = 1 << 16
+#: Bytes of text whose tokens one row holds; a longer text has its own row.
+UNIT = 8 << 20
 #: Customers that are seated one by one.
 SINGLY = 24
-#: Distinct words that a task holds before it passes them on.
-HELD = 400_000
-#: Distinct pairs that a task holds before it passes them on, and entries of a
-#: bucket of pairs in expectation.
-PAIRS_HELD, BUCKET = 1 << 20, 1 << 21
+#: Entries of a bucket of words, and of one of pairs, in expectation.
+WORD_BUCKET, BUCKET = 1 << 19, 1 << 21
 
 _U = np.uint64
 _EDGE = 0x20  # a byte that no word holds: before a word, and after it
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Columns of ``_units``.
+_UNIT = "unit long, tokens long, size int, word binary, letters binary, spelled binary, c binary, n binary, seq binary"
 #: The end token: a word without bytes.
 END = 0
 
@@ -147,6 +153,11 @@ class Spelling:
         self.p0 = np.full(n, 1 / 256)
         self.p1 = np.tile(self.p0, (n, 1))
         self.p2 = np.tile(self.p0, (n, n, 1))
+        self.log = np.log(self.p2).ravel()
+
+    def __getstate__(self):
+        """Tasks spell by logarithms."""
+        return {"code": self.code, "size": self.size, "log": self.log}
 
     @staticmethod
     def _predict(c: np.ndarray, t: np.ndarray, d: float, parent: np.ndarray) -> np.ndarray:
@@ -173,6 +184,7 @@ class Spelling:
         self.p0 = self._predict(c0, t0, d0, np.full(n, 1 / 256))
         self.p1 = self._predict(c1, t1, d1, self.p0[None, :])
         self.p2 = self._predict(c2, t2, d2, self.p1[None, :, :])
+        self.log = np.log(self.p2).ravel()
 
     def cells(self, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of words (binary): the cell of each spelled byte, edge included,
@@ -192,12 +204,11 @@ class Spelling:
         two[second] = edge
         return (two * self.size + one) * self.size + seq, start
 
-    def base(self, letters: pa.Array) -> np.ndarray:
-        """Probability of each word."""
-        if not len(letters):
+    def base(self, cell: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Probability of each word, by its cells."""
+        if not len(start):
             return np.zeros(0)
-        cell, start = self.cells(letters)
-        return np.exp(np.maximum(np.add.reduceat(np.log(self.p2.ravel()[cell]), start), -700.0))
+        return np.exp(np.maximum(np.add.reduceat(self.log[cell], start), -700.0))
 
 
 class Sweep:
@@ -209,54 +220,112 @@ class Sweep:
         self.total, self.customers = 0.0, 0.0
         self.known = 0.0  # probability of the known words in the spelling model
 
-    def tables(self, ids: np.ndarray, c: np.ndarray, letters: pa.Array, d: float) -> np.ndarray:
-        return seat(c, self.before.base(letters), self.total_before, d, ids, self.number)
+    def tables(self, ids: np.ndarray, c: np.ndarray, cells: tuple[np.ndarray, np.ndarray], d: float) -> np.ndarray:
+        return seat(c, self.before.base(*cells), self.total_before, d, ids, self.number)
 
 
 def _training(doc_id: Column, by: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by != fold, F.lit(True))
 
 
-def _word_table(docs: DataFrame) -> DataFrame:
-    """word (64-bit hash), letters, c (training occurrences), n (all).  The end
-    token has hash END and no letters."""
-    schema = pa.schema([("word", pa.int64()), ("letters", pa.binary()), ("c", pa.int64()), ("n", pa.int64())])
+def _units(docs: DataFrame) -> DataFrame:
+    """The texts' tokens, some UNIT bytes of text a row: the documents' doc_id and
+    train, the tokens as places among the row's distinct words (``seq``; the end
+    token closes a document), and of these the hashes, ascending, the letters with
+    their lengths (``spelled``), c (training occurrences) and n (all).  Texts are
+    read here only."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        held: list[tuple] = []
-        size = 0
-
-        def settle():
-            h, letters, c, n = (np.concatenate(x) for x in zip(*held))
-            u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-            return u, letters[at], np.bincount(inv, c).astype(np.int64), np.bincount(inv, n).astype(np.int64)
-
-        def out(x):
-            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1], pa.binary()), pa.array(x[2]), pa.array(x[3])], schema=schema)
-
+        part, made = TaskContext.get().partitionId(), 0
         for b in arrow_rows(batches):
-            buf, off = text_bytes(b.column(0))
+            buf, off = text_bytes(b.column(2))
             train = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in blocks(off):
-                part = buf[off[lo] : off[hi]]
-                h, s, e, first = words(part, off[lo : hi + 1] - off[lo])
-                own = np.repeat(train[lo:hi], np.diff(first))
-                u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-                low = _LOWER[part].tobytes()
-                spelled = np.array([low[i:j] for i, j in zip(s[at].tolist(), e[at].tolist())] + [b""], object)
-                held.append((np.append(u, _U(END)), spelled, np.append(np.bincount(inv, own, len(u)), train[lo:hi].sum()), np.append(np.bincount(inv, minlength=len(u)), hi - lo)))
-                size += len(u) + 1
-                if size >= HELD:
-                    held = [settle()]
-                    size = len(held[0][0])
-                    if size >= HELD // 2:
-                        yield out(held[0])
-                        held, size = [], 0
-        if held:
-            yield out(settle())
-
-    parts = docs.select("text", "train").mapInArrow(run, "word long, letters binary, c long, n long")
-    return materialise(parts.groupBy("word").agg(F.first("letters").alias("letters"), F.sum("c").alias("c"), F.sum("n").alias("n")), "pitmanyor-words")
+            for lo, hi in blocks(off, UNIT):
+                text = buf[off[lo] : off[hi]]
+                h, start, stop, first = words(text, off[lo : hi + 1] - off[lo])
+                row, _, token = _sequence(h, first)
+                u, seq = _numbered(token.view(np.uint64))
+                at = np.zeros(len(u), np.int64)  # a token of each word
+                at[seq] = np.arange(len(seq))
+                at -= row[at]  # without the end tokens before it, its place among the words
+                spelled = np.where(u == _U(END), 0, (stop - start)[np.minimum(at, len(h) - 1)] if len(h) else 0)
+                begin = np.where(spelled > 0, start[np.minimum(at, len(h) - 1)] if len(h) else 0, 0)
+                letters = _LOWER[text[np.repeat(begin - np.append(0, np.cumsum(spelled)[:-1]), spelled) + np.arange(spelled.sum())]]
+                counts = np.bincount(seq, train[lo:hi][row], len(u)).astype(np.int64), np.bincount(seq, minlength=len(u))
+                data = [_packed(u), pa.compress(letters.tobytes(), "zstd", asbytes=True), _packed(spelled), *map(_packed, counts), _packed(seq.astype(np.int32))]
+                heads = [pa.array([(part << 40) + made], pa.int64()), pa.array([len(seq)], pa.int64()), pa.array([len(u)], pa.int32())]
+                made += 1
+                ends = pa.array([0, hi - lo], pa.int32())
+                yield pa.RecordBatch.from_arrays([*heads, *[pa.array([x], pa.binary()) for x in data], *[pa.ListArray.from_arrays(ends, c.slice(lo, hi - lo)) for c in b.columns[:2]]], [*[x.split()[0] for x in _UNIT.split(", ")], "doc_id", "train"])
+
+    return materialise(docs.select("doc_id", "train", "text").mapInArrow(run, f"{_UNIT}, doc_id array<{kind}>, train array<boolean>"), "pitmanyor-units")
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and each one's place among them."""
+    o = np.argsort(x)
+    y = x[o]
+    new = np.append(True, y[1:] != y[:-1]) if len(y) else np.zeros(0, bool)
+    place = np.empty(len(x), np.int64)
+    place[o] = np.cumsum(new) - 1
+    return y[new], place
+
+
+def _slices(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """Bucket, start and end of ascending hashes' runs by bucket."""
+    bucket = (((h >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+    cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h))
+    return [(int(bucket[i]), int(i), int(j)) for i, j in zip(cut[:-1], cut[1:])]
+
+
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket in one task."""
+    return df.repartition(buckets, "bucket")
+
+
+def _rows(batches) -> Iterator[dict]:
+    for b in arrow_rows(batches):
+        for i in range(b.num_rows):
+            yield {k: b.column(j)[i].as_py() for j, k in enumerate(b.schema.names)}
+
+
+def _word_table(docs: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """word (64-bit hash), letters, c (training occurrences), n (all).  The end
+    token has hash END and no letters."""
+    units = units or _units(docs)
+    buckets = max(1, -(-int(units.agg(F.sum("size")).first()[0] or 0) // WORD_BUCKET))
+    names = ["bucket", "size", "word", "letters", "spelled", "c", "n"]
+
+    def deal(batches):
+        for r in _rows(batches):
+            u = _unpacked(r["word"], r["size"], np.uint64)
+            spelled, c, n = (_unpacked(r[k], r["size"], np.int64) for k in ("spelled", "c", "n"))
+            ends = np.append(0, np.cumsum(spelled))
+            letters = pa.decompress(r["letters"], int(ends[-1]), "zstd", asbytes=True)
+            runs = _slices(u, buckets)
+            data = [[_packed(x[i:j]) for _, i, j in runs] for x in (u, spelled, c, n)]
+            data.insert(1, [letters[ends[i] : ends[j]] for _, i, j in runs])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in runs], pa.int32()), pa.array([j - i for _, i, j in runs], pa.int32()), *[pa.array(x, pa.binary()) for x in data]], names)
+
+    def merge(batches):
+        parts: dict[int, list] = {}
+        for r in _rows(batches):
+            numbers = [_unpacked(r[k], r["size"], np.int64) for k in ("word", "spelled", "c", "n")]
+            off = pa.array(np.append(0, np.cumsum(numbers[1])).astype(np.int32)).buffers()[1]
+            letters = pa.Array.from_buffers(pa.binary(), r["size"], [None, off, pa.py_buffer(r["letters"])])
+            parts.setdefault(r["bucket"], []).append((numbers[0], letters, *numbers[2:]))
+        for k in list(parts):
+            h, letters, c, n = zip(*parts.pop(k))
+            u, place = _numbered(np.concatenate(h))
+            at = np.zeros(len(u), np.int64)
+            at[place] = np.arange(len(place))
+            c, n = (np.bincount(place, np.concatenate(x), len(u)).astype(np.int64) for x in (c, n))
+            whole = pa.Table.from_arrays([pa.array(u), pa.concat_arrays(letters).take(pa.array(at)), pa.array(c), pa.array(n)], ["word", "letters", "c", "n"])
+            yield from whole.to_batches(100_000)
+
+    parts = units.select("size", "word", "letters", "spelled", "c", "n").mapInArrow(deal, "bucket int, size int, word binary, letters binary, spelled binary, c binary, n binary")
+    return materialise(_dealt(parts, buckets).mapInArrow(merge, "word long, letters binary, c long, n long"), "pitmanyor-words")
 
 
 _R = _U(0x9E3779B97F4A7C15)
@@ -293,7 +362,7 @@ def _place(names: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _packed(x: np.ndarray) -> bytes:
     """Numbers byte by byte, the high ones (mostly zero) together."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
 
 
 def _unpacked(x: bytes, n: int, kind) -> np.ndarray:
@@ -320,105 +389,127 @@ def _head(table: DataFrame) -> np.ndarray:
     return np.sort(table.where(_most(table, "word")).select("word").toArrow()["word"].to_numpy())
 
 
-def _pair_table(docs: DataFrame, names: np.ndarray, tokens: int) -> DataFrame:
-    """prev, word, pair (64-bit hash), c (training occurrences), h (others) of
-    the training pairs, without those of two frequent words that occur once in
-    the training texts and nowhere else: these need no table, see ``score``."""
-    cast = docs.sparkSession.sparkContext.broadcast(names)
+def _coded(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hashes, a frequent word's as its place from 1 on."""
+    at = _place(names, x)
+    return np.where(at >= 0, at + 1, x)
+
+
+def _decoded(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    frequent = (x >= 1) & (x <= len(names))
+    return np.where(frequent, names[np.where(frequent, x - 1, 0)], x) if len(names) else x
+
+
+def _unit_pairs(u: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A unit's distinct pairs by ascending hash: hash, places of context and word
+    among the unit's words ``u``; and each token's place among the pairs.  A first
+    token's context is the end token, which closes the unit as well."""
+    n, size = len(seq), len(u)
+    key = np.roll(seq, 1).astype(np.uint64) * _U(size) + seq.astype(np.uint64)
+    if size * size * n < 1 << 63:  # the place beside the key: numbers sort faster than places by key
+        key = np.sort(key * _U(n) + np.arange(n, dtype=np.uint64))
+        key, o = np.divmod(key, _U(n))
+        o = o.astype(np.int64)
+    else:
+        o = np.argsort(key)
+        key = key[o]
+    new = np.append(True, key[1:] != key[:-1])
+    prev, word = (x.astype(np.int64) for x in np.divmod(key[new], _U(size)))
+    pair = _pair(u[prev], u[word])
+    by = np.argsort(pair)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    place = np.empty(n, np.int64)
+    place[o] = rank[np.cumsum(new) - 1]
+    return pair[by], prev[by], word[by], place
+
+
+#: Columns of a bucket of pairs.
+_PAIRS = "bucket int, size int, two long, more long, prev binary, word binary, c binary, units array<long>, sizes array<int>, at binary"
+
+
+def _pair_table(docs: DataFrame, names: np.ndarray, tokens: int, units: DataFrame | None = None) -> DataFrame:
+    """A row for each bucket of pairs, by their hash: prev, word and c (training
+    occurrences) of the ``size`` pairs that occur more than once in the training
+    texts, how many occur twice, their occurrences; and for the pairs of each unit
+    in the bucket, by ascending hash, 0 (not in the training texts), 1 (once), or 2
+    and the place of a pair of the row."""
+    units = units or _units(docs)
+    cast = units.sparkSession.sparkContext.broadcast(names)
     buckets = max(1, -(-tokens // BUCKET))
 
-    def merged(prev, word, c, h):
-        p = _pair(prev, word)
-        o = np.argsort(p)
-        p, prev, word, c, h = p[o], prev[o], word[o], c[o], h[o]
-        new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-        return p[new], prev[new], word[new], np.add.reduceat(c, new), np.add.reduceat(h, new)
-
     def count(batches):
-        names = cast.value
-
-        def coded(x):  # a frequent word by its place from 1 on
-            at = _place(names, x)
-            return np.where(at >= 0, at + 1, x)
-
-        def out(held):
-            p, prev, word, c, h = merged(*(np.concatenate(x) for x in zip(*held)))
-            bucket = ((p >> _U(32)) * _U(buckets)) >> _U(32)
-            prev, word = coded(prev), coded(word)
-            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(p))
-            rows = list(zip(cut[:-1], cut[1:]))
-            for k in range(0, len(rows), 64):
-                some = rows[k : k + 64]
-                data = [[_packed(x[i:j]) for i, j in some] for x in (prev, word, c, h)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[[i for i, _ in some]].astype(np.int32)), pa.array([int(j - i) for i, j in some], pa.int32()), *[pa.array(x, pa.binary()) for x in data]], ["bucket", "size", "prev", "word", "c", "h"])
-
-        held, size = [], 0
-        for b in arrow_rows(batches):
-            buf, off = text_bytes(b.column(0))
-            train = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in blocks(off):
-                h, _, _, first = words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                row, prev, word = _sequence(h, first)
-                own = train[lo:hi][row]
-                held.append((prev, word, own, 1 - own))
-                size += len(word)
-                if size >= PAIRS_HELD:
-                    yield from out(held)
-                    held, size = [], 0
-        if held:
-            yield from out(held)
+        for r in _rows(batches):
+            u, seq = _unpacked(r["word"], r["size"], np.uint64), _unpacked(r["seq"], r["tokens"], np.int32)
+            pair, prev, word, place = _unit_pairs(u, seq)
+            own = np.repeat(np.array(r["train"], np.int64), np.diff(np.append(-1, np.flatnonzero(u[seq] == _U(END)))))
+            c = np.bincount(place, own, len(pair)).astype(np.int64)
+            codes = _coded(cast.value, u.view(np.int64))
+            prev, word = codes[prev], codes[word]
+            runs = _slices(pair, buckets)
+            for k in range(0, len(runs), 64):
+                some = runs[k : k + 64]
+                data = [[_packed(x[i:j]) for _, i, j in some] for x in (prev, word, c)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([r["unit"]] * len(some), pa.int64()), pa.array([j - i for _, i, j in some], pa.int32()), *[pa.array(x, pa.binary()) for x in data]], ["bucket", "unit", "size", "prev", "word", "c"])
 
     def merge(batches):
-        names = cast.value
         parts: dict[int, list] = {}
-        for b in arrow_rows(batches):
-            for r in b.to_pylist():
-                parts.setdefault(r["bucket"], []).append([_unpacked(r[k], r["size"], np.int64) for k in ("prev", "word", "c", "h")])
+        for r in _rows(batches):
+            parts.setdefault(r["bucket"], []).append((r["unit"], r["size"], *[r[k] for k in ("prev", "word", "c")]))
         for k in list(parts):
-            prev, word, c, h = (np.concatenate(x) for x in zip(*parts.pop(k)))
-            rare = np.zeros(len(c), bool)
-            for x in (prev, word):
-                frequent = (x >= 1) & (x <= len(names))
-                x[frequent] = names[x[frequent] - 1]
-                rare |= ~frequent
-            p, prev1, word1, c1, h1 = merged(prev, word, c, h)
-            tail = np.isin(p, _pair(prev[rare], word[rare])) if rare.any() else np.zeros(len(p), bool)
-            at = np.flatnonzero((c1 > 0) & ((c1 > 1) | (h1 > 0) | tail))
-            for i in range(0, len(at), 100_000):
-                some = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (prev1, word1, p.view(np.int64), c1, h1)], ["prev", "word", "pair", "c", "h"])
-
-    parts = docs.select("text", "train").mapInArrow(count, "bucket int, size int, prev binary, word binary, c binary, h binary")
-    return materialise(parts.repartition(buckets, "bucket").mapInArrow(merge, "prev long, word long, pair long, c long, h long"), "pitmanyor-pairs")
-
-
-def _with_values(pairs: DataFrame, values: DataFrame, names: np.ndarray, of_word: list[str], of_prev: list[str]) -> DataFrame:
-    """``pairs`` with their words' and their contexts' columns (doubles) of
-    ``values``: frequent words' from a broadcast, others' by joins."""
-    sc = pairs.sparkSession.sparkContext
-    frequent = sc.broadcast(names)
-    kept = ["word", *dict.fromkeys([*of_word, *of_prev])]
+            held = parts.pop(k)
+            prev, word, c = (np.concatenate([_unpacked(x[i], x[1], np.int64) for x in held]) for i in (2, 3, 4))
+            pair = _pair(_decoded(cast.value, prev), _decoded(cast.value, word))
+            o = np.argsort(pair)
+            pair = pair[o]
+            new = np.append(True, pair[1:] != pair[:-1])
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(c[o], first)
+            many = np.flatnonzero(total > 1)
+            code = total.copy()
+            code[many] = np.arange(2, len(many) + 2)
+            at = np.empty(len(pair), np.int32)
+            at[o] = code[np.cumsum(new) - 1]
+            of, total = o[first[many]], total[many]
+            heads = [pa.array([k], pa.int32()), pa.array([len(many)], pa.int32()), *[pa.array([int(x)], pa.int64()) for x in ((total == 2).sum(), total.sum())]]
+            data = [_packed(x) for x in (prev[of], word[of], total)]
+            yield pa.RecordBatch.from_arrays([*heads, *[pa.array([x], pa.binary()) for x in data], pa.array([[x[0] for x in held]], pa.list_(pa.int64())), pa.array([[x[1] for x in held]], pa.list_(pa.int32())), pa.array([_packed(at)], pa.binary())], [x.split()[0] for x in _PAIRS.split(", ")])
+
+    parts = units.select("unit", "tokens", "size", "word", "seq", "train").mapInArrow(count, "bucket int, unit long, size int, prev binary, word binary, c binary")
+    found = materialise(_dealt(parts, buckets).mapInArrow(merge, _PAIRS), "pitmanyor-pairs")
+    cast.destroy()
+    return found
+
+
+def _known_pairs(names: np.ndarray, r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and c of a bucket's pairs."""
+    prev, word, c = (_unpacked(r[k], r["size"], np.int64) for k in ("prev", "word", "c"))
+    return _decoded(names, prev), _decoded(names, word), c
+
+
+def _frequent_values(values: DataFrame, names: np.ndarray, columns: list[str]) -> dict[str, np.ndarray]:
+    """The frequent words' columns (doubles) of ``values``, as many as there are names."""
+    frequent = values.sparkSession.sparkContext.broadcast(names)
 
     def among(batches):
         for b in arrow_rows(batches):
             yield b.filter(pa.array(_place(frequent.value, b.column(0).to_numpy()) >= 0))
 
-    head = values.select(*kept).mapInArrow(among, "word long, " + ", ".join(f"{k} double" for k in kept[1:])).toArrow().sort_by("word")  # as many as there are names
-    cast = sc.broadcast({k: head[k].to_numpy() for k in {"word", *of_word, *of_prev}})
-    out = pairs
-    for key, columns in (("word", of_word), ("prev", of_prev)):
-        schema = out.schema.simpleString()[7:-1]
-
-        def fill(batches, key=key, columns=columns):
-            v = cast.value
-            for b in arrow_rows(batches):
-                at = _place(v["word"], b.column(b.schema.get_field_index(key)).to_numpy())
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v[c][at] if len(v["word"]) else np.zeros(len(at)), mask=at < 0) for c in columns]], [*b.schema.names, *[f"{key}_{c}" for c in columns]])
-
-        new = [f"{key}_{c}" for c in columns]
-        filled = out.mapInArrow(fill, ", ".join([schema.replace(":", " "), *[f"{c} double" for c in new]]))
-        rest = values.select(F.col("word").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in columns])
-        out = filled.where(f"{new[0]} is not null").unionByName(filled.where(f"{new[0]} is null").drop(*new).join(rest, key))
+    head = values.select("word", *columns).mapInArrow(among, "word long, " + ", ".join(f"{k} double" for k in columns)).toArrow().sort_by("word")
+    frequent.destroy()
+    return {k: head[k].to_numpy() for k in ["word", *columns]}
+
+
+def _looked_up(x: np.ndarray, frequent: dict[str, np.ndarray], others: pa.Table, columns: list[str]) -> list[np.ndarray]:
+    """The words' columns, from the frequent words' or from the ``others``' rows."""
+    at = _place(frequent["word"], x)
+    left = np.flatnonzero(at < 0)
+    out = [frequent[c][at] if len(frequent["word"]) else np.zeros(len(x)) for c in columns]
+    if len(left):
+        others = others.sort_by("word")
+        place = np.searchsorted(others["word"].to_numpy(), x[left])
+        for v, c in zip(out, columns):
+            v[left] = others[c].to_numpy()[place]
     return out
 
 
@@ -433,15 +524,20 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": None, "pairs": None}
 
+    def pairs_only(self) -> Model:
+        """What pairs' gains and the add-one base need."""
+        return Model(self.tokens, self.types, self.d, [], self.d2)
+
     def scores(self, ids: np.ndarray, c: np.ndarray, letters: pa.Array, customers: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each word: add-one base, and the word
         restaurant's with its customers in each kept sweep (``c``, if it has no
         contexts above)."""
         base = np.log10((c + 1) / (self.tokens + self.types + 1))
         p, new = np.zeros(len(c)), 0.0
+        cells = self.sweeps[0].after.cells(letters) if self.sweeps else None  # all sweeps have one alphabet
         for s, n in zip(self.sweeps, customers or [c] * len(self.sweeps)):
-            t = s.tables(ids, n, letters, self.d)
-            p += (np.maximum(n - self.d * t, 0) + (STRENGTH + self.d * s.total) * s.after.base(letters)) / (STRENGTH + s.customers)
+            t = s.tables(ids, n, cells, self.d)
+            p += (np.maximum(n - self.d * t, 0) + (STRENGTH + self.d * s.total) * s.after.base(*cells)) / (STRENGTH + s.customers)
             new += (STRENGTH + self.d * s.total) * max(0.0, 1 - s.known) / (STRENGTH + s.customers)
         p = np.where(c > 0, p, new)
         return base, np.log10(np.maximum(p / len(self.sweeps), 1e-300))
@@ -455,32 +551,58 @@ class Model:
         return _grid(np.log10(1 + (c - self.d2 * tables) / (STRENGTH + context) * np.power(10.0, -back - lm)))
 
 
-def _state(known: DataFrame, pairs: DataFrame, excess: list[str], name: str) -> DataFrame:
+def _state(known: DataFrame, pairs: DataFrame, names: np.ndarray, excess: list[str], name: str) -> DataFrame:
     """word, letters, c; customers u0, u1, ... in the word restaurant and tables
-    v0, v1, ... in the word's own context, of the seatings with ``excess``."""
-    out = known.select("word", "letters", "c")
-    for key, mark in (("word", "u"), ("prev", "v")):
-        sums = pairs.where("c > 1").groupBy(F.col(key).alias("word")).agg(*[F.sum(F.expr(e)).cast("double").alias(f"{mark}{i}") for i, e in enumerate(excess)])
-        out = out.join(sums, "word", "left")
-    return materialise(out.select("word", "letters", "c", *[F.expr(f"c - coalesce({m}{i}, 0D)").alias(f"{m}{i}") for m in "uv" for i in range(len(excess))]), name)
+    v0, v1, ... in the word's own context, of the seatings with ``excess`` columns;
+    none: pairs with one table each."""
+    cast = known.sparkSession.sparkContext.broadcast(names)
+    marks = [f"{m}{i}" for m in "uv" for i in range(len(excess) or 1)]
 
+    def run(batches):
+        for r in _rows(batches):
+            prev, word, c = _known_pairs(cast.value, r)
+            more = [_unpacked(r[e], r["size"], np.int64) for e in excess] or [c - 1]
+            u, place = _numbered(np.concatenate((word, prev)))
+            sums = [np.bincount(at, e, len(u)) for at in (place[: len(c)], place[len(c) :]) for e in more]
+            yield pa.RecordBatch.from_arrays([pa.array(u), *map(pa.array, sums)], ["word", *marks])
 
-def _seated(pairs: DataFrame, values: DataFrame, names: np.ndarray, d2: float) -> DataFrame:
-    """``pairs`` with their customers beyond one a table, e0, e1, ..., when they
-    are seated for each kept sweep: ``values`` has p of a word and v0 of a context."""
+    parts = pairs.select("size", "prev", "word", "c", *excess).mapInArrow(run, "word long, " + ", ".join(f"{m} double" for m in marks))
+    sums = parts.groupBy("word").agg(*[F.sum(m).alias(f"less_{m}") for m in marks])
+    out = known.select("word", "letters", "c").join(sums, "word", "left")
+    found = materialise(out.select("word", "letters", "c", *[F.expr(f"c - coalesce(less_{m}, 0D)").alias(m) for m in marks]), name)
+    cast.destroy()
+    return found
 
-    def run(batches):
-        for b in arrow_rows(batches):
-            got = {k: b.column(i).to_numpy() for i, k in enumerate(b.schema.names)}
-            c = got["c"].astype(float)
-            tables = [seat(c, got["word_p"], got["prev_v0"], d2, got["pair"].view(np.uint64), BURN_IN + k) for k in range(KEPT)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], *[pa.array(c - t) for t in tables]], [*b.schema.names[:5], *[f"e{k}" for k in range(KEPT)]])
 
-    plain = ["prev", "word", "pair", "c", "h"]
-    found = _with_values(pairs.where("c > 1"), values, names, ["p"], ["v0"]).select(*plain, "word_p", "prev_v0")
-    kind = "prev long, word long, pair long, c long, h long, " + ", ".join(f"e{k} double" for k in range(KEPT))
-    once = pairs.where("c = 1").select(*plain, *[F.lit(0.0).alias(f"e{k}") for k in range(KEPT)])
-    return materialise(found.mapInArrow(run, kind).unionByName(once), "pitmanyor-seated")
+def _seated(pairs: DataFrame, values: DataFrame, names: np.ndarray, d2: float) -> DataFrame:
+    """``pairs`` with their customers beyond one a table, e0, e1, ..., when they
+    are seated for each kept sweep: ``values`` has p of a word and v0 of a context,
+    the frequent words' are broadcast, others meet their buckets in joins."""
+    sc = pairs.sparkSession.sparkContext
+    cast = sc.broadcast((names, _frequent_values(values, names, ["p", "v0"])))
+
+    def ask(batches):
+        names = cast.value[0]
+        for r in _rows(batches):
+            x = np.unique(np.concatenate([y[(y < 1) | (y > len(names))] for y in (_unpacked(r[k], r["size"], np.int64) for k in ("prev", "word"))]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r["bucket"], np.int32)), pa.array(x)], ["bucket", "word"])
+
+    def run(key, left, right):
+        names, frequent = cast.value
+        r = left.drop_columns(["units", "sizes", "at"]).to_pylist()[0]
+        prev, word, c = _known_pairs(names, r)
+        p, v0 = _looked_up(word, frequent, right, ["p"])[0], _looked_up(prev, frequent, right, ["v0"])[0]
+        customers, pair = c.astype(float), _pair(prev, word)
+        for k in range(KEPT):
+            tables = seat(customers, p, v0, d2, pair, BURN_IN + k)
+            left = left.append_column(f"e{k}", pa.array([_packed((customers - tables).astype(np.int64))], pa.binary()))
+        return left
+
+    found = pairs.select("bucket", "size", "prev", "word").mapInArrow(ask, "bucket int, word long").join(values, "word").select("bucket", "word", "p", "v0")
+    kind = _PAIRS + ", " + ", ".join(f"e{k} binary" for k in range(KEPT))
+    out = materialise(pairs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, kind), "pitmanyor-seated")
+    cast.destroy()
+    return out
 
 
 def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | None = None, spend: bool = False) -> Model:
@@ -504,10 +626,10 @@ def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | No
     spelling, total = Spelling(np.union1d(letters, [_EDGE])), float(types)
     d2, column = 0.0, "c"
     if pairs is not None:
-        two, more = (int(x or 0) for x in pairs.agg(F.count(F.when(F.col("c") == 2, 1)), F.sum(F.when(F.col("c") > 1, F.col("c")))).first())
+        two, more = (int(x or 0) for x in pairs.agg(F.sum("two"), F.sum("more")).first())
         one = tokens - more  # pairs that occur once
         d2 = float(np.clip(one / (one + 2 * two) if one else 0, *DISCOUNT))
-        known = _state(known, pairs, ["c - 1"], "pitmanyor-state")
+        known = _state(known, pairs, names, [], "pitmanyor-state")
         column = "u0"
     sweeps = []
     for number in range(BURN_IN + KEPT):
@@ -521,10 +643,11 @@ def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | No
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.power(10.0, lm)), b.column(3)], ["word", "p", "v0"])
 
             values = materialise(known.select("word", "letters", "u0", "v0").mapInArrow(settled, "word long, p double, v0 double"), "pitmanyor-values")
+            before.destroy()
             seated = _seated(pairs, values, names, d2)
             discard(values, *([pairs] if spend else []))
             pairs, earlier = seated, known
-            known = _state(earlier, pairs, [f"e{k}" for k in range(KEPT)], "pitmanyor-state")
+            known = _state(earlier, pairs, names, [f"e{k}" for k in range(KEPT)], "pitmanyor-state")
             discard(earlier)
         if pairs is not None:
             column = f"u{max(0, number - BURN_IN)}"
@@ -534,12 +657,19 @@ def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | No
         def run(batches, cast=cast):
             s = cast.value
             cells, tables, customers = np.zeros(s.before.size**3), 0.0, 0.0
+            held, size = [], 0
             for b in arrow_rows(batches):
-                t = s.tables(b.column(0).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(float), b.column(1), d)
                 cell, start = s.before.cells(b.column(1))
-                cells += np.bincount(cell, np.repeat(t, np.diff(np.append(start, len(cell)))), len(cells))
+                t = s.tables(b.column(0).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(float), (cell, start), d)
+                held.append((cell, np.repeat(t, np.diff(np.append(start, len(cell))))))
+                size += len(cell)
+                if size >= len(cells):
+                    cells += np.bincount(*map(np.concatenate, zip(*held)), len(cells))
+                    held, size = [], 0
                 tables += t.sum()
                 customers += b.column(2).to_numpy().sum()
+            if held:
+                cells += np.bincount(*map(np.concatenate, zip(*held)), len(cells))
             full = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(full, [-1, -2]), pa.int64()), pa.array(np.append(cells[full], [tables, customers]))], ["cell", "n"])
 
@@ -553,19 +683,21 @@ def fit(table: DataFrame, pairs: DataFrame | None = None, names: np.ndarray | No
         after.p0, after.p1, after.p2 = spelling.p0, spelling.p1, spelling.p2
         after.learn(counts.reshape((spelling.size,) * 3), number)
         sweep.after = spelling = after
-        cast.unpersist()
+        cast.destroy()
         if number >= BURN_IN:
             sweeps.append(sweep)
-    kept = spark.sparkContext.broadcast(sweeps)
+    kept = spark.sparkContext.broadcast([s.after for s in sweeps])
 
     def mass(batches):
         sums = np.zeros(len(kept.value))
         for b in arrow_rows(batches):
-            sums += [s.after.base(b.column(0)).sum() for s in kept.value]
+            cells = kept.value[0].cells(b.column(0))
+            sums += [s.base(*cells).sum() for s in kept.value]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], ["sweep", "p"])
 
     for r in known.select("letters").mapInArrow(mass, "sweep int, p double").groupBy("sweep").agg(F.sum("p").alias("p")).collect():  # KEPT rows
         sweeps[r["sweep"]].known = r["p"]
+    kept.destroy()
     return Model(tokens, types, d, sweeps, d2, known if pairs is not None else None, pairs)
 
 
@@ -587,22 +719,29 @@ def _scored_words(table: DataFrame, model: Model) -> DataFrame:
     src = table.select("word", "letters", "c", "n")
     if marks:
         src = src.join(model.known.select("word", *marks), "word", "left").select(*src.columns, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in marks])
-    return materialise(src.mapInArrow(run, "word long, base double, lm double, back double, context double, known long, n long"), "pitmanyor-scores")
+    found = materialise(src.mapInArrow(run, "word long, base double, lm double, back double, context double, known long, n long"), "pitmanyor-scores")
+    cast.destroy()
+    return found
 
 
 def _gains(model: Model, scored: DataFrame, names: np.ndarray) -> DataFrame:
-    """pair, gain, n of the pair table."""
-    cast = scored.sparkSession.sparkContext.broadcast(model)
+    """pair, gain of the pairs that occur more than once in the training texts."""
+    cast = scored.sparkSession.sparkContext.broadcast((model.pairs_only(), names))
+
+    def spread(batches):
+        for r in _rows(batches):
+            prev, word, c = _known_pairs(cast.value[1], r)
+            e = sum(_unpacked(r[f"e{k}"], r["size"], np.int64) for k in range(KEPT)) / KEPT
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prev, word, _pair(prev, word).view(np.int64), c.astype(float), e)], ["prev", "word", "pair", "c", "e"])
 
     def run(batches):
         for b in arrow_rows(batches):
-            c, n, e, lm, back, context = (b.column(i).to_numpy() for i in range(1, 7))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast.value.gain(c, c - e, context, back, lm)), pa.array(n)], ["pair", "gain", "n"])
+            c, e, lm, back, context = (b.column(i).to_numpy() for i in range(1, 6))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast.value[0].gain(c, c - e, context, back, lm))], ["pair", "gain"])
 
-    mean = "(" + " + ".join(f"e{k}" for k in range(KEPT)) + f") / {KEPT}D as e"
-    pairs = model.pairs.selectExpr("pair", "prev", "word", "cast(c as double) as c", "c + h as n", mean)
-    found = _with_values(pairs, scored.where("known = 1"), names, ["lm"], ["back", "context"])
-    return materialise(found.select("pair", "c", "n", "e", "word_lm", "prev_back", "prev_context").mapInArrow(run, "pair long, gain double, n long"), "pitmanyor-gains")
+    pairs = model.pairs.drop("units", "sizes", "at").mapInArrow(spread, "prev long, word long, pair long, c double, e double")
+    found = pairs.join(scored.select("word", "lm"), "word").join(scored.select(F.col("word").alias("prev"), "back", "context"), "prev")
+    return found.select("pair", "c", "e", "lm", "back", "context").mapInArrow(run, "pair long, gain double")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -610,96 +749,66 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     train_tokens, base_score, score, perplexity.  ``train``: condition on
     column doc_id of the rows to learn from."""
     prepared(docs)
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("train", train).withColumn("key", row_key())
-    table = _word_table(src)
+    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("train", train)
+    units = _units(src)
+    table = _word_table(src, units)
     names = _head(table)
-    model = fit(table, _pair_table(src, names, int(table.agg(F.sum("n")).first()[0] or 0)), names, spend=True)
+    model = fit(table, _pair_table(src, names, int(units.agg(F.sum("tokens")).first()[0] or 0), units), names, spend=True)
     scored = _scored_words(table, model)
     discard(table, model.known)
-    gains = _gains(model, scored, names)
-    discard(model.pairs)
-    often = gains.where(_most(gains, "pair")).select("pair", "gain").toArrow().sort_by("pair")
-    head = scored.where(_most(scored, "word")).toArrow().sort_by("word")
-    cast = docs.sparkSession.sparkContext.broadcast((tuple(head[c].to_numpy() for c in ("word", "base", "lm", "known", "back", "context")), often["pair"].to_numpy(), often["gain"].to_numpy(), bit_table(gains, "pair"), model))
+    values = ["context", "lm", "back"]
+    cast = docs.sparkSession.sparkContext.broadcast((_frequent_values(scored, names, values), model.pairs_only()))
     kind = src.schema["doc_id"].dataType.simpleString()
 
-    def counted(row: np.ndarray, key: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """Distinct (row, key), their number, and ``more`` of the first."""
-        o = np.lexsort((key, row))
-        row, key = row[o], key[o]
-        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))) if len(row) else np.zeros(0, np.int64)
-        return row[new], key[new], np.diff(np.append(new, len(row))).astype(np.int32), *([more[o][new]] if more is not None else [])
-
-    def lists(row: np.ndarray, n: int, part: int, *columns: np.ndarray) -> list[pa.Array]:
-        """The ``part``-th LISTED entries of each row."""
-        ends = np.searchsorted(row, np.arange(n + 1))
-        lo = np.minimum(ends[:-1] + part * LISTED, ends[1:])
-        hi = np.minimum(lo + LISTED, ends[1:])
-        size = hi - lo
-        at = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        off = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-        return [pa.ListArray.from_arrays(off, pa.array(c[at])) for c in columns]
-
-    def run(batches):
-        """A text's sums over the frequent words and pairs; its other words and
-        pairs in lists, where those of a long text take further rows (n_tokens
-        null there).  No join is needed for a pair of two frequent words without
-        an entry in the pair table, which training texts hold once and others
-        never."""
-        (names, base, lm, known, back, context), frequent, gain, bits, model = cast.value
-        both = lm + back  # a token is a token and a context once
-        for b in arrow_rows(batches):
-            buf, off = text_bytes(b.column(3))
-            train = b.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi in blocks(off):
-                n = hi - lo
-                h, _, _, first = words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                row, prev, word = _sequence(h, first)
-                u, inv = np.unique(word, return_inverse=True)
-                w = _place(names, u)[inv]
-                v, hit = np.roll(w, 1), w >= 0
-                sums = [np.bincount(row[hit], x[w[hit]], n) for x in (base, both, known)]
-                pair, inv = np.unique(_pair(prev, word), return_inverse=True)
-                at, entered = _place(frequent, pair.view(np.int64)), has_bit(bits, pair)
-                joined = ((at < 0) & entered)[inv]
-                at = at[inv]
-                got = np.zeros(len(row))
-                once = np.flatnonzero((at < 0) & (v >= 0) & hit & train[lo:hi][row])
-                got[once] = model.gain(1.0, 1.0, context[v[once]], back[v[once]], lm[w[once]])
-                got[at >= 0] = gain[at[at >= 0]]
-                sums[1] += np.bincount(row, np.where(joined, 0.0, got), n)
-                wr, wk, wm = counted(row[~hit], word[~hit])
-                pr, pk, pm, pg = counted(row[joined], pair.view(np.int64)[inv[joined]], got[joined])
-                parts = max([0, *(-(-int(np.bincount(r).max()) // LISTED) for r in (wr, pr) if len(r))])
-                for part in range(max(1, parts)):
-                    rest = [*lists(wr, n, part, wk, wm), *lists(pr, n, part, pk, pm, pg)]
-                    full = np.ones(n, bool) if part == 0 else (np.diff(rest[0].offsets.to_numpy()) > 0) | (np.diff(rest[2].offsets.to_numpy()) > 0)
-                    tokens = pa.array(np.bincount(row, minlength=n), mask=np.full(n, part > 0))
-                    heads = [c.slice(lo, n) for c in b.columns[:3]]
-                    rows = pa.RecordBatch.from_arrays([*heads, tokens, pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), *rest], ["key", "doc_id", "train", "n_tokens", "base", "lm", "known", "words", "word_m", "pairs", "pair_m", "pair_got"])
-                    yield rows.filter(pa.array(full))
-
-    lists_of = "words array<long>, word_m array<int>, pairs array<long>, pair_m array<int>, pair_got array<double>"
-    read = materialise(src.select("key", "doc_id", "train", "text").mapInArrow(run, f"key long, doc_id {kind}, train boolean, n_tokens long, base double, lm double, known long, {lists_of}"), "pitmanyor-heads")
-    heads = read.where("n_tokens is not null").select("key", "doc_id", "train", "n_tokens", "base", "lm", "known")
-    rest = read.select("key", F.explode(F.arrays_zip("words", "word_m")).alias("e")).selectExpr("key", "e.words as word", "e.word_m as m")
-    rest = rest.join(scored.select("word", "base", (F.col("lm") + F.col("back")).alias("lm"), "known"), "word")
-    rest = rest.selectExpr("key", "m * base as base", "m * lm as lm", "m * known as known", "0L as rows")
-    more = read.select("key", F.explode(F.arrays_zip("pairs", "pair_m", "pair_got")).alias("e")).selectExpr("key", "e.pairs as pair", "e.pair_m as m", "e.pair_got as got")
-    more = more.join(gains.select("pair", "gain"), "pair", "left")
-    rest = rest.union(more.selectExpr("key", "0D", "m * coalesce(gain, got)", "0L", "0L"))
-    rest = rest.union(heads.selectExpr("key", "0D", "0D", "0L", "1L as rows"))
-    rest = rest.groupBy("key").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "lm", "known", "rows")])  # equal rows have summed up more_rows times
-    out = heads.join(rest, "key")
-    return out.select(
-        "doc_id",
-        "train",
-        "n_tokens",
-        (F.col("known") + F.expr("more_known div more_rows")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more_base") / F.col("more_rows")).alias("base_score"),
-        (F.col("lm") + F.col("more_lm") / F.col("more_rows")).alias("score"),
-    ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    def ask(batches):
+        """The words of a unit that are not broadcast."""
+        for r in _rows(batches):
+            x = _unpacked(r["word"], r["size"], np.int64)
+            x = x[_place(cast.value[0]["word"], x) < 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r["unit"])), pa.array(x)], ["unit", "word"])
+
+    def tell(batches):
+        """To each unit c and excess customers of its pairs in a bucket."""
+        for r in _rows(batches):
+            c = np.concatenate(([0, 1], _unpacked(r["c"], r["size"], np.int64)))
+            e = np.concatenate(([0, 0], sum(_unpacked(r[f"e{k}"], r["size"], np.int64) for k in range(KEPT))))
+            ends = np.append(0, np.cumsum(r["sizes"]))
+            at = _unpacked(r["at"], int(ends[-1]), np.int32)
+            runs = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            for k in range(0, len(runs), 64):
+                some = runs[k : k + 64]
+                data = [pa.array([_packed(x[at[i:j]]) for i, j in some], pa.binary()) for x in (c, e)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["units"][k : k + 64], pa.int64()), pa.array([r["bucket"]] * len(some), pa.int32()), pa.array([j - i for i, j in some], pa.int32()), *data], ["unit", "bucket", "size", "c", "e"])
+
+    def run(key, left, right):
+        """The scores of a unit's documents, from its words' values and its pairs'
+        customers."""
+        frequent, model = cast.value
+        size, tokens, packed, seq = (left[k][0].as_py() for k in ("size", "tokens", "word", "seq"))
+        u, seq = _unpacked(packed, size, np.uint64), _unpacked(seq, tokens, np.int32)
+        told = right.filter(pc.is_valid(right["bucket"])).sort_by("bucket").select(["size", "c", "e"]).to_pylist()
+        others = right.filter(pc.is_null(right["bucket"])).select(["word", *values])
+        context, lm, back = _looked_up(u.view(np.int64), frequent, others, values)
+        _, prev, word, place = _unit_pairs(u, seq)
+        c, e = (np.concatenate([_unpacked(r[k], r["size"], np.int64) for r in told]) for k in ("c", "e"))
+        gain, seen = np.zeros(len(c)), np.flatnonzero(c)
+        a, b = prev[seen], word[seen]
+        gain[seen] = model.gain(c[seen].astype(float), c[seen] - e[seen] / KEPT, context[a], back[a], lm[b])
+        last = np.flatnonzero(u[seq] == _U(END))
+        first = np.append(0, last[:-1] + 1)
+        base = np.log10((context + 1) / (model.tokens + model.types + 1))
+        sums = [np.add.reduceat(x, first) for x in (base[seq], (lm + back)[seq] + gain[place], (context > 0)[seq].astype(np.int64))]  # a token is a token and a context once
+        lists = [left[k].combine_chunks().flatten() for k in ("doc_id", "train")]
+        return pa.Table.from_arrays([*lists, pa.array(last - first + 1), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = units.select("unit", "size", "word").mapInArrow(ask, "unit long, word long").join(scored.select("word", *values), "word")
+    told = model.pairs.drop("prev", "word").mapInArrow(tell, "unit long, bucket int, size int, c binary, e binary")
+    met = told.unionByName(asked, allowMissingColumns=True)
+    heads = units.select("unit", "tokens", "size", "word", "seq", "doc_id", "train")
+    out = heads.groupBy("unit").cogroup(met.groupBy("unit")).applyInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score").withColumn(
+        "perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

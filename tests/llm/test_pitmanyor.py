@@ -132,3 +132,43 @@ def test_every_context_sums_to_one(spark, doc_rows, monkeypatch):
             assert c[u, w] < 2 or pair in gains
             total += 10 ** (s.back + lm + gain)
         assert total + 10**s.back * unknown == pytest.approx(1, abs=1e-9)
+
+
+def test_scores_by_tokens_one_by_one(spark, monkeypatch):
+    """Every text's score, with a hot context and in many units and buckets, is the
+    sum of its tokens' own; pairs meet texts in packed rows, a few for a unit."""
+    rnd = np.random.default_rng(5)
+    few = ["the", "of", "and", "river", "stone"]
+    rows = [(i, " ".join("the W%d" % rnd.integers(400) if rnd.random() < 0.6 else few[rnd.integers(5)] for _ in range(40))) for i in range(150)]
+    rows += [(500, None), (501, ""), (501, "the"), (502, "unseen words the river"), (None, "the w1 the w1"), rows[3]]
+    src = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    for name, value in (("HEAD", 20), ("UNIT", 2000), ("BUCKET", 1000), ("WORD_BUCKET", 100)):
+        monkeypatch.setattr(P, name, value)
+    found = P.score(src, train_column())
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in found.collect())
+
+    marked = src.withColumn("train", train_column())
+    table = P._word_table(marked)
+    names, n = P._head(table), table.agg(F.sum("n")).first()[0]
+    pairs = P._pair_table(marked, names, n)
+    assert 1 < pairs.count() <= -(-n // P.BUCKET)
+    model = P.fit(table, pairs, names)
+    words = P._scored_words(table, model)
+    scored = {r.word: r for r in words.collect()}
+    gains = {r.pair: r.gain for r in P._gains(model, words, names).collect()}
+    c = Counter(p for d, t in rows if trains(d) for p in zip([None, *tokens(t)], tokens(t)))
+    key = lambda w: P.END if w is None else int(P.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    want = []
+    for d, t in rows:
+        w = tokens(t)
+        total = 0.0
+        for u, v in zip([None, *w], w):
+            a, b = scored[key(u)], scored[key(v)]
+            pair = int(P._pair(np.array([a.word]), np.array([b.word])).view(np.int64)[0])
+            assert (c[u, v] > 1) == (pair in gains)
+            total += a.back + b.lm + (gains[pair] if c[u, v] > 1 else float(model.gain(1.0, 1.0, a.context, a.back, b.lm)) if c[u, v] else 0.0)
+        known = [scored[key(x)] for x in w]
+        want.append((str(d), len(w), sum(r.known for r in known), round(sum(r.base for r in known), 6), round(total, 6)))
+    assert got == sorted(want)
