@@ -2,7 +2,8 @@
 
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -59,6 +60,67 @@ def test_passages(spark, most, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == expected(rows)
 
 
+def shared_words(rows):
+    """Of each row: words in runs of 50 that a row of other id or text has."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for _, t in rows]
+    holders = defaultdict(set)
+    for row, w in zip(rows, split):
+        for i in range(len(w) - 49):
+            holders[tuple(w[i : i + 50])].add(row)
+    out = []
+    for (d, _), w in zip(rows, split):
+        again = [i for i in range(len(w) - 49) if len(holders[tuple(w[i : i + 50])]) > 1]
+        out.append((d, len({j for i in again for j in range(i, i + 50)})))
+    return Counter(out)
+
+
+def found_words(df):
+    return Counter((r.doc_id, r.n_shared_words) for r in repeats.remove(df).collect())
+
+
+def test_shared_words_of_documents(docs, doc_rows):
+    want = shared_words([(r[0], r[1]) for r in doc_rows])
+    assert sum(n > 0 for _, n in want) > 3
+    assert found_words(docs) == want
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_short_passages(spark, most, monkeypatch):
+    """Passages of over 50 words and under 400 bytes stay, and are told."""
+    monkeypatch.setattr(repeats, "MOST", most)
+    rnd = random.Random(6)
+    words = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6))) for _ in range(n)]
+    base = words(600)
+    texts = []
+    for _ in range(60):
+        a = rnd.randint(0, 540)
+        texts.append(rnd.choice((" ", "\n", " \t")).join(words(rnd.randint(0, 90)) + base[a : a + rnd.randint(45, 90)] + words(rnd.randint(0, 90))))
+    planted = words(51)
+    assert len(" ".join(planted)) < 400
+    texts += [" ".join(words(30) + planted + words(30)), " ".join(words(7) + planted).upper(), "\n".join(planted)]
+    texts += [" ".join(words(5) + planted[:50]), " ".join(words(5) + planted[:49])]  # one word less than a run
+    twice = words(60)
+    texts += [" ".join(twice + words(3) + twice), "x " * 300, "", None, " ".join(words(500))]  # repeats within a document only
+    texts += [" ".join(base[100 + k : 160 + k] + words(2)) for k in range(30)]
+    rows = [*enumerate(texts), (60, texts[60]), (7000, texts[63]), (61, None)]  # a row twice, a text twice
+    rows += [(8000, " ".join(twice[:49])), (8001, "own " + " ".join(words(60))), (8001, "own " + " ".join(words(60)))]
+    want = shared_words(rows)
+    assert want[60, 51] == 2 and want[62, 51] == 1 and want[65, 0] == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found_words(df) == want
+    assert found(df) == expected(rows)
+
+
+def test_query_tells_shared_words(spark, tmp_path):
+    rnd = random.Random(7)
+    text = lambda n: " ".join(str(rnd.randint(100, 99999)) for _ in range(n))
+    passage = text(55)
+    rows = [(1, f"{text(20)} {passage} {text(20)}"), (2, f"{text(9)} {passage}"), (3, text(200))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeats.query(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_shared_words) for r in got} == {1: (0, 55), 2: (0, 55), 3: (0, 0)}
+
+
 def test_hashes_of_a_text_longer_than_a_piece(monkeypatch):
     rng = np.random.default_rng(1)
     buf = rng.integers(0, 256, repeats.PIECE * 2 + 500).astype(np.uint8)
