@@ -119,6 +119,15 @@ class Hashes:
                 inv = inverse[a % PIECE] * block[a // PIECE]
             return mix((self.sums[b] - self.sums[a]) * inv + (b - a).astype(np.uint64) * _R)
 
+    def every(self, w: int) -> np.ndarray:
+        """Hashes of all substrings of ``w`` symbols."""
+        _, inverse = _powers()
+        n = len(self.sums) - w
+        if len(self.sums) > len(inverse):
+            return self.of(np.arange(n), np.arange(n) + w)
+        with np.errstate(over="ignore"):
+            return mix((self.sums[w:] - self.sums[:n]) * inverse[:n] + _U(w) * _R)
+
 
 def _least(key: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every window of ``w`` keys."""
@@ -149,8 +158,7 @@ def anchors(h: Hashes, offsets: np.ndarray, unit: Unit = BYTES) -> Anchors | Non
     long = np.flatnonzero(size >= unit.span)
     if not len(long):
         return None
-    grams = np.arange(offsets[-1] - unit.gram + 1)
-    g = h.of(grams, grams + unit.gram)
+    g = h.every(unit.gram)
     w = unit.span - unit.gram + 1
     found = []
     for lo in range(0, len(g) - w + 1, 1 << (_LOW - 1)):  # places fit the key's low bits
