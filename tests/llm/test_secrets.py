@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 from marketlens.llm import secrets
@@ -60,6 +61,29 @@ def test_redaction_keeps_rows_and_other_columns(docs, doc_rows):
     assert Counter((r.doc_id, r.text) for r in rows if r.doc_id in clean) == Counter((r[0], r[1]) for r in doc_rows if r[0] in clean)
 
 
+def test_long_runs_and_many_spans_take_time_in_proportion(spark):
+    """Work on a run grew with the square of its length (20,000 characters: more
+    than a minute), that on overlaps and cuts with the square of their number."""
+    rnd = random.Random(6)
+    key = lambda n: "".join(rnd.choices(string.ascii_letters + string.digits + "+/", k=n))
+    many = "é\U0001f642 " + " ".join(rnd.choice([f"token={key(24)}", key(40), "%032x" % rnd.getrandbits(128), "word"]) for _ in range(3000))
+    df = spark.createDataFrame([(0, f"see {key(40000)} end"), (1, many), (2, "nothing")], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in secrets.spans(df).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert time.time() - began < 60
+    assert [tuple(s) for s in found[1].base] == base(many)
+    assert any(s.kind == "random" for s in found[1].spans)
+    assert not any(s.kind == "random" and any(b.start < s.end and s.start < b.end for b in found[1].base) for s in found[1].spans)
+    for i, text in ((0, df.first().text), (1, many), (2, "nothing")):
+        want, end = "", 0
+        for s in found[i].spans:  # overlapping and touching ones as one
+            if s.start > end or not want:
+                want += text[end : s.start] + "[SECRET]"
+            end = max(end, s.end)
+        assert clean[i] == want + text[end:]
+
+
 def test_native_plan(docs):
     plan = secrets.redact(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
