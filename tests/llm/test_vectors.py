@@ -118,6 +118,17 @@ def test_hot_group_is_dealt_over_salts(spark, monkeypatch):
     assert hit / (5 * len(got)) >= 0.9
 
 
+def test_no_vector_comes_to_the_driver(spark, monkeypatch):
+    """The sample that fits the probes grew with the vectors' length there."""
+
+    def driver(*_):
+        raise AssertionError("vectors on the driver")
+
+    monkeypatch.setattr(ann.Tables, "fit", driver)
+    got = ann.search(frame(spark, vectors(n=60, dims=40)), F.expr("vec_id % 20 = 0"))
+    assert got.count() == 5 * got.select("query_id").distinct().count() > 0
+
+
 def test_null_ids_and_repeats(spark):
     v = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]]
     df = frame(spark, v, [None, 4, 4])
